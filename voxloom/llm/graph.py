@@ -1,0 +1,29 @@
+"""Connected components of an undirected edge list, as DataFrame steps with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from voxloom.llm.common import settle
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, comp) for each node of edges(a, b): comp is the smallest node reachable.
+
+    Each round takes the least label among a node and its neighbours (pre-aggregated, so a node with
+    very many neighbours costs no more than its edges) and then the label's own label; labels are kept
+    in the shared folder.  A path of n nodes takes about log n rounds.  No links and no labels are
+    collected.
+    """
+    both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
+    while True:
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("m"))
+        joined = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
+        up = labels.select(F.col("node").alias("u"), F.col("comp").alias("jump"))
+        new = settle(joined.join(up, joined["comp"] == up["u"], "left").select("node", "old", F.least("comp", F.coalesce("jump", "comp")).alias("comp")))
+        changed = new.where("comp <> old").limit(1).count()
+        labels = new.select("node", "comp")
+        if not changed:
+            return labels
