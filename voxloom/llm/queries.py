@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+from voxloom.llm.ann import op7_ann_search
 from voxloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from voxloom.llm.langid import op8_language_id
 from voxloom.llm.line_dedup import OP2_SQL, op2_line_dedup
 from voxloom.llm.minhash import op4_minhash_near_dedup
 from voxloom.llm.packing import op3_packing
+from voxloom.llm.quality import op1_quality_classifier
 from voxloom.llm.sharding import op5_sharding
 from voxloom.llm.token_cache import op10_token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op2_line_dedup": op2_line_dedup,
         "op3_packing": op3_packing,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_sharding": op5_sharding,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_ann_search": op7_ann_search,
+        "op8_language_id": op8_language_id,
         "op10_token_counts": op10_token_counts,
     }
 
