@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -28,16 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once, keep in the shared folder, cut the lineage; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def settle_parquet(df: DataFrame, name: str) -> DataFrame:
-    """As settle(), as compressed Parquet; for rows that carry texts."""
+    """Compute once and read back from a table in the shared folder: cuts the lineage, survives lost
+    executors, and keeps nothing on the driver.  The tables go when the session's JVM ends."""
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    path = f"{shared_dir(spark)}/voxloom-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    df.write.parquet(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import read_table, settle, settle_parquet, text_hash
+from voxloom.llm.common import read_table, settle, text_hash
 from voxloom.llm.graph import components
 from voxloom.llm.textnum import U64, batch_texts, chunks, mix, shingles
 
@@ -182,10 +182,11 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = members.select("cid").distinct().join(classes.select("cid", "c_id", "c_th"), "cid")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
     texts = docs.join(wanted, (docs["th"] == wanted["c_th"]) & docs["doc_id"].eqNullSafe(wanted["c_id"])).select("cid", "text")
-    texts = settle_parquet(texts, "member-texts")
+    texts = settle(texts)
 
     links = settle(verify(members.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct(), classes, texts, width, miss, num, den))
     labels = components(links)
+    before = float("inf")
     for turn in range(1, STAR_ROUNDS + 1):
         owned = members.select("key", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
         sizes = owned.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(F.xxhash64("cid", "key", F.lit(turn)).alias("h"), "cid")).alias("lead"))
@@ -194,7 +195,9 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         left_over = mixed.agg(F.sum("k").alias("k"), F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs")).first()
         if not left_over["k"]:
             break
-        last = turn == STAR_ROUNDS or left_over["pairs"] <= 4 * left_over["k"]
+        # Another star pays as long as it halves what would have to be compared pair by pair.
+        last = turn == STAR_ROUNDS or left_over["pairs"] <= 4 * left_over["k"] or left_over["pairs"] > before / 2
+        before = left_over["pairs"]
         within = owned.join(mixed, "key")
         if last:
             x, y = (within.select("key", F.col("cid").alias(c), F.col("comp").alias(f"{c}_comp")) for c in "ab")
