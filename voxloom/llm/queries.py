@@ -7,6 +7,7 @@ from voxloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from voxloom.llm.langid import op8_language_id
 from voxloom.llm.line_dedup import OP2_SQL, op2_line_dedup
 from voxloom.llm.minhash import op4_minhash_near_dedup
+from voxloom.llm.mixing import op9_mixing
 from voxloom.llm.packing import op3_packing
 from voxloom.llm.quality import op1_quality_classifier
 from voxloom.llm.sharding import op5_sharding
@@ -23,6 +24,7 @@ def queries() -> dict:
         "op6_exact_dedup": op6_exact_dedup,
         "op7_ann_search": op7_ann_search,
         "op8_language_id": op8_language_id,
+        "op9_mixing": op9_mixing,
         "op10_token_counts": op10_token_counts,
     }
 
