@@ -7,7 +7,7 @@ threshold falls below the chosen miss probability.  Survivors are compared on th
 
 Buckets are worked off in stars: members against one leader, never all pairs.  What matters are the
 components, so members already linked need no more comparisons; buckets that still hold several
-components take further leaders, and at last all pairs of members of different components.  No
+components take further leaders, and what is then left is joined exactly on rare shingles.  No
 candidate is given up, and a group of copies of any size costs comparisons in proportion to it.
 """
 
@@ -32,6 +32,7 @@ SHINGLE_WORDS = 5
 SIM_NUM, SIM_DEN = 75, 100
 MISS = 1e-7
 STAR_ROUNDS = 5
+RARITY_SLOTS = 1 << 22
 
 _g = np.random.Generator(np.random.PCG64(7))
 _A = (_g.integers(0, 2**32, size=BANDS * ROWS, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -122,6 +123,42 @@ def _promising(least: tuple[int, ...]):
     return ok
 
 
+def rare_prefixes(own: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(cid, comp, i, s) for own(cid, comp, text): each class's rarest shingles, as many as must hold one of
+    any partner's.  Two sets of similarity num / den share more than that share of either, so among the
+    first n - ceil(n * num / den) + 1 of each, in one order of all shingles, there is a common one.  The
+    position i of the first common one in each set bounds what they can have in common.
+
+    Rarity comes from a table of counts by hash, whose size is fixed; the order only has to be the same
+    for all, so collisions cost time and no link.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch_texts(batch.column(0))
+            for lo, hi in chunks(texts):
+                slot, n = np.unique(np.concatenate(shingles(texts[lo:hi], width)) & U64(RARITY_SLOTS - 1), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n, pa.int64())], names=["slot", "n"])
+
+    got = own.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(RARITY_SLOTS, dtype=np.int64)
+    table[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    order = np.minimum(table, 2**31 - 1).astype(np.int32)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch_texts(batch.column(2))
+            out = []
+            for lo, hi in chunks(texts):
+                for s in shingles(texts[lo:hi], width):
+                    keep = len(s) - -(-len(s) * num // den) + 1
+                    out.append(s[np.lexsort((s, order[s & U64(RARITY_SLOTS - 1)]))[:keep]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["cid", "comp", "s"])
+
+    listed = own.select("cid", "comp", "text").mapInArrow(prefix, "cid long, comp long, s array<long>")
+    return listed.select("cid", "comp", F.posexplode("s").alias("i", "s"))
+
+
 def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, miss: float, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes that are linked: Bayesian pruning, then full sets."""
     c = classes.select("cid", "n", "bits")
@@ -200,13 +237,13 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         before = left_over["pairs"]
         within = owned.join(mixed, "key")
         if last:
-            x, y = (within.select("key", F.col("cid").alias(c), F.col("comp").alias(f"{c}_comp")) for c in "ab")
-            c = classes.select("cid", "n", "bits")
-            x = x.join(c.select(F.col("cid").alias("a"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits")), "a")
-            y = y.join(c.select(F.col("cid").alias("b"), F.col("n").alias("b_n"), F.col("bits").alias("b_bits")), "b")
-            fits = den * F.least("a_n", "b_n") >= num * F.greatest("a_n", "b_n")
+            # What is left is joined on rare shingles, which finds every link among these classes.
+            own = settle(within.select("cid", "comp").distinct().join(texts, "cid"))
+            rare = settle(rare_prefixes(own, width, num, den).join(classes.select("cid", "n", "bits"), "cid"))
+            x, y = (rare.select("s", F.col("i").alias(f"{c}_i"), F.col("cid").alias(c), F.col("comp").alias(f"{c}_comp"), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in "ab")
+            fits = (num + den) * F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= num * (F.col("a_n") + F.col("b_n"))
             # Pruned inside the join: only pairs of different components that may be similar are made.
-            pairs = x.join(y, (x["key"] == y["key"]) & (x["a_comp"] < y["b_comp"]) & fits & _promising(least_matches(num / den, miss))).select("a", "b").distinct()
+            pairs = x.join(y, (x["s"] == y["s"]) & (x["a_comp"] < y["b_comp"]) & fits & _promising(least_matches(num / den, miss))).select("a", "b").distinct()
             more = exact_links(settle(pairs), texts, width, num, den)
         else:
             pairs = within.where("comp <> l_comp").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()

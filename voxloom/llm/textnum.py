@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 2**63, size=256, dtype=np.uint64) | U64(1)
