@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from voxloom.plans import q_map, q_objects, q_view
+
+QUERIES: dict = q_map.QUERIES | q_view.QUERIES | q_objects.QUERIES
+ORACLES: dict[str, str] = q_map.ORACLES | q_view.ORACLES | q_objects.ORACLES
