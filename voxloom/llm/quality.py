@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import read_table
+from voxloom.llm.common import read_table, small_batches, trim_memory
 from voxloom.llm.textnum import U64, _BYTE, _LOWER, _P_INV, _pow, batch_texts, chunks, mix
 
 TRAIN_ROWS = 12_000  # bound of the training sample
 DIM_BITS = 20
 DIMS = 1 << DIM_BITS
 GRADES = 3
+LAYOUT = 0.5  # value of a layout feature
 STEMS = (4, 5, 7)  # bytes of a longer word that count as its stem
 _SHAPES = 6 * 24  # layout features, one-hot, after the hashed words
 _LETTER = np.zeros(256, dtype=bool)
@@ -87,7 +88,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ], axis=1).astype(np.int64) + np.arange(6) * 24 + DIMS
     owner = np.concatenate([owner, np.repeat(np.arange(n), 6)])
     ids = np.concatenate([ids, shape.ravel()])
-    value = np.concatenate([(np.maximum(distinct, 1) ** -0.25)[owner[: len(both)]], np.full(n * 6, 0.5)])
+    value = np.concatenate([(np.maximum(distinct, 1) ** -0.25)[owner[: len(both)]], np.full(n * 6, LAYOUT)])
     order = np.argsort(owner, kind="stable")
     return ids[order], value[order], np.concatenate(([0], np.cumsum(distinct + 6)))
 
@@ -109,16 +110,19 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(latent[:, None] - self.cut[None, :], -40, 40)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, epochs: int = 30, rate: float = 0.5, decay: float = 2e-6, batch: int = 64, balance: float = 0.2, min_held: int = 25, start: float = 0.03) -> Ordinal | None:
+def fit(rows: list[np.ndarray], scale: np.ndarray, grade: np.ndarray, epochs: int = 30, rate: float = 0.5, decay: float = 2e-6, batch: int = 64, balance: float = 0.2, min_held: int = 25, start: float = 0.03) -> Ordinal | None:
     """AdaGrad on the negative log likelihood.  None without rows.  Grades absent from the sample leave
     their thresholds where they started, in order."""
     if not len(rows):
         return None
-    held = np.bincount(np.concatenate([ids for ids, _ in rows]), minlength=DIMS + _SHAPES)
+    held = np.zeros(DIMS + _SHAPES, dtype=np.int32)
+    for ids in rows:
+        held[ids] += 1  # a row has each feature once
     common = np.flatnonzero(held >= min_held)  # rarer features would only be learned by heart
     place = np.full(DIMS + _SHAPES, -1, dtype=np.int32)
     place[common] = np.arange(len(common))
-    rows = [(p[p >= 0], val[p >= 0]) for p, val in ((place[ids], val) for ids, val in rows)]
+    rows = [p[p >= 0] for p in (place[ids] for ids in rows)]
+    words = int((common < DIMS).sum())  # features from here on are of the layout
     w, gw = np.zeros(len(common)), np.full(len(common), start)
     base, steps, gt = -1.5, np.zeros(GRADES - 1), np.full(GRADES, 1e-3)  # cuts: base, base + e^step, ...
     rng = np.random.default_rng(11)
@@ -129,9 +133,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, epochs: in
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), batch):
             take = order[lo : lo + batch]
-            ids = np.concatenate([rows[i][0] for i in take])
-            val = np.concatenate([rows[i][1] for i in take])
-            owner = np.repeat(np.arange(len(take)), [len(rows[i][0]) for i in take])
+            ids = np.concatenate([rows[i] for i in take])
+            owner = np.repeat(np.arange(len(take)), [len(rows[i]) for i in take])
+            val = np.where(ids < words, scale[take][owner], LAYOUT)
             f = np.bincount(owner, w[ids] * val, minlength=len(take))
             y = grade[take]
             cuts = base + np.concatenate(([0.0], np.cumsum(np.exp(steps[1:]))))
@@ -167,19 +171,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch_texts(batch.column(1))
-            ids, values = [], []
+            ids, scale = [], []
             for lo, hi in chunks(texts):
                 i, v, first = features(texts[lo:hi])
-                ids += [i[a:b].astype(np.int32) for a, b in zip(first[:-1], first[1:], strict=True)]
-                values += [v[a:b].astype(np.float32) for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.tobytes() for x in values], pa.binary())], names=["grade", "ids", "vals"])
+                ids += [i[a:b].astype(np.int32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                scale += [float(v[a]) for a in first[:-1]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(scale, pa.float64())], names=["grade", "ids", "scale"])
 
     known = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     joined = known.join(F.broadcast(chosen), F.col("d_id") == F.col("l_id")).select("grade", "text")
-    got = joined.mapInArrow(run, "grade int, ids binary, vals binary").limit(2 * rows).toArrow()
-    grades = np.array(got.column("grade").to_pylist(), dtype=np.int64)
-    data = [(np.frombuffer(i, dtype=np.int32), np.frombuffer(v, dtype=np.float32)) for i, v in zip(got.column("ids").to_pylist(), got.column("vals").to_pylist(), strict=True)]
-    return fit(data, grades)
+    with small_batches(docs.sparkSession):
+        got = joined.mapInArrow(run, "grade int, ids binary, scale double").limit(2 * rows).toArrow()
+    grades = got.column("grade").to_numpy().astype(np.int64)
+    model = fit([np.frombuffer(x.as_buffer(), dtype=np.int32) for x in got.column("ids")], got.column("scale").to_numpy(), grades)
+    del got
+    trim_memory()
+    return model
 
 
 def judge(df: DataFrame, model: Ordinal | None, keep: list[str], text_col: str = "text", least: float = 0.5, filtered: bool = False) -> DataFrame:
