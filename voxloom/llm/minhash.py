@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import read_table, settle, text_hash
+from voxloom.llm.common import read_table, settle, small_batches, text_hash, trim_memory
 from voxloom.llm.graph import components
 from voxloom.llm.textnum import U64, batch_texts, chunks, mix, shingles
 
@@ -32,7 +32,7 @@ SHINGLE_WORDS = 5
 SIM_NUM, SIM_DEN = 75, 100
 MISS = 1e-7
 STAR_ROUNDS = 5
-RARITY_SLOTS = 1 << 22
+RARITY_SLOTS = 1 << 20
 
 _g = np.random.Generator(np.random.PCG64(7))
 _A = (_g.integers(0, 2**32, size=BANDS * ROWS, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -88,6 +88,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
                 [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
                 names=["doc_id", "th", "digest", "n", "bits", "bands"],
             )
+            trim_memory()
 
     cols = df.select(F.col(id_col).cast("long"), text_hash(text_col), F.col(text_col).cast("string"))
     return cols.mapInArrow(run, "doc_id long, th long, digest binary, n long, bits array<long>, bands array<long>")
@@ -140,10 +141,10 @@ def rare_prefixes(own: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 slot, n = np.unique(np.concatenate(shingles(texts[lo:hi], width)) & U64(RARITY_SLOTS - 1), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n, pa.int64())], names=["slot", "n"])
 
-    got = own.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(RARITY_SLOTS, dtype=np.int64)
-    table[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    order = np.minimum(table, 2**31 - 1).astype(np.int32)
+    got = own.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    order = np.zeros(RARITY_SLOTS, dtype=np.int32)
+    order[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    del got
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +207,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id and belong to one component are all kept, or none.  Other columns of df are ignored.
     A pair of similarity 0.75 is a candidate with probability 1 - 7e-6, and above it more surely.
     """
-    base = settle(sketches(df, id_col, text_col, width).withColumn("rid", F.monotonically_increasing_id()))
+    with small_batches(df.sparkSession):
+        base = settle(sketches(df, id_col, text_col, width).withColumn("rid", F.monotonically_increasing_id()))
     full = base.where("n > 0")
     # Classes of equal sets; one row stands for each.  Copies fold before the shuffle.
     first = full.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("r")).select("r.rid")
@@ -239,7 +241,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if last:
             # What is left is joined on rare shingles, which finds every link among these classes.
             own = settle(within.select("cid", "comp").distinct().join(texts, "cid"))
-            rare = settle(rare_prefixes(own, width, num, den).join(classes.select("cid", "n", "bits"), "cid"))
+            with small_batches(df.sparkSession):
+                rare = settle(rare_prefixes(own, width, num, den).join(classes.select("cid", "n", "bits"), "cid"))
             x, y = (rare.select("s", F.col("i").alias(f"{c}_i"), F.col("cid").alias(c), F.col("comp").alias(f"{c}_comp"), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in "ab")
             fits = (num + den) * F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= num * (F.col("a_n") + F.col("b_n"))
             # Pruned inside the join: only pairs of different components that may be similar are made.
