@@ -94,8 +94,7 @@ def assign_shards(df: DataFrame, key: Column, tie: list[Column], shards: int = 8
     total = sum(counts.values())
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
     pieces = bounded_walk(counts, ring(shards, virtual_nodes, cells), quotas)
-    values = ", ".join(f"struct({c}, {a}L, {b}L, {s}, {t}L)" for c, a, b, s, t in pieces) or "struct(-1, 0L, 0L, 0, 0L)"
-    plan = df.sparkSession.sql(f"SELECT p.* FROM (SELECT explode(array({values})) AS p)").toDF("__cell", "__lo", "__hi", "shard", "__slot")
+    plan = df.sparkSession.createDataFrame(pieces, "__cell int, __lo long, __hi long, shard int, __slot long")
     ranked = placed.withColumn("__rank", F.row_number().over(W.partitionBy("__cell").orderBy(key, *tie)).cast("long") - 1)
     # The plan has at most one row for each cell and shard: bounded by the ring, so broadcast.
     joined = ranked.join(F.broadcast(plan), (ranked["__cell"] == plan["__cell"]) & (ranked["__rank"] >= plan["__lo"]) & (ranked["__rank"] < plan["__hi"]))
