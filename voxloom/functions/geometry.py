@@ -5,7 +5,7 @@ Matrices are lists of columns, row by row; quaternions are (w, x, y, z).  All in
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Mat = list[Column]
@@ -42,16 +42,35 @@ def quaternion_to_rotation(q: Mat) -> Mat:
 
 
 def slerp(a: Mat, b: Mat, t: Column) -> Mat:
-    """Spherical interpolation on the shorter arc; linear where the quaternions almost agree."""
-    d = a[0] * b[0] + a[1] * b[1] + a[2] * b[2] + a[3] * b[3]
+    """Spherical interpolation on the shorter arc; linear where the quaternions almost agree.
+
+    As one expression; with_slerp() computes the same in steps, which is much cheaper to plan.
+    """
+    wa, wb = _slerp_weights(a[0] * b[0] + a[1] * b[1] + a[2] * b[2] + a[3] * b[3], t)
+    return normalise_quaternion([wa * x + wb * y for x, y in zip(a, b, strict=True)])
+
+
+def _slerp_weights(d: Column, t: Column) -> tuple[Column, Column]:
     sign = F.when(d < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
     c = F.least(F.abs(d), F.lit(1.0))
     theta = F.acos(c)
     flat = c > 1 - 1e-9
     s = F.when(flat, F.lit(1.0)).otherwise(F.sin(theta))
-    wa = F.when(flat, 1 - t).otherwise(F.sin((1 - t) * theta) / s)
-    wb = F.when(flat, t).otherwise(F.sin(t * theta) / s) * sign
-    return normalise_quaternion([wa * x + wb * y for x, y in zip(a, b, strict=True)])
+    return F.when(flat, 1 - t).otherwise(F.sin((1 - t) * theta) / s), F.when(flat, t).otherwise(F.sin(t * theta) / s) * sign
+
+
+def with_slerp(df: DataFrame, euler_a: Mat, euler_b: Mat, t: Column, name: str = "q") -> DataFrame:
+    """df with name0..name3: the quaternion between two (roll, pitch, yaw).  Intermediate values are
+    columns of their own, so that none is written out again in each place that uses it."""
+    keep = df.columns
+    q = [*(x.alias(f"__a{i}") for i, x in enumerate(euler_to_quaternion(*euler_a))), *(x.alias(f"__b{i}") for i, x in enumerate(euler_to_quaternion(*euler_b)))]
+    one = df.select(*keep, t.alias("__t"), *q)
+    two = one.select("*", (F.col("__a0") * F.col("__b0") + F.col("__a1") * F.col("__b1") + F.col("__a2") * F.col("__b2") + F.col("__a3") * F.col("__b3")).alias("__d"))
+    wa, wb = _slerp_weights(F.col("__d"), F.col("__t"))
+    three = two.select("*", wa.alias("__wa"), wb.alias("__wb"))
+    four = three.select(*keep, *((F.col("__wa") * F.col(f"__a{i}") + F.col("__wb") * F.col(f"__b{i}")).alias(f"__q{i}") for i in range(4)))
+    five = four.select("*", F.sqrt(sum((F.col(f"__q{i}") * F.col(f"__q{i}") for i in range(4)), F.lit(0.0))).alias("__n"))
+    return five.select(*keep, *(F.when(F.col("__n") > 0, F.col(f"__q{i}") / F.col("__n")).otherwise(F.lit(1.0 if i == 0 else 0.0)).alias(f"{name}{i}") for i in range(4)))
 
 
 def lerp(a: Column, b: Column, t: Column) -> Column:

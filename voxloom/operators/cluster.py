@@ -23,29 +23,26 @@ LEAST_POINTS = 16  # a fixed value: smaller classes are never clustered
 
 
 def knn(points: DataFrame, group: list[str], item: str, xyz: list[str], k: int) -> DataFrame:
-    """(group..., a, b, d2, rank): the k nearest of each point inside its group, ties to the lower id."""
-    left = points.select(*group, F.col(item).alias("a"), *(F.col(c).alias(f"a_{c}") for c in xyz))
-    right = points.select(*group, F.col(item).alias("b"), *(F.col(c).alias(f"b_{c}") for c in xyz))
-    pairs = left.join(right, group).where("a <> b").withColumn("d2", dist2([F.col(f"a_{c}") for c in xyz], [F.col(f"b_{c}") for c in xyz]))
-    rank = F.row_number().over(W.partitionBy(*group, "a").orderBy("d2", "b"))
-    return pairs.select(*group, "a", "b", "d2", rank.alias("rank")).where(F.col("rank") <= k)
-
+    """(group..., a, b, d2, rank): the k nearest of each point inside its group, ties to the lower id.
 
-def knn_groups(points: DataFrame, group: list[str], item: str, xyz: list[str], k: int) -> DataFrame:
-    """As knn(), with one matrix for each group instead of a join."""
+    Squared distances in rows of a matrix, a block of it at a time; a join would make all pairs.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(item, ignore_index=True)
         x = pdf[xyz].to_numpy(dtype=float)
-        d = distances2(x)
-        np.fill_diagonal(d, np.inf)
         m = min(k, len(x) - 1)
-        at = np.argsort(d, axis=1, kind="stable")[:, :m]
+        at, near = np.zeros((len(x), m), dtype=int), np.zeros((len(x), m))
+        for lo in range(0, len(x), 512):  # so many rows of the matrix at a time
+            d = distances2(x[lo : lo + 512], x)
+            d[np.arange(len(d)), np.arange(lo, lo + len(d))] = np.inf
+            at[lo : lo + 512] = np.argsort(d, axis=1, kind="stable")[:, :m]
+            near[lo : lo + 512] = np.take_along_axis(d, at[lo : lo + 512], 1)
         ids = pdf[item].to_numpy()
         n = len(x)
         out = {g: np.repeat(pdf[g].iloc[0], n * m) for g in group}
-        out |= {"a": np.repeat(ids, m), "b": ids[at].ravel(), "d2": np.take_along_axis(d, at, 1).ravel(), "rank": np.tile(np.arange(1, m + 1), n)}
+        out |= {"a": np.repeat(ids, m), "b": ids[at].ravel(), "d2": near.ravel(), "rank": np.tile(np.arange(1, m + 1), n)}
         return pd.DataFrame(out)
 
     schema = ", ".join([*(f"{g} {kinds[g]}" for g in group), f"a {kinds[item]}", f"b {kinds[item]}", "d2 double", "rank int"])
@@ -59,7 +56,7 @@ def remove_outliers(points: DataFrame, group: list[str], item: str, xyz: list[st
     """
     if k < 1:
         return points
-    near = knn_groups(points, group, item, xyz, k).groupBy(*group, F.col("a").alias(item)).agg((F.sum(F.sqrt("d2")) / F.lit(k)).alias("__mean"))
+    near = knn(points, group, item, xyz, k).groupBy(*group, F.col("a").alias(item)).agg((F.sum(F.sqrt("d2")) / F.lit(k)).alias("__mean"))
     sigma = F.stddev_pop("__mean") if population else F.stddev_samp("__mean")
     bound = near.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), (F.avg("__mean") + F.lit(times) * sigma).alias("__bound"))
     judged = points.join(near, [*group, item], "left").join(bound, group, "left")
@@ -89,10 +86,11 @@ def radius_components(points: DataFrame, group: list[str], item: str, xyz: list[
 # --- one group at a time --------------------------------------------------------------------------
 
 
-def distances2(x: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(x), len(x)))
-    for c in x.T:
-        out += (c[:, None] - c[None, :]) ** 2
+def distances2(x: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
+    y = x if y is None else y
+    out = np.zeros((len(x), len(y)))
+    for a, b in zip(x.T, y.T, strict=True):
+        out += (a[:, None] - b[None, :]) ** 2
     return out
 
 

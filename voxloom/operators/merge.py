@@ -15,10 +15,9 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from voxloom.operators.overlap import containment, shared, sizes
-from voxloom.operators.tables import components, top1
+from voxloom.operators.tables import components, dense_ids, settle, top1
 
 #: The shipped thresholds by level, 0.50 to 0.20.
 BARS = (0.50, 0.47, 0.44, 0.41, 0.38, 0.35, 0.32, 0.29, 0.26, 0.23, 0.20)
@@ -227,7 +226,7 @@ def consolidate(props: DataFrame, cell: list[str], p: Merging = Merging()) -> Da
 
     key = F.col("cls") if p.same_class and p.overlap else F.lit(0)
     out = props.select("frame", "prop", "cls", "inst", *cell).distinct().groupBy(key.alias("__part")).applyInPandas(run, "cls int, support long, n_cells long, birth_frame long, birth_prop long, promoted boolean")
-    return out.withColumn("comp", F.row_number().over(W.orderBy("birth_frame", "birth_prop", "cls")) - 1)
+    return dense_ids(settle(out), "birth_frame", [F.col("birth_prop"), F.col("cls")], "comp")
 
 
 def consolidate_members(props: DataFrame, cell: list[str], p: Merging = Merging()) -> DataFrame:  # noqa: B008
@@ -243,7 +242,7 @@ def consolidate_members(props: DataFrame, cell: list[str], p: Merging = Merging(
     key = F.col("cls") if p.same_class and p.overlap else F.lit(0)
     rows = props.select("run", "frame", "prop", "cls", "inst", *cell).distinct()
     out = rows.groupBy("run", key.alias("__part")).applyInPandas(run, f"run {kind}, cls int, support long, n_cells long, birth_frame long, birth_prop long, promoted boolean, cells array<array<int>>")
-    return out.withColumn("comp", (F.row_number().over(W.orderBy("run", "birth_frame", "birth_prop", "cls")) - 1).cast("long"))
+    return dense_ids(settle(out), "birth_frame", [F.col("run"), F.col("birth_prop"), F.col("cls")], "comp")
 
 
 # --- relational forms -----------------------------------------------------------------------------

@@ -65,8 +65,8 @@ class Pipeline:
         nearest scan.  Others are left out.  Frames are numbered in order of time."""
         poses = scans.select("run", "t", *POSE).distinct()
         b = asof.bracket(images, poses, "run", "t", "image_id", POSE).where("status = 'OK'")
-        q = G.slerp(*(G.euler_to_quaternion(*(F.col(f"{c}{k}") for c in POSE[3:])) for k in (0, 1)), F.col("alpha"))
-        posed = b.select("run", F.col("q_id").alias("image_id"), "t", *(G.lerp(F.col(f"{c}0"), F.col(f"{c}1"), F.col("alpha")).alias(f"p_{c}") for c in POSE[:3]), *(x.alias(f"q{i}") for i, x in enumerate(q)))
+        turned = G.with_slerp(b, *([F.col(f"{c}{k}") for c in POSE[3:]] for k in (0, 1)), F.col("alpha"))
+        posed = turned.select("run", F.col("q_id").alias("image_id"), "t", *(G.lerp(F.col(f"{c}0"), F.col(f"{c}1"), F.col("alpha")).alias(f"p_{c}") for c in POSE[:3]), *(f"q{i}" for i in range(4)))
         near = asof.nearest(images, poses.withColumn("scan_t", F.col("t")), "run", "t", "image_id", "scan_t").select("run", F.col("q_id").alias("image_id"), F.col("s_t").alias("scan_t"))
         out = posed.join(near, ["run", "image_id"])
         return out.withColumn("frame", F.row_number().over(W.partitionBy("run").orderBy("t", "image_id")))

@@ -205,8 +205,7 @@ def slerp_pose(spark, sf):
     m = moments(spark, sf).withColumn("t", F.col("us")).withColumn("yaw", F.col("cents") / 10000.0)
     b = asof.bracket(m.where("event_type = 'purchase'"), m.where("event_type = 'view'"), "user_id", "t", "event_id", ["yaw"]).where("status = 'OK' AND t1 > t")
     zero = F.lit(0.0)
-    q = G.slerp(G.euler_to_quaternion(zero, zero, F.col("yaw0")), G.euler_to_quaternion(zero, zero, F.col("yaw1")), F.col("alpha"))
+    p = G.with_slerp(b.select(F.col("q_id").alias("event_id"), "yaw0", "yaw1", "alpha"), [zero, zero, F.col("yaw0")], [zero, zero, F.col("yaw1")], F.col("alpha"))
     r = G.quaternion_to_rotation([F.col(f"q{i}") for i in range(4)])
-    p = b.select(F.col("q_id").alias("event_id"), *(x.alias(f"q{i}") for i, x in enumerate(q)))
     moved = G.apply(r, [F.lit(1.0), zero, zero], [F.lit(2.0), F.lit(3.0), zero])
     return p.select("event_id", (F.round(r[0], 4) + 0.0).alias("c"), (F.round(r[3], 4) + 0.0).alias("s"), (F.round(moved[0], 4) + 0.0).alias("px"))

@@ -40,7 +40,7 @@ NEAR_SQL = f"""{VEC_SQL}, near AS (
 @query(f"WITH {NEAR_SQL} SELECT label, a, b, round(d2, 9) AS d2, rank::INT AS rank FROM near WHERE rank <= 4")
 def knn_topk(spark, sf):
     """The four nearest vectors of the same label."""
-    return cluster.knn_groups(vectors(spark, sf), ["label"], "vec_id", list("xyz"), 4).withColumn("d2", F.round("d2", 9))
+    return cluster.knn(vectors(spark, sf), ["label"], "vec_id", list("xyz"), 4).withColumn("d2", F.round("d2", 9))
 
 
 @query(f"""WITH {NEAR_SQL}, m AS (SELECT label, a AS vec_id, sum(sqrt(d2)) / 8 AS mean FROM near WHERE rank <= 8 GROUP BY ALL),
