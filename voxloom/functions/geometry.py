@@ -123,3 +123,26 @@ def pixel(m: Mat, p: Mat) -> tuple[Column, Column, Column]:
 def splat_radius(depth: Column, scale: float, least: int, most: int) -> Column:
     """Pixels that a point of a given extent covers at this depth, within bounds."""
     return F.greatest(F.lit(least), F.least(F.lit(most), F.round(F.lit(scale) / depth))).cast("int")
+
+
+def angle_axis(r: Mat) -> tuple[Column, Mat]:
+    """(angle, unit axis) of a rotation; no turn has the axis (1, 0, 0)."""
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (r[0] + r[4] + r[8] - 1) / 2)))
+    axis = [r[7] - r[5], r[2] - r[6], r[3] - r[1]]
+    n = F.sqrt(axis[0] * axis[0] + axis[1] * axis[1] + axis[2] * axis[2])
+    return angle, [F.when(n > 1e-12, x / n).otherwise(F.lit(1.0 if i == 0 else 0.0)) for i, x in enumerate(axis)]
+
+
+def rotation_of(angle: Column, axis: Mat) -> Mat:
+    """The rotation by an angle about a unit axis."""
+    c, s = F.cos(angle), F.sin(angle)
+    x, y, z = axis
+    d = 1 - c
+    return [c + x * x * d, x * y * d - z * s, x * z * d + y * s, y * x * d + z * s, c + y * y * d, y * z * d - x * s, z * x * d - y * s, z * y * d + x * s, c + z * z * d]
+
+
+def adjoint(r: Mat, t: Mat) -> Mat:
+    """The 6x6 adjoint [[R, [t]R], [0, R]] of a transform, row by row."""
+    cross = [F.lit(0.0), -t[2], t[1], t[2], F.lit(0.0), -t[0], -t[1], t[0], F.lit(0.0)]
+    tr, zero = mat_mul(cross, r), [F.lit(0.0)] * 3
+    return [x for i in range(3) for x in (*r[3 * i : 3 * i + 3], *tr[3 * i : 3 * i + 3])] + [x for i in range(3) for x in (*zero, *r[3 * i : 3 * i + 3])]

@@ -75,3 +75,25 @@ def largest_instance(pixels: DataFrame, frame: list[str], least: int) -> DataFra
     n = pixels.where("instance >= 0").groupBy(*frame, "instance").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("v").alias("v0"), F.max("v").alias("v1"))
     rank = F.row_number().over(W.partitionBy(*frame).orderBy(F.desc("n"), "instance"))
     return n.where(F.col("n") >= least).withColumn("__r", rank).where("__r = 1").drop("__r")
+
+
+def read_signs(requests: DataFrame, detector, key: list[str], image: str) -> DataFrame:
+    """(key..., ok, text): what a detector reads in each image.
+
+    detector(image) returns [(content, direction), ...] or raises; a failure or an empty answer has
+    ok = false.  Pairs are joined as 'content: direction; ...'.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for x in pdf[image]:
+                try:
+                    text = "; ".join(f"{c}: {d}" for c, d in detector(x) if c or d)
+                except Exception:  # noqa: BLE001 the detector is foreign code; its failure is a result
+                    text = ""
+                rows.append((bool(text), text))
+            yield pdf[key].assign(ok=[a for a, _ in rows], text=[b for _, b in rows])
+
+    return requests.select(*key, image).mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in key), "ok boolean", "text string"]))

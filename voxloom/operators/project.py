@@ -98,3 +98,16 @@ def neighbour_pixels(rows: DataFrame, view: list[str], u: str, v: str) -> DataFr
 def ranked_by_depth(points: DataFrame, view: list[str], u: str, v: str, depth: str, order: str) -> DataFrame:
     """points with their place from the front at their pixel."""
     return points.withColumn("place", F.row_number().over(W.partitionBy(*view, u, v).orderBy(depth, order)))
+
+
+def mature(points: DataFrame, xyz: list[str], edge: float = 1.26, least: int = 200) -> DataFrame:
+    """Points in coarse cells that hold at least `least` of them."""
+    names = [f"__m{i}" for i in range(len(xyz))]
+    keyed = points.select("*", *(cell(F.col(c), edge).alias(n) for n, c in zip(names, xyz, strict=True)))
+    full = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least).drop("__n")
+    return keyed.join(full, names, "left_semi").drop(*names)
+
+
+def frustum(points: DataFrame, u: str, v: str, depth: str, width: int, height: int, near: float, far: float) -> DataFrame:
+    """Points whose pixel is on the raster and whose depth is between near and far, both included."""
+    return points.where((F.col(u) >= 0) & (F.col(u) < width) & (F.col(v) >= 0) & (F.col(v) < height) & (F.col(depth) >= near) & (F.col(depth) <= far))
