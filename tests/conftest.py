@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+import voxloom
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -11,5 +13,6 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    voxloom.ship(s)
     yield s
     s.stop()
