@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from voxloom import ship
 from voxloom.llm.common import read_table, semi_rows, shared_dir
 from voxloom.llm.exact_dedup import drop_exact_copies
 from voxloom.llm.minhash import near_components
@@ -15,28 +16,33 @@ from voxloom.llm.quality import judge, train
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the top grade is a half or more."""
+    """Documents whose probability of the top grade is 0.7 or more."""
+    ship(spark)
     return judge(docs, train(docs, read_table(spark, sf_dir, "labels")), docs.columns, filtered=True)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    ship(spark)
     return drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
+    ship(spark)
     found = near_components(docs).where("kept").selectExpr("doc_id AS id", "th")
     return semi_rows(docs, found, "doc_id", "text")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that sources, languages and topics have their target weights."""
+    ship(spark)
     return mix(docs).where("__drawn").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All tokens of all documents left, in sequences of 2048."""
+    ship(spark)
     return pack(pieces(docs, default_paths()))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from voxloom.llm.common import read_table, small_batches, trim_memory
 from voxloom.llm.textnum import U64, _BYTE, _LOWER, _P_INV, _pow, batch_texts, chunks, mix
 
-TRAIN_ROWS = 12_000  # bound of the training sample
+TRAIN_ROWS = 24_000  # bound of the training sample
 DIM_BITS = 20
 DIMS = 1 << DIM_BITS
 GRADES = 3
@@ -110,7 +110,7 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(latent[:, None] - self.cut[None, :], -40, 40)))
 
 
-def fit(rows: list[np.ndarray], scale: np.ndarray, grade: np.ndarray, epochs: int = 30, rate: float = 0.5, decay: float = 2e-6, batch: int = 64, balance: float = 0.2, min_held: int = 25, start: float = 0.03) -> Ordinal | None:
+def fit(rows: list[np.ndarray], scale: np.ndarray, grade: np.ndarray, epochs: int = 45, rate: float = 0.5, decay: float = 2e-6, batch: int = 64, balance: float = 0.2, min_held: int = 25, start: float = 0.03) -> Ordinal | None:
     """AdaGrad on the negative log likelihood.  None without rows.  Grades absent from the sample leave
     their thresholds where they started, in order."""
     if not len(rows):
@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     return model
 
 
-def judge(df: DataFrame, model: Ordinal | None, keep: list[str], text_col: str = "text", least: float = 0.5, filtered: bool = False) -> DataFrame:
+def judge(df: DataFrame, model: Ordinal | None, keep: list[str], text_col: str = "text", least: float = 0.7, filtered: bool = False) -> DataFrame:
     """Columns `keep`, then expected_grade, p_sound, p_clean and selected; or, with `filtered`, the
     columns `keep` of the selected rows only.
 
