@@ -46,6 +46,17 @@ def test_query(spark, duck, name):
         assert got.count() >= 0 and got.columns
 
 
+#: Spark's and DuckDB's names of the types that queries return.
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+def test_types(spark, duck):
+    for name, sql in ORACLES.items():
+        if not name.startswith("stream_"):
+            want = {r[0]: r[1] for r in duck.sql(f"DESCRIBE {sql}").fetchall()}
+            assert {c: TYPES.get(t, t) for c, t in QUERIES[name](spark, SF).dtypes} == want, name
+
+
 def test_no_row_filter_by_id():
     """Oracles read whole tables: no sampling, no limits."""
     for sql in ORACLES.values():

@@ -227,8 +227,8 @@ def test_components_by_stream_and_batch(spark):
 
 def test_ids_follow_arrival(spark):
     df = spark.createDataFrame([(1, 5, 1.0), (2, 1, 2.0), (1, 9, 3.0), (3, 1, 4.0), (2, 0, 0.0)], "c int, at int, v double")
-    m = fuse.fuse(df, ["c"], ["v"], [F.col("at"), F.col("c")], F.floor(F.col("at") / 4))
-    assert {r["c"]: (r["gidx"], r["n"]) for r in m.collect()} == {2: (0, 2), 3: (1, 1), 1: (2, 2)}
+    m = fuse.fuse(df, ["c"], ["v"], F.col("at").cast("long"), 2)
+    assert {r["c"]: (r["gidx"], r["n"]) for r in m.collect()} == {2: (0, 2), 3: (1, 1), 1: (2, 2)}  # 2 at 0, 3 at 1, 1 at 5
 
 
 def test_votes(spark):

@@ -1,7 +1,8 @@
 """Joins on time: bracket and interpolate, nearest, rings, monotonic filters and replay merges.
 
-One shuffle by run and one sort by time: both inputs are united and each query row looks at its
-neighbours of the other kind through windows, so nothing is compared with everything.
+One shuffle by run: both inputs are united and each query row looks at its neighbours of the other kind
+through running windows, backwards in order of time and forwards in the reverse order.  (A frame that
+ends at the last row would be computed anew for each row, in quadratic time.)
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def bracket(queries: DataFrame, samples: DataFrame, run: str, t: str, q_id: str,
     all_ = _united(queries, samples, run, t, q_id, values)
     packed = F.when(F.col("s").isNotNull(), F.struct(F.col("t").alias("at"), *values))
     back = W.partitionBy(run).orderBy("t").rangeBetween(W.unboundedPreceding, -1)
-    ahead = W.partitionBy(run).orderBy("t").rangeBetween(0, W.unboundedFollowing)
+    ahead = W.partitionBy(run).orderBy(F.col("t").desc()).rangeBetween(W.unboundedPreceding, 0)
     every = W.partitionBy(run)
     w = all_.withColumn("prev", F.max(packed).over(back)).withColumn("next", F.min(packed).over(ahead)).withColumn("__n", F.count("s").over(every)).where("q_id IS NOT NULL")
     exact = F.col("next.at") == F.col("t")
@@ -54,7 +55,7 @@ def nearest(queries: DataFrame, samples: DataFrame, run: str, t: str, q_id: str,
     time the one with the smallest id.  Queries without samples have nulls."""
     all_ = _united(queries, samples, run, t, q_id, [s_id])
     back = W.partitionBy(run).orderBy("t").rangeBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(run).orderBy("t").rangeBetween(0, W.unboundedFollowing)
+    ahead = W.partitionBy(run).orderBy(F.col("t").desc()).rangeBetween(W.unboundedPreceding, 0)
     seen = F.when(F.col("s").isNotNull(), F.struct(F.col("t").alias("at"), (-F.col(s_id)).alias("neg")))
     later = F.when(F.col("s").isNotNull(), F.struct(F.col("t").alias("at"), F.col(s_id).alias("id")))
     w = all_.withColumn("p", F.max(seen).over(back)).withColumn("n", F.min(later).over(ahead)).where("q_id IS NOT NULL")

@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from voxloom.operators.tables import dense_ids
+from voxloom.operators.tables import dense_ids, settle
 
 
-def fuse(points: DataFrame, cell: list[str], sums: list[str], order: list[Column], bucket: Column) -> DataFrame:
+def fuse(points: DataFrame, cell: list[str], sums: list[str], arrival: Column, bucket_bits: int) -> DataFrame:
     """One row for each cell: n, the sum of each column of `sums`, and gidx in order of first arrival.
 
-    One shuffle of pre-aggregated rows by cell, and one of the cells by `bucket` (the leading part of
-    the arrival order) for the numbering.  Means are sums over n.
+    `arrival` is a bigint that grows with the order of arrival; cells that arrive together are ordered by
+    their keys.  The points are scanned and folded once, with hash aggregation; the cells, far fewer, are
+    kept and then numbered inside buckets of arrival >> bucket_bits.  Means are sums over n.
     """
-    first = F.min(F.struct(bucket.alias("__bucket"), *(o.alias(f"__o{i}") for i, o in enumerate(order)))).alias("__first")
-    cells = points.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(f"sum_{c}") for c in sums), first)
-    keyed = cells.withColumn("__bucket", F.col("__first.__bucket"))
+    cells = points.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(f"sum_{c}") for c in sums), F.min(arrival).alias("__first"))
+    keyed = settle(cells.withColumn("__bucket", F.shiftright("__first", bucket_bits)))
     return dense_ids(keyed, "__bucket", [F.col("__first"), *(F.col(c) for c in cell)]).drop("__first", "__bucket")
 
 

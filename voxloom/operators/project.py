@@ -40,8 +40,10 @@ def front_shell(points: DataFrame, view: list[str], u: str, v: str, depth: str,
 
 
 def pixel_points(points: DataFrame, view: list[str], u: str, v: str, depth: str, order: str, item: str) -> DataFrame:
-    """(view..., u, v, item): the nearest point of each pixel, the first in order of equals."""
-    return points.groupBy(*view, u, v).agg(F.min(F.struct(F.col(depth).alias("d"), F.col(order).alias("o"), F.col(item).alias("i"))).alias("m")).select(*view, u, v, F.col("m.i").alias(item))
+    """(view..., u, v, n, z, item): of each pixel its points, the least depth, and the nearest point, the
+    first in order of equals."""
+    near = F.min(F.struct(F.col(depth).alias("d"), F.col(order).alias("o"), F.col(item).alias("i"))).alias("m")
+    return points.groupBy(*view, u, v).agg(F.count(F.lit(1)).alias("n"), near).select(*view, u, v, "n", F.col("m.d").alias("z"), F.col("m.i").alias(item))
 
 
 def reject_dynamic(points: DataFrame, view: list[str], u: str, v: str, pixels: DataFrame, dynamic: list[str]) -> DataFrame:

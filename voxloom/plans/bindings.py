@@ -31,8 +31,13 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The arrival order of points after the day: all columns, as no shorter key is unique.
-ARRIVAL = ["ok", "ln", "pk", "sk", "q", "price", "disc", "tax", "flag", "status"]
+#: Order of arrival as one number: day, order, line.  It is not unique; rows that share it arrive together.
+ARRIVAL_BITS = 44
+
+
+def arrival() -> Column:
+    return F.shiftleft(F.col("day").cast("long"), ARRIVAL_BITS) + F.col("ok") * 8 + F.col("ln").cast("long")
+
 
 POINTS_SQL = """
 pts AS (
@@ -46,7 +51,7 @@ pts AS (
 )
 """
 
-SEQ_SQL = "seq AS (SELECT *, row_number() OVER (ORDER BY day, ok, ln, pk, sk, q, price, disc, tax, flag, status) AS seq FROM pts)"
+SEQ_SQL = "seq AS (SELECT *, day::BIGINT * 17592186044416 + ok * 8 + ln AS seq FROM pts)"
 
 
 def moments(spark: SparkSession, sf_dir: str) -> DataFrame:

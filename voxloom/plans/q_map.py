@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import geometry as G
 from voxloom.operators import asof, fuse, tables, votes
-from voxloom.plans.bindings import ARRIVAL, MOMENTS_SQL, POINTS_SQL, SEQ_SQL, moments, points, table
+from voxloom.plans.bindings import ARRIVAL_BITS, MOMENTS_SQL, POINTS_SQL, SEQ_SQL, arrival, moments, points, table
 
 CELL = ["cx", "cy", "cz"]
 QUERIES: dict = {}
@@ -32,12 +32,12 @@ def scan_filter_zero(spark, sf):
 
 @query(f"""WITH {POINTS_SQL}, {SEQ_SQL}
 SELECT cx, cy, cz, count(*)::BIGINT AS n, sum(q)::DOUBLE / count(*) AS mean_q, sum(price)::DOUBLE / count(*) AS mean_price,
-       sum(disc)::DOUBLE / count(*) AS mean_disc, (row_number() OVER (ORDER BY min(seq)) - 1)::BIGINT AS gidx
+       sum(disc)::DOUBLE / count(*) AS mean_disc, (row_number() OVER (ORDER BY min(seq), cx, cy, cz) - 1)::BIGINT AS gidx
 FROM seq GROUP BY cx, cy, cz""")
 def voxel_fuse(spark, sf):
     """Occupied cells with their means and ids in order of first arrival."""
     p = points(spark, sf)
-    m = fuse.fuse(p, CELL, ["q", "price", "disc"], [F.col(c) for c in ARRIVAL], F.col("day"))
+    m = fuse.fuse(p, CELL, ["q", "price", "disc"], arrival(), ARRIVAL_BITS)
     return m.select(*CELL, "n", (F.col("sum_q") / F.col("n")).alias("mean_q"), (F.col("sum_price") / F.col("n")).alias("mean_price"), (F.col("sum_disc") / F.col("n")).alias("mean_disc"), F.col("gidx").cast("long").alias("gidx"))
 
 

@@ -60,9 +60,8 @@ SELECT view, u, v, count(*)::BIGINT AS n_visible, min(depth) AS z, min(pk) FILTE
 FROM (SELECT *, min(depth) OVER (PARTITION BY view, u, v) AS zz FROM vis) GROUP BY view, u, v""")
 def project_zbuffer(spark, sf):
     """Visible points of each pixel and the nearest of them."""
-    v = visible_points(spark, sf)
-    near = project.pixel_points(v, ["view"], "u", "v", "depth", "pk", "pk")
-    return v.groupBy("view", "u", "v").agg(F.count(F.lit(1)).alias("n_visible"), F.min("depth").alias("z")).join(near, ["view", "u", "v"]).withColumnRenamed("pk", "nearest")
+    near = project.pixel_points(visible_points(spark, sf), ["view"], "u", "v", "depth", "pk", "pk")
+    return near.withColumnsRenamed({"n": "n_visible", "pk": "nearest"})
 
 
 @query(f"""WITH {PROJ_SQL} SELECT view, flag, count(*)::BIGINT AS n FROM shell GROUP BY view, flag""")
@@ -166,11 +165,13 @@ ero AS (SELECT d.u, d.v FROM dil d, (SELECT unnest(range(-1, 2)) AS du), (SELECT
 
 
 @query(f"""WITH {MASKS_SQL}
-SELECT 'and' AS op, count(*)::BIGINT AS n, sum(u)::BIGINT AS su, sum(v)::BIGINT AS sv FROM (SELECT * FROM a INTERSECT SELECT * FROM b)
-UNION ALL SELECT 'or', count(*), sum(u), sum(v) FROM (SELECT * FROM a UNION SELECT * FROM b)
-UNION ALL SELECT 'minus', count(*), sum(u), sum(v) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
-UNION ALL SELECT 'dilate', count(*), sum(u), sum(v) FROM dil
-UNION ALL SELECT 'erode', count(*), sum(u), sum(v) FROM ero""")
+SELECT op, count(*)::BIGINT AS n, sum(u)::BIGINT AS su, sum(v)::BIGINT AS sv FROM (
+  SELECT 'and' AS op, * FROM (SELECT * FROM a INTERSECT SELECT * FROM b)
+  UNION ALL SELECT 'or', * FROM (SELECT * FROM a UNION SELECT * FROM b)
+  UNION ALL SELECT 'minus', * FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
+  UNION ALL SELECT 'dilate', * FROM dil
+  UNION ALL SELECT 'erode', * FROM ero
+) GROUP BY op""")
 def mask_set_ops(spark, sf):
     """Set operations and morphology of pixel masks."""
     p = table(spark, sf, "part")
