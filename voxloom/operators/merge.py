@@ -250,6 +250,7 @@ def consolidate_members(props: DataFrame, cell: list[str], p: Merging = Merging(
 
 def containment_edges(sets: DataFrame, set_id: str, on: list[str], bar: float) -> DataFrame:
     """(a, b, shared, containment) with a < b for pairs of sets at or above the bar."""
+    sets = settle(sets.select(set_id, *on).distinct())
     pairs = shared(sets.withColumnRenamed(set_id, "a"), sets.withColumnRenamed(set_id, "b"), "a", "b", on).where("a < b")
     n = sizes(sets, set_id, on, "size")
     both = pairs.join(n.select(F.col(set_id).alias("a"), F.col("size").alias("sa")), "a").join(n.select(F.col(set_id).alias("b"), F.col("size").alias("sb")), "b")
@@ -279,8 +280,10 @@ def reroot(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def region_scores(edges: DataFrame, weights: DataFrame, decay: Column) -> DataFrame:
     """(a, b, region): the affinity of a to b and, decayed, to b's other neighbours, weighted by size.
 
-    edges(lo, hi, adj), weights(node, w).  Both directions of each edge.
+    edges(lo, hi, adj), weights(node, w).  Both directions of each edge.  The edges are read several
+    times, so they are kept first.
     """
+    edges = settle(edges.select("lo", "hi", "adj"))
     both = edges.select(F.col("lo").alias("a"), F.col("hi").alias("b"), "adj").unionByName(edges.select(F.col("hi").alias("a"), F.col("lo").alias("b"), "adj"))
     w = weights.select(F.col("node").alias("k"), F.greatest(F.lit(1), F.col("w")).cast("double").alias("w"))
     own = both.select("a", "b", F.col("b").alias("k"), F.lit(1.0).alias("f"))

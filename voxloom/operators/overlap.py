@@ -20,17 +20,16 @@ def sizes(members: DataFrame, set_id: str, on: list[str], name: str) -> DataFram
     return members.select(set_id, *on).distinct().groupBy(set_id).agg(F.count(F.lit(1)).alias(name))
 
 
-def histograms(members: DataFrame, set_id: str, cls: str) -> DataFrame:
-    """(set, class, n)."""
-    return members.groupBy(set_id, cls).agg(F.count(F.lit(1)).alias("n"))
+def histograms(members: DataFrame, set_id: str, cls: str, name: str) -> DataFrame:
+    """(set, name): the classes of each set's members with their counts, as a map as small as there are
+    classes."""
+    n = members.groupBy(set_id, cls).agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy(set_id).agg(F.map_from_entries(F.collect_list(F.struct(cls, "n"))).alias(name))
 
 
-def histogram_dots(a: DataFrame, b: DataFrame, pairs: DataFrame, a_id: str, b_id: str, cls: str) -> DataFrame:
-    """pairs with ab, aa and bb: dot products of the class histograms of both sides."""
-    na = a.groupBy(a_id).agg(F.sum(F.col("n") * F.col("n")).alias("aa"))
-    nb = b.groupBy(b_id).agg(F.sum(F.col("n") * F.col("n")).alias("bb"))
-    ab = pairs.select(a_id, b_id).join(a.select(a_id, cls, F.col("n").alias("x")), a_id).join(b.select(b_id, cls, F.col("n").alias("y")), [b_id, cls]).groupBy(a_id, b_id).agg(F.sum(F.col("x") * F.col("y")).alias("ab"))
-    return pairs.join(na, a_id).join(nb, b_id).join(ab, [a_id, b_id], "left").withColumn("ab", F.coalesce("ab", F.lit(0)))
+def map_dot(a: Column, b: Column) -> Column:
+    """The sum of products of two maps' values at the keys they share."""
+    return F.aggregate(F.map_entries(a), F.lit(0).cast("long"), lambda s, e: s + e["value"] * F.coalesce(F.element_at(b, e["key"]), F.lit(0)))
 
 
 def affinity(shared_: Column, size: Column, ab: Column, aa: Column, bb: Column) -> Column:

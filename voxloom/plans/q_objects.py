@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import ids as I
 from voxloom.functions import timeconv as T
-from voxloom.operators import cluster, grow, merge, objects, panoptic, tally
+from voxloom.operators import cluster, grow, merge, objects, panoptic, tables, tally
 from voxloom.plans.bindings import MOMENTS_SQL, POINTS_SQL, moments, points, table
 from voxloom.plans.q_view import SETS_SQL, set_tables
 
@@ -138,7 +138,7 @@ r AS (SELECT t.a, t.b, sum(f * (k + 1) * coalesce(bo.adj, 0)) / sum(f * (k + 1))
 SELECT r.a, r.b, round(adj, 6) AS adj, round(region, 6) AS region FROM r JOIN bo USING (a, b)""")
 def edge_affinity(spark, sf):
     """Affinities of pairs and of their neighbourhoods."""
-    e = merge.edge_sums(deposits(spark, sf))
+    e = tables.settle(merge.edge_sums(deposits(spark, sf)))
     nodes = e.select(F.col("lo").alias("node")).union(e.select("hi")).distinct().withColumn("w", F.col("node") + 1)
     r = merge.region_scores(e, nodes, F.lit(0.3))
     both = e.select(F.col("lo").alias("a"), F.col("hi").alias("b"), "adj").unionByName(e.select(F.col("hi").alias("a"), F.col("lo").alias("b"), "adj"))
@@ -161,7 +161,7 @@ WHERE rk = 1 AND support < (SELECT avg(support) FROM sp)""")
 def small_comp_absorb(spark, sf):
     """Components of little support with the neighbour that takes them in."""
     d = deposits(spark, sf)
-    nodes = d.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("support"))
+    nodes = tables.settle(d.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("support")))
     mean = nodes.agg(F.avg("support").alias("m"))
     small = nodes.crossJoin(F.broadcast(mean)).where("support < m").select("node", "support")  # one row
     e = merge.edge_sums(d).withColumn("adj", F.round("adj", 9))

@@ -140,8 +140,10 @@ def overlap_affinity(spark, sf):
     """Shared elements times class cosine of segments and proposals."""
     seg, prop = set_tables(spark, sf)
     pairs = overlap.shared(seg, prop, "seg", "prop", ["e"]).join(overlap.sizes(seg, "seg", ["e"], "size"), "seg")
-    dots = overlap.histogram_dots(overlap.histograms(seg, "seg", "cls"), overlap.histograms(prop, "prop", "cls"), pairs, "seg", "prop", "cls")
-    return dots.select("seg", "prop", "shared", F.round(overlap.affinity(*(F.col(c) for c in ("shared", "size", "ab", "aa", "bb"))), 6).alias("affinity"))
+    both = pairs.join(overlap.histograms(seg, "seg", "cls", "hs"), "seg").join(overlap.histograms(prop, "prop", "cls", "hp"), "prop")
+    hs, hp = F.col("hs"), F.col("hp")
+    value = overlap.affinity(F.col("shared"), F.col("size"), overlap.map_dot(hs, hp), overlap.map_dot(hs, hs), overlap.map_dot(hp, hp))
+    return both.select("seg", "prop", "shared", F.round(value, 6).alias("affinity"))
 
 
 @query("""WITH cl AS (SELECT l_partkey AS e, l_suppkey AS o, count(*) AS support FROM lineitem GROUP BY ALL),
