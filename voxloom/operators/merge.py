@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from voxloom.operators.overlap import containment, shared, sizes
 from voxloom.operators.tables import components, dense_ids, settle, top1
 
-#: The shipped thresholds by level, 0.50 to 0.20.
-BARS = (0.50, 0.47, 0.44, 0.41, 0.38, 0.35, 0.32, 0.29, 0.26, 0.23, 0.20)
+#: The shipped thresholds by level.
+BARS = (0.50, 0.45, 0.35, 0.30, 0.30, 0.25, 0.25, 0.25, 0.25, 0.25, 0.20)
 
 
 @dataclass(frozen=True)
@@ -32,6 +32,8 @@ class Merging:
     decay: float = 0.3
     overlap: bool = True  # an element may belong to several components
     same_class: bool = True
+    semantic: bool = True  # evidence weighs by the cosine of classes
+    contained: bool = True  # and by containment
     small: int = 0  # at the end components with less support join their best neighbour
 
     def bar(self, level: int) -> float:
@@ -124,9 +126,9 @@ class Consolidator:
                     continue
                 weight = seen * self._seen(self.comps[r].cells, view)
                 if weight > 0:
-                    like = self._alike(hist, self.comps[r].votes) if hist else 1.0
+                    like = self._alike(hist, self.comps[r].votes) if hist and p.semantic else 1.0
                     edge = self.edges.setdefault((min(base, r), max(base, r)), [0.0, 0.0])
-                    edge[0] += like * part[r] * weight
+                    edge[0] += like * (part[r] if p.contained else 1.0) * weight
                     edge[1] += weight
                     touched.append((min(base, r), max(base, r)))
         else:
@@ -198,21 +200,40 @@ class Consolidator:
                     moved = True
 
 
+#: The number of a proposal whose rows are the cells in view of the frame.
+VIEW = -1
+
+
+def add_frame(state: Consolidator, frame: int, rows: pd.DataFrame, cell: list[str]) -> None:
+    """The proposals of one frame in their order, then the merges that they allow."""
+    touched, view = [], None
+    for prop, g in rows.groupby("prop", sort=True):
+        cells, cls = set(map(tuple, g[cell].to_numpy().tolist())), int(g["cls"].iloc[0])
+        if prop == VIEW:
+            view = cells
+        else:
+            touched += state.add((frame, prop), cls, cells, set(g["inst"].tolist()), {cls: float(len(cells))}, view)
+    if touched:
+        state.settle_frame(touched)
+
+
 def fold(rows: pd.DataFrame, cell: list[str], p: Merging) -> Consolidator:
     """All proposals of rows(frame, prop, cls, inst, cell...), in order of frame and proposal."""
     state = Consolidator(p)
     for frame, f in rows.groupby("frame", sort=True):
-        touched = []
-        for prop, g in f.groupby("prop", sort=True):
-            cells = set(map(tuple, g[cell].to_numpy().tolist()))
-            cls = int(g["cls"].iloc[0])
-            touched += state.add((frame, prop), cls, cells, set(g["inst"].tolist()), {cls: float(len(cells))})
-        if touched:
-            state.settle_frame(touched)
+        add_frame(state, frame, f, cell)
     state.absorb_small()
     return state
 
 
+def with_views(props: DataFrame, views: DataFrame, cell: list[str]) -> DataFrame:
+    """props with the cells in view of each frame, once for each class that has proposals there, so that
+    evidence weighs by how much of both sides is seen."""
+    asked = props.select("run", "frame", "cls").distinct()
+    seen = views.select("run", "frame", *cell).distinct().join(asked, ["run", "frame"]).select("run", "frame", F.lit(VIEW).cast("long").alias("prop"), "cls", F.lit(-1).alias("inst"), *cell)
+    return props.select("run", "frame", "prop", "cls", "inst", *cell).unionByName(seen)
+
+
 def consolidate(props: DataFrame, cell: list[str], p: Merging = Merging()) -> DataFrame:  # noqa: B008
     """(comp, cls, support, n_cells, birth_frame, birth_prop, promoted): components after all frames.
 

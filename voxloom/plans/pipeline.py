@@ -105,8 +105,6 @@ class Pipeline:
         seen = self.pixel_of(self.lift(scans, frames))
         labels = pixels.join(frames.select("run", "image_id", "frame"), ["run", "image_id"]).select("run", "frame", "u", "v", "name", "instance")
         fresh = project.reject_dynamic(seen, ["run", "frame"], "u", "v", labels, p.dynamic) if p.dynamic else seen
-        if p.radius > 0:
-            fresh = project.sphere_crop(fresh, list("xyz"), [F.col(f"cam_{a}") for a in "xyz"], p.radius)
         cells = fresh.select("run", "frame", *(cell(F.col(a), p.voxel).alias(c) for a, c in zip("xyz", CELL, strict=True)), *"xyz", F.col("intensity").cast("double").alias("intensity"))
         # The map as of each frame: prefix sums, valid until the cell is seen again.
         state = fuse_intervals(cells, ["run", *CELL], "frame", [*"xyz", "intensity"])
@@ -121,17 +119,19 @@ class Pipeline:
         points = self.classify(state, shell)
         things = self.things(shell, points)
         proposals = settle(self.propose(things))
-        comps, members = self.merge(proposals)
+        comps, members = self.merge(proposals, shell)
         named = members.join(points.where("alive").select("run", *CELL, *"xyz"), ["run", *CELL]).join(F.broadcast(self.vocabulary().select(F.col("class_id").alias("cls"), "name")), "cls")
         room = objects.room_objects(named.select(F.col("comp").alias("object_id"), F.col("name").alias("label"), *"xyz"), p.cam)
         return Result(frames, points, shell, proposals, comps, members, room)
 
     def candidates(self, frames: DataFrame, state: DataFrame) -> DataFrame:
-        """Frame and cell pairs to be projected: the cell's state as of the frame, within proj_radius."""
+        """Frame and cell pairs to be projected: the cell's state as of the frame, within proj_radius
+        (or else radius) of it; all cells where neither is set."""
         f = frames.select("run", F.col("frame").alias("now"), *(f"cam_{a}" for a in "xyz"), *(f"m{i}" for i in range(12)))
         live = (F.col("now") >= F.col("frame")) & (F.col("now") < F.col("until"))
-        if self.config.proj_radius > 0:
-            both = project.within(f, state, [f"cam_{a}" for a in "xyz"], list("xyz"), self.config.proj_radius, ["run"]).where(live)
+        reach = self.config.proj_radius if self.config.proj_radius > 0 else self.config.radius
+        if reach > 0:
+            both = project.within(f, state, [f"cam_{a}" for a in "xyz"], list("xyz"), reach, ["run"]).where(live)
         else:
             both = f.join(state, "run").where(live)
         return both.drop("frame", "until", *(f"cam_{a}" for a in "xyz")).withColumnRenamed("now", "frame")
@@ -181,12 +181,14 @@ class Pipeline:
         inst = flat.groupBy("view", "item").agg(F.max("instance").alias("inst"))
         return full.join(where, "view").join(inst, ["view", "item"]).select("run", "frame", "prop", F.col("prop_cls").alias("cls"), "inst", *CELL)
 
-    def merge(self, proposals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def merge(self, proposals: DataFrame, shell: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(components, members of promoted ones): contested cells go to the component with the most
         support, then the most cells, then the older."""
         o = self.config.objects
-        rule = merge.Merging(tuple(o["merge_thresh"]), o["min_merges"], o["global_context"], o["min_evidence"], o["dis_decay"], o["overlap_sets"], o["require_class"], o["small_seg_min"])
-        comps = settle(merge.consolidate_members(proposals, CELL, rule))
+        rule = merge.Merging(tuple(o["merge_thresh"]), o["min_merges"], o["global_context"], o["min_evidence"], o["dis_decay"], o["overlap_sets"], o["require_class"], o["use_semantic_affinity"], o["use_containment"], o["small_seg_min"])
+        stride = max(1, o["consol_stride"])
+        seen = merge.with_views(proposals.where((F.col("frame") - 1) % stride == 0), shell, CELL)
+        comps = settle(merge.consolidate_members(seen, CELL, rule))
         heads = comps.drop("cells")
         held = comps.where("promoted").select("comp", "cls", "support", "n_cells", "run", F.explode("cells").alias("c")).select("comp", "cls", "support", "n_cells", "run", *(F.col("c")[i].alias(n) for i, n in enumerate(CELL)))
         return heads, overlap.winners(held, ["run", *CELL], [F.col("support").desc(), F.col("n_cells").desc(), F.col("comp")])

@@ -12,7 +12,7 @@ from voxloom.functions.text import expand_home
 class RunConfig:
     log: str = ""
     calib: str = ""
-    cam: int = 0
+    cam: int = 211
     out: str = ""
     start: int = 0
     count: int = 50
@@ -47,8 +47,8 @@ SECTIONS: dict[str, dict[str, Any]] = {
     "hdbscan": {"enabled": False, "min_pts": 15, "min_cluster_size": 50, "min_class_points": 50, "allow_single_cluster": True, "leaf_selection": False, "single_scan": True, "sor_enabled": False, "sor_mean_k": 16, "sor_std_mul": 1.0, "split_radius": 0.25},
     "grow": {"enabled": False, "affinity": 0.5, "require_class": True, "neighbor_pool": False, "sweeps": 1, "dis_decay": 0.5, "pool_k": 6},
     "objects": {"enabled": False, "merge_thresh": [0.5, 0.35, 0.25, 0.2], "min_merges": 3, "require_class": True, "consol_stride": 1, "global_context": False, "min_evidence": 2.0, "dis_decay": 0.5, "use_semantic_affinity": True, "use_containment": True, "small_seg_min": 0, "overlap_sets": False},
-    "sign": {"enabled": False, "vlm_url": "", "classes": [], "min_px": 400, "workers": 1, "queue": 8, "mock_delay_ms": 1500, "mock_text": ""},
-    "viz": {"endpoint": "", "seg_overlay": "", "seg_alpha": 0.5, "seg_min_area": 0},
+    "sign": {"enabled": False, "vlm_url": "http://localhost:8080/v1", "classes": ["sign"], "min_px": 60, "workers": 1, "queue": 4, "mock_delay_ms": 1500, "mock_text": "MOCK: toilet -> left; exit -> right"},
+    "viz": {"endpoint": "", "seg_overlay": "both", "seg_alpha": 0.5, "seg_min_area": 80},
 }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 
-from voxloom.operators.merge import Consolidator, Merging
+from voxloom.operators.merge import Consolidator, Merging, add_frame
 
 COMPONENTS = "cls int, frame long, comp_birth_frame long, comp_birth_prop long, support long, n_cells long, promoted boolean"
 
@@ -15,12 +15,7 @@ def components_step(cell: list[str], p: Merging):
     def run(state: Consolidator, pdf: pd.DataFrame) -> tuple[Consolidator, pd.DataFrame]:
         out = []
         for frame, f in pdf.groupby("frame", sort=True):
-            touched = []
-            for prop, g in f.groupby("prop", sort=True):
-                cells, cls = set(map(tuple, g[cell].to_numpy().tolist())), int(g["cls"].iloc[0])
-                touched += state.add((frame, prop), cls, cells, set(g["inst"].tolist()), {cls: float(len(cells))})
-            if touched:
-                state.settle_frame(touched)
+            add_frame(state, frame, f, cell)
             out += [(state.comps[r].majority(), frame, *state.comps[r].birth, state.comps[r].support, len(state.comps[r].cells), state.comps[r].support >= p.min_merges) for r in state.roots()]
         return state, pd.DataFrame(out, columns=["cls", "frame", "comp_birth_frame", "comp_birth_prop", "support", "n_cells", "promoted"])
 
