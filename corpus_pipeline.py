@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from voxloom import ship
-from voxloom.llm.common import read_table, semi_rows, shared_dir
+from voxloom.llm.common import read_table, scratch, semi_rows
 from voxloom.llm.exact_dedup import drop_exact_copies
 from voxloom.llm.minhash import near_components
 from voxloom.llm.mixing import mix
@@ -54,7 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES over documents; what each stage returns is written to the shared folder and reread."""
-    docs, folder = read_table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    docs, folder = read_table(spark, sf_dir, "documents"), scratch(spark)
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")

@@ -29,14 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named or have
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared folder, which goes when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/voxloom-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)  # only what exists can be marked
+    fs.deleteOnExit(at)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute once and read back from a table in the shared folder: cuts the lineage, survives lost
     executors, and keeps nothing on the driver.  The tables go when the session's JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/voxloom-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path = f"{scratch(spark)}/rows"
     df.write.parquet(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import read_table, settle, shared_dir
+from voxloom.llm.common import read_table, scratch, settle
 
 CACHE_SCHEMA = "content string, tokenizer string, n_bytes long, n_tokens long"
 _loaded: dict[str, object] = {}
@@ -95,9 +95,6 @@ def token_counts(df: DataFrame, path: str, cache_dir: str, id_col: str = "doc_id
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
     """Counts of piece_bpe_32k.model for all documents; the cache begins empty for each call."""
-    import uuid
-
     import public_tokenizers as P
 
-    cache = os.path.join(shared_dir(spark), f"token-cache-{uuid.uuid4().hex}")
-    return token_counts(read_table(spark, sf_dir, "documents"), P.path("piece_bpe_32k.model"), cache)
+    return token_counts(read_table(spark, sf_dir, "documents"), P.path("piece_bpe_32k.model"), f"{scratch(spark)}/cache")
