@@ -162,8 +162,8 @@ def small_comp_absorb(spark, sf):
     """Components of little support with the neighbour that takes them in."""
     d = deposits(spark, sf)
     nodes = tables.settle(d.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("support")))
-    mean = nodes.agg(F.avg("support").alias("m"))
-    small = nodes.crossJoin(F.broadcast(mean)).where("support < m").select("node", "support")  # one row
+    mean = nodes.agg(F.avg("support")).first()[0] or 0.0
+    small = nodes.where(F.col("support") < F.lit(mean))
     e = merge.edge_sums(d).withColumn("adj", F.round("adj", 9))
     return merge.absorb_once(small, e, 2**31 - 1).withColumn("adj", F.round("adj", 6))
 
