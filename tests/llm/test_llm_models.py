@@ -68,6 +68,29 @@ def test_search_empties_a_bin():
     assert len(packing.local_search([[0], [1, 3], [2, 4], [5, 6]], n, 10)) == 3
 
 
+@pytest.mark.parametrize("low, high, count, capacity", [(400, 1099, 600, 2048), (600, 1000, 400, 2048), (1, 3, 300, 100), (5, 9, 500, 47)])
+def test_search_leaves_no_exchange(low, high, count, capacity):
+    n = np.random.default_rng(1).integers(low, high + 1, count)
+    end = packing.local_search(packing.best_fit(n, capacity), n, capacity)
+    assert sorted(i for b in end for i in b) == list(range(count))
+    fills = [int(n[b].sum()) for b in end]
+    assert max(fills) <= capacity
+    sizes = [sorted({int(n[i]) for i in b}) for b in end]
+    gets = [sorted({0, *s, *(int(n[x] + n[y]) for k, x in enumerate(b) for y in b[:k])}) for s, b in zip(sizes, end, strict=True)]
+    for b, fb in enumerate(fills):
+        for a, fa in enumerate(fills):
+            if a == b or fa == capacity or fb == capacity:
+                continue
+            swaps = [s - j for s in gets[a] for j in sizes[b]]
+            assert not [g for g in sizes[a] + swaps if 0 < g <= capacity - fb and fb + g > fa]
+
+
+def test_search_narrow_lengths():
+    n = np.random.default_rng(0).integers(400, 1100, 20_000)
+    start = packing.best_fit(n, 2048)
+    assert len(packing.local_search([list(b) for b in start], n, 2048)) < 0.99 * len(start)
+
+
 # --- sharding --------------------------------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ Texts are tokenised where they are read; from there on only (id, piece, length,
 Pieces are dealt at random into groups of bounded size and each group is packed by itself: best fit
 in decreasing length, then exchanges between underfull bins that raise the sum of squared fills
 (move one piece, swap one for one, two for one) until a round changes nothing; bins that have become
-empty are gone.  A group wastes less than about one bin, so the groups cost one bin in tens of thousands.
+empty are gone.  Bins are indexed by the sizes they offer, so every underfull bin is searched.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -117,65 +118,122 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: int = 8) -> list[list[int]]:
+class Offers:
+    """For each size, the emptiest bin that offers it.
+
+    Bins change while the index stands; what it says of a bin is checked against `fill` and `sets` (the
+    sizes a bin offers) when it is read, so a changed bin only has to be put in again.
+    """
+
+    def __init__(self, capacity: int, fill: list[int], sets: list):
+        self.fill, self.sets = fill, sets
+        self.heaps: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.least = np.full(capacity + 1, capacity + 1)  # no bin that offers a size is emptier
+
+    def put(self, b: int) -> None:
+        at = self.fill[b]
+        for s in self.sets[b]:
+            heappush(self.heaps[s], at * len(self.fill) + b)
+            if at < self.least[s]:
+                self.least[s] = at
+
+    def donor(self, s: int, b: int, limit: int) -> int | None:
+        """The emptiest bin other than b that offers s, if its fill is below the limit."""
+        heap, n, own = self.heaps[s], len(self.fill), None
+        while heap:
+            at, a = divmod(heap[0], n)
+            if self.fill[a] == at and s in self.sets[a]:
+                if a != b:
+                    break
+                own = heap[0]
+            heappop(heap)
+        found = heap[0] if heap else None
+        if own is not None:
+            heappush(heap, own)
+        self.least[s] = heap[0] // n if heap else len(self.least)
+        return found % n if found is not None and found // n < limit else None
+
+    def largest(self, low: int, high: int, b: int, j: int) -> tuple[int, int] | None:
+        """(size, donor) of the largest size above low and up to high that b can get for j."""
+        left = self.fill[b] - j
+        able = np.flatnonzero(self.least[low + 1 : high + 1] < np.arange(left + low + 1, left + high + 1))
+        for s in (able[::-1] + low + 1).tolist():
+            if (a := self.donor(s, b, left + s)) is not None:  # the squares grow if b ends fuller than a was
+                return s, a
+        return None
+
+
+def pair_sums(held: dict[int, list[int]]) -> set[int]:
+    """Sums of two pieces of a bin."""
+    sizes = list(held)
+    return {s + t for k, s in enumerate(sizes) for t in sizes[:k]} | {2 * s for s in sizes if len(held[s]) > 1}
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Improve the underfull bins: every accepted exchange raises the sum of squared fills.
 
-    Each round takes the underfull bins from the emptiest and, for each, looks in the others, fullest
-    first, for one move (a piece), swap (one for one) or double swap (two for one) that fills the other
-    bin further; a bin that has lost all its pieces is dropped.  Rounds end when nothing changes.
+    Each round takes the underfull bins from the fullest and fills each from all others: by the one move
+    (a piece), swap (one for one) or double swap (two for one) that fills it most, until none raises the
+    sum; a bin that has lost all its pieces is dropped.  Rounds end when nothing changes.
+    Equal lengths in a bin are alike, so a bin has at most sqrt(2 * capacity) pieces to try.
     """
-    full = [b for b in bins if int(lengths[b].sum()) == capacity]
-    open_ = [b for b in bins if int(lengths[b].sum()) < capacity]
-    size = lengths.tolist()
-
-    def exchange(a: list[int], b: list[int], room: int) -> int:
-        """Best gain in b's fill, at most `room`, by giving it pieces of a; done in place."""
-        best, plan = 0, ((), ())
-        for i in a:
-            if best < size[i] <= room:
-                best, plan = size[i], ((i,), ())
-        for j in b:
-            for i in a:
-                gain = size[i] - size[j]
-                if best < gain <= room:
-                    best, plan = gain, ((i,), (j,))
-        if best < room:
-            for j in b:
-                for x in range(len(a)):
-                    for y in range(x):
-                        gain = size[a[x]] + size[a[y]] - size[j]
-                        if best < gain <= room:
-                            best, plan = gain, ((a[x], a[y]), (j,))
-        if best:
-            for i in plan[0]:
-                a.remove(i)
-                b.append(i)
-            for j in plan[1]:
-                b.remove(j)
-                a.append(j)
-        return best
-
-    for _ in range(rounds):
-        fill = {id(b): sum(size[i] for i in b) for b in open_}
-        open_.sort(key=lambda b: fill[id(b)])
+    fills = [int(lengths[b].sum()) for b in bins]
+    full = [b for b, n in zip(bins, fills, strict=True) if n == capacity]
+    open_ = [b for b, n in zip(bins, fills, strict=True) if n < capacity]
+    fill = [n for n in fills if n < capacity]
+    held: list[dict[int, list[int]]] = []  # pieces of each bin by length
+    for b in open_:
+        held.append({})
+        for i in b:
+            held[-1].setdefault(int(lengths[i]), []).append(i)
+    sums = [pair_sums(h) for h in held]
+
+    def give(a: int, b: int, s: int) -> None:
+        held[b].setdefault(s, []).append(held[a][s].pop())
+        if not held[a][s]:
+            del held[a][s]
+        fill[a] -= s
+        fill[b] += s
+
+    def best(b: int) -> tuple[int, list[int], int] | None:
+        """(donor, sizes to get, size to give or 0) that fills b most."""
+        room, gain, plan = capacity - fill[b], 0, None
+        for offers in (ones, twos):
+            for j in ([0, *held[b]] if offers is ones else held[b]):
+                if gain < room and (got := offers.largest(j + gain, min(j + room, capacity), b, j)):
+                    gain, plan = got[0] - j, (offers, *got, j)
+        if plan is None:
+            return None
+        offers, s, a, j = plan
+        first = s if offers is ones else next(x for x in held[a] if len(held[a].get(s - x, ())) > (2 * x == s))
+        return a, [first] if first == s else [first, s - first], j
+
+    changed = True
+    while changed:
         changed = False
-        # The emptiest donors only, against the fullest receivers: the work of a round stays linear.
-        for a in open_[:64]:
-            for b in reversed(open_[-512:]):
-                if b is a or not a or fill[id(b)] < fill[id(a)]:
-                    continue
-                room = capacity - fill[id(b)]
-                if room and len(b) <= 32 and len(a) <= 32:
-                    # The squares grow when the fuller of two bins gains.
-                    gain = exchange(a, b, room)
-                    fill[id(b)] += gain
-                    fill[id(a)] -= gain
-                    changed |= gain > 0
-        full += [b for b in open_ if fill[id(b)] == capacity]
-        open_ = [b for b in open_ if b and fill[id(b)] < capacity]
-        if not changed:
-            break
-    return full + open_
+        ones, twos = Offers(capacity, fill, held), Offers(capacity, fill, sums)
+        order = sorted((b for b in range(len(open_)) if 0 < fill[b] < capacity), key=lambda b: -fill[b])
+        for b in order:
+            ones.put(b)
+            twos.put(b)
+        for b in order:
+            gained = False
+            while held[b] and fill[b] < capacity and (plan := best(b)):
+                a, get, j = plan
+                for s in get:
+                    give(a, b, s)
+                if j:
+                    give(b, a, j)
+                sums[a] = pair_sums(held[a])
+                ones.put(a)
+                twos.put(a)
+                gained = True
+            if gained:
+                sums[b] = pair_sums(held[b])
+                ones.put(b)
+                twos.put(b)
+                changed = True
+    return full + [[i for same in h.values() for i in same] for h in held if h]
 
 
 def pack_group(length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
