@@ -33,7 +33,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that sources, languages and topics have their target weights."""
+    """Documents drawn so that sources, languages and topics have their target weights; values too scarce
+    for theirs are kept whole."""
     ship(spark)
     return mix(docs).where("__drawn").select(*docs.columns)
 

@@ -337,6 +337,32 @@ def test_mixing_by_frames_is_the_same(spark):
     assert a.join(b, "doc_id").where("abs(a - b) > 1e-6").count() == 0
 
 
+def test_mixing_meets_its_margins(spark):
+    out = mixing.mix(documents(spark))
+    met = mixing.margins_met(out, ["source", "lang", "__topic"], 0.7).collect()
+    assert len(met) == 29
+    for m in ("source", "lang", "__topic"):
+        rows = [r for r in met if r["margin"] == m]
+        # Values with fewer tokens than 0.6 of their target are kept whole, the others are in proportion to it.
+        whole = {r["value"] for r in rows if r["expected"] * 0.6 > r["actual"] - 1e-6}
+        assert whole == ({"table", "shout", "short"} if m == "__topic" else set())
+        left = (1 - sum(r["actual"] / 0.6 for r in rows if r["value"] in whole)) / sum(r["target"] for r in rows if r["value"] not in whole)
+        for r in rows:
+            assert r["expected"] == pytest.approx(r["actual"] / 0.6 if r["value"] in whole else r["target"] * left, abs=1e-6)
+            assert abs(r["drawn"] - r["expected"]) < 0.04
+
+
+def test_mixing_bound():
+    # Every target can be met at 0.6, yet the raked factor of one cell is above 1 / 0.6.
+    cells = [("a", "x", 100), ("a", "y", 900), ("b", "x", 900), ("b", "y", 2100)]
+    factor = mixing.rake_driver(cells, 2, 0.4)
+    p = mixing.bound_driver(cells, factor, 2, 0.6, 0.4)
+    kept = [q * c[2] for q, c in zip(p, cells, strict=True)]
+    assert max(factor) * 0.6 > 1 >= max(p) and sum(kept) == pytest.approx(2400)
+    for m, v, a in ((0, "a", 0.25), (1, "x", 0.25)):
+        assert sum(k for k, c in zip(kept, cells, strict=True) if c[m] == v) == pytest.approx(2400 * a**0.4 / (a**0.4 + (1 - a) ** 0.4), rel=1e-6)
+
+
 def test_mixing_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None, "s", 2), (1, None, None, "s", 2), (2, "", "en", None, 1), (None, "a b c", "en", "s", 0)], "doc_id long, text string, lang string, source string, tokens int")
     out = mixing.mix(df).collect()
