@@ -18,7 +18,7 @@ from heapq import heappop, heappush
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.common import read_table, settle
@@ -67,6 +67,19 @@ def default_paths() -> tuple[str, str, str]:
     return P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN
 
 
+def token_count(text: Column, paths: tuple[str, str, str]) -> Column:
+    """Tokens of a text without the end; a null text has none."""
+
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
+        if paths not in _loaded:
+            _loaded[paths] = ByteBpe(*paths)
+        bpe = _loaded[paths]
+        return pa.array((len(bpe.ids(t.as_py() or "")) for t in texts), type=pa.int64())
+
+    return count(text.cast("string"))
+
+
 def cut(ids: np.ndarray, capacity: int) -> Iterator[tuple[int, np.ndarray]]:
     """(start, ids) of each piece; the first takes the remainder, all others are full."""
     n = len(ids)
