@@ -100,7 +100,11 @@ def neighbor_pool(spark, sf):
 
 @query()
 def grow_sweeps(spark, sf):
-    """Proposals grown over segments, frame by frame."""
+    """Proposals grown over segments, frame by frame.
+
+    The table has no proposals: `pk % 4 = 0` gives a point the role of an original member; the others are
+    in segments only, and growth reaches them or does not.
+    """
     p = points(spark, sf).select((F.col("day") - F.pmod("day", F.lit(30))).alias("frame"), "cx", "cy", "cz", "sk", "pk", F.ascii("flag").alias("cls"), F.xxhash64("ok", "ln", "pk", "sk", "price").alias("item"), F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"), F.col("cz").cast("double").alias("z"))
     seg = p.select("frame", F.pmod("sk", F.lit(20)).alias("seg"), F.lit(78).alias("seg_cls"), "item", "cls", "x", "y", "z", "cx", "cy", "cz")
     prop = p.where("pk % 4 = 0").select("frame", F.pmod("pk", F.lit(7)).alias("prop"), F.lit(78).alias("prop_cls"), "item", "cls", "x", "y", "z", "cx", "cy", "cz")
