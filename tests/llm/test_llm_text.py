@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.exact_dedup import drop_exact_copies, exact_groups
 from voxloom.llm.graph import components
-from voxloom.llm.line_dedup import dedup_lines
+from voxloom.llm.line_dedup import OP2_SQL, dedup_lines, op2_line_dedup
 from voxloom.llm.minhash import least_matches, near_components
 from voxloom.llm.token_cache import read_cache, token_counts
 
@@ -32,35 +32,48 @@ CASES = [
 
 def brute_lines(rows, least=20, many=3):
     key = lambda x: re.sub(r"[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
-    held = collections.defaultdict(list)
+    held, docs = collections.defaultdict(set), collections.defaultdict(list)
     for i, t in rows:
-        for k in {key(x) for x in (t or "").split("\n")}:
-            held[k].append(i)
+        docs[i] += enumerate((t or "").split("\n"))
+        if i is not None:
+            for x in (t or "").split("\n"):
+                held[key(x)].add(i)
     out = []
-    for i, t in rows:
-        lines = (t or "").split("\n")
-        keep = []
-        for x in lines:
-            k = key(x)
-            top = max((j for j in held[k] if j is not None), default=None)
-            if len(k) < least or len(held[k]) < many or i == top:
-                keep.append(x)
+    for i, lines in docs.items():
+        gone = lambda x: len(key(x)) >= least and len(held[key(x)]) >= many and i != max(held[key(x)])  # noqa: B023, E731
+        keep = [x for _, x in sorted(lines) if not gone(x)] if len([r for r in rows if r[0] == i]) > 1 else [x for _, x in lines if not gone(x)]
         out.append((i, len(lines), len(lines) - len(keep), "\n".join(keep)))
     return out
 
 
-def test_line_dedup(spark):
-    got = dedup_lines(table(spark, CASES)).collect()
-    assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in got), key=repr) == sorted(brute_lines(CASES), key=repr)
-    assert dedup_lines(table(spark, [])).count() == 0
-    same = [(1, LONG)] * 3 + [(2, LONG)]
-    got = sorted((r["doc_id"], r["kept_text"]) for r in dedup_lines(table(spark, same)).collect())
-    assert got == [(1, "")] * 3 + [(2, LONG)]  # rows count one each
+REPEATED = [(1, LONG)] * 3 + [(2, LONG)], [(1, f"{LONG}\nb")] * 2 + [(2, LONG), (3, f"a\n{LONG}"), (3, f"a\n{LONG}"), (4, "x\ny")]
+
+
+@pytest.mark.parametrize("broadcast_keys", [200_000, 0])
+def test_line_dedup(spark, broadcast_keys):
+    for rows in (CASES, *REPEATED, []):
+        got = dedup_lines(table(spark, rows), broadcast_keys=broadcast_keys).collect()
+        assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in got), key=repr) == sorted(brute_lines(rows), key=repr)
+    got = {r["doc_id"]: r["kept_text"] for r in dedup_lines(table(spark, REPEATED[0])).collect()}
+    assert got == {1: f"{LONG}\n{LONG}\n{LONG}", 2: LONG}  # two documents hold the line, whatever their rows
+
+
+def test_line_dedup_is_its_sql_on_repeated_rows(spark, tmp_path):
+    import duckdb
+
+    for k, rows in enumerate(REPEATED):
+        table(spark, rows).write.parquet(str(tmp_path / f"{k}/documents.parquet"))
+        got = op2_line_dedup(spark, str(tmp_path / str(k))).collect()
+        c = duckdb.connect()
+        c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/{k}/documents.parquet/*.parquet'")
+        want = c.sql(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({OP2_SQL})").fetchall()
+        assert sorted(tuple(r) for r in got) == sorted(want)
 
 
-def test_line_dedup_many_lines(spark):
+@pytest.mark.parametrize("broadcast_keys", [200_000, 0])
+def test_line_dedup_many_lines(spark, broadcast_keys):
     rows = [(i, "\n".join(f"line number {(i * k) % 50} of the document" for k in range(60))) for i in range(30)]
-    got = dedup_lines(table(spark, rows)).collect()
+    got = dedup_lines(table(spark, rows), broadcast_keys=broadcast_keys).collect()
     assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in got) == sorted(brute_lines(rows))
 
 
