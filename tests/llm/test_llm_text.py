@@ -11,7 +11,7 @@ from voxloom.llm.exact_dedup import drop_exact_copies, exact_groups
 from voxloom.llm.graph import components
 from voxloom.llm.line_dedup import OP2_SQL, dedup_lines, op2_line_dedup
 from voxloom.llm.minhash import least_matches, near_components
-from voxloom.llm.token_cache import read_cache, token_counts
+from voxloom.llm.token_cache import CACHE_SCHEMA, op10_token_counts, read_cache, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, shard int, kept boolean"  # clashing names
 
@@ -199,20 +199,27 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(65), 0), **dict.fromkeys(range(100, 140), 100)}
 
 
-def test_token_counts(spark, tmp_path):
+def piece_model():
     import public_tokenizers as P
     import sentencepiece
 
     path = P.path("piece_bpe_32k.model")
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    rows = [*CASES, (30, "<s> hi </s>"), (31, "héllo ﬁ 漢字 🙂"), (30, "<s> hi </s>"), (40, "the same"), (41, "the same")]
+    return path, sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def test_token_counts(spark, tmp_path):
+    import public_tokenizers as P
+
+    path, sp = piece_model()
+    marks = [(60, "one \u2581two"), (61, "one  two"), (62, "\u2581")]  # the first two have equal ids
+    rows = [*CASES, *marks, (30, "<s> hi </s>"), (31, "héllo ﬁ 漢字 🙂"), (30, "<s> hi </s>"), (None, None), (40, "the same"), (41, "the same")]
     cache = str(tmp_path / "cache")
     got = token_counts(table(spark, rows), path, cache, limit=5).collect()
     want = sorted(((i, len((t or "").encode()), len(sp.encode(t or ""))) for i, t in rows), key=repr)
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got), key=repr) == want
     assert all(r["over_limit"] == (r["n_tokens"] > 5) for r in got)
     n = read_cache(spark, cache).select("content").distinct().count()
-    assert n == len({t or "" for _, t in rows})
+    assert n == len({(t or "").replace("\u2581", " ") for _, t in rows})
     assert read_cache(spark, cache).count() <= n + 1  # copies are encoded once; a repeated row once a task
     token_counts(table(spark, [*rows, (50, "something new")]), path, cache).collect()
     assert read_cache(spark, cache).select("content").distinct().count() == n + 1
@@ -221,6 +228,45 @@ def test_token_counts(spark, tmp_path):
     assert token_counts(table(spark, []), path, str(tmp_path / "none")).count() == 0
 
 
+def test_token_counts_of_a_cache_written_twice(spark, tmp_path):
+    """Two jobs that missed together leave contents twice; and a hit is believed, not counted again."""
+    path, sp = piece_model()
+    rows, cache = [(1, "a b"), (2, "c d e"), (3, "a b")], str(tmp_path / "cache")
+    token_counts(table(spark, rows), path, cache)
+    twice = read_cache(spark, cache).collect()
+    spark.createDataFrame(twice, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    got = sorted((r["doc_id"], r["n_tokens"]) for r in token_counts(table(spark, rows), path, cache).collect())
+    assert got == [(i, len(sp.encode(t))) for i, t in rows] and read_cache(spark, cache).count() == 2 * len(twice)
+    wrong = str(tmp_path / "wrong")
+    spark.createDataFrame([(r["content"], r["tokenizer"], 77) for r in twice], CACHE_SCHEMA).write.parquet(wrong)
+    assert {r["n_tokens"] for r in token_counts(table(spark, rows), path, wrong).collect()} == {77}
+
+
+def test_token_counts_of_a_hot_content(spark, tmp_path):
+    path, sp = piece_model()
+    rows = [(i, "hot content") for i in range(900)] + [(1000 + i, f"rare {i}") for i in range(1200)]
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts(table(spark, rows), path, str(tmp_path / "c")).collect()}
+    assert got == {i: len(sp.encode(t)) for i, t in rows}
+
+
+def test_space_mark_is_a_space_to_the_model():
+    import random
+
+    _, sp = piece_model()
+    r = random.Random(0)
+    for _ in range(20_000):
+        t = "".join(r.choice("ab \u2581 \t\nxé漢<s>") for _ in range(r.randint(0, 12)))
+        assert sp.encode(t) == sp.encode(t.replace("\u2581", " "))
+
+
+def test_token_query_against_the_library(spark):
+    _, sp = piece_model()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").toPandas()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in op10_token_counts(spark, "/root/testdata/sf0.001").collect()}
+    want = {r.doc_id: (len(r.text.encode()), n := len(sp.encode(r.text)), n > 4096) for r in docs.itertuples()}
+    assert got == want
+
+
 def test_hash_tells_rows_apart(spark):
     from voxloom.llm.common import text_hash
 

@@ -1,23 +1,26 @@
 """Token counts through a digest cache.
 
-Contents are keyed by the digest of the whole text and of the tokenizer's file.  Counts that the
-cache already has are joined; only distinct missing contents are encoded, once each, and appended to
-the cache as Parquet.  Copies cost one encoding; a new tokenizer file never meets old counts.
+Contents are keyed by the digest of the normalised text and of the tokenizer's file.  Normalised means:
+what the tokenizer itself cannot tell apart is made equal, and nothing else.  Counts that the cache
+already has are joined; only distinct missing contents are encoded, once each, and appended to the
+cache as Parquet.  Copies cost one encoding; a new tokenizer file never meets old counts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.common import read_table, scratch, settle
 
-CACHE_SCHEMA = "content string, tokenizer string, n_bytes long, n_tokens long"
+CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
+HOT_SHARE = 1000  # a content is hot from one row in so many: there are at most so many hot contents
+SPACE_MARK = "\u2581"  # a fixed value: how sentencepiece writes a space
 _loaded: dict[str, object] = {}
 
 
@@ -45,8 +48,28 @@ def _counter(path: str):
     return _loaded[path]
 
 
+def normal_form(path: str) -> Callable[[Column], Column]:
+    """What to do to a text before its digest is taken, so that texts with equal ids have equal digests.
+
+    A sentencepiece model whose own normaliser changes nothing still writes spaces as a mark, and cannot
+    tell that mark in a text from a space.  For all other files texts stay as they are.
+    """
+    if path.endswith(".model"):
+        try:
+            from sentencepiece import sentencepiece_model_pb2
+        except ImportError:  # without its protocol classes the model's normaliser is not known
+            return lambda text: text
+        model = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as f:
+            model.ParseFromString(f.read())
+        spec = model.normalizer_spec
+        if spec.name == "identity" and not spec.precompiled_charsmap and spec.escape_whitespaces:
+            return lambda text: F.translate(text, SPACE_MARK, " ")
+    return lambda text: text
+
+
 def encode_counts(texts: DataFrame, path: str, version: str) -> DataFrame:
-    """(content, tokenizer, n_bytes, n_tokens) for rows (content, text)."""
+    """(content, tokenizer, n_tokens) for rows (content, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(path)
@@ -57,8 +80,8 @@ def encode_counts(texts: DataFrame, path: str, version: str) -> DataFrame:
             fresh = [i for i, c in enumerate(contents) if not (c in seen or seen.add(c))]
             values = [batch.column(1)[i].as_py() for i in fresh]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([contents[i] for i in fresh], pa.string()), pa.array([version] * len(values), pa.string()), pa.array([len(x.encode()) for x in values], pa.int64()), pa.array([count(x) for x in values], pa.int64())],
-                names=["content", "tokenizer", "n_bytes", "n_tokens"],
+                [pa.array([contents[i] for i in fresh], pa.string()), pa.array([version] * len(values), pa.string()), pa.array([count(x) for x in values], pa.int64())],
+                names=["content", "tokenizer", "n_tokens"],
             )
 
     return texts.mapInArrow(run, CACHE_SCHEMA)
@@ -78,23 +101,39 @@ def token_counts(df: DataFrame, path: str, cache_dir: str, id_col: str = "doc_id
     """(doc_id, n_bytes, n_tokens, over_limit) for every row; a null text is an empty one.
 
     Repeated rows each get a row.  The cache may hold a content twice (two jobs that missed together);
-    it is read as a set.  Other columns of df are ignored.
+    it is read as a set.  An empty df gives an empty result.  Other columns of df are ignored.
     """
-    spark, version = df.sparkSession, tokenizer_digest(path)
-    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("content", F.sha2("text", 256))
+    spark, version, form = df.sparkSession, tokenizer_digest(path), normal_form(path)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = df.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), form(text).alias("text")).withColumn("content", F.sha2("text", 256))
     # Narrow rows first: which id encodes each content.  Copies fold before the shuffle.
-    marked = settle(rows.select("doc_id", "content"))
-    cache = read_cache(spark, cache_dir).where(F.col("tokenizer") == version).select("content", "n_bytes", "n_tokens").dropDuplicates(["content"])
-    missing = marked.groupBy("content").agg(F.min("doc_id").alias("m_id")).join(cache, "content", "left_anti").withColumnRenamed("content", "m_content")
-    # The text of each distinct miss, taken from the row with the smallest id, so a hot text moves once.
+    marked = settle(rows.select("doc_id", "n_bytes", "content"))
+    have = lambda: read_cache(spark, cache_dir).where(F.col("tokenizer") == version).select("content", "n_tokens").dropDuplicates(["content"])
+    contents = settle(marked.groupBy("content").agg(F.min("doc_id").alias("m_id"), F.count(F.lit(1)).alias("copies")))
+    missing = contents.join(have(), "content", "left_anti").select(F.col("content").alias("m_content"), "m_id")
+    # The text of each distinct miss, taken from the row with the smallest id.
     texts = rows.join(missing, (rows["content"] == missing["m_content"]) & rows["doc_id"].eqNullSafe(missing["m_id"])).select("content", "text")
     encode_counts(texts, path, version).write.mode("append").parquet(cache_dir)
-    known = read_cache(spark, cache_dir).where(F.col("tokenizer") == version).select("content", "n_bytes", "n_tokens").dropDuplicates(["content"])
-    return marked.join(known, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    known = have()
+    # A content that a thousandth of all rows hold would meet in one task; there are at most a thousand such.
+    hot = contents.where(F.col("copies") * HOT_SHARE >= marked.count()).select("content")
+    often = marked.join(F.broadcast(known.join(F.broadcast(hot), "content")), "content")
+    rest = marked.join(F.broadcast(hot), "content", "left_anti").join(known, "content")
+    return often.unionByName(rest).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
-    """Counts of piece_bpe_32k.model for all documents; the cache begins empty for each call."""
+    """Counts of piece_bpe_32k.model for all documents; the cache begins empty for each call.
+
+    The documents come in two deliveries, as a growing corpus does: those up to the middle of the ids,
+    then all others, whose copies of earlier contents are found in the cache.
+    """
     import public_tokenizers as P
 
-    return token_counts(read_table(spark, sf_dir, "documents"), P.path("piece_bpe_32k.model"), f"{scratch(spark)}/cache")
+    docs = read_table(spark, sf_dir, "documents")
+    lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    early = F.coalesce(F.col("doc_id") <= F.lit(((lo or 0) + (hi or 0)) // 2), F.lit(False))
+    path, cache = P.path("piece_bpe_32k.model"), f"{scratch(spark)}/cache"
+    # Kept before the cache grows: two reads of one folder in one plan would count as the same rows.
+    first = settle(token_counts(docs.where(early), path, cache))
+    return first.unionByName(settle(token_counts(docs.where(~early), path, cache)))
