@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.llm import ann, langid, mixing, packing, quality, sharding
+from voxloom.llm import ann, langid, mixing, packing, quality, sharding, topics
 
 SF = "/root/testdata/sf0.01"
 
@@ -301,80 +301,147 @@ def test_quality_odd_rows(spark):
 # --- mixing ----------------------------------------------------------------------------------------
 
 
-def rake(cells, power, rounds=500):
-    w = {k: float(v) for k, v in cells.items()}
-    total = sum(w.values())
+def brute_rake(cells, goals, rounds=600):
+    """cells: values -> tokens; goals: by margin, value -> share."""
+    w, total = {k: float(v) for k, v in cells.items()}, sum(cells.values())
     for _ in range(rounds):
-        for m in range(3):
-            share, have = collections.Counter(), collections.Counter()
-            for k, v in cells.items():
-                share[k[m]] += v
+        for m, goal in enumerate(goals):
+            have = collections.Counter()
+            for k in cells:
                 have[k[m]] += w[k]
-            goal = {x: (v / total) ** power for x, v in share.items()}
-            s = sum(goal.values())
-            w = {k: v * goal[k[m]] / s * total / have[k[m]] for k, v in w.items()}
+            w = {k: v * goal[k[m]] * total / have[k[m]] for k, v in w.items()}
     return {k: w[k] / cells[k] for k in cells}
 
 
+def brute_goals(cells, power):
+    """Tempered shares of source and language; a language's target divided among its topics."""
+    total, goals = sum(cells.values()), []
+    for m in range(3):
+        share = collections.Counter()
+        for k, v in cells.items():
+            share[k[m]] += v / total
+        goals.append({x: v**power for x, v in share.items()})
+    goals[:2] = [{x: v / sum(g.values()) for x, v in g.items()} for g in goals[:2]]
+    lang = {k[2]: k[1] for k in cells}
+    goals[2] = {t: goals[1][lang[t]] * v / sum(y for x, y in goals[2].items() if lang[x] == lang[t]) for t, v in goals[2].items()}
+    return goals
+
+
 def test_mixing(spark):
     out = mixing.op9_mixing(spark, SF).toPandas()
     cells = collections.Counter()
     for r in out.itertuples():
         cells[r.source, r.lang, r.topic] += r.n_tokens
-    want = rake(cells, 0.7)
+    want = brute_rake(cells, brute_goals(cells, 0.7))
     assert all(abs(want[r.source, r.lang, r.topic] - r.weight) < 1e-6 for r in out.itertuples())
+    assert out["raked_residual"].max() < 1e-8  # these margins can be met
     total = out["n_tokens"].sum()
     assert abs((out["n_tokens"] * out["p"]).sum() / total - 0.6) < 1e-6 and out["p"].between(0, 1).all()
     assert abs((out["n_tokens"] * out["drawn"]).sum() / total - 0.6) < 0.05
-    again = mixing.op9_mixing(spark, SF).toPandas().set_index("doc_id")["drawn"]
-    assert (again.sort_index() == out.set_index("doc_id")["drawn"].sort_index()).all()
-
-
-def test_mixing_by_frames_is_the_same(spark):
-    d = documents(spark).withColumn("t", mixing.layout_topic())
-    a = mixing.calibrate(d, ["lang", "t"], 0.6, 0.7).select("doc_id", F.col("__p").alias("a"))
-    b = mixing.calibrate(d, ["lang", "t"], 0.6, 0.7, driver_cells=0).select("doc_id", F.col("__p").alias("b"))
-    assert a.join(b, "doc_id").where("abs(a - b) > 1e-6").count() == 0
+    drawn = out[out["drawn"]]["doc_id"]
+    assert sorted(r["doc_id"] for r in mixing.draw(documents(spark)).select("doc_id").collect()) == sorted(drawn)
+    n = {r.doc_id: len(packing.ByteBpe(*packing.default_paths()).ids(r.text)) for r in documents(spark).limit(50).toPandas().itertuples()}
+    assert all(out.set_index("doc_id")["n_tokens"][d] == k + 1 for d, k in n.items())
 
 
 def test_mixing_meets_its_margins(spark):
+    """Values with fewer tokens than their goal are kept whole, the others of their margin (topics: of their
+    language) share what is left in proportion to their targets."""
     out = mixing.mix(documents(spark))
-    met = mixing.margins_met(out, ["source", "lang", "__topic"], 0.7).collect()
-    assert len(met) == 29
-    for m in ("source", "lang", "__topic"):
-        rows = [r for r in met if r["margin"] == m]
-        # Values with fewer tokens than 0.6 of their target are kept whole, the others are in proportion to it.
-        whole = {r["value"] for r in rows if r["expected"] * 0.6 > r["actual"] - 1e-6}
-        assert bool(whole) == (m == "__topic")
-        left = (1 - sum(r["actual"] / 0.6 for r in rows if r["value"] in whole)) / sum(r["target"] for r in rows if r["value"] not in whole)
-        for r in rows:
-            assert r["expected"] == pytest.approx(min(r["actual"] / 0.6, r["target"] * left), abs=1e-6)
-            assert abs(r["drawn"] - r["expected"]) < 0.04
-
-
-def test_mixing_weighs_tokens(spark):
-    texts = ["漢字かな交じり文" * 40, "x" * 4000, "plain words here", "", None]
-    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
-    bpe = packing.ByteBpe(*packing.default_paths())
-    assert {r["doc_id"]: r["__tokens"] for r in mixing.mix(df).collect()} == {i: len(bpe.ids(t or "")) + 1 for i, t in enumerate(texts)}
-    out, kept = mixing.op9_mixing(spark, SF), mixing.mix(documents(spark)).where("__drawn")
-    assert sorted(r["doc_id"] for r in out.where("drawn").collect()) == sorted(r["doc_id"] for r in kept.select("doc_id").collect())
+    met = mixing.margins_met(out, list(mixing.MARGINS)).collect()
+    assert abs(out.first()["residual"] - max(abs(r["raked"] - r["expected"]) for r in met)) < 1e-9
+    rows = {m: {r["value"]: r for r in met if r["margin"] == m} for m in mixing.MARGINS}
+    goals = {m: {v: r["expected"] for v, r in rows[m].items()} for m in mixing.MARGINS}
+    sets = [list(rows["source"].values()), list(rows["lang"].values())] + [[r for v, r in rows["topic"].items() if v.split("/")[0] == x] for x in goals["lang"]]
+    for k, group in enumerate(sets):
+        wanted = 1.0 if k < 2 else goals["lang"][list(goals["lang"])[k - 2]]
+        whole = [r for r in group if r["expected"] * 0.6 > r["actual"] - 1e-7]
+        rest = [r for r in group if r not in whole]
+        left = (wanted - sum(r["actual"] / 0.6 for r in whole)) / max(1e-12, sum(r["raked"] for r in rest))
+        for r in rest:
+            assert r["expected"] == pytest.approx(r["raked"] * left, abs=2e-4)
+        assert all(abs(r["taken"] - r["expected"]) < 0.04 for r in group)
+
+
+def margins(cells, targets=None, power=1.0):
+    tokens = np.array([float(c[-1]) for c in cells])
+    names = [f"m{i}" for i in range(len(cells[0]) - 1)]
+    return tokens, mixing.margins_of([[c[i] for c in cells] for i in range(len(names))], tokens, names, power, targets)
+
+
+def test_margins_that_cannot_be_met_are_reported(spark):
+    cells = [("A", "x", 100), ("B", "y", 50), ("C", "y", 50)]
+    tokens, found = margins(cells, power=0.5)
+    assert mixing.rake(tokens, found)[1] > 0.03  # x and A are the same rows, with different targets
+    same = {"m0": {"A": 1, "B": 1, "C": 2}, "m1": {"x": 1, "y": 3}}
+    tokens, found = margins(cells, same)
+    factor, off = mixing.rake(tokens, found)
+    assert off < 1e-9 and (factor * tokens / tokens.sum()).tolist() == pytest.approx([0.25, 0.25, 0.5])
+    df = spark.createDataFrame([(i, a, b, n) for i, (a, b, n) in enumerate(cells)], "id int, a string, b string, n int")
+    call = lambda **k: mixing.calibrate(df, {"a": F.col("a"), "b": F.col("b")}, F.col("n"), [F.col("id")], ["id"], **k)
+    assert call(power=0.5).first()["raked_residual"] > 0.03
+    with pytest.raises(ValueError, match="no weights meet"):
+        call(power=0.5, tolerated=0.01)
+    assert call(targets={"a": same["m0"], "b": same["m1"]}, tolerated=1e-6).count() == 3
+    with pytest.raises(ValueError, match="no target weight"):
+        call(targets={"a": {"A": 1}})
+    with pytest.raises(ValueError, match="negative"):
+        call(targets={"a": {"A": -1, "B": 1, "C": 1}})
 
 
 def test_mixing_bound():
     # Every target can be met at 0.6, yet the raked factor of one cell is above 1 / 0.6.
     cells = [("a", "x", 100), ("a", "y", 900), ("b", "x", 900), ("b", "y", 2100)]
-    factor = mixing.rake_driver(cells, 2, 0.4)
-    p = mixing.bound_driver(cells, factor, 2, 0.6, 0.4)
-    kept = [q * c[2] for q, c in zip(p, cells, strict=True)]
-    assert max(factor) * 0.6 > 1 >= max(p) and sum(kept) == pytest.approx(2400)
+    tokens, found = margins(cells, power=0.4)
+    factor, off = mixing.rake(tokens, found)
+    p, short = mixing.bounded(tokens, factor, found, 0.6)
+    kept = p * tokens
+    assert off < 1e-9 and short < 1e-6 and max(factor) * 0.6 > 1 >= max(p) and kept.sum() == pytest.approx(2400)
     for m, v, a in ((0, "a", 0.25), (1, "x", 0.25)):
         assert sum(k for k, c in zip(kept, cells, strict=True) if c[m] == v) == pytest.approx(2400 * a**0.4 / (a**0.4 + (1 - a) ** 0.4), rel=1e-6)
+    assert mixing.scale_for(np.array([2.0, 0.5]), np.array([10.0, 30.0]), 40.0) == pytest.approx(2.0)
+
+
+ODD_MIX = [(1, None, None, "s", 2, 7, True, "x"), (1, None, None, "s", 2, 7, True, "x"), (2, "", "en", None, 1, None, None, None), (None, "a b c", "en", "s", 0, 1, False, ""), (3, "long words " * 40_000, "en", "s", 0, 1, False, ""), (4, "x" * 300_000, "en", "s", 0, 1, False, "")]
 
 
 def test_mixing_odd_rows(spark):
-    df = spark.createDataFrame([(1, None, None, "s", 2), (1, None, None, "s", 2), (2, "", "en", None, 1), (None, "a b c", "en", "s", 0)], "doc_id long, text string, lang string, source string, tokens int")
-    out = mixing.mix(df).collect()
-    assert len(out) == 4 and all(0 <= r["__p"] <= 1 for r in out)
-    assert mixing.mix(df.where("false")).count() == 0
-    assert mixing.scale_for([(2.0, 10.0), (0.5, 30.0)], 40.0) == pytest.approx(2.0)
+    """Nulls, repeats, very long texts and columns named like the result's or like what is inside."""
+    df = spark.createDataFrame(ODD_MIX, "doc_id long, text string, lang string, source string, n_tokens int, topic int, drawn boolean, k0 string")
+    out = mixing.mix(df)
+    got = out.collect()
+    assert out.columns == ["doc_id", *mixing.MARGINS, *mixing.RESULT] and len(got) == 6 and all(0 <= r["p"] <= 1 for r in got)
+    kept = mixing.draw(df, keep_share=1.0)
+    assert kept.columns == df.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, df.collect()))
+    assert mixing.mix(df.where("false")).count() == mixing.draw(df.where("false")).count() == 0
+    with pytest.raises(ValueError, match="in the way"):
+        mixing.calibrate(df, {"lang": F.col("lang")}, F.lit(1), [F.col("doc_id")], ["drawn"])
+
+
+def test_mixing_weighs_tokens(spark):
+    texts = ["漢字かな交じり文" * 40, "x" * 4000, "plain words here", "", None]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    bpe = packing.ByteBpe(*packing.default_paths())
+    assert {r["doc_id"]: r["n_tokens"] for r in mixing.mix(df).collect()} == {i: len(bpe.ids(t or "")) + 1 for i, t in enumerate(texts)}
+
+
+def test_topics_are_those_of_the_words(spark):
+    """Documents of three vocabularies in each of two languages, and one language with too few rows."""
+    import random
+
+    r, rows, kind = random.Random(0), [], {}
+    for i in range(600):
+        lang, t = ("aa", "bb")[i % 2], i % 3
+        kind[i] = (lang, t)
+        rows.append((i, " ".join(f"{lang}{t}w{r.randrange(40)}" if r.random() < 0.6 else f"{lang}{r.randrange(200)}" for _ in range(80)), lang))
+    rows += [(1000, "few rows", "cc"), (1001, "", "aa"), (1002, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = topics.train(df, "doc_id", "lang", "text")
+    got = {x["doc_id"]: x["t"] for x in df.select("doc_id", topics.topic_of(model, F.col("lang"), F.col("text")).alias("t")).collect()}
+    seen = collections.defaultdict(set)
+    for i, t in got.items():
+        if i < 1000:
+            seen[t].add(kind[i])
+    assert all(len(k) == 1 for k in seen.values()) and len({k for v in seen.values() for k in v}) == 6
+    assert got[1000] == "cc/0" and got[1001] == "aa/0" and got[1002] == "/0"
+    assert topics.train(df.where("false"), "doc_id", "lang", "text").centres == {}
