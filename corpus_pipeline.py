@@ -8,7 +8,7 @@ from voxloom import ship
 from voxloom.llm.common import read_table, scratch, semi_rows
 from voxloom.llm.exact_dedup import drop_exact_copies
 from voxloom.llm.minhash import near_components
-from voxloom.llm.mixing import mix
+from voxloom.llm.mixing import draw
 from voxloom.llm.packing import default_paths, pack, pieces
 from voxloom.llm.quality import judge, train
 
@@ -36,7 +36,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that sources, languages and topics have their target weights; values too scarce
     for theirs are kept whole."""
     ship(spark)
-    return mix(docs).where("__drawn").select(*docs.columns)
+    return draw(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
