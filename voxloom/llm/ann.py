@@ -6,16 +6,19 @@ wanted share of the index, and its candidates are reranked by exact cosine in do
 
 Equal vectors are indexed once with their smallest ids, which is all that a result of k rows can use,
 so a vector that a third of the rows repeat costs one entry.  Cells are laid out in blocks of bounded
-size and queries come in bounded sets: a block meets a query set only where the walk led there.
+size.  The index is shuffled once, whatever the number of queries: queries go to the blocks that their
+walks met, and a task reads a block's entries, then streams the queries by, a batch at a time.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,8 +26,9 @@ from pyspark.sql import Window as W
 from voxloom.llm.common import read_table, settle
 
 TRAIN_ROWS = 10_000  # bound of the sample that centroids are fitted on
-PROBE_SHARE = 0.7  # share of the index a query's cells must hold; measured recall is in the tests
+PROBE_SHARE = 0.4  # share of the index a query's cells must hold; measured recall is in the tests
 BLOCK = 4096
+CENTROIDS = 128  # of each half at most
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -44,20 +48,78 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def walk(d0: np.ndarray, d1: np.ndarray, counts: np.ndarray, wanted: float) -> list[int]:
-    """Cells i * K1 + j in order of d0[i] + d1[j] until they hold `wanted` entries."""
-    o0, o1, k1 = np.argsort(d0, kind="stable"), np.argsort(d1, kind="stable"), len(d1)
-    heap, met, have, out = [(d0[o0[0]] + d1[o1[0]], 0, 0)], {(0, 0)}, 0, []
+    """Cells i * K1 + j in order of d0[i] + d1[j] until they hold `wanted` entries.
+
+    The heap holds one pair for each first centroid that has been opened; the next is opened when the
+    first pair of the last one is taken, as none of its pairs can come before.
+    """
+    o0, o1 = np.argsort(d0, kind="stable"), np.argsort(d1, kind="stable")
+    a, b, k0, k1 = d0[o0].tolist(), d1[o1].tolist(), len(d0), len(d1)
+    held = counts.reshape(k0, k1)[np.ix_(o0, o1)].tolist()
+    heap, have, out = [(a[0] + b[0], 0, 0)], 0, []
     while heap and have < wanted:
-        _, i, j = heapq.heappop(heap)
-        cell = int(o0[i]) * k1 + int(o1[j])
-        if counts[cell]:
-            have += int(counts[cell])
-            out.append(cell)
-        for a, b in ((i + 1, j), (i, j + 1)):
-            if a < len(o0) and b < k1 and (a, b) not in met:
-                met.add((a, b))
-                heapq.heappush(heap, (d0[o0[a]] + d1[o1[b]], a, b))
-    return out
+        _, i, j = heap[0]
+        if n := held[i][j]:
+            have += n
+            out.append((i, j))
+        if j + 1 < k1:
+            heapq.heapreplace(heap, (a[i] + b[j + 1], i, j + 1))
+        else:
+            heapq.heappop(heap)
+        if not j and i + 1 < k0:
+            heapq.heappush(heap, (a[i + 1] + b[0], i + 1, 0))
+    at = np.array(out, dtype=np.int64).reshape(-1, 2)
+    return (o0[at[:, 0]] * k1 + o1[at[:, 1]]).tolist()
+
+
+def nearest_of(v: np.ndarray, norm: np.ndarray, ids: list, cells: np.ndarray, q: int, qv: np.ndarray, met: np.ndarray, k: int) -> list[tuple[int, float]]:
+    """The k best (id, cosine) for one query among a block's entries in the cells that it met."""
+    at = np.flatnonzero(np.isin(cells, met))
+    if not len(at):
+        return []
+    s = (v[at] @ qv) / (norm[at] * np.linalg.norm(qv))
+    least = np.partition(s, -(k + 1))[-(k + 1)] if len(s) > k + 1 else -np.inf
+    own = [(s[i], int(x)) for i in np.flatnonzero(s >= least) for x in ids[at[i]] if x != q]
+    own.sort(key=lambda t: (-t[0], t[1]))
+    return [(x, float(y)) for y, x in own[:k]]
+
+
+FOUND = pa.schema([("query_id", pa.int64()), ("qh", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def meet(k: int):
+    """For rows (block, kind, id, h, v, ids, cells) sorted by block and kind: entries (kind 0) are kept until
+    the block ends, queries (kind 1) pass by.  A block has at most about BLOCK entries, so what is kept is
+    bounded, however many queries there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, vs, idss, cellss, ready = None, [], [], [], None
+        for batch in batches:
+            out = []
+            cols = {n: batch.column(n) for n in ("block", "kind", "id", "h")}
+            blocks, kinds, ids, hs = (c.to_numpy(zero_copy_only=False) for c in cols.values())
+            flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(blocks), -1)
+            edge = np.concatenate(([0], np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1, [len(blocks)]))
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if blocks[lo] != block:
+                    block, vs, idss, cellss, ready = blocks[lo], [], [], [], None
+                if kinds[lo] == 0:
+                    vs.append(flat[lo:hi].copy())
+                    idss += batch.column("ids").slice(lo, hi - lo).to_pylist()
+                    cellss += [c[0] for c in batch.column("cells").slice(lo, hi - lo).to_pylist()]
+                    continue
+                if not vs:
+                    continue
+                if ready is None:
+                    v = np.concatenate(vs)
+                    ready = v, np.linalg.norm(v, axis=1), idss, np.array(cellss)
+                met = batch.column("cells").slice(lo, hi - lo)
+                for i in range(lo, hi):
+                    out += [(ids[i], hs[i], x, y) for x, y in nearest_of(*ready, ids[i], flat[i], met[i - lo].values.to_numpy(zero_copy_only=False), k)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), FOUND, strict=True)], schema=FOUND)
+
+    return run
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -75,7 +137,8 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k:
 
     Rows that repeat id and vector count once; a repeated id with other vectors is a row of its own
     (as a query it gets a ranking for each).  With fewer than k candidates all are returned, and
-    without usable rows nothing.  Other columns are ignored.
+    without usable rows nothing.  Vectors of another length than most are left out, as no cosine with
+    the others exists.  Other columns are ignored.
     """
     spark = df.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -92,7 +155,7 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k:
     sample = np.array([r[0] for r in rows.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(train_rows).collect()])
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
     half = max(1, sample.shape[1] // 2)
-    size = centroids or 2 ** min(8, max(4, round(math.log2(total) / 4) + 1))
+    size = centroids or 2 ** min(int(math.log2(CENTROIDS)), max(4, round(math.log2(total / 8))))
     books = kmeans(sample[:, :half], size), kmeans(sample[:, half:], size) if sample.shape[1] > half else np.zeros((1, 0))
     k1 = len(books[1])
 
@@ -130,36 +193,21 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k:
                 for c in walk(*d, counts, max(wanted, k + 1)):
                     for m in range(int(parts[c])):
                         by.setdefault(int(first[c]) + m, []).append(c)
-                out += [(q, v, b, cells) for b, cells in by.items()]
-            yield pd.DataFrame(out, columns=["q", "qv", "block", "cells"])
-
-    asked = rows.where(F.col("vec_id") % every == 0)
-    sets = max(1, -(-asked.count() // BLOCK))
-    queries = asked.mapInPandas(route, "q long, qv array<double>, block long, cells array<int>").withColumn("part", F.pmod(F.xxhash64("q"), F.lit(sets)).cast("int"))
-    # Cells to blocks by position in literal arrays, as long as there are pairs of centroids.
-    fa, pa_ = F.lit(first.tolist()), F.lit(parts.tolist())
-    laid = index.withColumn("block", F.get(fa, F.col("cell")) + F.pmod(F.xxhash64("v"), F.get(pa_, F.col("cell")))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "qh": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if not len(left) or not len(right):
-            return none
-        v, cells = np.stack(left["v"].to_numpy()), left["cell"].to_numpy()
-        norm, ids = np.linalg.norm(v, axis=1), left["ids"].to_numpy()
-        out = []
-        for q, qv, met, qh in zip(right["q"], right["qv"], right["cells"], right["qh"], strict=True):
-            at = np.flatnonzero(np.isin(cells, met))
-            if not len(at):
-                continue
-            s = (v[at] @ qv) / (norm[at] * np.linalg.norm(qv))
-            least = np.partition(s, -(k + 1))[-(k + 1)] if len(s) > k + 1 else -np.inf
-            own = [(s[i], int(x)) for i in np.flatnonzero(s >= least) for x in ids[at[i]] if x != q]
-            own.sort(key=lambda t: (-t[0], t[1]))
-            out += [(q, qh, x, y) for y, x in own[:k]]
-        return pd.DataFrame(out, columns=["query_id", "qh", "vec_id", "score"]) if out else none
-
-    queries = queries.withColumn("qh", F.xxhash64("qv"))
-    found = laid.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInPandas(meet, "query_id long, qh long, vec_id long, score double")
+                out += [(b, q, v, cells) for b, cells in by.items()]
+            yield pd.DataFrame(out, columns=["block", "id", "v", "cells"])
+
+    asked = rows.where(F.col("vec_id") % every == 0).mapInPandas(route, "block long, id long, v array<double>, cells array<int>")
+
+    @F.arrow_udf("long")
+    def block_of(cell: pa.Array, h: pa.Array) -> pa.Array:
+        c = cell.to_numpy(zero_copy_only=False)
+        return pa.array(first[c] + h.to_numpy(zero_copy_only=False) % parts[c])
+
+    none = F.lit(0).cast("long")
+    entries = index.select(block_of("cell", F.xxhash64("v")).alias("block"), F.lit(0).alias("kind"), none.alias("id"), none.alias("h"), "v", "ids", F.array("cell").alias("cells"))
+    queries = asked.select("block", F.lit(1).alias("kind"), "id", F.xxhash64("v").alias("h"), "v", F.array().cast("array<long>").alias("ids"), "cells")
+    by_block = entries.unionByName(queries).repartition("block").sortWithinPartitions("block", "kind")
+    found = by_block.mapInArrow(meet(k), "query_id long, qh long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id", "qh").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
