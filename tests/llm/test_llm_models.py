@@ -85,10 +85,40 @@ def test_search_leaves_no_exchange(low, high, count, capacity):
             assert not [g for g in sizes[a] + swaps if 0 < g <= capacity - fb and fb + g > fa]
 
 
-def test_search_narrow_lengths():
-    n = np.random.default_rng(0).integers(400, 1100, 20_000)
+@pytest.mark.parametrize("count", [2_000, 10_000, packing.GROUP_PIECES])
+def test_search_narrow_lengths(count):
+    """Lengths of which best fit wastes 7 % are packed to within 2 % of the tokens, at every group size."""
+    n = np.random.default_rng(0).integers(400, 720, count)
     start = packing.best_fit(n, 2048)
-    assert len(packing.local_search([list(b) for b in start], n, 2048)) < 0.99 * len(start)
+    end = packing.local_search([list(b) for b in start], n, 2048)
+    least = -(-int(n.sum()) // 2048)
+    assert len(start) > 1.06 * least and len(end) <= 1.02 * least
+    assert sorted(i for b in end for i in b) == list(range(count))
+
+
+def test_ties_are_packed_the_same_way():
+    n = np.array([700] * 40 + [648] * 40 + [1] * 7)
+    one, two = packing.pack_group(n, 2048), packing.pack_group(n.copy(), 2048)
+    assert (one[0] == two[0]).all() and (one[1] == two[1]).all()
+    assert np.bincount(one[0], n).max() <= 2048 and len(set(zip(*map(tuple, one), strict=True))) == len(n)
+
+
+PIECES = ["the", "The", "don't", "we'LL", "x'sy", "été", "Straße", "Ünder", "1234567", "3.14", "100%", "–", "—", "“q”", "‘s", "’s", "€5", "¿qué?", "...", "!?", "\n", "\n\n\n", " ", "   ", "\t", "\r\n", "\x0b", "\x0c", "a_b", "<b>", "http://x.y/z?a=1&b=2", "ſ", "ÿ", "¡", "®", "¬", "~", "_", "''", "n't"]
+
+
+def test_fast_ids_are_the_librarys():
+    """The rank file and the tokenizer's own file split plain texts alike: 600,000 short random texts."""
+    import random
+
+    bpe, r = packing.ByteBpe(*packing.default_paths()), random.Random(5)
+    alphabet = [chr(c) for c in (*range(9, 14), *range(32, 127), *range(0xA1, 0xAD), *range(0xAE, 0x180), *range(0x2018, 0x201E), 0x2013, 0x2014, 0x20AC)]
+    alphabet = [c for c in alphabet if packing._PLAIN.fullmatch(c)]
+    for _ in range(300):
+        texts = ["".join(r.choice(PIECES) if r.random() < 0.7 else r.choice(alphabet) for _ in range(r.randint(1, 9))) for _ in range(2000)]
+        texts = [t for t in texts if "<|" not in t and packing._PLAIN.fullmatch(t)]
+        assert len(texts) > 1900
+        want = [e.ids for e in bpe.exact.encode_batch(texts, add_special_tokens=False)]
+        assert bpe.fast.encode_ordinary_batch(texts, num_threads=4) == want
 
 
 # --- sharding --------------------------------------------------------------------------------------
@@ -143,7 +173,7 @@ def test_growth_moves_little(spark):
     a = sharding.assign_shards(df, key, [F.col("doc_id")], 8).select("doc_id", F.col("shard").alias("a"))
     b = sharding.assign_shards(df, key, [F.col("doc_id")], 9).select("doc_id", F.col("shard").alias("b"))
     moved = a.join(b, "doc_id").where("a <> b").count() / df.count()
-    assert moved < 0.45  # a modulus would move eight in nine
+    assert moved < 0.2  # one in nine has to move; a modulus would move eight in nine
     assert sharding.assign_shards(df.where("false"), key, [F.col("doc_id")]).count() == 0
 
 

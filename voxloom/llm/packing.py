@@ -185,7 +185,7 @@ def pair_sums(held: dict[int, list[int]]) -> set[int]:
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Improve the underfull bins: every accepted exchange raises the sum of squared fills.
 
-    Each round takes the underfull bins from the fullest and fills each from all others: by the one move
+    Each round takes the underfull bins from the emptiest and fills each from all others: by the one move
     (a piece), swap (one for one) or double swap (two for one) that fills it most, until none raises the
     sum; a bin that has lost all its pieces is dropped.  Rounds end when nothing changes.
     Equal lengths in a bin are alike, so a bin has at most sqrt(2 * capacity) pieces to try.
@@ -225,7 +225,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
     while changed:
         changed = False
         ones, twos = Offers(capacity, fill, held), Offers(capacity, fill, sums)
-        order = sorted((b for b in range(len(open_)) if 0 < fill[b] < capacity), key=lambda b: -fill[b])
+        order = sorted((b for b in range(len(open_)) if 0 < fill[b] < capacity), key=lambda b: fill[b])
         for b in order:
             ones.put(b)
             twos.put(b)
