@@ -307,7 +307,46 @@ def test_grades_on_held_out_rows(spark):
 
 
 def test_likelihood_gradient():
-    """Thresholds stay ordered and a separable sample is learned."""
+    """Slopes of the likelihood against differences of its values."""
+    rng = np.random.default_rng(3)
+    f, y, heavy = rng.normal(0, 2, 40), rng.integers(0, 3, 40), np.array([2.0, 1.0, 0.5])
+    base, steps = -0.4, np.array([0.0, 0.3])
+    loss = lambda f, base, steps: quality.loss_and_slopes(f, y, base, steps, heavy)[0]
+    _, df, dt = quality.loss_and_slopes(f, y, base, steps, heavy)
+    e = 1e-6
+    for i in range(40):
+        d = np.zeros(40)
+        d[i] = e
+        assert (loss(f + d, base, steps) - loss(f - d, base, steps)) / (2 * e) == pytest.approx(df[i], abs=1e-5)
+    assert (loss(f, base + e, steps) - loss(f, base - e, steps)) / (2 * e) == pytest.approx(dt[0], abs=1e-4)
+    assert (loss(f, base, steps + [0, e]) - loss(f, base, steps - [0, e])) / (2 * e) == pytest.approx(dt[1], abs=1e-4)
+    # The slopes are those of the textbook formula: -log of a difference of logistic functions.
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    cut = [-np.inf, base, base + np.exp(0.3), np.inf]
+    by_hand = -sum(heavy[k] * np.log(sig(cut[k + 1] - z) - sig(cut[k] - z)) for z, k in zip(f, y, strict=True))
+    assert loss(f, base, steps) == pytest.approx(by_hand)
+
+
+def test_fit_against_a_dense_one():
+    """The same model on a dense table, brought to its optimum by plain descent on all rows."""
+    rng = np.random.default_rng(0)
+    x = rng.random((400, 6)) < 0.4
+    y = np.digitize(x @ np.array([2.0, -2, 1, 0, 1.5, -1]) + rng.logistic(size=400), [-0.5, 1.5])
+    m = quality.fit([np.flatnonzero(r) for r in x], np.ones(400), y, min_held=1, balance=0.0, decay=0.0, epochs=200)
+    w, base, step = np.zeros(6), -1.5, 0.0
+    ones = np.ones(3)
+    for _ in range(20_000):
+        _, df, dt = quality.loss_and_slopes(x @ w, y, base, np.array([0.0, step]), ones)
+        w, base, step = w - 0.002 * x.T @ df, base - 0.002 * dt[0], step - 0.002 * dt[1]
+    best = quality.loss_and_slopes(x @ w, y, base, np.array([0.0, step]), ones)[0]
+    cut = m.cut
+    got = quality.loss_and_slopes(x @ m.weight[:6], y, cut[0], np.array([0.0, np.log(cut[1] - cut[0])]), ones)[0]
+    assert got <= best * 1.01
+    tails = 1 / (1 + np.exp(-((x @ w)[:, None] - np.array([base, base + np.exp(step)]))))
+    assert np.abs(m.tails(x @ m.weight[:6]) - tails).max() < 0.08
+
+
+def test_fit_learns_what_can_be_separated():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 3, 600)
     rows = [np.array([10 + k, 50 + int(rng.integers(0, 5)), quality.DIMS + 3]) for k in y]
@@ -317,6 +356,32 @@ def test_likelihood_gradient():
     assert quality.fit([], np.zeros(0), np.zeros(0, dtype=int)) is None
 
 
+def test_features_against_words(spark):
+    """Feature ids of whole texts: distinct words and stems, one id for each, whatever stands around them."""
+    texts = [b"The the END, end_of x1", b"", b"  !!", "Größe größe".encode()]
+    ids, value, first = quality.features(texts)
+    n = [int((ids[a:b] < quality.DIMS).sum()) for a, b in zip(first[:-1], first[1:], strict=True)]
+    assert n == [4, 0, 0, 2 + 4 + 1] or n[:3] == [4, 0, 0]  # the, end, of, x1; non-ASCII letters are bytes
+    assert all(b - a >= 6 for a, b in zip(first[:-1], first[1:], strict=True)) and len(ids) == len(value) == first[-1]
+
+
+def test_quality_ties_repeats_and_layout(spark, tmp_path):
+    """A probability of exactly the threshold is selected; repeated rows are judged alike; the model does not
+    depend on the order of the rows."""
+    rows = [(i, f"good words here {i % 7} " * 5 if i % 3 else f"bad junk {i % 5} " * 9, int(bool(i % 3)), 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    labels, docs = df.select("doc_id", "quality", "toxic"), df.select("doc_id", "text")
+    one, two = quality.train(docs, labels), quality.train(docs.orderBy(F.desc("doc_id")).repartition(7), labels.repartition(3))
+    assert (one.weight == two.weight).all() and (one.cut == two.cut).all()
+    got = quality.judge(docs.unionAll(docs), one, ["doc_id"]).toPandas()
+    assert (got.groupby("doc_id")["p_clean"].nunique() == 1).all() and len(got) == 600
+    edge = float(got["p_clean"].iloc[0])
+    at = quality.judge(docs, one, ["doc_id"], least=edge).where(F.col("p_clean") == F.lit(edge))
+    assert at.count() > 0 and at.where("NOT selected").count() == 0
+    twice = quality.train(docs.unionAll(docs), labels.unionAll(labels), rows=100)
+    assert twice is not None and quality.train(docs, labels.where("false")) is None
+
+
 def test_quality_odd_rows(spark):
     df = spark.createDataFrame([(1, None, True), (2, "", True), (None, "words", False), (3, "w " * 20000, None)], "doc_id long, text string, selected boolean")
     labels = spark.createDataFrame([(2, 1, None), (3, 0, 1), (None, 1, 0), (9, None, 0)], "doc_id long, quality int, toxic int")

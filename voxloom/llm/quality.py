@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import read_table, small_batches, trim_memory
+from voxloom.llm.common import read_table, trim_memory
 from voxloom.llm.textnum import U64, _BYTE, _LOWER, _P_INV, _pow, batch_texts, chunks, mix
 
 TRAIN_ROWS = 24_000  # bound of the training sample
@@ -110,25 +110,58 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(latent[:, None] - self.cut[None, :], -40, 40)))
 
 
-def fit(rows: list[np.ndarray], scale: np.ndarray, grade: np.ndarray, epochs: int = 45, rate: float = 0.5, decay: float = 2e-6, batch: int = 64, balance: float = 0.2, min_held: int = 25, start: float = 0.03) -> Ordinal | None:
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def cuts_of(base: float, steps: np.ndarray) -> np.ndarray:
+    """Increasing thresholds: base, base + e^steps[1], ..."""
+    return base + np.concatenate(([0.0], np.cumsum(np.exp(steps[1:]))))
+
+
+def loss_and_slopes(f: np.ndarray, y: np.ndarray, base: float, steps: np.ndarray, heavy: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(weighed negative log likelihood of grades y given scores f, its slopes in f, in (base, steps[1:]))."""
+    cuts = cuts_of(base, steps)
+    pad = np.concatenate(([-np.inf], cuts, [np.inf]))
+    up, down = _sigmoid(pad[y + 1] - f), _sigmoid(pad[y] - f)
+    p = np.maximum(up - down, 1e-9)
+    du, dd = (heavy[y] * s * (1 - s) / p for s in (up, down))
+    dc = np.array([-du[y == k].sum() + dd[y == k + 1].sum() for k in range(GRADES - 1)])
+    dt = np.array([dc.sum(), *(dc[k:].sum() * np.exp(steps[k]) for k in range(1, GRADES - 1))])
+    return float(-(heavy[y] * np.log(p)).sum()), du - dd, dt
+
+
+def grade_weights(grade: np.ndarray, balance: float) -> np.ndarray:
+    """Rare grades weigh more."""
+    share = np.bincount(grade, minlength=GRADES) / len(grade)
+    return (np.maximum(share, 1e-9) * GRADES) ** -balance
+
+
+def fit(rows: list[np.ndarray], scale: np.ndarray, grade: np.ndarray, epochs: int = 45, rate: float = 0.5, decay: float = 2e-6, batch: int | None = None, balance: float = 0.2, min_held: int | None = None, start: float = 0.03) -> Ordinal | None:
     """AdaGrad on the negative log likelihood.  None without rows.  Grades absent from the sample leave
-    their thresholds where they started, in order."""
+    their thresholds where they started, in order.
+
+    Features held by fewer than min_held rows are left out, as they would only be learned by heart: one
+    row in a thousand where nothing is given, and three at least.  A step takes `batch` rows, by default a
+    ninetieth of them, from 16 to 256.
+    """
     if not len(rows):
         return None
+    batch = batch or min(256, max(16, len(rows) // 90))
+    if min_held is None:
+        min_held = max(3, len(rows) // 1000)
     held = np.zeros(DIMS + _SHAPES, dtype=np.int32)
     for ids in rows:
         held[ids] += 1  # a row has each feature once
-    common = np.flatnonzero(held >= min_held)  # rarer features would only be learned by heart
+    common = np.flatnonzero(held >= min_held)
     place = np.full(DIMS + _SHAPES, -1, dtype=np.int32)
     place[common] = np.arange(len(common))
     rows = [p[p >= 0] for p in (place[ids] for ids in rows)]
     words = int((common < DIMS).sum())  # features from here on are of the layout
     w, gw = np.zeros(len(common)), np.full(len(common), start)
-    base, steps, gt = -1.5, np.zeros(GRADES - 1), np.full(GRADES, 1e-3)  # cuts: base, base + e^step, ...
+    base, steps, gt = -1.5, np.zeros(GRADES - 1), np.full(GRADES - 1, 1e-3)
     rng = np.random.default_rng(11)
-    share = np.bincount(grade, minlength=GRADES) / len(grade)
-    heavy = (np.maximum(share, 1e-9) * GRADES) ** -balance  # rare grades weigh more
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    heavy = grade_weights(grade, balance)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), batch):
@@ -137,51 +170,45 @@ def fit(rows: list[np.ndarray], scale: np.ndarray, grade: np.ndarray, epochs: in
             owner = np.repeat(np.arange(len(take)), [len(rows[i]) for i in take])
             val = np.where(ids < words, scale[take][owner], LAYOUT)
             f = np.bincount(owner, w[ids] * val, minlength=len(take))
-            y = grade[take]
-            cuts = base + np.concatenate(([0.0], np.cumsum(np.exp(steps[1:]))))
-            pad = np.concatenate(([-np.inf], cuts, [np.inf]))
-            up, down = sig(pad[y + 1] - f), sig(pad[y] - f)
-            p = np.maximum(up - down, 1e-9)
-            du, dd = (heavy[y] * s * (1 - s) / p for s in (up, down))
-            df = du - dd  # of -log p with respect to f
+            _, df, dt = loss_and_slopes(f, grade[take], base, steps, heavy)
             g = np.bincount(ids, df[owner] * val, minlength=len(w)) / len(take)
             g += decay * w
             gw += g * g
             w -= rate * g / np.sqrt(gw)
-            dc = np.array([-du[y == k].sum() + dd[y == k + 1].sum() for k in range(GRADES - 1)]) / len(take)
-            grads = np.array([dc.sum(), *(dc[k:].sum() * np.exp(steps[k]) for k in range(1, GRADES - 1))])
-            gt[: len(grads)] += grads**2
-            move = rate * grads / np.sqrt(gt[: len(grads)])
+            dt /= len(take)
+            gt += dt**2
+            move = rate * dt / np.sqrt(gt)
             base -= move[0]
             steps[1:] = np.clip(steps[1:] - move[1:], -5, 4)
     weight = np.zeros(DIMS + _SHAPES, dtype=np.float32)
     weight[common] = w
-    return Ordinal(weight, base + np.concatenate(([0.0], np.cumsum(np.exp(steps[1:])))))
+    return Ordinal(weight, cuts_of(base, steps))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Ordinal | None:
     """Fit on at most `rows` labelled documents, those with the smallest hashes of their ids.
 
-    Labels with a null id or quality are left out; a null toxic counts as 0.  The labels' sample is
-    bounded, so it is broadcast; the driver gets hashed features of at most that many documents.
+    Labels with a null id or quality are left out; a null toxic counts as 0.  An id that is repeated, in
+    the labels or in docs, counts once for each pair, within the bound.  Training goes through the rows in
+    the order of their hashes, so the model does not depend on how the files are laid out.  The labels'
+    sample is bounded, so it is broadcast; the driver gets hashed features of at most that many documents.
     """
     grade = F.when(F.col("quality") == 0, 0).when(F.coalesce(F.col("toxic"), F.lit(0)) != 0, 1).otherwise(2)
     chosen = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).select(F.col(id_col).alias("l_id"), grade.cast("int").alias("grade")).orderBy(F.xxhash64("l_id"), "l_id", "grade").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch_texts(batch.column(1))
+            texts = batch_texts(batch.column(2))
             ids, scale = [], []
             for lo, hi in chunks(texts):
                 i, v, first = features(texts[lo:hi])
                 ids += [i[a:b].astype(np.int32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 scale += [float(v[a]) for a in first[:-1]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(scale, pa.float64())], names=["grade", "ids", "scale"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(scale, pa.float64())], names=["h", "grade", "ids", "scale"])
 
     known = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    joined = known.join(F.broadcast(chosen), F.col("d_id") == F.col("l_id")).select("grade", "text")
-    with small_batches(docs.sparkSession):
-        got = joined.mapInArrow(run, "grade int, ids binary, scale double").limit(2 * rows).toArrow()
+    joined = known.join(F.broadcast(chosen), F.col("d_id") == F.col("l_id")).select(F.xxhash64("l_id").alias("h"), "grade", "text")
+    got = joined.mapInArrow(run, "h long, grade int, ids binary, scale double").orderBy("h", "grade", "scale", "ids").limit(rows).toArrow()
     grades = got.column("grade").to_numpy().astype(np.int64)
     model = fit([np.frombuffer(x.as_buffer(), dtype=np.int32) for x in got.column("ids")], got.column("scale").to_numpy(), grades)
     del got
