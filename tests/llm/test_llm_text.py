@@ -102,15 +102,36 @@ def test_exact_dedup(spark, parts):
     assert all(r["doc_id"] == r["keep_id"] for r in got if r["first"])
 
 
-def test_drop_exact_copies(spark):
-    rows = [(5, "a b"), (3, "a  b"), (3, "a  b"), (5, "other"), (None, None), (None, ""), (7, "a b")]
-    df = table(spark, rows)
-    got = drop_exact_copies(df)
-    assert got.columns == df.columns
-    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) in ([(3, "a  b"), (5, "other"), (None, None)], sorted([(3, "a  b"), (5, "other"), (None, "")], key=repr))
+@pytest.mark.parametrize("parts", [1, 3, 17])
+def test_drop_exact_copies(spark, parts):
+    rows = [(5, "a b"), (3, "a  b"), (3, "a  b"), (5, "other"), (None, None), (None, ""), (7, "a b"), *[(100 + k, "hot  text" if k % 2 else "hot text") for k in range(200)], *[(500 + k, f"a long common beginning {k % 7}") for k in range(50)]]
+    df = table(spark, rows).repartition(4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = drop_exact_copies(df)
+        assert got.columns == df.columns
+        found = got.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    least = {}
+    for i, t in rows:
+        least[norm(t)] = min(least.get(norm(t), (True, 0)), (i is None, i or 0))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in found) == sorted(least.values()) and len(found) == len(least)
+    assert all((r["doc_id"], r["text"]) in rows and r["kept"] for r in found)
     assert drop_exact_copies(table(spark, [])).count() == 0
 
 
+def test_drop_exact_copies_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a", 3, [1.5], "x"), (2, "a", 4, None, None), (3, None, 5, [], "y")], "doc_id long, text string, part int, edge array<double>, c0 string")
+    got = drop_exact_copies(df)
+    assert got.schema == df.schema or got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 3, [1.5], "x"), (3, None, 5, [], "y")]
+
+
 def brute_near(rows, num=75, den=100):
     sets = []
     for i, t in rows:

@@ -1,9 +1,10 @@
 """Exact dedup by content sort.
 
 Sampled splitters range-partition the normalised bytes (the splitters hold a short prefix, a digest
-that stands for the rest, and the id, so that they stay small), an external sort places equal texts
-side by side, and each text is compared in full with its neighbour.  A group of copies may span many
-partitions: the first and last run of each partition are stitched afterwards, by full text.
+that splits what has the same prefix, and the id, so that they stay small however long texts are), an
+external sort places equal texts side by side, and each text is compared in full with its neighbour.
+A group of copies may span many partitions: the first and last run of each partition are stitched
+afterwards, by full text.  Texts cross the network once.
 """
 
 from __future__ import annotations
@@ -11,10 +12,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from voxloom.llm.common import WS_RUN, read_table, semi_rows, settle, text_hash
+from voxloom.llm.common import WS_RUN, read_table, settle, text_hash
+
+HEAD = 16  # characters of a text in the splitters
 
 _RUNS = "doc_id long, th long, sha string, part long, run long, ord long, keep_id long, n long, edge boolean, edge_text string"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("sha", pa.string()), ("part", pa.int64()), ("run", pa.int64()), ("ord", pa.int64()), ("keep_id", pa.int64()), ("n", pa.int64()), ("edge", pa.bool_()), ("edge_text", pa.string())])
@@ -57,22 +61,25 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _sorted(df: DataFrame, id_col: str, text_col: str, extra: list[Column]) -> DataFrame:
+    """(doc_id, sha, norm, extra...) in order of content, then id, dealt by ranges of it."""
+    norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WS_RUN, " ")
+    one = df.select(F.col(id_col).alias("doc_id"), norm.alias("norm"), *extra)
+    keyed = one.select("doc_id", F.sha2("norm", 256).alias("sha"), "norm", *one.columns[2:], F.substring("norm", 1, HEAD).alias("head"))
+    last_null = F.col("doc_id").asc_nulls_last()
+    return keyed.repartitionByRange(F.col("head"), F.col("sha"), last_null).sortWithinPartitions("head", "sha", "norm", last_null).drop("head")
+
+
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, keep_id, group_size, first, n_same, text_sha256) for every row of df.
+    """(doc_id, th, keep_id, group_size, first, text_sha256) for every row of df.
 
     Texts are equal when they are so after each run of ASCII white space becomes one space; null
     counts as empty.  keep_id is the smallest id of the group (null only when all its ids are null);
     `first` marks exactly one row of each group, one with that id; group_size counts rows, so a row
-    that is repeated counts each time.  Other columns of df are ignored.
+    that is repeated counts each time.  An empty df gives an empty result.  Other columns of df are
+    ignored.
     """
-    norm = df.select(
-        F.col(id_col).alias("doc_id"),
-        text_hash(text_col).alias("th"),
-        F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WS_RUN, " ").alias("norm"),
-    )
-    keyed = norm.select("doc_id", "th", F.sha2("norm", 256).alias("sha"), "norm").withColumn("head", F.substring("norm", 1, 16))
-    last_null = F.col("doc_id").asc_nulls_last()
-    ranged = keyed.repartitionByRange(F.col("head"), F.col("sha"), last_null).sortWithinPartitions("head", "sha", "norm", last_null)
+    ranged = _sorted(df, id_col, text_col, [text_hash(text_col).alias("th")])
     runs = settle(ranged.select("doc_id", "th", "sha", "norm").mapInArrow(_runs, _RUNS))
     # At most two edge runs for each partition; equal texts among them are one group.
     edges = runs.where(F.col("edge") & (F.col("ord") == 0)).select("part", "run", "keep_id", "n", "edge_text")
@@ -86,19 +93,51 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return inner.unionByName(outer).select("doc_id", "th", "keep_id", F.col("n").alias("group_size"), ((F.col("ord") == 0) & F.col("here")).alias("first"), F.col("sha").alias("text_sha256"))
 
 
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (doc_id, sha, norm, columns...) the first of each run of equal neighbours, as (part, edge,
+    doc_id, edge_text, columns...).  A row is held back until its run ends, as the last run is an edge."""
+    from pyspark import TaskContext
+
+    part, sha, text, held, run = TaskContext.get().partitionId(), None, None, None, -1
+
+    def shaped(rows: pa.RecordBatch, edges: list[int]) -> pa.RecordBatch:
+        """edges: 0 inside, 1 the first run, 2 the last."""
+        out = [pa.array([part] * rows.num_rows, pa.int64()), pa.array(edges, pa.int32()), rows.column(0), pa.array([t.as_py() if e else None for t, e in zip(rows.column(2), edges, strict=True)], pa.string())]
+        return pa.RecordBatch.from_arrays([*out, *rows.columns[3:]], names=["part", "edge", "edge_id", "edge_text", *rows.schema.names[3:]])
+
+    for batch in batches:
+        shas, starts = batch.column(1).to_pylist(), []
+        for i, digest in enumerate(shas):
+            if digest != sha or (norm := batch.column(2)[i].as_py()) != text:
+                text, sha = batch.column(2)[i].as_py() if digest != sha else norm, digest
+                starts.append(i)
+        if not starts:
+            continue
+        if held is not None:
+            yield shaped(held, [1 if run == 0 else 0])
+        if len(starts) > 1:
+            yield shaped(batch.take(pa.array(starts[:-1])), [1 if run + 1 + k == 0 else 0 for k in range(len(starts) - 1)])
+        run += len(starts)
+        held = batch.take(pa.array(starts[-1:]))  # a copy: the batch is let go
+    if held is not None:
+        yield shaped(held, [1 if run == 0 else 2])
+
+
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the copies: of equal texts the row with the smallest id, all its columns.
 
     Rows that repeat both id and text are one row afterwards (any of them: they may differ only in
-    other columns).
+    other columns).  Whole rows go through the sort, once; only the edges of partitions are looked at
+    again.
     """
-    keep = exact_groups(df, id_col, text_col).where("first").select(F.col("doc_id").alias("id"), "th")
-    kept = semi_rows(df, keep, id_col, text_col)
-    once = F.struct(F.col(id_col).isNull(), F.coalesce(F.col(id_col), F.lit(0).cast("long")), text_hash(text_col))
-    mark = "__once"
-    while mark in df.columns:
-        mark += "_"
-    return kept.withColumn(mark, once).dropDuplicates([mark]).drop(mark)
+    extra = [F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)]
+    fields = [T.StructField("part", T.LongType()), T.StructField("edge", T.IntegerType()), T.StructField("edge_id", df.schema[id_col].dataType), T.StructField("edge_text", T.StringType())]
+    schema = T.StructType([*fields, *(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields))])
+    rows = settle(_sorted(df, id_col, text_col, extra).mapInArrow(_firsts, schema))
+    edges = rows.where("edge > 0").select("part", "edge", "edge_id", "edge_text")  # at most two for each partition
+    best = edges.groupBy("edge_text").agg(F.min(F.struct(F.col("edge_id").isNull(), "edge_id", "part", "edge")).alias("m")).select("m.part", "m.edge")
+    kept = rows.where("edge = 0").unionByName(rows.join(F.broadcast(best), ["part", "edge"], "left_semi").select(rows.columns))
+    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)))
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
