@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import read_table, settle, small_batches, text_hash, trim_memory
+from voxloom.llm.common import HOT_SHARE, hot_join, read_table, settle, small_batches, text_hash, trim_memory
 from voxloom.llm.graph import components
 from voxloom.llm.textnum import U64, batch_texts, chunks, mix, shingles
 
@@ -33,6 +33,8 @@ SIM_NUM, SIM_DEN = 75, 100
 MISS = 1e-7
 STAR_ROUNDS = 5
 RARITY_SLOTS = 1 << 20
+GROUP_SHINGLES = 1 << 20  # of the partners in one group of the exact comparison, about
+HOT_CLASSES = 2000  # classes that share a rare shingle in one task, about
 
 _g = np.random.Generator(np.random.PCG64(7))
 _A = (_g.integers(0, 2**32, size=BANDS * ROWS, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -163,18 +165,19 @@ def rare_prefixes(own: DataFrame, width: int, num: int, den: int) -> DataFrame:
 def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, miss: float, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes that are linked: Bayesian pruning, then full sets."""
     c = classes.select("cid", "n", "bits")
-    left = pairs.join(c.select(F.col("cid").alias("a"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits")), "a")
+    left = hot_join(settle(pairs), c.select(F.col("cid").alias("a"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits")), "a")
     both = left.join(c.select(F.col("cid").alias("b"), F.col("n").alias("b_n"), F.col("bits").alias("b_bits")), "b")
     fits = den * F.least("a_n", "b_n") >= num * F.greatest("a_n", "b_n")
-    alive = settle(both.where(fits & _promising(least_matches(num / den, miss))).select("a", "b"))
+    alive = settle(both.where(fits & _promising(least_matches(num / den, miss))).select("a", "b", "b_n"))
     return exact_links(alive, texts, width, num, den)
 
 
 def exact_links(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Pairs whose full sets are similar enough.  A class with many partners is dealt into groups of
-    about 64 partners, so that its text moves once for each group and no group is large."""
-    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
-    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b", "a"), (F.col("k") / 64).cast("long") + 1).alias("salt"))
+    """Pairs (a, b, b_n) whose full sets are similar enough.  A class with many partners is dealt into
+    groups of about 64 partners, or fewer large ones, so that no group is large and its own text moves once
+    for each group."""
+    many = pairs.groupBy("a").agg(F.greatest(F.count(F.lit(1)) / 64, F.sum("b_n") / GROUP_SHINGLES).cast("long").alias("k"))
+    dealt = hot_join(pairs, many, "a").select("a", "b", F.pmod(F.xxhash64("b", "a"), F.col("k") + 1).alias("salt"))
     asks = dealt.select("a", "salt", F.col("b").alias("cid")).unionByName(dealt.select("a", "salt", F.col("a").alias("cid")).distinct())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -196,6 +199,30 @@ def exact_links(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: i
     return got.groupBy("a", "salt").applyInPandas(run, "a long, b long")
 
 
+def contract(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """labels(node, comp) of linked nodes after the links more(a, b): components of the components only."""
+    own = lambda c: more.join(labels.withColumnRenamed("node", c), c, "left").select("a", "b", F.coalesce("comp", c).alias(f"c_{c}"))
+    ends = own("a").join(own("b"), ["a", "b"]).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).where("a <> b").distinct()
+    over = components(ends)
+    moved = labels.join(over.select(F.col("node").alias("comp"), F.col("comp").alias("up")), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
+    return settle(moved.unionByName(over.join(labels, "node", "left_anti").select("node", "comp")))
+
+
+def similar(rare: DataFrame, num: int, den: int, miss: float) -> DataFrame:
+    """(a, b, b_n): pairs of classes of different components that share a rare shingle at positions that
+    allow the similarity, and whose bits do.  A shingle of very many classes is dealt: one side's rows by a
+    hash, the other side's to each share; there are few such shingles, so the list is broadcast."""
+    n = rare.count()
+    hot = rare.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where((F.col("k") > HOT_CLASSES) & (F.col("k") * HOT_SHARE >= n))
+    hot = F.broadcast(settle(hot.select("s", (F.col("k") / HOT_CLASSES).cast("int").alias("shares"))))
+    x, y = (rare.select("s", F.col("i").alias(f"{c}_i"), F.col("cid").alias(c), F.col("comp").alias(f"{c}_comp"), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")).join(hot, "s", "left").withColumn("shares", F.coalesce("shares", F.lit(0))) for c in "ab")
+    x = x.withColumn("share", F.pmod(F.xxhash64("a"), F.col("shares") + 1).cast("int"))
+    y = y.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares"))))
+    fits = (num + den) * F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= num * (F.col("a_n") + F.col("b_n"))
+    # Pruned inside the join: only pairs of different components that may be similar are made.
+    return x.join(y, (x["s"] == y["s"]) & (x["share"] == y["share"]) & (x["a_comp"] < y["b_comp"]) & fits & _promising(least_matches(num / den, miss))).select("a", "b", "b_n").distinct()
+
+
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, num: int = SIM_NUM, den: int = SIM_DEN, miss: float = MISS) -> DataFrame:
     """(doc_id, th, n_shingles, component_id, kept) for every row of df.
 
@@ -243,18 +270,13 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             own = settle(within.select("cid", "comp").distinct().join(texts, "cid"))
             with small_batches(df.sparkSession):
                 rare = settle(rare_prefixes(own, width, num, den).join(classes.select("cid", "n", "bits"), "cid"))
-            x, y = (rare.select("s", F.col("i").alias(f"{c}_i"), F.col("cid").alias(c), F.col("comp").alias(f"{c}_comp"), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in "ab")
-            fits = (num + den) * F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= num * (F.col("a_n") + F.col("b_n"))
-            # Pruned inside the join: only pairs of different components that may be similar are made.
-            pairs = x.join(y, (x["s"] == y["s"]) & (x["a_comp"] < y["b_comp"]) & fits & _promising(least_matches(num / den, miss))).select("a", "b").distinct()
-            more = exact_links(settle(pairs), texts, width, num, den)
+            more = exact_links(settle(similar(rare, num, den, miss)), texts, width, num, den)
         else:
             pairs = within.where("comp <> l_comp").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
             more = verify(pairs, classes, texts, width, miss, num, den)
         more = settle(more)
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            labels = components(links)
+        if not more.isEmpty():
+            labels = contract(labels, more)
         if last:
             break
 
