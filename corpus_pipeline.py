@@ -11,6 +11,7 @@ from voxloom.llm.minhash import near_components
 from voxloom.llm.mixing import draw
 from voxloom.llm.packing import default_paths, pack, pieces
 from voxloom.llm.quality import judge, train
+from voxloom.operators.tables import cleared, remove
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +56,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES over documents; what each stage returns is written to the shared folder and reread."""
     docs, folder = read_table(spark, sf_dir, "documents"), scratch(spark)
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        with cleared(spark):  # what a stage kept for itself goes when its result is written
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs

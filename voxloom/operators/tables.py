@@ -4,25 +4,69 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute once, write to the folder that spark.checkpoint.dir names, read back.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir.  Only where that is unset, and driver and
+    executors are one machine, a temporary folder of it."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    have = sc.getCheckpointDir()
+    if not named and not have and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not have:
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="voxloom-checkpoint-"))
+        have = sc.getCheckpointDir()
+    return named or have
 
-    Only where that setting is absent (local tests) is a temporary folder used.
-    """
+
+_made: list[list[str]] = []  # folders made inside each open cleared() block
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared folder, which goes when the session's JVM ends, or with cleared()."""
+    path = f"{shared_dir(spark)}/voxloom-{uuid.uuid4().hex}"
+    at, fs = _folder(spark, path)
+    fs.mkdirs(at)  # only what exists can be marked
+    fs.deleteOnExit(at)
+    for block in _made:
+        block.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, fs = _folder(spark, path)
+    fs.delete(at, True)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """At the end, folders made inside are deleted: for work whose result is already written elsewhere."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            remove(spark, path)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute once, write to a folder that all executors share, read back: cuts the lineage, survives lost
+    executors, and keeps nothing on the driver."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxloom-checkpoint-"))
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or sc.getCheckpointDir()}/voxloom-{uuid.uuid4().hex}"
-    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    path = f"{scratch(spark)}/rows"
     df.write.parquet(path)
-    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from voxloom.operators.tables import scratch
 from voxloom.plans.bindings import MOMENTS_SQL, POINTS_SQL, table
 from voxloom.streaming import folds, keyed, mapstate, sync
 
@@ -24,11 +22,6 @@ def query(sql: str | None = None):
     return add
 
 
-def folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxloom-stream-")
-    return f"{base}/voxloom-stream-{uuid.uuid4().hex}"
-
-
 def stream(spark, sf, name):
     """A table as a file stream."""
     return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}[.]parquet")  # as a pattern, a single file may stand for a folder
@@ -46,7 +39,7 @@ def stream_sync(spark, sf):
     ev = stream(spark, sf, "events").where("event_type IN ('purchase', 'view')")
     rows = ev.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), (F.col("event_type") == "purchase").cast("int").alias("is_image"), F.col("event_id").alias("item"), F.array("value", "value", F.lit(0.0)).alias("pose"))
     out = keyed.fold_stream(rows, "user_id", ["t", "is_image", "item"], sync.Sync, sync.step("user_id"), f"user_id long, {sync.FRAMES}")
-    return keyed.run_once(out, folder(spark), "frames").select("user_id", "image_t", "image_id", "scan_t", "scan_id")
+    return keyed.run_once(out, scratch(spark), "frames").select("user_id", "image_t", "image_id", "scan_t", "scan_id")
 
 
 @query(f"WITH {POINTS_SQL} SELECT cx, cy, cz, count(*)::BIGINT AS n, sum(q)::BIGINT AS sum_q, sum(price)::BIGINT AS sum_price FROM pts GROUP BY ALL")
@@ -55,7 +48,7 @@ def stream_fuse(spark, sf):
     li = stream(spark, sf, "lineitem")
     cents = lambda c: F.round(F.col(c) * 100).cast("long")
     p = li.select(F.floor(F.col("l_quantity") / 5).cast("int").alias("cx"), F.floor(F.col("l_extendedprice") / 5000).cast("int").alias("cy"), F.floor(cents("l_discount") / 2).cast("int").alias("cz"), F.col("l_quantity").cast("long").alias("q"), cents("l_extendedprice").alias("price"))
-    at = folder(spark)
+    at = scratch(spark)
     mapstate.publish(mapstate.fuse_stream(p, ["cx", "cy", "cz"], ["q", "price"]), at, "map").awaitTermination()
     return mapstate.snapshot(spark, at, "map", ["cx", "cy", "cz"])
 
@@ -72,7 +65,7 @@ def stream_gate(spark, sf):
     """Requests let through one at a time by a stream (ST7, ST9)."""
     ev = stream(spark, sf, "events").where("event_type = 'error'").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id")
     out = keyed.fold_stream(ev, "user_id", ["us", "event_id"], dict, folds.gate_step("user_id", "us", "event_id", 86_400_000_000), "user_id long, us long, event_id long, done_t long")
-    return keyed.run_once(out, folder(spark), "gate")
+    return keyed.run_once(out, scratch(spark), "gate")
 
 
 @query(f"""WITH {MOMENTS_SQL}, l AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY us, event_id) AS was FROM ev)
@@ -81,4 +74,4 @@ def stream_delta(spark, sf):
     """Rows that change their key's value, by a stream (ST11)."""
     ev = stream(spark, sf, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "event_type")
     out = keyed.fold_stream(ev, "user_id", ["us", "event_id"], dict, folds.delta_step("user_id", ["event_type"], ["user_id", "us", "event_id", "event_type"]), "user_id long, us long, event_id long, event_type string")
-    return keyed.run_once(out, folder(spark), "delta")
+    return keyed.run_once(out, scratch(spark), "delta")
