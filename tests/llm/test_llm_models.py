@@ -177,6 +177,16 @@ def test_growth_moves_little(spark):
     assert sharding.assign_shards(df.where("false"), key, [F.col("doc_id")]).count() == 0
 
 
+def test_sharding_long_texts_clashes_and_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, shard string, slot int, size double, law int"
+    rows = [(k, "long text " * 100_000 if k == 3 else f"t{k}", "x", 1, 0.5, 2) for k in range(20)]
+    for name, some in (("full", rows), ("none", [])):
+        spark.createDataFrame(some, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+    out = sharding.op5_sharding(spark, str(tmp_path / "full")).toPandas()
+    assert out.set_index("doc_id")["size"][3] == 1_000_001 and out.groupby("shard").size().max() <= 3 and (out["law"] == "rows").all()
+    assert sharding.op5_sharding(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_sharding_odd_rows(spark, tmp_path):
     rows = [(None, None), (None, "x"), (1, ""), (1, ""), (1, "y"), (2, "ü" * 10)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
@@ -291,6 +301,24 @@ def test_language_odd_rows(spark):
     assert langid.identify(df, None, "text", ["doc_id"]).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_repeats_long_texts_clashes_and_ties(spark):
+    rows = [(i, "the cat sat on the mat " * 3, "en") for i in range(20)] + [(i, "der hund und die katze " * 3, "de") for i in range(20, 40)]
+    odd = [(50, "der hund " * 200_000, None), (51, "the cat", None), (51, "the cat", None), (52, "zzz", None)]
+    df = spark.createDataFrame([(*r, 1.0, "x") for r in rows + odd], "doc_id long, text string, lang string, score double, lang_pred string")
+    m = langid.train(df, "text", "lang", "doc_id")
+    out = langid.identify(df, m, "text", ["doc_id"])
+    got = collections.defaultdict(list)
+    for r in out.collect():
+        got[r["doc_id"]].append((r["lang_pred"], r["score"]))
+    assert got[50][0][0] == "de" and got[51][0] == got[51][1] and got[51][0][0] == "en" and 0 < got[50][0][1] <= 1
+    with pytest.raises(ValueError, match="in the way"):
+        langid.identify(df, m, "text", ["doc_id", "score"])
+    # Two languages learned from the same texts have equal code lengths: the first in order.
+    same = spark.createDataFrame([(i, "one and the same", lang) for i, lang in enumerate(["b", "a"] * 5)], "doc_id long, text string, lang string")
+    tied = langid.identify(same, langid.train(same, "text", "lang", "doc_id"), "text", ["doc_id"]).collect()
+    assert {(r["lang_pred"], r["score"]) for r in tied} == {("a", 0.5)}
+
+
 # --- quality ---------------------------------------------------------------------------------------
 
 

@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxloom.llm.exact_dedup import drop_exact_copies, exact_groups
-from voxloom.llm.graph import components
 from voxloom.llm.line_dedup import OP2_SQL, dedup_lines, op2_line_dedup
-from voxloom.llm.minhash import least_matches, near_components
+from voxloom.llm.minhash import OP4_SQL, contract, least_matches, near_components, op4_minhash_near_dedup, similar
 from voxloom.llm.token_cache import CACHE_SCHEMA, op10_token_counts, read_cache, token_counts
+from voxloom.operators.tables import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, shard int, kept boolean"  # clashing names
 
@@ -215,11 +215,53 @@ def test_pruning_keeps_true_pairs():
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(64)] + [(100, k) for k in range(101, 140)] + [(200, 200)]
+    edges = [(i, i + 1) for i in range(64)] + [(100, k) for k in range(101, 140)]
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(65), 0), **dict.fromkeys(range(100, 140), 100)}
 
 
+def test_contracted_components(spark):
+    """Components of all links at once, and of the later ones over the labels of the earlier."""
+    import random
+
+    r = random.Random(4)
+    edges = [tuple(sorted(r.sample(range(120), 2))) for _ in range(90)]
+    frame = lambda e: spark.createDataFrame(e, "a long, b long")
+    want = {x["node"]: x["comp"] for x in components(frame(edges)).collect()}
+    labels = components(frame(edges[:40]))
+    for part in (edges[40:70], edges[70:]):
+        labels = contract(labels, frame(part))
+    assert {x["node"]: x["comp"] for x in labels.collect()} == want
+
+
+def test_hot_shingles_are_dealt(spark, monkeypatch):
+    from voxloom.llm import minhash
+
+    rows = [(s, 0, c, c, 4, [0, 0, 0]) for s, n in ((1, 90), (2, 30), (3, 5)) for c in range(n)]
+    df = spark.createDataFrame(rows, "s long, i int, cid long, comp long, n long, bits array<long>")
+    want = sorted((r["a"], r["b"]) for r in similar(df, 75, 100, 1e-7).collect())
+    monkeypatch.setattr(minhash, "HOT_CLASSES", 10)
+    assert sorted((r["a"], r["b"]) for r in similar(df, 75, 100, 1e-7).collect()) == want == [(a, b) for a in range(90) for b in range(a + 1, 90)]
+
+
+def test_near_dedup_is_its_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = c.sql(f"SELECT doc_id, n_shingles, component_id, kept FROM ({OP4_SQL})").fetchall()
+    assert sorted(tuple(r) for r in op4_minhash_near_dedup(spark, sf).collect()) == sorted(want)
+
+
+def test_hot_join(spark):
+    from voxloom.llm.common import hot_join
+
+    left = spark.createDataFrame([(1, k) for k in range(500)] + [(k, k) for k in range(2, 300)], "a long, v long")
+    right = spark.createDataFrame([(k, k * k) for k in range(200)], "a long, w long")
+    assert sorted(map(tuple, hot_join(left, right, "a").collect())) == sorted(map(tuple, left.join(right, "a").collect()))
+
+
 def piece_model():
     import public_tokenizers as P
     import sentencepiece

@@ -1,9 +1,8 @@
-"""What the training-data operators share: the shared folder, row keys and verdict joins."""
+"""What the training-data operators share: row keys and joins."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
@@ -11,46 +10,19 @@ from contextlib import contextmanager, suppress
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxloom.operators.tables import scratch, settle  # noqa: F401 for the other modules
+
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 WS_CHARS = " \t\n\x0b\x0c\r"
 WS_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where that is unset, as in
-    local tests) a temporary folder of this machine."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    have = sc.getCheckpointDir()
-    if not have:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="voxloom-checkpoint-"))
-        have = sc.getCheckpointDir()
-    return named or have
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared folder, which goes when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/voxloom-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(at)  # only what exists can be marked
-    fs.deleteOnExit(at)
-    return path
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Compute once and read back from a table in the shared folder: cuts the lineage, survives lost
-    executors, and keeps nothing on the driver.  The tables go when the session's JVM ends."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/rows"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Arrow batches of at most so many rows for what runs inside, as rows carry whole texts."""
+    """Arrow batches of at most so many rows for the jobs that run inside; other queries of the session that
+    start meanwhile have them too.  Batches are bounded in bytes anyway; this is for functions whose results
+    are larger than their input (44 bands and a digest for a short text)."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
     spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))

@@ -21,7 +21,8 @@ from voxloom.llm.common import read_table
 from voxloom.llm.textnum import batch_texts, chunks
 
 TRAIN_ROWS = 400  # bound of the training sample: rows of each language
-MIN_COUNT = 2  # contexts of order 3 seen less often are left to order 2
+MIN_COUNT = 1  # contexts of order 3 seen less often would be left to order 2; all that training saw count
+MODEL_BYTES = 1 << 30  # bound of the table: contexts * symbols * languages * 4
 _PAD = b"\n\n\n"
 
 
@@ -60,6 +61,8 @@ def fit(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, min
     at3[rows3] = np.arange(len(rows3))
     at2 = np.full(a * a, -1, dtype=np.int64)
     at2[rows2] = np.arange(len(rows2))
+    if (size := (len(rows3) + len(rows2) + a) * a * k * 4) > MODEL_BYTES:
+        raise ValueError(f"{k} languages with {len(rows3)} contexts need a table of {size >> 20} MB; raise min_count, or train on fewer rows")
     cost = np.empty((len(rows3) + len(rows2) + a, a, k), dtype=np.float32)
     for i in range(k):
         m = lang == i
@@ -133,12 +136,15 @@ def identify(df: DataFrame, model: Model | None, text_col: str, keep: list[str])
 
     score is the posterior at one byte of evidence: 2^-(bits per byte), over all languages.  A null text
     or one without a letter is `und` with score 0, and so is every text without a model; equal code
-    lengths go to the language first in order.
+    lengths go to the language first in order.  Texts are scored whole, however long; repeated rows alike.
+    The model goes to each executor once; its size is bounded by MODEL_BYTES.
     """
+    sent = df.sparkSession.sparkContext.broadcast(model)
     letters = F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False))
     cols = df.select(*keep, letters.alias("__letters"), F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         for batch in batches:
             texts = batch_texts(batch.column(len(keep) + 1))
             ok = np.array(batch.column(len(keep)).to_pylist(), dtype=bool)
@@ -155,6 +161,8 @@ def identify(df: DataFrame, model: Model | None, text_col: str, keep: list[str])
             pred[~ok], score[~ok] = "und", 0.0
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
+    if clash := {"lang_pred", "score"} & set(keep):
+        raise ValueError(f"columns {sorted(clash)} are in the way of the result's; keep others")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[: len(keep)])
     return cols.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.common import HOT_SHARE, hot_join, read_table, settle, small_batches, text_hash, trim_memory
-from voxloom.llm.graph import components
 from voxloom.llm.textnum import U64, batch_texts, chunks, mix, shingles
+from voxloom.operators.tables import components
 
 BANDS, ROWS = 44, 5
 BIT_WORDS = 3  # batches of 64 one-bit hashes each
@@ -292,3 +292,19 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def op4_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
     return near_components(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: All pairs of documents that share a shingle, confirmed on whole sets: what op4 must return.
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM w
+), n AS (SELECT doc_id, len(sh)::BIGINT AS n FROM s), e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT doc_id AS s, doc_id AS t FROM n UNION SELECT r.s, u.b FROM reach r JOIN u ON r.t = u.a)
+SELECT n.doc_id, n.n AS n_shingles, min(t) AS component_id, n.doc_id = min(t) AS kept FROM n JOIN reach ON s = n.doc_id GROUP BY n.doc_id, n.n
+"""

@@ -6,7 +6,7 @@ from voxloom.llm.ann import op7_ann_search
 from voxloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from voxloom.llm.langid import op8_language_id
 from voxloom.llm.line_dedup import OP2_SQL, op2_line_dedup
-from voxloom.llm.minhash import op4_minhash_near_dedup
+from voxloom.llm.minhash import OP4_SQL, op4_minhash_near_dedup
 from voxloom.llm.mixing import op9_mixing
 from voxloom.llm.packing import op3_packing
 from voxloom.llm.quality import op1_quality_classifier
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op4_minhash_near_dedup": OP4_SQL, "op6_exact_dedup": OP6_SQL}
