@@ -21,45 +21,106 @@ def one(spark, *cols):
 # --- hulls, outliers, egress, deltas ---------------------------------------------------------------
 
 
-@pytest.mark.parametrize("pts, n", [([(0, 0), (1, 0), (1, 1), (0, 1), (0.5, 0.5), (0.25, 0.75), (0.9, 0.1)], 4), ([(2, 3)], 1), ([(0, 0), (1, 1)], 2), ([(0, 0), (1, 1), (2, 2), (3, 3)], 2), ([], 0), ([(1, 1)] * 5, 1)])
-def test_hull(pts, n):
-    hull = cluster.convex_hull(pts)
-    assert len(hull) == n
-    if n == 4:
-        assert set(hull) == {(0, 0), (1, 0), (1, 1), (0, 1)}
-
-
-def test_outliers(spark):
-    grid = [(1, k, 0.1 * (k % 4), 0.1 * (k // 4)) for k in range(16)] + [(1, 99, 100.0, 100.0)] + [(2, k, float(k), 0.0) for k in range(3)]
-    df = spark.createDataFrame(grid, "g int, i int, x double, y double")
-    kept = {(r["g"], r["i"]) for r in cluster.remove_outliers(df, ["g"], "i", ["x", "y"], 8, 1.0).collect()}
-    assert (1, 99) not in kept and len([k for k in kept if k[0] == 1]) == 16 and len([k for k in kept if k[0] == 2]) == 3
-
-
-def test_room_object(spark):
-    m = spark.createDataFrame([(42, "chair", x, y, z) for x, y, z in [(0.0, 0.0, 0.1), (1.0, 0.0, 0.9), (1.0, 1.0, 0.4), (0.0, 1.0, 0.2), (0.5, 0.5, 0.3)]], "object_id int, label string, x double, y double, z double")
-    o = objects.room_objects(m, 211).first()
-    assert (o["vehicle_id"], o["ident"], o["label"], o["direction"], o["room_ident"]) == (211, 42, "chair", "", None)
-    assert len(o["polygon"]) == 4 and abs(o["centroid"]["x"] - 0.5) < 0.2
-    t = spark.createDataFrame([(42, "exit: left")], "object_id int, text string")
-    assert objects.room_objects(m, 211, t).first()["direction"] == "exit: left"
-
-
-def test_delta(spark):
-    frames = [[(1, "door", 5), (2, "table", 7)], [(1, "door", 5), (2, "table", 7)], [(1, "door", 5), (2, "table", 9)], [(1, "window", 5), (2, "table", 9)], [(1, "window", 5), (2, "table", 9), (3, "box", 1)]]
-    sent = spark.createDataFrame([], "id int, label string, size int")
-    got = []
-    for f in frames:
-        now = spark.createDataFrame(f, "id int, label string, size int")
-        got.append(sorted(r["id"] for r in objects.changed_since(now, sent, ["id"], ["label", "size"]).collect()))
-        sent = now
-    assert got == [[1, 2], [], [2], [1], [3]]
-    held, rows = {}, 0
-    run = folds.delta_step("id", ["label", "size"], ["id", "label", "size"])
-    for f in frames:
-        held, out = run(held, pd.DataFrame([x for x in f if x[0] == 1], columns=["id", "label", "size"]))
-        rows += len(out)
-    assert rows == 2
+def hull_corners(pts):
+    """Points p with another q such that no point lies to the right of p -> q: the ends of hull edges."""
+    p = np.array(sorted(set(pts)))
+    if len(p) < 3:
+        return set(map(tuple, p.tolist()))
+    d = p[None, :] - p[:, None]  # d[i, j]: from i to j
+    side = d[:, :, None, 0] * d[:, None, :, 1] - d[:, :, None, 1] * d[:, None, :, 0]  # of k, seen from i to j
+    edge = (side >= 0).all(2) & (np.abs(d).sum(2) > 0)
+    return {tuple(p[i]) for i in range(len(p)) if edge[i].any() and not _between(p, i)}
+
+
+def _between(p, i):
+    """On the straight line between two others: not a corner."""
+    a, b = p[:, None] - p[i], p[None, :] - p[i]
+    cross, dot = a[..., 0] * b[..., 1] - a[..., 1] * b[..., 0], (a * b).sum(2)
+    return bool(((cross == 0) & (dot < 0)).any())
+
+
+@pytest.mark.parametrize("kind", ["uniform", "lattice", "line", "few"])
+def test_hull_against_edges(kind):
+    rng = np.random.default_rng(12)
+    for _ in range(25):
+        n = int(rng.integers(0, 4)) if kind == "few" else int(rng.integers(3, 40))
+        x = rng.integers(-3, 4, (n, 2)).astype(float) if kind in ("lattice", "few") else rng.normal(0, 5, (n, 2))
+        if kind == "line":
+            x = np.stack([np.arange(n), 2.0 * np.arange(n) - 7], axis=1)
+        pts = list(map(tuple, x.tolist()))
+        hull = cluster.convex_hull(pts)
+        assert set(hull) == hull_corners(pts) and len(hull) == len(set(hull))
+        area = sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(hull, hull[1:] + hull[:1], strict=True))
+        assert area >= -1e-9  # counter-clockwise
+
+
+def test_outliers_against_brute_force(spark):
+    rng = np.random.default_rng(21)
+    rows, want = [], set()
+    for g, n, k, times in ((0, 60, 5, 1.5), (1, 5, 5, 1.5), (2, 90, 5, 1.5)):
+        x = rng.normal(0, 1, (n, 3)) + (rng.random((n, 1)) < 0.1) * rng.normal(0, 8, (n, 3))
+        rows += [(g, i, *map(float, p)) for i, p in enumerate(x)]
+        d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), axis=1)[:, 1 : k + 1]
+        mean = d.sum(1) / k
+        keep = np.ones(n, dtype=bool) if n <= k + 1 else mean <= mean.mean() + times * mean.std()
+        want |= {(g, int(i)) for i in np.flatnonzero(keep)}
+    df = spark.createDataFrame(rows, "g int, i int, x double, y double, z double")
+    got = {(r["g"], r["i"]) for r in cluster.remove_outliers(df, ["g"], "i", list("xyz"), 5, 1.5).collect()}
+    assert got == want and len(want) < len(rows)
+
+
+def test_neighbours_against_brute_force(spark):
+    """Lone points far away, repeated points and ties are where a search by cells could go wrong."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 1, (120, 3)), rng.normal(50, 0.01, (40, 3)), np.array([[1e4, 0, 0], [0, 0, 0], [0, 0, 0], [0, 0, 0]]), rng.integers(0, 3, (40, 3))])
+    df = spark.createDataFrame([(i % 2, i, *map(float, p)) for i, p in enumerate(x)], "g int, i int, x double, y double, z double")
+    for k in (1, 4, 150):
+        got = {}
+        for r in cluster.knn(df, ["g"], "i", list("xyz"), k).collect():
+            got.setdefault(r["a"], []).append((r["rank"], r["b"], r["d2"]))
+        for a in range(len(x)):
+            d = sorted((float(((x[a] - x[b]) ** 2).sum()), b) for b in range(a % 2, len(x), 2) if b != a)[:k]
+            assert [b for _, b, _ in sorted(got[a])] == [b for _, b in d]
+
+
+def test_room_objects_of_a_generated_scene(spark):
+    """Three clouds with a stray point each: the label, the centre and the outline of what is left."""
+    rng = np.random.default_rng(6)
+    names, rows, want = ["lamp", "sofa", "rack"], [], {}
+    for k, name in enumerate(names):
+        x = rng.uniform(-0.5, 0.5, (30, 3)) + [4 * k, -k, 0.5]
+        rows += [(70 + k, name, *map(float, p)) for p in [*x, [4 * k, 25.0, 0.0]]]
+        want[70 + k] = (name, x)
+    df = spark.createDataFrame(rows, "object_id int, label string, x double, y double, z double")
+    signs = spark.createDataFrame([(71, "way out: up")], "object_id int, text string")
+    got = {r["ident"]: r for r in objects.room_objects(df, 9, signs).collect()}
+    assert set(got) == set(want)
+    for k, (name, x) in want.items():
+        o = got[k]
+        assert (o["vehicle_id"], o["label"], o["room_ident"], o["direction"]) == (9, name, None, "way out: up" if k == 71 else "")
+        assert {(p["x"], p["y"]) for p in o["polygon"]} <= set(map(tuple, x[:, :2].tolist()))
+        assert abs(o["centroid"]["x"] - x[:, 0].mean()) < 0.1 and abs(o["centroid"]["y"] - x[:, 1].mean()) < 0.1
+
+
+def test_changes_against_a_dictionary(spark):
+    """Random snapshots: what is new or differs from the last that was sent; what is gone is never told."""
+    rng = np.random.default_rng(17)
+    schema, sent, told, want, held = "id int, label string, size int", {}, [], [], {}
+    step = folds.delta_step("id", ["label", "size"], ["id", "label", "size"])
+    last = spark.createDataFrame([], schema)
+    for _ in range(6):
+        now = {int(i): (["p", "q"][int(rng.integers(0, 2))], int(rng.integers(0, 3))) for i in rng.choice(6, 4, replace=False)}
+        df = spark.createDataFrame([(i, *v) for i, v in now.items()], schema)
+        got = {r["id"] for r in objects.changed_since(df, last, ["id"], ["label", "size"]).collect()}
+        assert got == {i for i, v in now.items() if sent.get(i) != v}
+        want += [i for i in now if i in got]
+        for i, v in now.items():
+            state, out = step(held.get(i, {}), pd.DataFrame([(i, *v)], columns=["id", "label", "size"]))
+            held[i] = state
+            told += out["id"].tolist()
+        sent.update(now)
+        last = spark.createDataFrame([(i, *v) for i, v in sent.items()], schema)
+    assert told == want
 
 
 def test_single_flight(spark):
@@ -88,6 +149,32 @@ def test_density_clusters_of_two_blobs():
     assert len(set(same)) == 1
 
 
+def test_linkage_of_many_points_in_little_memory():
+    """Two far blobs of 3,000 points: the last merge spans the gap, and no matrix of all pairs is made."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, (3000, 3)), rng.normal(0, 1, (3000, 3)) + 50])
+    tracemalloc.start()
+    tree = cluster.linkage(x, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(tree) == 5999 and tree[-1, 3] == 6000 and tree[-1, 2] > 40 > tree[-2, 2] and peak < 40e6
+
+
+def test_split_by_radius_against_loops():
+    rng = np.random.default_rng(2)
+    x, labels = rng.uniform(0, 3, (150, 2)), rng.integers(-1, 2, 150)
+    got = cluster.split_by_radius(x, labels, 0.3)
+    assert ((got < 0) == (labels < 0)).all()
+    near = (cluster.distances2(x) <= 0.09) & (labels[:, None] == labels[None, :])
+    reach = np.linalg.matrix_power(near.astype(np.int64) > 0, 1)
+    for _ in range(8):
+        reach = (reach.astype(np.int64) @ reach.astype(np.int64)) > 0
+    for i in np.flatnonzero(labels >= 0):
+        assert (reach[i] == (got == got[i])).all()
+
+
 def test_linkage_is_single_linkage_of_reachability():
     x = blobs(3)[:30]
     d = np.sqrt(cluster.distances2(x))
@@ -151,59 +238,109 @@ def test_growth():
 
 
 def cells(a, b):
-    return {(i,) for i in range(a, b)}
+    return [(i,) for i in range(a, b)]
+
+
+def frame(state, n, *props, merge_now=True):
+    touched = [state.add(n, k, cls, c, ids) for k, (cls, c, ids) in enumerate(props)]
+    if merge_now:
+        state.settle_frame(np.concatenate(touched))
 
 
 def test_deferred_merge_needs_evidence():
-    p = merge.Merging(bars=(0.3,), min_evidence=2.0)
-    c = merge.Consolidator(p)
-    c.settle_frame(c.add((0, 0), 1, cells(0, 10), {1}, {1: 10.0}))
-    c.settle_frame(c.add((0, 1), 1, cells(20, 30), {2}, {1: 10.0}))
-    c.settle_frame(c.add((0, 2), 2, cells(0, 10), {3}, {2: 10.0}))
-    assert len(c.roots()) == 3  # classes do not mix
-    c.settle_frame(c.add((1, 0), 1, cells(0, 30), {4}, {1: 30.0}))
-    assert len(c.roots()) == 3
-    c.settle_frame(c.add((2, 0), 1, cells(0, 30), {4}, {1: 30.0}))
-    c.settle_frame(c.add((3, 0), 1, cells(0, 30), {4}, {1: 30.0}))
-    assert len(c.roots()) == 2
-    big = c.comps[c.find(0)]
-    assert big.cells >= cells(0, 30) and big.ids >= {1, 2, 4} and big.birth == (0, 0)
+    c = merge.Components(merge.Merging(bars=(0.3,), min_evidence=2.0))
+    frame(c, 0, (1, cells(0, 10), {1}), (1, cells(20, 30), {2}), (2, cells(0, 10), {3}))
+    assert len(c.live) == 3  # classes do not mix
+    frame(c, 1, (1, cells(0, 30), {4}))
+    assert len(c.live) == 3
+    frame(c, 2, (1, cells(0, 30), {4}))
+    frame(c, 3, (1, cells(0, 30), {-1}))
+    t = c.table()
+    assert len(t) == 2
+    big = int(c.home[0])
+    row = t.iloc[c.live.tolist().index(big)]
+    assert (row["cls"], row["n_cells"], row["birth_frame"], row["birth_prop"], row["support"]) == (1, 30, 0, 0, 5) and c.ids[big] == {1, 2, 4}
 
 
 def test_immediate_merge_bridges():
-    c = merge.Consolidator(merge.Merging(bars=(0.3,), deferred=False))
-    for k, s in enumerate((cells(0, 10), cells(20, 30), cells(5, 25))):
-        c.add((0, k), 1, s, set())
-    assert len(c.roots()) == 1 and c.comps[c.roots()[0]].support == 3
+    c = merge.Components(merge.Merging(bars=(0.3,), deferred=False))
+    frame(c, 0, (1, cells(0, 10), {}), (1, cells(20, 30), {}), (1, cells(5, 25), {}), merge_now=False)
+    assert len(c.live) == 1 and c.table()["support"].tolist() == [3] and c.cells() == [[[i] for i in range(30)]]
 
 
 def test_region_vetoes_a_merge():
-    c = merge.Consolidator(merge.Merging(bars=(0.6,), min_evidence=1.0, decay=1.0))
-    for k in range(3):
-        c.add((0, k), 1, cells(100 * k, 100 * k + 10), set())
-    c.edges = {(0, 1): [2.0, 2.0], (1, 2): [0.02, 2.0]}
-    c.settle_frame([(0, 1)])
-    assert len(c.roots()) == 3  # 0 has no affinity to 1's other neighbour
+    for sums, left in (([[2.0, 2.0], [0.02, 2.0]], 3), ([[2.0, 2.0], [2.0, 2.0]], 2)):
+        c = merge.Components(merge.Merging(bars=(0.6,), min_evidence=1.0, decay=1.0))
+        frame(c, 0, *((1, cells(100 * k, 100 * k + 10), {}) for k in range(4)), merge_now=False)
+        c.pairs, c.sums = np.array([[0, 1], [1, 2]]), np.array(sums)
+        if left == 2:  # 0 is like 1's other neighbour as well
+            c.pairs, c.sums = np.array([[0, 1], [1, 2], [0, 2]]), np.array([[2.0, 2.0]] * 3)
+        c.settle_frame(np.array([[0, 1], [1, 2]]) if left == 2 else np.array([[0, 1]]))
+        assert len(c.live) == left + 1 - (left == 2)
+
+
+def test_neighbourhood_score_against_loops():
+    rng = np.random.default_rng(3)
+    n = 7
+    linked = np.triu(rng.random((n, n)) < 0.5, 1)
+    linked = (linked | linked.T).astype(float)
+    adj, w = rng.random((n, n)), rng.integers(1, 9, n).astype(float)
+    adj = np.triu(adj, 1) + np.triu(adj, 1).T
+    adj *= linked
+    got = merge.neighbourhood(adj, linked, w, 0.4)
+    for a in range(n):
+        for b in range(n):
+            if linked[a, b]:
+                terms = [(w[b], adj[a, b])] + [(0.4 * w[k], adj[a, k]) for k in range(n) if linked[b, k] and k != a]
+                assert got[a, b] == pytest.approx(sum(x * y for x, y in terms) / sum(x for x, _ in terms))
 
 
 def test_small_components_are_absorbed():
-    c = merge.Consolidator(merge.Merging(small=2))
-    for k in range(3):
-        c.add((0, k), 1, cells(100 * k, 100 * k + 10), set())
-    c.comps[0].support = 5
-    c.edges = {(0, 1): [1.0, 2.0]}
+    c = merge.Components(merge.Merging(small=2))
+    frame(c, 0, *((1, cells(100 * k, 100 * k + 10), {}) for k in range(4)), merge_now=False)
+    c.support[0] = 5
+    c.pairs, c.sums = np.array([[0, 1], [1, 2], [0, 2]]), np.array([[1.0, 2.0], [0.2, 2.0], [1.8, 2.0]])
     c.absorb_small()
-    assert len(c.roots()) == 2 and c.find(1) == c.find(0) and c.find(2) == 2
+    assert len(c.live) == 2 and c.home[1] == c.home[0] == c.home[2] and c.home[3] == 3 and c.support[c.home[0]] == 7
 
 
 def test_exclusive_elements_have_one_owner():
-    c = merge.Consolidator(merge.Merging(bars=(0.9,), overlap=False))
-    c.add((0, 0), 1, cells(0, 10), set())
-    c.add((0, 1), 1, cells(8, 20), set())
-    held = [x for r in c.roots() for x in c.comps[r].cells]
+    c = merge.Components(merge.Merging(bars=(0.9,), overlap=False))
+    frame(c, 0, (1, cells(0, 10), {}), (1, cells(8, 20), {}), (1, cells(5, 12), {}), merge_now=False)
+    held = [tuple(x) for k in c.cells() for x in k]
     assert len(held) == len(set(held)) == 20
 
 
+def test_many_cells_and_components_outgrow_the_arrays():
+    c = merge.Components(merge.Merging(bars=(0.5,), min_evidence=1.0))
+    for f in range(3):
+        frame(c, f, *((k % 3, cells(200 * k, 200 * k + 150 + f), {k}) for k in range(40)))
+    t = c.table()
+    assert len(t) == 40 and (t["support"] == 3).all() and (t["n_cells"] == 152).all()
+
+
+def brute_fold(rows, bars, overlap_only=False):
+    """Union of proposals at once, by sets and loops: the immediate fold with overlapping sets and one class."""
+    comps = []
+    for cs in rows:
+        hit = [k for k in comps if len(k["c"] & cs) / max(1, min(len(k["c"]), len(cs))) >= bars[min(max(k["s"], 1), len(bars)) - 1] and k["c"] & cs]
+        new = {"c": set(cs).union(*(k["c"] for k in hit)), "s": 1 + sum(k["s"] for k in hit)}
+        comps = [k for k in comps if k not in hit] + [new]
+    return sorted((k["s"], len(k["c"])) for k in comps)
+
+
+def test_immediate_fold_against_sets():
+    rng = np.random.default_rng(10)
+    for _ in range(20):
+        rows = [set(map(int, rng.integers(0, 60, rng.integers(1, 25)))) for _ in range(25)]
+        bars = (0.7, 0.5, 0.4)
+        c = merge.Components(merge.Merging(bars=bars, deferred=False))
+        for k, cs in enumerate(rows):
+            c.add(0, k, 1, [(x,) for x in sorted(cs)])
+        t = c.table()
+        assert sorted(zip(t["support"], t["n_cells"], strict=True)) == brute_fold(rows, bars)
+
+
 def test_components_by_stream_and_batch(spark):
     rng = np.random.default_rng(1)
     rows = [(int(rng.integers(0, 2)), f, p, 0, int(x)) for f in range(6) for p in range(3) for x in rng.integers(0, 12, 6)]
@@ -214,7 +351,7 @@ def test_components_by_stream_and_batch(spark):
     run = folds.components_step(["vx"], p)
     last = set()
     for cls, g in df.toPandas().groupby("cls"):
-        held = merge.Consolidator(p)
+        held = merge.Components(p)
         for _, f in g.groupby("frame", sort=True):
             held, out = run(held, f)
         last |= {tuple(x) for x in out[["cls", "comp_birth_frame", "comp_birth_prop", "support", "n_cells"]].itertuples(index=False, name=None)}

@@ -1,7 +1,8 @@
 """Neighbours, outliers and clusters.
 
-Neighbour searches with a radius are equi-joins on grid cells.  Clustering runs on one group at a time
-(a class in a view), whose size the pipeline bounds; the numpy routines need nothing but numpy.
+Neighbour searches with a radius are equi-joins on grid cells.  Nearest neighbours and clustering run on
+one group at a time (a class in a view, an object) in memory that grows with the group, not with its
+square; the numpy routines need nothing but numpy.
 """
 
 from __future__ import annotations
@@ -25,22 +26,15 @@ LEAST_POINTS = 16  # a fixed value: smaller classes are never clustered
 def knn(points: DataFrame, group: list[str], item: str, xyz: list[str], k: int) -> DataFrame:
     """(group..., a, b, d2, rank): the k nearest of each point inside its group, ties to the lower id.
 
-    Squared distances in rows of a matrix, a block of it at a time; a join would make all pairs.
+    Points of a group are searched by boxes (nearest_rows), never all against all.
     """
     kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(item, ignore_index=True)
-        x = pdf[xyz].to_numpy(dtype=float)
-        m = min(k, len(x) - 1)
-        at, near = np.zeros((len(x), m), dtype=int), np.zeros((len(x), m))
-        for lo in range(0, len(x), 512):  # so many rows of the matrix at a time
-            d = distances2(x[lo : lo + 512], x)
-            d[np.arange(len(d)), np.arange(lo, lo + len(d))] = np.inf
-            at[lo : lo + 512] = np.argsort(d, axis=1, kind="stable")[:, :m]
-            near[lo : lo + 512] = np.take_along_axis(d, at[lo : lo + 512], 1)
         ids = pdf[item].to_numpy()
-        n = len(x)
+        at, near = nearest_rows(pdf[xyz].to_numpy(dtype=float), k)
+        n, m = at.shape
         out = {g: np.repeat(pdf[g].iloc[0], n * m) for g in group}
         out |= {"a": np.repeat(ids, m), "b": ids[at].ravel(), "d2": near.ravel(), "rank": np.tile(np.arange(1, m + 1), n)}
         return pd.DataFrame(out)
@@ -94,22 +88,96 @@ def distances2(x: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
     return out
 
 
+LEAF = 64  # points of a box
+
+
+def boxes(x: np.ndarray, leaf: int = LEAF) -> list[np.ndarray]:
+    """Row numbers in boxes of at most `leaf` points, cut in halves along the longest side."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= leaf:
+            out.append(rows)
+            continue
+        side = int(np.ptp(x[rows], axis=0).argmax())
+        half = len(rows) // 2
+        order = np.argpartition(x[rows, side], half)
+        todo += [rows[order[:half]], rows[order[half:]]]
+    return out
+
+
+def smallest(at: np.ndarray, d: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The m smallest of each row of d with their numbers, in no order; of equals the lower numbers."""
+    if d.shape[1] <= m:
+        return at, d
+    keep = np.argpartition(d, m - 1, axis=1)[:, :m]
+    tied = (d <= np.take_along_axis(d, keep, 1).max(1)[:, None]).sum(1) > m
+    if tied.any():
+        keep[tied] = np.lexsort((at[tied], d[tied]), axis=1)[:, :m]
+    return np.take_along_axis(at, keep, 1), np.take_along_axis(d, keep, 1)
+
+
+def nearest_rows(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, squared distances), each (n, min(k, n - 1)): every row's nearest others, nearest first, ties to
+    the lower row.
+
+    Equal points are searched once, by their k + 1 lowest rows.  The points lie in boxes; a box looks at the
+    others in order of their distance from it, until none that is left can hold a nearer point.
+    """
+    n = len(x)
+    m = min(k, n - 1)
+    if m < 1:
+        return np.zeros((n, 0), dtype=np.int64), np.zeros((n, 0))
+    spot, of = np.unique(x, axis=0, return_inverse=True)
+    of = of.ravel()
+    order = np.argsort(of, kind="stable")
+    start = np.searchsorted(of[order], np.arange(len(spot) + 1))
+    few = np.concatenate([order[a : min(b, a + m + 1)] for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)])
+    leaves = [few[b] for b in boxes(x[few])]
+    low, high = (np.array([f(x[b], axis=0) for b in leaves]) for f in (np.min, np.max))
+    best_at, best = np.zeros((len(spot), m + 1), dtype=np.int64), np.zeros((len(spot), m + 1))
+    heads = [np.unique(of[b]) for b in leaves]
+    done = np.zeros(len(spot), dtype=bool)
+    for i, head in enumerate(heads):
+        head = head[~done[head]]
+        if not len(head):
+            continue
+        done[head] = True
+        q = spot[head]
+        far = (np.maximum(0, np.maximum(low - q.max(0), q.min(0) - high)) ** 2).sum(1)
+        at, d = np.zeros((len(head), 0), dtype=np.int64), np.zeros((len(head), 0))
+        order = np.argsort(far, kind="stable")
+        for lo in range(0, len(order), 8):  # so many boxes at a time
+            if d.shape[1] > m and far[order[lo]] > d.max():
+                break
+            some = np.concatenate([leaves[j] for j in order[lo : lo + 8]])
+            at = np.concatenate([at, np.broadcast_to(some, (len(head), len(some)))], axis=1)
+            at, d = smallest(at, np.concatenate([d, distances2(q, x[some])], axis=1), m + 1)
+        keep = np.lexsort((at, d), axis=1)
+        best_at[head], best[head] = np.take_along_axis(at, keep, 1), np.take_along_axis(d, keep, 1)
+    # Each row's own entry goes; a row beyond its point's lowest ones drops the last instead.
+    at, d = best_at[of], best[of]
+    own = at == np.arange(n)[:, None]
+    own[~own.any(1), -1] = True
+    return at[~own].reshape(n, m), d[~own].reshape(n, m)
+
+
 def linkage(x: np.ndarray, min_pts: int) -> np.ndarray:
     """Rows (a, b, height, size) of the single-linkage tree of mutual reachability distances.
 
     The core distance of a point is that to its min_pts-th nearest, itself counted.  Prim's algorithm
-    builds the spanning tree; ties go to the lower index.
+    builds the spanning tree, with the distances of one point at a time; ties go to the lower index.
     """
     n = len(x)
-    d = np.sqrt(distances2(x))
-    core = np.partition(d, min(min_pts, n) - 1, axis=1)[:, min(min_pts, n) - 1]
-    reach = np.maximum(np.maximum(d, core[:, None]), core[None, :])
+    k = min(min_pts, n) - 1
+    core = np.sqrt(nearest_rows(x, k)[1][:, k - 1]) if k > 0 else np.zeros(n)
     best, come, done = np.full(n, np.inf), np.zeros(n, dtype=int), np.zeros(n, dtype=bool)
     edges, at = [], 0
     done[0] = True
     for _ in range(n - 1):
-        closer = (reach[at] < best) & ~done
-        best[closer], come[closer] = reach[at][closer], at
+        reach = np.maximum(np.sqrt(distances2(x[at : at + 1], x)[0]), np.maximum(core, core[at]))
+        closer = (reach < best) & ~done
+        best[closer], come[closer] = reach[closer], at
         nxt = int(np.argmin(np.where(done, np.inf, best)))
         edges.append((best[nxt], come[nxt], nxt))
         done[nxt], at = True, nxt
@@ -231,19 +299,15 @@ def split_by_radius(x: np.ndarray, labels: np.ndarray, radius: float) -> np.ndar
     """Labels of the components of each cluster under steps of at most `radius`."""
     out, nxt = np.full(len(x), -1), 0
     for c in range(labels.max() + 1 if len(labels) else 0):
-        rows = np.flatnonzero(labels == c)
-        near = distances2(x[rows]) <= radius * radius
-        left = np.ones(len(rows), dtype=bool)
-        while left.any():
-            front = np.zeros(len(rows), dtype=bool)
-            front[np.flatnonzero(left)[0]] = True
-            seen = front.copy()
-            while front.any():
-                front = near[front].any(0) & ~seen & left
-                seen |= front
-            out[rows[seen]] = nxt
+        left = np.flatnonzero(labels == c)
+        while len(left):
+            todo, left = left[:1], left[1:]
+            while len(todo):
+                some, todo = todo[:512], todo[512:]  # so many rows of distances at a time
+                out[some] = nxt
+                near = (distances2(x[some], x[left]) <= radius * radius).any(0)
+                todo, left = np.concatenate([todo, left[near]]), left[~near]
             nxt += 1
-            left &= ~seen
     return out
 
 

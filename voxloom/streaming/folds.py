@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 
-from voxloom.operators.merge import Consolidator, Merging, add_frame
+from voxloom.operators.merge import Components, Merging, add_frame
 
 COMPONENTS = "cls int, frame long, comp_birth_frame long, comp_birth_prop long, support long, n_cells long, promoted boolean"
 
@@ -12,12 +12,13 @@ COMPONENTS = "cls int, frame long, comp_birth_frame long, comp_birth_prop long,
 def components_step(cell: list[str], p: Merging):
     """After each frame, the components it has left: rows(cls, frame, prop, inst, cell...) of whole frames."""
 
-    def run(state: Consolidator, pdf: pd.DataFrame) -> tuple[Consolidator, pd.DataFrame]:
+    def run(state: Components, pdf: pd.DataFrame) -> tuple[Components, pd.DataFrame]:
         out = []
         for frame, f in pdf.groupby("frame", sort=True):
-            add_frame(state, frame, f, cell)
-            out += [(state.comps[r].majority(), frame, *state.comps[r].birth, state.comps[r].support, len(state.comps[r].cells), state.comps[r].support >= p.min_merges) for r in state.roots()]
-        return state, pd.DataFrame(out, columns=["cls", "frame", "comp_birth_frame", "comp_birth_prop", "support", "n_cells", "promoted"])
+            add_frame(state, int(frame), f, cell)
+            out.append(state.table().assign(frame=frame))
+        every = pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["cls", "frame", "support", "n_cells", "birth_frame", "birth_prop", "promoted"])
+        return state, every.rename(columns={"birth_frame": "comp_birth_frame", "birth_prop": "comp_birth_prop"})[["cls", "frame", "comp_birth_frame", "comp_birth_prop", "support", "n_cells", "promoted"]]
 
     return run
 
