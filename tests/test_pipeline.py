@@ -40,7 +40,7 @@ CONFIG = {
     "voxel": 0.05, "tau": 0.2, "splat": 3, "splat_mult": 1.2, "splat_min": 1, "surf_band": 0.1, "proj_radius": 7.5, "cam": 211,
     "voting": {"enabled": True, "min_votes": 2, "min_conf": 0.2},
     "superpoints": {"enabled": True, "seed": 0.35, "thing_frac": 0.1},
-    "hdbscan": {"enabled": True, "min_pts": 5, "min_cluster_size": 10, "min_class_points": 10, "allow_single_cluster": True, "split_radius": 0.2},
+    "hdbscan": {"enabled": True, "min_pts": 5, "min_cluster_size": 10, "min_class_points": 10, "allow_single_cluster": True, "single_scan": False, "split_radius": 0.2},
     "grow": {"enabled": True, "affinity": 0.12, "sweeps": 2},
     "objects": {"enabled": True, "min_merges": 3, "global_context": True, "overlap_sets": True},
 }
@@ -63,3 +63,41 @@ def test_scene(spark):
 def test_no_input(spark):
     cam, scans, _, pixels = scene(spark)
     assert Pipeline(spark, cam).run_on_input(scans, None, pixels).count() == 0
+
+
+def with_settings(**sections):
+    return from_dict({k: {**v, **sections.get(k, {})} if isinstance(v, dict) else v for k, v in CONFIG.items()} | {k: v for k, v in sections.items() if not isinstance(v, dict)})
+
+
+def test_settings_act(spark):
+    """Each switch that a run configuration has, on the same scene."""
+    cam, scans, images, pixels = scene(spark)
+    run = lambda **k: Pipeline(spark, cam, with_settings(**k)).batch(scans, images, pixels)
+    names = lambda r: sorted(o["label"] for o in r.objects.collect())
+    assert names(run(hdbscan={"single_scan": True, "allow_single_cluster": False})) == ["box", "chair"]
+    off = run(hdbscan={"enabled": False})
+    assert off.proposals.count() == 0 and off.objects.count() == 0 and off.points.count() > 0
+    none = run(objects={"enabled": False})
+    assert none.proposals.count() > 0 and none.components.count() == 0 and none.objects.count() == 0
+    assert run(superpoints={"refine": 3}).proposals.count() > 0
+
+
+def test_without_voting_a_label_lasts_for_its_frame(spark):
+    cam, scans, images, pixels = scene(spark)
+    last = pixels.selectExpr("run", "image_id", "u", "v", "IF(image_id = 5 AND name = 'box', 'table', name) AS name", "instance")
+    run = lambda on: Pipeline(spark, cam, with_settings(voting={"enabled": on})).batch(scans, images, last)
+    kinds = {r["class_id"]: r["name"] for r in Pipeline(spark, cam).vocabulary().collect()}
+    seen = lambda r: {kinds[x["class_id"]] for x in r.points.where("class_id IS NOT NULL").select("class_id").distinct().collect()}
+    assert seen(run(True)) == {"box", "chair", "wall"} and seen(run(False)) == {"table", "chair", "wall"}
+
+
+def test_images_that_cannot_be_read_are_an_error(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    cam, scans, images, pixels = scene(spark)
+    with pytest.raises(ValueError, match="cannot be read"):
+        Pipeline(spark, cam).run_on_input(scans, images.withColumn("rgb", F.lit(None).cast("binary")), pixels)
+    twice = images.unionByName(images.withColumn("image_id", F.col("image_id") + 100))
+    with pytest.raises(ValueError, match="more than one"):
+        Pipeline(spark, cam).run_on_input(scans, twice, pixels)

@@ -120,6 +120,13 @@ def pixel(m: Mat, p: Mat) -> tuple[Column, Column, Column]:
     return F.when(ok, F.floor(a / c + 0.5)).cast("int"), F.when(ok, F.floor(b / c + 0.5)).cast("int"), c
 
 
+def pixel_truncated(m: Mat, p: Mat) -> tuple[Column, Column]:
+    """(u, v) of a point rounded by cutting off: a place less than a pixel left of or above the raster lands
+    on its border.  Null behind the camera."""
+    a, b, c = (m[4 * i] * p[0] + m[4 * i + 1] * p[1] + m[4 * i + 2] * p[2] + m[4 * i + 3] for i in range(3))
+    return tuple(F.when(c > 0, (x / c + 0.5).cast("int")) for x in (a, b))
+
+
 def splat_radius(depth: Column, scale: float, least: int, most: int) -> Column:
     """Pixels that a point of a given extent covers at this depth, within bounds."""
     return F.greatest(F.lit(least), F.least(F.lit(most), F.round(F.lit(scale) / depth))).cast("int")

@@ -28,6 +28,15 @@ def fingerprint(*cols: Column) -> Column:
     return F.xxhash64(*cols)
 
 
+def membership_signature(members: Column, cls: Column, level: Column, samples: int = 16) -> Column:
+    """Changes when an object's class, level or number of members does, or one of about `samples` evenly
+    spaced members of its sorted list, or the last; for comparing, not for keeping."""
+    n = F.size(members)
+    step = F.greatest(F.lit(1), F.floor(n / samples)).cast("int")
+    some = F.filter(members, lambda _, i: (i % step == 0) | (i == n - 1))
+    return F.xxhash64(n, cls, level, some)
+
+
 def colour_hash(i: Column) -> Column:
     """The 32-bit multiplicative hash of an id."""
     return (i.cast("long") * F.lit(KNUTH)).bitwiseAND(F.lit(0xFFFFFFFF))

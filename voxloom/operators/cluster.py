@@ -17,7 +17,8 @@ from voxloom.functions.vectors import dist2
 from voxloom.functions.voxel import around, cell
 from voxloom.operators.tables import components
 
-LEAST_POINTS = 16  # a fixed value: smaller classes are never clustered
+#: Smaller classes are never clustered; the distance of classes that share one scan.
+LEAST_POINTS, CLASS_GAP = 16, 1.0e6
 
 
 # --- relational forms -----------------------------------------------------------------------------
@@ -271,28 +272,35 @@ def flat_clusters(tree: np.ndarray, n: int, least: int, allow_single: bool = Fal
     return labels
 
 
-def cluster_classes(points: DataFrame, group: list[str], item: str, xyz: list[str], min_pts: int = 7, least: int = 10, min_class: int = 10, allow_single: bool = False, leaf: bool = True, split: float = 0.0) -> DataFrame:
+def cluster_classes(points: DataFrame, group: list[str], item: str, xyz: list[str], min_pts: int = 7, least: int = 10, min_class: int = 10, allow_single: bool = False, leaf: bool = True, split: float = 0.0, classes: str | None = None) -> DataFrame:
     """(group..., item, cluster): density clusters of each group; noise is left out.
 
     Groups smaller than min_class, min_pts + 1 or 16 have none.  With `split` > 0 each cluster is then cut
-    into its components at that radius.  Clusters are numbered from 0 by their smallest item.
+    into its components at that radius.  Clusters are numbered from 0 by their smallest item.  With a
+    column `classes` a group holds several classes, which are clustered in one scan: classes smaller than
+    min_class are left out and the others lie so far apart that no cluster has two of them.
     """
     kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    keep = [*group, item] + ([classes] if classes else [])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(item, ignore_index=True)
         x = pdf[xyz].to_numpy(dtype=float)
         pdf, x = pdf[np.isfinite(x).all(1)].reset_index(drop=True), x[np.isfinite(x).all(1)]
+        if classes:
+            kind, slot, n = np.unique(pdf[classes].to_numpy(), return_inverse=True, return_counts=True)
+            ok = n[slot] >= min_class
+            pdf, x = pdf[ok].reset_index(drop=True), np.column_stack([x, slot * CLASS_GAP])[ok]
         if len(x) < max(min_class, min_pts + 1, LEAST_POINTS):
-            return pdf.iloc[:0][[*group, item]].assign(cluster=pd.Series(dtype="int32"))
+            return pdf.iloc[:0][keep].assign(cluster=pd.Series(dtype="int32"))
         lab = flat_clusters(linkage(x, min_pts), len(x), least, allow_single, leaf)
         if split > 0:
             lab = split_by_radius(x, lab, split)
-        out = pdf[[*group, item]].assign(cluster=lab.astype("int32"))
+        out = pdf[keep].assign(cluster=lab.astype("int32"))
         return out[out["cluster"] >= 0]
 
-    schema = ", ".join([*(f"{g} {kinds[g]}" for g in group), f"{item} {kinds[item]}", "cluster int"])
-    return points.select(*group, item, *xyz).groupBy(*group).applyInPandas(run, schema)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keep), "cluster int"])
+    return points.select(*keep, *xyz).groupBy(*group).applyInPandas(run, schema)
 
 
 def split_by_radius(x: np.ndarray, labels: np.ndarray, radius: float) -> np.ndarray:

@@ -69,14 +69,27 @@ def attach(signs: DataFrame, objects: DataFrame, on: list[str]) -> DataFrame:
     return kept.join(signs.select("sign", "text").distinct(), "sign").select("object", "text", F.col("shared").alias("overlap"))
 
 
-def mask_and(a: DataFrame, b: DataFrame) -> DataFrame:
+def same_raster(a: tuple[int, int], b: tuple[int, int]) -> None:
+    """Masks of rasters of different sizes have no common pixels: an error."""
+    if tuple(a) != tuple(b):
+        raise ValueError(f"masks of {a[0]} x {a[1]} and {b[0]} x {b[1]} pixels")
+
+
+def mask_and(a: DataFrame, b: DataFrame, size_a: tuple[int, int] = (0, 0), size_b: tuple[int, int] = (0, 0)) -> DataFrame:
+    same_raster(size_a, size_b)
     return a.select("u", "v").intersect(b.select("u", "v"))
 
 
-def mask_or(a: DataFrame, b: DataFrame) -> DataFrame:
+def mask_or(a: DataFrame, b: DataFrame, size_a: tuple[int, int] = (0, 0), size_b: tuple[int, int] = (0, 0)) -> DataFrame:
+    same_raster(size_a, size_b)
     return a.select("u", "v").union(b.select("u", "v")).distinct()
 
 
+def keep_left(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of both, one for each element: where both have it, that of a."""
+    return a.unionByName(b.join(a.select(*on).distinct(), on, "left_anti"))
+
+
 def mask_minus(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("u", "v").subtract(b.select("u", "v"))
 

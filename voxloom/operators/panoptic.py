@@ -15,13 +15,13 @@ def resolve_segments(masks: DataFrame, queries: DataFrame, keep_ratio: float) ->
     A segment is dropped when what it owns with m >= 0.5 is less than keep_ratio of its whole mask at that
     level, or nothing.  Things are numbered from 1 in order of the queries, stuff segments have 0.
     """
-    scored = masks.join(F.broadcast(queries), "query")
+    scored = masks.join(queries, "query")
     top = scored.groupBy("pixel").agg(F.max(F.struct((F.col("score") * F.col("m")).alias("p"), (-F.col("query")).alias("neg"), "m", "label", "thing")).alias("b"))
     own = top.select("pixel", (-F.col("b.neg")).alias("query"), F.col("b.m").alias("m"), F.col("b.label").alias("label"), F.col("b.thing").alias("thing")).where("m >= 0.5")
     area = masks.where("m >= 0.5").groupBy("query").agg(F.count(F.lit(1)).alias("whole"))
     kept = own.groupBy("query", "label", "thing").agg(F.count(F.lit(1)).alias("n")).join(area, "query").where(F.col("n") >= F.lit(keep_ratio) * F.col("whole"))
     named = kept.withColumn("segment", F.when(F.col("thing"), F.sum(F.col("thing").cast("int")).over(W.orderBy("query").rowsBetween(W.unboundedPreceding, 0))).otherwise(F.lit(0)).cast("int"))
-    return own.join(F.broadcast(named.select("query", "segment")), "query").select("pixel", "query", "segment", "label")
+    return own.join(named.select("query", "segment"), "query").select("pixel", "query", "segment", "label")
 
 
 def geometric_ensemble(a: Column, b: Column, weight: float) -> Column:

@@ -46,6 +46,15 @@ def pixel_points(points: DataFrame, view: list[str], u: str, v: str, depth: str,
     return points.groupBy(*view, u, v).agg(F.count(F.lit(1)).alias("n"), near).select(*view, u, v, "n", F.col("m.d").alias("z"), F.col("m.i").alias(item))
 
 
+def non_empty(points: DataFrame, xyz: list[str]) -> DataFrame:
+    """points without empty beams (all coordinates 0) and without missing or non-finite ones."""
+    cols = [F.col(c) for c in xyz]
+    ok, zero = F.lit(True), F.lit(True)
+    for c in cols:
+        ok, zero = ok & c.isNotNull() & (F.abs(c) < float("inf")) & ~F.isnan(c.cast("double")), zero & (c == 0)
+    return points.where(ok & ~zero)
+
+
 def reject_dynamic(points: DataFrame, view: list[str], u: str, v: str, pixels: DataFrame, dynamic: list[str]) -> DataFrame:
     """points without those on a pixel whose class is dynamic; points off the raster stay."""
     bad = pixels.where(F.col("name").isin(dynamic)).select(*view, F.col("u").alias(u), F.col("v").alias(v)).distinct()
@@ -58,7 +67,7 @@ def stamp(points: DataFrame, view: list[str], u: str, v: str, pixels: DataFrame,
     Points without a label or with a nameless one are left out; a dynamic class kills its point; with
     things_only stuff is left out.
     """
-    lab = pixels.where(F.col("name").isNotNull() & (F.col("name") != "")).join(F.broadcast(vocab), "name", "left")
+    lab = pixels.where(F.col("name").isNotNull() & (F.col("name") != "")).join(vocab, "name", "left")
     out = points.join(lab.select(*view, F.col("u").alias(u), F.col("v").alias(v), "name", "class_id", "kind", "instance"), [*view, u, v])
     out = out.withColumn("kill", F.col("name").isin(dynamic)).withColumn("instance", F.coalesce("instance", F.lit(-1)))
     return out.where(F.col("kill") | (F.col("kind") == 1)) if things_only else out

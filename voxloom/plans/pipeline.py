@@ -83,28 +83,27 @@ class Pipeline:
 
     def lift(self, scans: DataFrame, frames: DataFrame) -> DataFrame:
         """Points of each frame's scan in the world, by the scan's own pose; empty and non-finite ones go."""
-        finite = F.lit(True)
-        for a in "xyz":
-            finite = finite & (F.abs(F.col(a)) < float("inf")) & ~F.isnan(F.col(a).cast("double"))
-        s = scans.where(finite & ~((F.col("x") == 0) & (F.col("y") == 0) & (F.col("z") == 0)))
+        s = project.non_empty(scans, list("xyz"))
         r = G.euler_to_rotation(F.col("roll"), F.col("pitch"), F.col("yaw"))
         s = s.select("run", F.col("t").alias("scan_t"), "intensity", *(F.col(a).cast("double").alias(a) for a in "xyz"), *(F.col(a).alias(a) for a in POSE[:3]), *(x.alias(f"r{i}") for i, x in enumerate(r)))
         w = G.apply([F.col(f"r{i}") for i in range(9)], [F.col(a) for a in POSE[:3]], [F.col(a) for a in "xyz"])
         world = s.select("run", "scan_t", "intensity", *(x.alias(f"w{a}") for x, a in zip(w, "xyz", strict=True)))
         return world.join(frames, ["run", "scan_t"]).withColumnsRenamed({f"w{a}": a for a in "xyz"})
 
-    def pixel_of(self, rows: DataFrame) -> DataFrame:
-        """rows(x, y, z, m0..m11) with u, v, depth; points off the raster have no u and v."""
-        u, v, d = G.pixel([F.col(f"m{i}") for i in range(12)], [F.col(a) for a in "xyz"])
-        out = rows.select(*[c for c in rows.columns if not (c[0] == "m" and c[1:].isdigit())], u.alias("u"), v.alias("v"), d.alias("depth"))
-        return out
+    def pixel_of(self, rows: DataFrame, truncated: bool = False) -> DataFrame:
+        """rows(x, y, z, m0..m11) with u, v, depth; points behind the camera have no u and v.  With
+        `truncated` also cut_u and cut_v, the pixel by which dynamic points are rejected."""
+        m, p = [F.col(f"m{i}") for i in range(12)], [F.col(a) for a in "xyz"]
+        u, v, d = G.pixel(m, p)
+        cut = [x.alias(n) for x, n in zip(G.pixel_truncated(m, p), ("cut_u", "cut_v"), strict=True)] if truncated else []
+        return rows.select(*[c for c in rows.columns if not (c[0] == "m" and c[1:].isdigit())], u.alias("u"), v.alias("v"), d.alias("depth"), *cut)
 
     def batch(self, scans: DataFrame, images: DataFrame, pixels: DataFrame) -> Result:
         p = self.config
         frames = settle(self.matrices(self.sync(scans, images)))
-        seen = self.pixel_of(self.lift(scans, frames))
+        seen = self.pixel_of(self.lift(scans, frames), truncated=True)
         labels = pixels.join(frames.select("run", "image_id", "frame"), ["run", "image_id"]).select("run", "frame", "u", "v", "name", "instance")
-        fresh = project.reject_dynamic(seen, ["run", "frame"], "u", "v", labels, p.dynamic) if p.dynamic else seen
+        fresh = project.reject_dynamic(seen, ["run", "frame"], "cut_u", "cut_v", labels, p.dynamic) if p.dynamic else seen
         cells = fresh.select("run", "frame", *(cell(F.col(a), p.voxel).alias(c) for a, c in zip("xyz", CELL, strict=True)), *"xyz", F.col("intensity").cast("double").alias("intensity"))
         # The map as of each frame: prefix sums, valid until the cell is seen again.
         state = fuse_intervals(cells, ["run", *CELL], "frame", [*"xyz", "intensity"])
@@ -117,8 +116,7 @@ class Pipeline:
         front = project.front_shell(project.visible(at, buffer, view, "u", "v", "depth", p.tau).where("visible"), view, "u", "v", "depth", p.surf_band)
         shell = settle(project.stamp(front, view, "u", "v", labels, self.vocabulary(), p.dynamic, p.things_only))
         points = self.classify(state, shell)
-        things = self.things(shell, points)
-        proposals = settle(self.propose(things))
+        proposals = settle(self.propose(self.things(shell, points)))
         comps, members = self.merge(proposals, shell)
         named = members.join(points.where("alive").select("run", *CELL, *"xyz"), ["run", *CELL]).join(F.broadcast(self.vocabulary().select(F.col("class_id").alias("cls"), "name")), "cls")
         room = objects.room_objects(named.select(F.col("comp").alias("object_id"), F.col("name").alias("label"), *"xyz"), p.cam)
@@ -138,7 +136,8 @@ class Pipeline:
 
     def classify(self, state: DataFrame, shell: DataFrame) -> DataFrame:
         """The map after all frames: cells with mean, gidx, class by votes, and whether they are alive
-        (a cell killed in or after the frame in which it was last seen is not)."""
+        (a cell killed in or after the frame in which it was last seen is not).  Without voting a class
+        lasts for its frame only, so it is that of the run's last frame."""
         p = self.config
         v = p.voting
         last = state.where(F.col("until") == LAST)
@@ -146,14 +145,30 @@ class Pipeline:
         # Votes before a kill do not count.
         kills = shell.where("kill").groupBy("run", *CELL).agg(F.max("frame").alias("killed"))
         cast = shell.where("NOT kill").join(kills, ["run", *CELL], "left").where(F.col("killed").isNull() | (F.col("frame") > F.col("killed")))
-        counts = votes.tally(cast, ["run", *CELL], "class_id").join(F.broadcast(self.vocabulary()), "class_id")
-        cls = votes.resolve(counts, ["run", *CELL], "class_id", F.col("kind") == votes.STUFF, v["stuff_bias"], v["min_votes"], v["min_conf"]).select("run", *CELL, "class_id", "total")
+        if not v["enabled"]:
+            end = cast.groupBy("run").agg(F.max("frame").alias("frame"))
+            cls = self.labels_of_frames(cast).join(end, ["run", "frame"]).select("run", *CELL, F.col("label").alias("class_id"), F.lit(1).cast("long").alias("total"))
+        else:
+            counts = votes.tally(cast, ["run", *CELL], "class_id").join(F.broadcast(self.vocabulary()), "class_id")
+            cls = votes.resolve(counts, ["run", *CELL], "class_id", F.col("kind") == votes.STUFF, v["stuff_bias"], v["min_votes"], v["min_conf"]).select("run", *CELL, "class_id", "total")
         out = last.join(first, ["run", *CELL]).join(cls, ["run", *CELL], "left").join(kills, ["run", *CELL], "left")
         out = out.withColumn("alive", F.col("killed").isNull() | (F.col("frame") > F.col("killed")))
         return dense_ids(out.drop("frame", "until", "killed"), "first", [F.col(c) for c in ["run", *CELL]])
 
+    def labels_of_frames(self, cast: DataFrame) -> DataFrame:
+        """(run, cell..., frame, label): the class that each frame gives a cell; of several that of the
+        deepest point."""
+        return votes.frame_label(cast, ["run", *CELL], "frame", [F.col("depth"), F.col("class_id")], "class_id")
+
     def things(self, shell: DataFrame, points: DataFrame) -> DataFrame:
-        """Shell points of thing classes; the class is that of the cell's votes."""
+        """Shell points of thing classes; the class is that of the cell's votes or, without voting, the
+        frame's own."""
+        if not self.config.voting["enabled"]:
+            item = points.select("run", *CELL, F.col("gidx").alias("item"))
+            own = self.labels_of_frames(shell.where("NOT kill AND class_id IS NOT NULL")).withColumnRenamed("label", "cls")
+            kinds = self.vocabulary().where(F.col("kind") == votes.THING).select(F.col("class_id").alias("cls"))
+            rows = shell.where("NOT kill").select("run", "frame", *CELL, *"xyz", "instance")
+            return rows.join(own, ["run", "frame", *CELL]).join(item, ["run", *CELL]).join(F.broadcast(kinds), "cls")
         voted = points.where("class_id IS NOT NULL").select("run", *CELL, F.col("class_id").alias("cls"), F.col("gidx").alias("item"))
         kinds = self.vocabulary().where(F.col("kind") == votes.THING).select(F.col("class_id").alias("cls"))
         return shell.where("NOT kill").select("run", "frame", *CELL, *"xyz", "instance").join(voted, ["run", *CELL]).join(F.broadcast(kinds), "cls")
@@ -161,17 +176,20 @@ class Pipeline:
     def propose(self, things: DataFrame) -> DataFrame:
         """(run, frame, prop, cls, inst, cell...): clusters of each class of each frame, grown over patches."""
         h, s, g = self.config.hdbscan, self.config.superpoints, self.config.grow
+        if not h["enabled"]:
+            return self.none_proposed(things)
         flat = things.withColumn("view", F.struct("run", "frame").cast("string"))
         base = flat
         if h["sor_enabled"]:
             base = cluster.remove_outliers(flat, ["view", "cls"], "item", list("xyz"), h["sor_mean_k"], h["sor_std_mul"])
-        c = cluster.cluster_classes(base, ["view", "cls"], "item", list("xyz"), h["min_pts"], h["min_cluster_size"], h["min_class_points"], h["allow_single_cluster"], h["leaf_selection"], h["split_radius"])
+        by, classes = (["view"], "cls") if h["single_scan"] else (["view", "cls"], None)
+        c = cluster.cluster_classes(base, by, "item", list("xyz"), h["min_pts"], h["min_cluster_size"], h["min_class_points"], h["allow_single_cluster"], h["leaf_selection"], h["split_radius"], classes)
         ids = c.select("view", "cls", "cluster").distinct().withColumn("prop", F.row_number().over(W.partitionBy("view").orderBy("cls", "cluster")).cast("long"))
         member = c.join(ids, ["view", "cls", "cluster"]).select("view", "prop", F.col("cls").alias("prop_cls"), "item")
         facts = flat.select("view", "item", "cls", *"xyz", *CELL).distinct()
         full = member.join(facts, ["view", "item"])
         if g["enabled"] and s["enabled"]:
-            patch = cluster.supervoxels(flat, ["view"], "item", list("xyz"), self.config.voxel, s["seed"], s["spatial"], s["normal"]).where("supervoxel > 0")
+            patch = cluster.supervoxels(flat, ["view"], "item", list("xyz"), self.config.voxel, s["seed"], s["spatial"], s["normal"], 1 + max(0, s["refine"])).where("supervoxel > 0")
             major = tally.segments(patch.join(facts, ["view", "item"]), ["view", "supervoxel"], "cls", s["thing_frac"])
             seg = patch.join(major.select("view", "supervoxel", F.coalesce("class_id", F.lit(-1)).alias("seg_cls")), ["view", "supervoxel"]).select("view", F.col("supervoxel").cast("long").alias("seg"), "seg_cls", "item").join(facts, ["view", "item"])
             rule = grow.Growth(g["affinity"], g["sweeps"], g["overlap_sets"], g["require_class"], g["pool_k"] if g["neighbor_pool"] else 0, g["dis_decay"], self.config.voxel)
@@ -181,10 +199,16 @@ class Pipeline:
         inst = flat.groupBy("view", "item").agg(F.max("instance").alias("inst"))
         return full.join(where, "view").join(inst, ["view", "item"]).select("run", "frame", "prop", F.col("prop_cls").alias("cls"), "inst", *CELL)
 
+    @staticmethod
+    def none_proposed(things: DataFrame) -> DataFrame:
+        return things.where("false").select("run", "frame", F.lit(0).cast("long").alias("prop"), "cls", F.col("instance").alias("inst"), *CELL)
+
     def merge(self, proposals: DataFrame, shell: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(components, members of promoted ones): contested cells go to the component with the most
-        support, then the most cells, then the older."""
+        support, then the most cells, then the older.  None where objects are switched off."""
         o = self.config.objects
+        if not o["enabled"]:
+            proposals = proposals.where("false")
         rule = merge.Merging(tuple(o["merge_thresh"]), o["min_merges"], o["global_context"], o["min_evidence"], o["dis_decay"], o["overlap_sets"], o["require_class"], o["use_semantic_affinity"], o["use_containment"], o["small_seg_min"])
         stride = max(1, o["consol_stride"])
         seen = merge.with_views(proposals.where((F.col("frame") - 1) % stride == 0), shell, CELL)
@@ -194,12 +218,14 @@ class Pipeline:
         return heads, overlap.winners(held, ["run", *CELL], [F.col("support").desc(), F.col("n_cells").desc(), F.col("comp")])
 
     def run_on_input(self, scans: DataFrame, images: DataFrame | None, pixels: DataFrame) -> DataFrame:
-        """The list of objects; empty without images.  More than one image of a run at one time, or an
-        image without a size, is the caller's error."""
+        """The list of objects; empty without images.  More than one image of a run at one time is the
+        caller's error, and so is one that could not be read (a column rgb that is null: a bad encoding)."""
         if images is None:
             return self.spark.createDataFrame([], "vehicle_id int, ident long, label string")
         if images.groupBy("run", "t").count().where("count > 1").limit(1).count():
             raise ValueError("more than one image at one time")
+        if "rgb" in images.columns and not images.where("rgb IS NULL").isEmpty():
+            raise ValueError("an image that cannot be read: a bad encoding or size")
         return self.batch(scans, images, pixels).objects
 
 

@@ -33,7 +33,7 @@ class Profile:
 
 def tallies(result: Result, vocab: DataFrame) -> DataFrame:
     """(tier, kind, name, n): points, proposals and objects by class, with totals where name is null."""
-    v = F.broadcast(vocab)
+    v = vocab
     points = result.points.where("alive").join(v, "class_id", "left").select(F.lit("points").alias("tier"), "kind", "name")
     props = result.proposals.select("run", "frame", "prop", F.col("cls").alias("class_id")).distinct().join(v, "class_id").select(F.lit("proposals").alias("tier"), "kind", "name")
     objs = result.components.where("promoted").select(F.col("cls").alias("class_id")).join(v, "class_id").select(F.lit("objects").alias("tier"), "kind", "name")
