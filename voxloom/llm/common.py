@@ -55,18 +55,17 @@ def semi_rows(df: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: s
 HOT_SHARE = 1000  # a key is hot from one row in so many, so there are at most so many hot keys
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """left joined with right on `key`, of which right has each value once, as many rows of left as may
-    share one.  The hot keys' rows of right, at most HOT_SHARE of them, are broadcast, so that no key's
-    rows of left meet in one task.  left is read three times; it should be a table."""
+def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined (inner or left) with right on `key`, of which right has each value once, as many rows of
+    left as may share one.  The hot keys' rows of right, at most HOT_SHARE of them, are broadcast, so that no
+    key's rows of left meet in one task.  left is read several times; it should be a table."""
     n = left.count()
-    often = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") * HOT_SHARE >= n).where("__n > 64").select(key)
-    often = settle(often)
+    often = settle(left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where((F.col("__n") * HOT_SHARE >= n) & (F.col("__n") > 64)).select(key))
     if often.isEmpty():
-        return left.join(right, key)
-    few = right.join(F.broadcast(often), key, "left_semi")
-    rest = left.join(F.broadcast(often), key, "left_anti").join(right, key)
-    return left.join(F.broadcast(few), key).unionByName(rest)
+        return left.join(right, key, how)
+    hot = F.broadcast(often)
+    few = F.broadcast(right.join(hot, key, "left_semi"))
+    return left.join(hot, key, "left_semi").join(few, key, how).unionByName(left.join(hot, key, "left_anti").join(right, key, how))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -204,7 +204,7 @@ def contract(labels: DataFrame, more: DataFrame) -> DataFrame:
     own = lambda c: more.join(labels.withColumnRenamed("node", c), c, "left").select("a", "b", F.coalesce("comp", c).alias(f"c_{c}"))
     ends = own("a").join(own("b"), ["a", "b"]).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).where("a <> b").distinct()
     over = components(ends)
-    moved = labels.join(over.select(F.col("node").alias("comp"), F.col("comp").alias("up")), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
+    moved = hot_join(labels, over.select(F.col("node").alias("comp"), F.col("comp").alias("up")), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
     return settle(moved.unionByName(over.join(labels, "node", "left_anti").select("node", "comp")))
 
 
@@ -281,8 +281,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             break
 
     named = classes.select("digest", "cid", "c_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("digest", "c_id", F.coalesce("comp", "cid").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("c_id").alias("component_id"))
-    ids = named.join(least, "comp").select(F.col("digest").alias("d"), "component_id")
+    named = settle(named)
+    ids = hot_join(named, named.groupBy("comp").agg(F.min("c_id").alias("component_id")), "comp").select(F.col("digest").alias("d"), "component_id")
     rows = base.select("doc_id", "th", "digest", "n")
     out = rows.join(ids, rows["digest"] == ids["d"], "left")
     comp = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import read_table, trim_memory
+from voxloom.llm.common import read_table, settle, trim_memory
 from voxloom.llm.textnum import U64, _BYTE, _LOWER, _P_INV, _pow, batch_texts, chunks, mix
 
 TRAIN_ROWS = 24_000  # bound of the training sample
@@ -191,7 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     Labels with a null id or quality are left out; a null toxic counts as 0.  An id that is repeated, in
     the labels or in docs, counts once for each pair, within the bound.  Training goes through the rows in
     the order of their hashes, so the model does not depend on how the files are laid out.  The labels'
-    sample is bounded, so it is broadcast; the driver gets hashed features of at most that many documents.
+    sample is bounded, so it is broadcast; the driver gets hashed features of at most that many documents
+    and sorts them itself.
     """
     grade = F.when(F.col("quality") == 0, 0).when(F.coalesce(F.col("toxic"), F.lit(0)) != 0, 1).otherwise(2)
     chosen = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).select(F.col(id_col).alias("l_id"), grade.cast("int").alias("grade")).orderBy(F.xxhash64("l_id"), "l_id", "grade").limit(rows)
@@ -208,10 +209,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
 
     known = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     joined = known.join(F.broadcast(chosen), F.col("d_id") == F.col("l_id")).select(F.xxhash64("l_id").alias("h"), "grade", "text")
-    got = joined.mapInArrow(run, "h long, grade int, ids binary, scale double").orderBy("h", "grade", "scale", "ids").limit(rows).toArrow()
-    grades = got.column("grade").to_numpy().astype(np.int64)
-    model = fit([np.frombuffer(x.as_buffer(), dtype=np.int32) for x in got.column("ids")], got.column("scale").to_numpy(), grades)
+    found = settle(joined.mapInArrow(run, "h long, grade int, ids binary, scale double"))
+    if found.count() > rows:  # only where ids are repeated
+        found = settle(found.orderBy("h", "grade", "scale", "ids").limit(rows))
+    got = found.toArrow()
+    h, grades, scale = (got.column(c).to_numpy() for c in ("h", "grade", "scale"))
+    ids = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in got.column("ids")]
+    order = sorted(range(len(ids)), key=lambda i: (h[i], grades[i], scale[i], ids[i].tobytes()))
     del got
+    model = fit([ids[i] for i in order], scale[order], grades[order].astype(np.int64))
+    del ids
     trim_memory()
     return model
 
