@@ -102,12 +102,12 @@ def neighbor_pool(spark, sf):
 def grow_sweeps(spark, sf):
     """Proposals grown over segments, frame by frame.
 
-    The table has no proposals: `pk % 4 = 0` gives a point the role of an original member; the others are
-    in segments only, and growth reaches them or does not.
+    The table has no proposals: the first line of an order (`ln = 1`) has the role of an original member;
+    the others are in segments only, and growth reaches them or does not.
     """
-    p = points(spark, sf).select((F.col("day") - F.pmod("day", F.lit(30))).alias("frame"), "cx", "cy", "cz", "sk", "pk", F.ascii("flag").alias("cls"), F.xxhash64("ok", "ln", "pk", "sk", "price").alias("item"), F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"), F.col("cz").cast("double").alias("z"))
+    p = points(spark, sf).select((F.col("day") - F.pmod("day", F.lit(30))).alias("frame"), "cx", "cy", "cz", "sk", "pk", "ln", F.ascii("flag").alias("cls"), F.xxhash64("ok", "ln", "pk", "sk", "price").alias("item"), F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"), F.col("cz").cast("double").alias("z"))
     seg = p.select("frame", F.pmod("sk", F.lit(20)).alias("seg"), F.lit(78).alias("seg_cls"), "item", "cls", "x", "y", "z", "cx", "cy", "cz")
-    prop = p.where("pk % 4 = 0").select("frame", F.pmod("pk", F.lit(7)).alias("prop"), F.lit(78).alias("prop_cls"), "item", "cls", "x", "y", "z", "cx", "cy", "cz")
+    prop = p.where("ln = 1").select("frame", F.pmod("pk", F.lit(7)).alias("prop"), F.lit(78).alias("prop_cls"), "item", "cls", "x", "y", "z", "cx", "cy", "cz")
     out = grow.grow_frames(seg, prop, "frame", ["x", "y", "z"], ["cx", "cy", "cz"], grow.Growth(margin=1.0))
     return out.groupBy("frame", "prop").agg(F.count(F.lit(1)).alias("members"), F.sum(F.col("added").cast("int")).alias("added"))
 
@@ -119,7 +119,7 @@ u AS (SELECT a, b FROM g UNION SELECT b, a FROM g),
 reach AS (SELECT prop AS s, prop AS t FROM n UNION SELECT r.s, u.b FROM reach r JOIN u ON r.t = u.a)
 SELECT s AS prop, min(t) AS comp FROM reach GROUP BY s""")
 def containment_merge(spark, sf):
-    """Sets united by containment."""
+    """Sets united by containment."""
     _, prop = set_tables(spark, sf)
     return merge.merge_sets(prop.select("prop", "e"), "prop", ["e"], 0.24)
 
@@ -141,7 +141,7 @@ t AS (SELECT a, b, b AS k, 1.0::DOUBLE AS f FROM bo UNION ALL SELECT x.a, x.b, y
 r AS (SELECT t.a, t.b, sum(f * (k + 1) * coalesce(bo.adj, 0)) / sum(f * (k + 1)) AS region FROM t LEFT JOIN bo ON bo.a = t.a AND bo.b = t.k GROUP BY ALL)
 SELECT r.a, r.b, round(adj, 6) AS adj, round(region, 6) AS region FROM r JOIN bo USING (a, b)""")
 def edge_affinity(spark, sf):
-    """Affinities of pairs and of their neighbourhoods."""
+    """Affinities of pairs and of their neighbourhoods."""
     e = tables.settle(merge.edge_sums(deposits(spark, sf)))
     nodes = e.select(F.col("lo").alias("node")).union(e.select("hi")).distinct().withColumn("w", F.col("node") + 1)
     r = merge.region_scores(e, nodes, F.lit(0.3))
@@ -172,16 +172,25 @@ def small_comp_absorb(spark, sf):
     return merge.absorb_once(small, e, 2**31 - 1).withColumn("adj", F.round("adj", 6))
 
 
-@query()
+@query(f"""WITH {VEC_SQL}, p AS (SELECT DISTINCT label, x, y FROM e), m AS (SELECT label, avg(x) AS cx, avg(y) AS cy, count(*) AS n FROM e GROUP BY label),
+d AS (SELECT label, count(*) AS n FROM p GROUP BY label),
+edges AS (
+  SELECT a.label, a.x, a.y FROM p a JOIN p b ON a.label = b.label AND (a.x <> b.x OR a.y <> b.y)
+  WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.label = a.label AND (
+    (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0
+    OR ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) > 0)))
+), corners AS (SELECT DISTINCT * FROM edges UNION SELECT p.* FROM p JOIN d USING (label) WHERE d.n < 3)
+SELECT label, x, y, round(cx, 6) AS cx, round(cy, 6) AS cy FROM corners JOIN m USING (label)""")
 def convex_hull(spark, sf):
-    """Hull corners of each label's vectors in the plane."""
-    return cluster.hulls(vectors(spark, sf), "label", "x", "y")
+    """Hull corners of each label's vectors in the plane, with its centroid."""
+    h = cluster.hulls(vectors(spark, sf), "label", "x", "y").select("label", F.explode("polygon").alias("c"), "cx", "cy")
+    return h.select("label", "c.x", "c.y", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
 @query(f"""WITH {VEC_SQL} SELECT 211 AS vehicle_id, label::BIGINT AS ident, 'class' || label AS label, '' AS direction,
   round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, xor(211::BIGINT << 48, label::BIGINT) AS node FROM e GROUP BY label""")
 def room_objects(spark, sf):
-    """Published objects: keys, label, centroid."""
+    """Published objects: keys, label, centroid."""
     v = vectors(spark, sf).withColumn("object_id", F.col("label").cast("long")).withColumn("label", F.concat(F.lit("class"), F.col("label").cast("string")))
     o = objects.room_objects(v, 211, k=0)
     return o.select("vehicle_id", "ident", "label", "direction", F.round("centroid.x", 6).alias("cx"), F.round("centroid.y", 6).alias("cy"), I.node_key(F.col("vehicle_id"), F.col("ident")).alias("node"))
@@ -191,7 +200,7 @@ def room_objects(spark, sf):
 l AS (SELECT *, lag(label) OVER w AS pl, lag(size) OVER w AS ps, row_number() OVER w AS rk FROM s WINDOW w AS (PARTITION BY user_id ORDER BY day))
 SELECT user_id, day, label, size::BIGINT AS size FROM l WHERE rk = 1 OR pl IS DISTINCT FROM label OR ps IS DISTINCT FROM size""")
 def delta_changed(spark, sf):
-    """Snapshots that differ from those sent before (ST11, J17, E15)."""
+    """Snapshots that differ from those sent before (ST11)."""
     m = moments(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     s = m.groupBy("user_id", "day").agg(F.max(F.struct("us", "event_id", "event_type")).alias("t"), F.floor(F.count(F.lit(1)) / 4).cast("long").alias("size"))
     s = s.select("user_id", "day", F.col("t.event_type").alias("label"), "size")
@@ -217,7 +226,7 @@ n AS (SELECT frame, instance, count(*) AS n, min(u) AS u0, max(u) AS u1, min(v)
 r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY n DESC, instance) AS rk FROM n WHERE n >= 20)
 SELECT frame, instance, n::BIGINT AS n, u0, u1, v0, v1 FROM r WHERE rk = 1""")
 def instance_boxes(spark, sf):
-    """The largest instance of each frame with its box."""
+    """The largest instance of each frame with its box."""
     li = table(spark, sf, "lineitem")
     p = li.select(F.pmod("l_partkey", F.lit(100)).alias("instance"), F.pmod("l_orderkey", F.lit(20)).alias("frame"), F.pmod("l_suppkey", F.lit(64)).cast("int").alias("u"), F.col("l_linenumber").cast("int").alias("v"))
     return objects.largest_instance(p, ["frame"], 20)
@@ -276,7 +285,7 @@ def color_hash(spark, sf):
 @query("""SELECT event_id, xor((user_id % 65536) << 48, event_id)::BIGINT AS node, (epoch_us(ts) * 1000)::BIGINT AS ns, (epoch_us(ts) * 10)::BIGINT AS ticks,
 (epoch_us(ts) // 1000000)::BIGINT AS secs, strftime(ts, '%Y-%m-%d %H:%M:%S') AS text, ('img' || (epoch_us(ts) * 1000)::BIGINT) AS name FROM events""")
 def node_keys(spark, sf):
-    """Keys and conversions of times."""
+    """Keys and conversions of times."""
     from voxloom.functions.text import image_name
 
     e = table(spark, sf, "events").withColumn("ns", T.timestamp_to_ns(F.col("ts")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxloom.functions.geometry import splat_radius
 from voxloom.operators import overlap, project, votes
 from voxloom.plans.bindings import POINTS_SQL, points, table
 
@@ -30,7 +31,7 @@ def projected(spark, sf):
     x = (F.pmod(F.col("pk"), F.lit(101)) - 50).cast("double")
     y = (F.col("q") - 25).cast("double")
     p = p.select("*", depth.alias("depth"), F.pmod("sk", F.lit(10)).cast("int").alias("view"))
-    return p.select("*", F.floor(x * 4.0 / F.col("depth") + 32.0 + 0.5).cast("int").alias("u"), F.floor(y * 4.0 / F.col("depth") + 24.0 + 0.5).cast("int").alias("v"), F.greatest(F.lit(1), F.least(F.lit(3), F.round(F.lit(6.0) / F.col("depth")))).cast("int").alias("r"))
+    return p.select("*", F.floor(x * 4.0 / F.col("depth") + 32.0 + 0.5).cast("int").alias("u"), F.floor(y * 4.0 / F.col("depth") + 24.0 + 0.5).cast("int").alias("v"), splat_radius(F.col("depth"), 6.0, 1, 3).alias("r"))
 
 
 PROJ_SQL = f"""{POINTS_SQL}, proj AS (
@@ -59,7 +60,7 @@ def visible_points(spark, sf):
 SELECT view, u, v, count(*)::BIGINT AS n_visible, min(depth) AS z, min(pk) FILTER (depth = zz)::BIGINT AS nearest
 FROM (SELECT *, min(depth) OVER (PARTITION BY view, u, v) AS zz FROM vis) GROUP BY view, u, v""")
 def project_zbuffer(spark, sf):
-    """Visible points of each pixel and the nearest of them."""
+    """Visible points of each pixel and the nearest of them."""
     near = project.pixel_points(visible_points(spark, sf), ["view"], "u", "v", "depth", "pk", "pk")
     return near.withColumnsRenamed({"n": "n_visible", "pk": "nearest"})
 
@@ -137,7 +138,7 @@ ss AS (SELECT seg, count(*) AS size FROM sup GROUP BY 1)
 SELECT seg, prop, shared::BIGINT AS shared, round(shared::DOUBLE / size::DOUBLE * (ab::DOUBLE / (sqrt(aa::DOUBLE) * sqrt(bb::DOUBLE))), 6) AS affinity
 FROM sh JOIN d USING (seg, prop) JOIN aa USING (seg) JOIN bb USING (prop) JOIN ss USING (seg)""")
 def overlap_affinity(spark, sf):
-    """Shared elements times class cosine of segments and proposals."""
+    """Shared elements times class cosine of segments and proposals."""
     seg, prop = set_tables(spark, sf)
     pairs = overlap.shared(seg, prop, "seg", "prop", ["e"]).join(overlap.sizes(seg, "seg", ["e"], "size"), "seg")
     both = pairs.join(overlap.histograms(seg, "seg", "cls", "hs"), "seg").join(overlap.histograms(prop, "prop", "cls", "hp"), "prop")
@@ -175,7 +176,7 @@ SELECT op, count(*)::BIGINT AS n, sum(u)::BIGINT AS su, sum(v)::BIGINT AS sv FRO
   UNION ALL SELECT 'erode', * FROM ero
 ) GROUP BY op""")
 def mask_set_ops(spark, sf):
-    """Set operations and morphology of pixel masks."""
+    """Set operations and morphology of pixel masks."""
     p = table(spark, sf, "part")
     m = lambda c: p.where(c).select(F.pmod("p_partkey", F.lit(64)).cast("int").alias("u"), F.pmod("p_size", F.lit(48)).cast("int").alias("v")).distinct()
     a, b = m("p_brand < 'Brand#3'"), m("p_brand >= 'Brand#2'")
