@@ -201,7 +201,7 @@ a AS (
 ), f AS (SELECT event_id, y0 + al * delta AS yaw FROM d)
 SELECT event_id, round(cos(yaw), 4) + 0.0 AS c, round(sin(yaw), 4) + 0.0 AS s, round(2 * cos(yaw) - 3 * sin(yaw) + 1, 4) + 0.0 AS px FROM f""")
 def slerp_pose(spark, sf):
-    """Headings interpolated on the sphere, and a point carried by the pose."""
+    """Headings interpolated on the sphere, and a point carried by the pose."""
     m = moments(spark, sf).withColumn("t", F.col("us")).withColumn("yaw", F.col("cents") / 10000.0)
     b = asof.bracket(m.where("event_type = 'purchase'"), m.where("event_type = 'view'"), "user_id", "t", "event_id", ["yaw"]).where("status = 'OK' AND t1 > t")
     zero = F.lit(0.0)
