@@ -12,6 +12,7 @@ from voxloom.llm.packing import op3_packing
 from voxloom.llm.quality import op1_quality_classifier
 from voxloom.llm.sharding import op5_sharding
 from voxloom.llm.token_cache import op10_token_counts
+from voxloom.llm.voronoi import OP11_SQL, op11_exact_topk
 
 
 def queries() -> dict:
@@ -26,8 +27,9 @@ def queries() -> dict:
         "op8_language_id": op8_language_id,
         "op9_mixing": op9_mixing,
         "op10_token_counts": op10_token_counts,
+        "op11_exact_topk": op11_exact_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op4_minhash_near_dedup": OP4_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op4_minhash_near_dedup": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op11_exact_topk": OP11_SQL}
