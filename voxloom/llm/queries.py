@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from voxloom.llm.ann import op7_ann_search
+from voxloom.llm.conversations import OP12_SQL, op12_conversation_repair
 from voxloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from voxloom.llm.langid import op8_language_id
 from voxloom.llm.line_dedup import OP2_SQL, op2_line_dedup
@@ -28,8 +29,15 @@ def queries() -> dict:
         "op9_mixing": op9_mixing,
         "op10_token_counts": op10_token_counts,
         "op11_exact_topk": op11_exact_topk,
+        "op12_conversation_repair": op12_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op4_minhash_near_dedup": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op11_exact_topk": OP11_SQL}
+    return {
+        "op2_line_dedup": OP2_SQL,
+        "op4_minhash_near_dedup": OP4_SQL,
+        "op6_exact_dedup": OP6_SQL,
+        "op11_exact_topk": OP11_SQL,
+        "op12_conversation_repair": OP12_SQL,
+    }
