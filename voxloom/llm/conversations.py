@@ -102,8 +102,8 @@ def narrow(rows: DataFrame, ids: DataFrame) -> DataFrame:
     marks = ids.select("c", *(F.lit(None).cast(t).alias(n) for n, t in (("t", "long"), ("r", "string"), ("d", "binary"), ("kind", "int"))), F.lit(0).alias("one"))
     every = rows.select("c", "t", "r", "d", kind.alias("kind"), F.lit(1).alias("one")).unionByName(marks)
     some = every.groupBy("c", "t", "r", "d", "kind").agg(F.sum("one").alias("n"))
-    firsts = some.groupBy(F.col("c").alias("c1"), F.col("r").alias("r1"), F.col("d").alias("d1")).agg(F.min(F.struct("t")).alias("m"))
-    firsts = firsts.select("c1", "r1", "d1", F.col("m.t").alias("t1"), F.lit(True).alias("first"))
+    firsts = some.groupBy(F.col("c").alias("c1"), F.col("r").alias("r1"), F.col("d").alias("d1")).agg(F.bool_or(F.col("t").isNull()).alias("none"), F.min("t").alias("m"))
+    firsts = firsts.select("c1", "r1", "d1", F.expr("IF(none, NULL, m)").alias("t1"), F.lit(True).alias("first"))
     on = functools.reduce(lambda p, q: p & q, (some[x].eqNullSafe(firsts[f"{x}1"]) for x in ("c", "r", "d", "t")))
     return some.join(firsts, on, "left").select("c", "t", "r", "d", "kind", "n", F.coalesce("first", F.lit(False)).alias("first"))
 
