@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxloom.operators import votes
 from voxloom.operators.tables import scratch
-from voxloom.plans.bindings import MOMENTS_SQL, POINTS_SQL, table
+from voxloom.plans.bindings import MOMENTS_SQL, POINTS_SQL, moments, table
 from voxloom.streaming import folds, keyed, mapstate, sync
 
 QUERIES: dict = {}
@@ -22,6 +23,14 @@ def query(sql: str | None = None):
     return add
 
 
+def in_order(rows, t, parts):
+    """rows in so many slices of time, one after the other."""
+    cuts = rows.agg(F.percentile_approx(t, [k / parts for k in range(1, parts)])).first()[0] or []
+    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows if lo is None else rows.where(F.col(t) > lo)
+        yield part if hi is None else part.where(F.col(t) <= hi)
+
+
 def stream(spark, sf, name):
     """A table as a file stream."""
     return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}[.]parquet")  # as a pattern, a single file may stand for a folder
@@ -53,6 +62,38 @@ def stream_fuse(spark, sf):
     return mapstate.snapshot(spark, at, "map", ["cx", "cy", "cz"])
 
 
+@query(f"""WITH {MOMENTS_SQL}, o AS (
+  SELECT *, CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 1 ELSE 0 END AS op,
+         sum((event_type = 'error')::INT) OVER w AS part FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)
+), f AS (
+  SELECT *, sum((op = 0)::INT) OVER (PARTITION BY user_id, part ORDER BY us, event_id) AS points, max(part) OVER (PARTITION BY user_id) AS top FROM o
+), e AS (  -- a part without points was dead: the kill that ends it met no live cell
+  SELECT user_id, top, count(DISTINCT part) FILTER (op = 0 AND part < top)::BIGINT AS epoch, count(*) FILTER (op = 0 AND part = top) > 0 AS alive,
+         count(*) FILTER (op = 0 AND part = top)::BIGINT AS n, coalesce(sum(cents) FILTER (op = 0 AND part = top), 0)::BIGINT AS sum_cents,
+         count(*) FILTER (op = 1 AND part = top AND points > 0 AND event_type = 'purchase') AS v1,
+         count(*) FILTER (op = 1 AND part = top AND points > 0 AND event_type = 'signup') AS v2
+  FROM f GROUP BY user_id, top
+)
+SELECT user_id, epoch, alive, n, sum_cents, CASE WHEN v1 + v2 = 0 THEN NULL WHEN greatest(v1, v2 * 2) = v1 AND v1 >= 0.2 * (v1 + v2) THEN 1
+       WHEN v2 * 2 > v1 AND v2 >= 0.2 * (v1 + v2) THEN 2 END::INT AS class_id, (v1 + v2)::BIGINT AS total FROM e""")
+def stream_map_state(spark, sf):
+    """The map kept by a stream of points, votes and kills (ST5, W4, P3, A3, A4): four files in order of time, the
+    query started anew from its checkpoint for each."""
+    m = moments(spark, sf)
+    kind = F.when(F.col("event_type") == "error", mapstate.KILL).when(F.col("event_type").isin("purchase", "signup"), mapstate.VOTE).otherwise(mapstate.FUSE)
+    ops = m.select("user_id", "us", "event_id", kind.alias("op"), F.when(F.col("event_type") == "purchase", 1).otherwise(2).alias("class_id"), "cents")
+    at = scratch(spark)
+    with mapstate.state_store(spark):
+        for rows in in_order(ops, "us", 4):
+            rows.write.mode("append").parquet(f"{at}/ops")
+            stream = spark.readStream.schema(ops.schema).parquet(f"{at}/ops")
+            mapstate.publish(mapstate.map_stream(stream, ["user_id"], ["us", "event_id"], "op", "class_id", ["cents"]), at, "cells").awaitTermination()
+    cells = mapstate.snapshot(spark, at, "cells", ["user_id"])
+    ballots = cells.select("user_id", F.explode("votes").alias("v")).select("user_id", "v.class_id", F.col("v.votes").cast("long").alias("votes"))
+    won = votes.resolve(ballots, ["user_id"], "class_id", F.col("class_id") == 2, bias=2.0, min_votes=1, min_conf=0.2)
+    return cells.drop("votes").join(won.select("user_id", "class_id", "total"), "user_id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+
+
 @query(f"""WITH RECURSIVE {MOMENTS_SQL}, q AS (SELECT user_id, us, event_id FROM ev WHERE event_type = 'error'),
 g AS (
   SELECT user_id, us, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS rk FROM q) WHERE rk = 1

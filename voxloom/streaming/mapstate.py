@@ -1,10 +1,25 @@
-"""The map, kept up to date by a stream: sums of cells, published as what has changed."""
+"""The map, kept up to date by a stream: cells that are fused, voted on, killed and revived.
+
+A cell's state lies in Spark's state store, a row for its sums and one for each class it has votes of, so
+what is written in a micro-batch grows with the cells that it touches and not with the map.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from voxloom.operators.votes import SATURATION
+
+#: What a row does to its cell.
+FUSE, VOTE, KILL = 0, 1, 2
 
 
 def fuse_stream(points: DataFrame, cell: list[str], sums: list[str]) -> DataFrame:
@@ -12,6 +27,89 @@ def fuse_stream(points: DataFrame, cell: list[str], sums: list[str]) -> DataFram
     return points.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(f"sum_{c}") for c in sums))
 
 
+class CellState:
+    """One cell: dead until its first point; a kill ends an epoch, the next point starts another from nothing.
+    Votes for a dead cell are void, and so is a kill of one."""
+
+    def __init__(self, epoch: int = 0, alive: bool = False, n: int = 0, sums: tuple = (), votes: dict[int, int] | None = None):
+        self.epoch, self.alive, self.n, self.sums, self.votes = epoch, alive, n, list(sums), Counter(votes or {})
+
+    def apply(self, ops: list[int], values: list[list], classes: list[int]) -> None:
+        for i, op in enumerate(ops):
+            if op == FUSE:
+                if not self.alive:
+                    self.alive, self.n, self.votes = True, 0, Counter()
+                    self.sums = [0] * len(values)
+                self.n += 1
+                self.sums = [s + v[i] for s, v in zip(self.sums, values, strict=True)]
+            elif self.alive and op == VOTE:
+                self.votes[classes[i]] = min(SATURATION, self.votes[classes[i]] + 1)
+            elif self.alive and op == KILL:
+                self.epoch, self.alive, self.n, self.votes = self.epoch + 1, False, 0, Counter()
+                self.sums = [0] * len(values)
+
+
+class CellProcessor(StatefulProcessor):
+    """Rows (op, class, values...) of a cell and micro-batch, in their order -> the cell as it is then."""
+
+    def __init__(self, cell: list[str], order: list[str], op: str, cls: str, values: list[str], kind: str):
+        self.cell, self.order, self.op, self.cls, self.values, self.kind = cell, order, op, cls, values, kind
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        sums = "".join(f", s{i} {self.kind}" for i in range(len(self.values)))
+        self.state = handle.getValueState("cell", f"epoch long, alive boolean, n long{sums}")
+        self.ballots = handle.getMapState("votes", "class_id int", "votes int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
+        had = {int(c[0]): int(v[0]) for c, v in self.ballots.iterator()}
+        if self.state.exists():
+            epoch, alive, n, *sums = self.state.get()
+            now = CellState(epoch, alive, n, tuple(sums), had)
+        else:
+            now = CellState(sums=(0,) * len(self.values))
+        now.apply(pdf[self.op].tolist(), [pdf[v].fillna(0).tolist() for v in self.values], pdf[self.cls].fillna(-1).astype(int).tolist())
+        as_kind = int if self.kind == "long" else float
+        self.state.update((now.epoch, now.alive, now.n, *(as_kind(s) for s in now.sums)))
+        for c in had.keys() - now.votes.keys():
+            self.ballots.removeKey((c,))
+        for c, v in now.votes.items():
+            if had.get(c) != v:
+                self.ballots.updateValue((c,), (v,))
+        out = {c: [k] for c, k in zip(self.cell, key, strict=True)} | {"epoch": [now.epoch], "alive": [now.alive], "n": [now.n]}
+        out |= {f"sum_{v}": [as_kind(s)] for v, s in zip(self.values, now.sums, strict=True)}
+        yield pd.DataFrame(out | {"votes": [[{"class_id": c, "votes": v} for c, v in sorted(now.votes.items())]]})
+
+    def close(self) -> None:
+        pass
+
+
+def map_stream(ops: DataFrame, cell: list[str], order: list[str], op: str, cls: str, values: list[str], kind: str = "long") -> DataFrame:
+    """Cells as each micro-batch leaves them (update mode): cell..., epoch (kills that met a live cell), alive, n and
+    sums since the last revival, and votes.
+
+    `op` is FUSE, VOTE or KILL, `cls` the class of a vote, `values` are summed as `kind` (long or double; null: 0).
+    Rows of a micro-batch are taken in `order`, micro-batches as they come: a row that comes late counts
+    when it comes.  Start the query inside state_store().
+    """
+    types = {f.name: f.dataType.simpleString() for f in ops.schema.fields}
+    schema = ", ".join([*(f"{c} {types[c]}" for c in cell), "epoch long, alive boolean, n long", *(f"sum_{v} {kind}" for v in values), "votes array<struct<class_id:int,votes:int>>"])
+    slim = ops.select(*cell, *dict.fromkeys([*order, op, cls, *values]))
+    return slim.groupBy(*cell).transformWithStateInPandas(CellProcessor(cell, order, op, cls, values, kind), schema, "Update", "None")
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state on disk (RocksDB), as map_stream needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def publish(totals: DataFrame, folder: str, name: str):
     """Start writing changed cells with the number of their batch, for all that the sources have now."""
 
