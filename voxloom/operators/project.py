@@ -98,6 +98,43 @@ def within(frames: DataFrame, points: DataFrame, f_xyz: list[str], p_xyz: list[s
     return near.drop(*names, *(f"{n}p" for n in names), *(f"__k_{k}" for k in keys))
 
 
+def may_show(m: list[Column], centre: list[Column], radius: Column, width: int, height: int, margin: float) -> Column:
+    """Whether a ball may hold points that a view shows on its raster or within `margin` pixels of it: its
+    centre is on the inner side of all five planes of the view's frustum, or nearer to them than the radius."""
+
+    def side(plane: list[Column]) -> Column:
+        at = plane[0] * centre[0] + plane[1] * centre[1] + plane[2] * centre[2] + plane[3]
+        steep = F.sqrt(plane[0] * plane[0] + plane[1] * plane[1] + plane[2] * plane[2])
+        return at >= -(steep * radius) - F.abs(plane[3]) * 1e-9 - 1e-9
+
+    rows = [m[0:4], m[4:8], m[8:12]]
+    lo, ok = F.lit(-1.0 - margin), side(rows[2])
+    for row, size in ((rows[0], width), (rows[1], height)):
+        ok = ok & side([a - lo * d for a, d in zip(row, rows[2], strict=True)]) & side([F.lit(size + margin) * d - a for a, d in zip(row, rows[2], strict=True)])
+    return ok
+
+
+def in_frusta(frames: DataFrame, cells: DataFrame, run: str, cell_names: list[str], edge: float, width: int, height: int, margin: float, levels: tuple[int, int] = (64, 8), shares: int = 16) -> DataFrame:
+    """Pairs of a frame (run, m0..m11, ...) and a row of cells (run, cell..., ...) that it may show: frames are tested
+    against the occupied blocks of levels[0] cells' edge, those that pass against blocks of levels[1] in
+    them, and what passes meets the cells of these by an equi-join.  Blocks of a run are dealt over shares, so
+    that a long run is not one task.  Every cell on the raster is in the result, some others too."""
+    wide, fine = ([f"__{x}{i}" for i in range(len(cell_names))] for x in "wf")
+    keyed = cells.select("*", *(F.floor(F.col(c) / levels[0]).alias(n) for c, n in zip(cell_names, wide, strict=True)), *(F.floor(F.col(c) / levels[1]).alias(n) for c, n in zip(cell_names, fine, strict=True)))
+    blocks = keyed.select(run, *wide, *fine).distinct()
+    m = [F.col(f"m{i}") for i in range(12)]
+
+    def shown(names: list[str], size: int) -> Column:
+        centre = [(F.col(n) + 0.5) * (size * edge) for n in names]
+        return may_show(m, centre, F.lit(size * edge * 3**0.5 / 2), width, height, margin)
+
+    share = F.pmod(F.xxhash64(*wide), F.lit(shares)).alias("__share")
+    dealt = frames.withColumn("__share", F.explode(F.array(*(F.lit(i).cast("long") for i in range(shares)))))
+    first = dealt.join(blocks.select(run, *wide).distinct().withColumn("__share", share), [run, "__share"]).where(shown(wide, levels[0])).drop("__share")
+    second = first.join(blocks, [run, *wide]).where(shown(fine, levels[1]))
+    return second.join(keyed, [run, *wide, *fine]).drop(*wide, *fine)
+
+
 def neighbour_pixels(rows: DataFrame, view: list[str], u: str, v: str) -> DataFrame:
     """Four-neighbour pairs of pixels of one view: each pixel with its right and lower neighbour."""
     a = rows.select(*view, F.col(u).alias("u1"), F.col(v).alias("v1"), F.col("id").alias("id1"), F.explode(F.array(F.struct(F.lit(1).alias("du"), F.lit(0).alias("dv")), F.struct(F.lit(0).alias("du"), F.lit(1).alias("dv")))).alias("d"))

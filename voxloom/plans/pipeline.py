@@ -1,26 +1,30 @@
 """From scans, images and pixel labels to map points and objects.
 
 Frames are worked off side by side: the map as of each frame comes from prefix sums over the frames in
-which a cell was seen, kept as intervals, so no loop over frames is needed.  What is sequential, growing
-inside a frame and merging over frames, runs by frame and by class.
+which a cell was seen, kept as intervals, so no loop over frames is needed.  Kills that change what later
+frames see are found in rounds (operators.feedback).  What is sequential, growing inside a frame and
+merging over frames, runs by frame and by class.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from voxloom.functions import geometry as G
 from voxloom.functions.voxel import cell
-from voxloom.operators import asof, cluster, grow, merge, objects, overlap, project, tally, votes
+from voxloom.operators import asof, cluster, feedback, grow, merge, objects, overlap, project, tally, votes
 from voxloom.operators.tables import dense_ids, settle
 from voxloom.sources.config import RunConfig, from_dict
 
 CELL = ["vx", "vy", "vz"]
 POSE = ["px", "py", "pz", "roll", "pitch", "yaw"]
+VIEW = ["run", "frame"]
+Hook = Callable[[DataFrame, DataFrame], None]
 
 
 @dataclass
@@ -99,49 +103,49 @@ class Pipeline:
         return rows.select(*[c for c in rows.columns if not (c[0] == "m" and c[1:].isdigit())], u.alias("u"), v.alias("v"), d.alias("depth"), *cut)
 
     def batch(self, scans: DataFrame, images: DataFrame, pixels: DataFrame) -> Result:
-        p = self.config
-        frames = settle(self.matrices(self.sync(scans, images)))
+        """All frames of all runs at once."""
+        online = Online(self)
+        online.step(self.sync(scans, images), scans, pixels)
+        return online.finish()
+
+    def fresh(self, scans: DataFrame, frames: DataFrame, labels: DataFrame) -> DataFrame:
+        """(run, frame, cell..., x, y, z, intensity): the points that frames bring to the map; those on pixels of
+        dynamic classes are left out."""
         seen = self.pixel_of(self.lift(scans, frames), truncated=True)
-        labels = pixels.join(frames.select("run", "image_id", "frame"), ["run", "image_id"]).select("run", "frame", "u", "v", "name", "instance")
-        fresh = project.reject_dynamic(seen, ["run", "frame"], "cut_u", "cut_v", labels, p.dynamic) if p.dynamic else seen
-        cells = fresh.select("run", "frame", *(cell(F.col(a), p.voxel).alias(c) for a, c in zip("xyz", CELL, strict=True)), *"xyz", F.col("intensity").cast("double").alias("intensity"))
-        # The map as of each frame: prefix sums, valid until the cell is seen again.
-        state = fuse_intervals(cells, ["run", *CELL], "frame", [*"xyz", "intensity"])
-        state = settle(state)
-        near = self.candidates(frames, state)
-        view = ["run", "frame"]
-        at = self.pixel_of(near).where(F.col("u").isNotNull())
+        kept = project.reject_dynamic(seen, VIEW, "cut_u", "cut_v", labels, self.config.dynamic) if self.config.dynamic else seen
+        return kept.select(*VIEW, *(cell(F.col(a), self.config.voxel).alias(c) for a, c in zip("xyz", CELL, strict=True)), *"xyz", F.col("intensity").cast("double").alias("intensity"))
+
+    def look(self, frames: DataFrame, state: DataFrame, labels: DataFrame) -> DataFrame:
+        """The shell of frames: the live cells on their front surface, with the labels of their pixels.  Dead
+        cells still hide what is behind them, unless the map is cropped around the camera."""
+        p = self.config
+        at = self.pixel_of(self.candidates(frames, state)).where(F.col("u").isNotNull())
         radius = F.lit(p.splat) if p.splat_mult <= 0 else G.splat_radius(F.col("depth"), self.camera.fx * p.voxel * p.splat_mult, p.splat_min, p.splat)
-        buffer = project.depth_buffer(at, view, "u", "v", "depth", radius.cast("int"), self.camera.width, self.camera.height)
-        front = project.front_shell(project.visible(at, buffer, view, "u", "v", "depth", p.tau).where("visible"), view, "u", "v", "depth", p.surf_band)
-        shell = settle(project.stamp(front, view, "u", "v", labels, self.vocabulary(), p.dynamic, p.things_only))
-        points = self.classify(state, shell)
-        proposals = settle(self.propose(self.things(shell, points)))
-        comps, members = self.merge(proposals, shell)
-        named = members.join(points.where("alive").select("run", *CELL, *"xyz"), ["run", *CELL]).join(F.broadcast(self.vocabulary().select(F.col("class_id").alias("cls"), "name")), "cls")
-        room = objects.room_objects(named.select(F.col("comp").alias("object_id"), F.col("name").alias("label"), *"xyz"), p.cam)
-        return Result(frames, points, shell, proposals, comps, members, room)
+        buffer = project.depth_buffer(at, VIEW, "u", "v", "depth", radius.cast("int"), self.camera.width, self.camera.height)
+        seen = project.visible(at, buffer, VIEW, "u", "v", "depth", p.tau).where("visible AND NOT dead").drop("dead")
+        front = project.front_shell(seen, VIEW, "u", "v", "depth", p.surf_band)
+        return project.stamp(front, VIEW, "u", "v", labels, self.vocabulary(), p.dynamic, p.things_only)
 
     def candidates(self, frames: DataFrame, state: DataFrame) -> DataFrame:
-        """Frame and cell pairs to be projected: the cell's state as of the frame, within proj_radius
-        (or else radius) of it; all cells where neither is set."""
+        """Frame and cell pairs to be projected: the cell's state as of the frame with whether it is dead, within
+        proj_radius (or else radius) of it and alive; where neither is set, all cells in the frame's frustum."""
+        p = self.config
+        slim = state.select("run", *CELL, "frame", "until", "killed", *"xyz", "intensity", "n")
         f = frames.select("run", F.col("frame").alias("now"), *(f"cam_{a}" for a in "xyz"), *(f"m{i}" for i in range(12)))
         live = (F.col("now") >= F.col("frame")) & (F.col("now") < F.col("until"))
-        reach = self.config.proj_radius if self.config.proj_radius > 0 else self.config.radius
+        reach = p.proj_radius if p.proj_radius > 0 else p.radius
         if reach > 0:
-            both = project.within(f, state, [f"cam_{a}" for a in "xyz"], list("xyz"), reach, ["run"]).where(live)
+            both = project.within(f, slim, [f"cam_{a}" for a in "xyz"], list("xyz"), reach, ["run"]).where(live & ~feedback.dead(F.col("now")))
         else:
-            both = f.join(state, "run").where(live)
-        return both.drop("frame", "until", *(f"cam_{a}" for a in "xyz")).withColumnRenamed("now", "frame")
+            both = project.in_frusta(f, slim, "run", CELL, p.voxel, self.camera.width, self.camera.height, max(p.splat, p.splat_min)).where(live)
+        return both.withColumn("dead", feedback.dead(F.col("now"))).drop("frame", "until", "killed", *(f"cam_{a}" for a in "xyz")).withColumnRenamed("now", "frame")
 
-    def classify(self, state: DataFrame, shell: DataFrame) -> DataFrame:
+    def classify(self, last: DataFrame, shell: DataFrame) -> DataFrame:
         """The map after all frames: cells with mean, gidx, class by votes, and whether they are alive
         (a cell killed in or after the frame in which it was last seen is not).  Without voting a class
         lasts for its frame only, so it is that of the run's last frame."""
         p = self.config
         v = p.voting
-        last = state.where(F.col("until") == LAST)
-        first = state.groupBy("run", *CELL).agg(F.min("frame").alias("first"))
         # Votes before a kill do not count.
         kills = shell.where("kill").groupBy("run", *CELL).agg(F.max("frame").alias("killed"))
         cast = shell.where("NOT kill").join(kills, ["run", *CELL], "left").where(F.col("killed").isNull() | (F.col("frame") > F.col("killed")))
@@ -151,9 +155,9 @@ class Pipeline:
         else:
             counts = votes.tally(cast, ["run", *CELL], "class_id").join(F.broadcast(self.vocabulary()), "class_id")
             cls = votes.resolve(counts, ["run", *CELL], "class_id", F.col("kind") == votes.STUFF, v["stuff_bias"], v["min_votes"], v["min_conf"]).select("run", *CELL, "class_id", "total")
-        out = last.join(first, ["run", *CELL]).join(cls, ["run", *CELL], "left").join(kills, ["run", *CELL], "left")
-        out = out.withColumn("alive", F.col("killed").isNull() | (F.col("frame") > F.col("killed")))
-        return dense_ids(out.drop("frame", "until", "killed"), "first", [F.col(c) for c in ["run", *CELL]])
+        out = last.drop(*(c for c in last.columns if c.startswith("sum_"))).join(cls, ["run", *CELL], "left")
+        out = out.withColumn("alive", F.col("killed").isNull())
+        return dense_ids(out.drop("frame", "killed"), "first", [F.col(c) for c in ["run", *CELL]])
 
     def labels_of_frames(self, cast: DataFrame) -> DataFrame:
         """(run, cell..., frame, label): the class that each frame gives a cell; of several that of the
@@ -229,17 +233,58 @@ class Pipeline:
         return self.batch(scans, images, pixels).objects
 
 
-LAST = 2**31 - 1
-
-
-def fuse_intervals(points: DataFrame, key: list[str], frame: str, values: list[str]) -> DataFrame:
-    """(key..., frame, until, n, means): the state of a cell from a frame in which it was seen until the
-    next; the latest has `until` at its end."""
-    per = points.groupBy(*key, frame).agg(F.count(F.lit(1)).alias("n"), *(F.sum(v).alias(v) for v in values))
-    w = W.partitionBy(*key).orderBy(frame)
-    run = w.rowsBetween(W.unboundedPreceding, 0)
-
-    def mean(v: str) -> Column:
-        return (F.sum(v).over(run) / F.sum("n").over(run)).alias(v)
-
-    return per.select(*key, frame, F.coalesce(F.lead(frame).over(w), F.lit(LAST)).alias("until"), F.sum("n").over(run).alias("n"), *(mean(v) for v in values))
+class Online:
+    """A run in steps of one or more frames: begin, step for step, finish.
+
+    After each step on_frame(frames, shell) gets its frames and what they see, on_labels(frames, labels) their
+    pixel labels, and on_objects(objects) the list of objects so far, where given (it is made anew for each
+    step then; the last list comes with finish()).  A step looks at its own frames only, over the map as
+    the frames before have left it; its kills act on the frames that follow, in the step and after it.
+    """
+
+    def __init__(self, pipeline: Pipeline, on_frame: Hook | None = None, on_labels: Hook | None = None, on_objects: Callable[[DataFrame], None] | None = None):
+        self.p, self.on_frame, self.on_labels, self.on_objects = pipeline, on_frame, on_labels, on_objects
+        self.begin()
+
+    def begin(self) -> None:
+        """Forget everything."""
+        self.frames = self.map = self.shell = None
+        self.steps = 0
+
+    def step(self, synced: DataFrame, scans: DataFrame, pixels: DataFrame) -> None:
+        """Frames of Pipeline.sync(), later than all of the steps before, with their scans and pixels."""
+        p = self.p
+        frames = settle(p.matrices(synced))
+        labels = settle(pixels.join(frames.select(*VIEW, "image_id"), ["run", "image_id"]).select(*VIEW, "u", "v", "name", "instance"))
+        key, values = ["run", *CELL], [*"xyz", "intensity"]
+        per, kills = settle(feedback.per_frame(p.fresh(scans, frames, labels), key, "frame", values)), None
+        if self.map is not None:
+            per = self.map.select(per.columns).unionByName(per)
+            kills = self.map.where("killed IS NOT NULL").select(*key, F.col("killed").alias("frame"))
+        state, shell = feedback.settle_kills(per, frames, ["run"], key, "frame", values, lambda f, s: p.look(f, s, labels), kills)
+        self.map = settle(feedback.latest(state, "frame"))
+        self.frames = frames if self.frames is None else self.frames.unionByName(frames)
+        self.shell = shell if self.shell is None else self.shell.unionByName(shell)
+        self.steps += 1
+        if self.on_labels:
+            self.on_labels(frames, labels)
+        if self.on_frame:
+            self.on_frame(frames, shell)
+        if self.on_objects:
+            self.on_objects(self.result().objects)
+
+    def result(self) -> Result:
+        """The tables of all steps so far."""
+        p = self.p
+        points = p.classify(self.map, self.shell)
+        proposals = settle(p.propose(p.things(self.shell, points)))
+        comps, members = p.merge(proposals, self.shell)
+        named = members.join(points.where("alive").select("run", *CELL, *"xyz"), ["run", *CELL]).join(F.broadcast(p.vocabulary().select(F.col("class_id").alias("cls"), "name")), "cls")
+        room = objects.room_objects(named.select(F.col("comp").alias("object_id"), F.col("name").alias("label"), *"xyz"), p.config.cam)
+        return Result(self.frames, points, self.shell, proposals, comps, members, room)
+
+    def finish(self) -> Result:
+        out = self.result()
+        if self.on_objects:
+            self.on_objects(out.objects)
+        return out

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxloom.functions.geometry import splat_radius
-from voxloom.operators import overlap, project, votes
+from voxloom.operators import feedback, overlap, project, votes
+from voxloom.operators.tables import settle
 from voxloom.plans.bindings import POINTS_SQL, points, table
 
 QUERIES: dict = {}
@@ -108,6 +109,51 @@ def pixel_label_join(spark, sf):
     return out.groupBy("view", "name", "instance", "kill").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH RECURSIVE {POINTS_SQL}, per AS (
+  SELECT cx, cy, cz, ((year(o_orderdate) - 1992) * 4 + quarter(o_orderdate))::INT AS frame, count(*) AS n, sum(q) AS sq FROM pts JOIN orders ON ok = o_orderkey GROUP BY ALL
+), ends AS (SELECT min(frame) AS lo, max(frame) AS hi FROM per), s AS (
+  SELECT lo - 1 AS frame, cx, cy, cz, 0::BIGINT AS n, 0::BIGINT AS sq, false AS alive, 0::BIGINT AS kills, 0::BIGINT AS v0, 0::BIGINT AS v1, 0::BIGINT AS v2
+  FROM (SELECT DISTINCT cx, cy, cz FROM per), ends
+  UNION ALL
+  SELECT frame, cx, cy, cz, n, sq, alive AND NOT hit, kills + hit::INT,
+         CASE WHEN hit THEN 0 ELSE v0 + (shown AND c = 0)::INT END, CASE WHEN hit THEN 0 ELSE v1 + (shown AND c = 1)::INT END, CASE WHEN hit THEN 0 ELSE v2 + (shown AND c = 2)::INT END
+  FROM (
+    SELECT *, alive AND cz = front AND (frame * 7 + cx * 3 + cy * 5) % 11 = 0 AS hit, alive AND cz = front AND (frame * 7 + cx * 3 + cy * 5) % 11 <> 0 AS shown,
+           (frame + cx + cy) % 3 AS c FROM (
+      SELECT *, min(CASE WHEN alive THEN cz END) OVER (PARTITION BY cx, cy) AS front FROM (
+        SELECT s.frame + 1 AS frame, s.cx, s.cy, s.cz, (CASE WHEN p.n IS NULL THEN s.n WHEN s.alive THEN s.n + p.n ELSE p.n END)::BIGINT AS n,
+               (CASE WHEN p.n IS NULL THEN s.sq WHEN s.alive THEN s.sq + p.sq ELSE p.sq END)::BIGINT AS sq, s.alive OR p.n IS NOT NULL AS alive, s.kills, s.v0, s.v1, s.v2
+        FROM s LEFT JOIN per p ON s.cx = p.cx AND s.cy = p.cy AND s.cz = p.cz AND p.frame = s.frame + 1 WHERE s.frame < (SELECT hi FROM ends)))))
+SELECT cx, cy, cz, n, sq AS sum_q, alive, kills, CASE WHEN v0 + v1 + v2 = 0 THEN NULL WHEN v0 >= v1 AND v0 >= v2 THEN 0 WHEN v1 >= v2 THEN 1 ELSE 2 END::INT AS class_id, v0 + v1 + v2 AS total
+FROM s WHERE frame = (SELECT hi FROM ends)""")
+def kill_feedback(spark, sf):
+    """The map after quarters of years in which a kill uncovers what later ones see and kill: cells in columns
+    (cx, cy), the nearest live one in front (P3, P4, P5, J7, W3, X4)."""
+    o = table(spark, sf, "orders").select("o_orderkey", ((F.year("o_orderdate") - 1992) * 4 + F.quarter("o_orderdate")).alias("frame"))
+    seen = points(spark, sf).join(o, F.col("ok") == F.col("o_orderkey")).select("cx", "cy", "cz", "frame", "q")
+    key = ["cx", "cy", "cz"]
+    per = settle(feedback.per_frame(seen, key, "frame", ["q"]))
+    lo, hi = per.agg(F.min("frame"), F.max("frame")).first()
+    each = F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("frame")
+    frames = per.select("cx").distinct().select("cx", each)
+    named = F.when((F.col("frame") * 7 + F.col("u") * 3 + F.col("v") * 5) % 11 == 0, "moving").otherwise(F.concat(F.lit("c"), ((F.col("frame") + F.col("u") + F.col("v")) % 3).cast("string")))
+    labels = per.select(F.col("cx").alias("u"), F.col("cy").alias("v")).distinct().select("u", "v", each).select("*", named.alias("name"), F.lit(-1).alias("instance"))
+    vocab = spark.createDataFrame([(0, "c0", votes.THING), (1, "c1", votes.THING), (2, "c2", votes.STUFF)], "class_id int, name string, kind int")
+
+    def look(now, state):
+        at = state.withColumn("now", F.explode(F.sequence("frame", F.least(F.col("until") - 1, F.lit(hi))))).where(~feedback.dead(F.col("now")))
+        at = at.select(*key, F.col("now").alias("frame"), F.col("cx").alias("u"), F.col("cy").alias("v")).join(now, ["cx", "frame"], "left_semi")
+        return project.stamp(project.front_shell(at, ["frame"], "u", "v", "cz", 0.0), ["frame"], "u", "v", labels, vocab, ["moving"], False)
+
+    state, shell = feedback.settle_kills(per, frames, ["cx"], key, "frame", ["q"], look)
+    last = feedback.latest(state, "frame").select(*key, "n", "sum_q", F.col("killed").isNull().alias("alive"))
+    kills = shell.where("kill").groupBy(*key).agg(F.count(F.lit(1)).alias("kills"), F.max("frame").alias("at"))
+    cast = shell.where("NOT kill").join(kills, key, "left").where(F.col("at").isNull() | (F.col("frame") > F.col("at")))
+    won = votes.resolve(votes.tally(cast, key, "class_id"), key, "class_id", F.lit(False)).select(*key, "class_id", "total")
+    out = last.join(kills.drop("at"), key, "left").join(won, key, "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("kills", "total")})
+
+
 @query("""WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
 c AS (SELECT label, arg_min(x, vec_id) AS cx, arg_min(y, vec_id) AS cy, arg_min(z, vec_id) AS cz FROM e GROUP BY label)
 SELECT e.label, vec_id FROM e JOIN c USING (label) WHERE (cx - x) * (cx - x) + (cy - y) * (cy - y) + (cz - z) * (cz - z) <= 0.25 * 0.25""")
