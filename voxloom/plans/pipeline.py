@@ -73,7 +73,7 @@ class Pipeline:
         posed = turned.select("run", F.col("q_id").alias("image_id"), "t", *(G.lerp(F.col(f"{c}0"), F.col(f"{c}1"), F.col("alpha")).alias(f"p_{c}") for c in POSE[:3]), *(f"q{i}" for i in range(4)))
         near = asof.nearest(images, poses.withColumn("scan_t", F.col("t")), "run", "t", "image_id", "scan_t").select("run", F.col("q_id").alias("image_id"), F.col("s_t").alias("scan_t"))
         out = posed.join(near, ["run", "image_id"])
-        return out.withColumn("frame", F.row_number().over(W.partitionBy("run").orderBy("t", "image_id")))
+        return asof.numbered(out, "run", "t", ["image_id"], "frame")
 
     def matrices(self, frames: DataFrame) -> DataFrame:
         """frames with m0..m11, the projection of each image, and its camera's place."""
