@@ -1,20 +1,20 @@
 """Camera containers as a Spark data source, format("gclf"), and the decoding of pixels.
 
 A container is a chunk stream: a GCLF header, then IHDR and IDAT in turn, each with a four-byte type and
-a size.  Partitions are ranges of images; a wrong type, a size that does not fit the raster or an unknown
+a size.  A partition is a file, whose task walks the chunks; a wrong type, a size that does not fit the raster or an unknown
 encoding is an error, and so is a container without images.
 """
 
 from __future__ import annotations
 
-import os
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
+
+from voxloom.sources.files import Part, Times, listed, opened
 
 #: The layout and the encodings of the container, and those of messages.
 CHUNK = struct.Struct("<4sI")
@@ -54,32 +54,35 @@ def luma(rgb: np.ndarray, bits: int = 8) -> np.ndarray:
     return y.astype(np.uint8) if bits == 8 else (y * 255).astype(np.uint16)
 
 
-def index(path: str) -> list[tuple[int, int]]:
+def walk(f: pa.NativeFile, size: int, path: str) -> Iterator[tuple[int, int]]:
     """(offset of the IHDR chunk, time in ns) of each image; one cut off at the end is left out."""
-    out, size = [], os.path.getsize(path)
-    with open(path, "rb") as f:
+    head, any_ = f.read(CHUNK.size), False
+    if len(head) < CHUNK.size or (kind := CHUNK.unpack(head))[0] != b"GCLF":
+        raise ValueError(f"{path}: not a camera container")
+    start = CHUNK.size + kind[1]
+    while start + CHUNK.size <= size:
+        f.seek(start)
+        kind, n = CHUNK.unpack(f.read(CHUNK.size))
+        if kind != b"IHDR" or n < 8:
+            raise ValueError(f"{path}: no image header at byte {start}")
+        (t,) = struct.unpack("<q", f.read(8).ljust(8, b"\0"))
+        f.seek(start + CHUNK.size + n)
         head = f.read(CHUNK.size)
-        if len(head) < CHUNK.size or (kind := CHUNK.unpack(head))[0] != b"GCLF":
-            raise ValueError(f"{path}: not a camera container")
-        at = CHUNK.size + kind[1]
-        while at + CHUNK.size <= size:
-            f.seek(at)
-            kind, n = CHUNK.unpack(f.read(CHUNK.size))
-            if kind != b"IHDR" or n < 8:
-                raise ValueError(f"{path}: no image header at byte {at}")
-            (t,) = struct.unpack("<q", f.read(8).ljust(8, b"\0"))
-            f.seek(at + CHUNK.size + n)
-            head = f.read(CHUNK.size)
-            if len(head) < CHUNK.size:
-                break
-            kind, m = CHUNK.unpack(head)
-            if kind != b"IDAT":
-                raise ValueError(f"{path}: no image data after byte {at}")
-            out.append((at, t))
-            at += 2 * CHUNK.size + n + m
-    if not out:
+        if len(head) < CHUNK.size:
+            break
+        kind, m = CHUNK.unpack(head)
+        if kind != b"IDAT":
+            raise ValueError(f"{path}: no image data after byte {start}")
+        yield start, t
+        any_, start = True, start + 2 * CHUNK.size + n + m
+    if not any_:
         raise ValueError(f"{path}: no images")
-    return out
+
+
+def index(path: str) -> list[tuple[int, int]]:
+    ((_, size),) = listed(path)
+    with opened(path) as f:
+        return list(walk(f, size, path))
 
 
 def encode(images: list[dict]) -> bytes:
@@ -91,40 +94,41 @@ def encode(images: list[dict]) -> bytes:
     return b"".join(out)
 
 
-@dataclass
-class Images(InputPartition):
-    path: str
-    images: list[tuple[int, int]]
-    first: int
+NAMES = ("idx", "t_ns", "sensor_id", "height", "width", "encoding", "seq", "exposure", "gain", "rgb")
+KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = options["path"]
-        self.span = int(options.get("imagesperpartition", 64))
+        self.path, self.times = options["path"], Times(options)
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes bounds of t_ns: other images are not read."""
+        for f in filters:
+            if not self.times.take(f):
+                yield f
 
     def partitions(self) -> list[InputPartition]:
-        found = index(self.path)
-        return [Images(self.path, found[i : i + self.span], i) for i in range(0, len(found), self.span)]
-
-    def read(self, part: Images) -> Iterator[pa.RecordBatch]:
-        names = ["idx", "t_ns", "sensor_id", "height", "width", "encoding", "seq", "exposure", "gain", "rgb"]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        with open(part.path, "rb") as f:
-            for k, (at, _) in enumerate(part.images):
-                f.seek(at)
+        return [Part(p, n) for p, n in listed(self.path)]
+
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        with opened(part.path) as f:
+            for k, (start, t) in enumerate(walk(f, part.size, part.path)):
+                if not self.times.lo <= t <= self.times.hi:
+                    continue
+                f.seek(start)
                 _, n = CHUNK.unpack(f.read(CHUNK.size))
                 t, sensor, h, w, enc, seq, exposure, gain, _ = IHDR.unpack_from(f.read(n))
                 _, m = CHUNK.unpack(f.read(CHUNK.size))
                 data = f.read(m)
                 if len(data) < m:
-                    raise ValueError(f"{part.path}: the image at byte {at} is cut off")
-                row = (part.first + k, t, sensor, h, w, enc, seq, exposure, gain, to_rgb(data, w, h, enc))
-                yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds, strict=True)], names=names)
+                    raise ValueError(f"{part.path}: the image at byte {start} is cut off")
+                row = (k, t, sensor, h, w, enc, seq, exposure, gain, to_rgb(data, w, h, enc))
+                yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, KINDS, strict=True)], names=list(NAMES))
 
 
 class CameraContainer(DataSource):
-    """Options: path, imagesPerPartition."""
+    """Options: path (file or folder), fromNs and toNs (both included)."""
 
     @classmethod
     def name(cls) -> str:
@@ -138,4 +142,5 @@ class CameraContainer(DataSource):
 
 
 def register(spark) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # readers that take filters need it
     spark.dataSource.register(CameraContainer)
