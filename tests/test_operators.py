@@ -196,7 +196,23 @@ def test_small_classes_have_no_clusters(spark):
     assert cluster.cluster_classes(df, ["g"], "i", list("xyz"), 3, 3, 3).count() == 0
 
 
-def test_components_against_union_find(spark):
+def test_a_hub_is_split(spark):
+    edges = spark.range(1, 120_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    both = tables.settle(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).repartition(8))
+    hubs = tables.hot_keys(both, "b")
+    assert [r["b"] for r in hubs.collect()] == [0] and tables.hot_keys(both.limit(1000), "b") is None
+    labels = both.select(F.col("a").alias("b"), F.col("a").alias("comp")).distinct()
+    joined = tables.join_split(both, labels, "b", hubs).withColumn("p", F.spark_partition_id())
+    sizes = [r["count"] for r in joined.where("b = 0").groupBy("p").count().collect()]
+    assert joined.count() == 240_000 and sum(sizes) == 120_000 and max(sizes) < 60_000
+    got = tables.components(edges)
+    assert got.count() == 120_001 and got.where("comp <> 0").count() == 0
+
+
+@pytest.mark.parametrize("least", [10, 50_000])
+def test_components_against_union_find(spark, monkeypatch, least):
+    monkeypatch.setattr(tables, "HOT_ROWS", least)
+    monkeypatch.setattr(tables.hot_keys, "__defaults__", (least,))
     rng = np.random.default_rng(5)
     for edges in ([tuple(map(int, e)) for e in rng.integers(0, 300, (200, 2))], [(i, i + 1) for i in range(200)], [(7, i) for i in range(8, 60)]):
         p = {v: v for e in edges for v in e}

@@ -88,15 +88,44 @@ def top1(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("__rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("__rank = 1").drop("__rank")
 
 
+HOT_ROWS = 50_000  # rows of one key that a task of a join may have
+HOT_SHARE = 1000  # a key is hot from one row in so many, so there are at most so many hot keys
+
+
+def hot_keys(df: DataFrame, key: str, least: int = HOT_ROWS) -> DataFrame | None:
+    """The keys of a table with more than `least` rows and a thousandth of all, so at most HOT_SHARE; None if there are none."""
+    n = df.count()
+    if n <= least:
+        return None
+    often = settle(df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where((F.col("__n") * HOT_SHARE >= n) & (F.col("__n") > least)).select(key))
+    return None if often.isEmpty() else often
+
+
+def join_split(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """left joined (inner or left) with right, which has each key once.  Rows of left with a key of hot_keys(left)
+    stay where they are, and the rows of right for those keys, one for each, are broadcast to them."""
+    if hot is None:
+        return left.join(right, key, how)
+    hot = F.broadcast(hot)
+    few = F.broadcast(right.join(hot, key, "left_semi"))
+    return left.join(hot, key, "left_semi").join(few, key, how).unionByName(left.join(hot, key, "left_anti").join(right, key, how))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, comp): connected components by least label with pointer jumping; kept in the shared folder."""
+    """(node, comp): connected components by least label with pointer jumping; kept in the shared folder.  The
+    edges of a hub and the nodes of a large component are not brought together in one task."""
     both = settle(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).unionByName(edges.select(F.col(b).alias("a"), F.col(a).alias("b"))).distinct())
+    hubs, many = hot_keys(both, "b"), both.count() > HOT_ROWS
     labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("m"))
+        near = join_split(both, labels.withColumnRenamed("node", "b"), "b", hubs).groupBy("a").agg(F.min("comp").alias("m"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        up = labels.select(F.col("node").alias("u"), F.col("comp").alias("jump"))
-        new = settle(step.join(up, step["comp"] == up["u"], "left").select("node", "old", F.least("comp", F.coalesce("jump", "comp")).alias("comp")))
+        large = None
+        if many:
+            step = settle(step)
+            large = hot_keys(step, "comp")
+        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("jump"))
+        new = settle(join_split(step, up, "comp", large, "left").select("node", "old", F.least("comp", F.coalesce("jump", "comp")).alias("comp")))
         labels = new.select("node", "comp")
         if not new.where("comp <> old").limit(1).count():
             return labels
