@@ -5,17 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.operators.contain import shared
 from voxloom.operators.tables import top1
 
 
-def shared(a: DataFrame, b: DataFrame, a_id: str, b_id: str, on: list[str]) -> DataFrame:
-    """(a_id, b_id, shared): the distinct elements that two sets have in common, for pairs with any.
-
-    An equi-join on the elements; sets that share nothing never meet.
-    """
-    return a.select(a_id, *on).distinct().join(b.select(b_id, *on).distinct(), on).groupBy(a_id, b_id).agg(F.count(F.lit(1)).alias("shared"))
-
-
 def sizes(members: DataFrame, set_id: str, on: list[str], name: str) -> DataFrame:
     return members.select(set_id, *on).distinct().groupBy(set_id).agg(F.count(F.lit(1)).alias(name))
 

@@ -209,3 +209,37 @@ def slerp_pose(spark, sf):
     r = G.quaternion_to_rotation([F.col(f"q{i}") for i in range(4)])
     moved = G.apply(r, [F.lit(1.0), zero, zero], [F.lit(2.0), F.lit(3.0), zero])
     return p.select("event_id", (F.round(r[0], 4) + 0.0).alias("c"), (F.round(r[3], 4) + 0.0).alias("s"), (F.round(moved[0], 4) + 0.0).alias("px"))
+
+
+@query(f"""WITH {MOMENTS_SQL}, a AS (
+  SELECT event_id, (cents % 600) / 100.0 - 3 AS roll, (user_id % 140) / 50.0 - 1.4 AS pitch, (event_id % 620) / 100.0 - 3.1 AS yaw, (event_id % 7) - 3.0 AS x, (user_id % 5) - 2.0 AS y, 2.0 + event_id % 9 AS z FROM ev
+)
+SELECT event_id, round(roll, 4) + 0.0 AS roll, round(pitch, 4) + 0.0 AS pitch, round(yaw, 4) + 0.0 AS yaw, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, round(z, 4) + 0.0 AS z,
+       floor(60 * x / z + 32.5 + 1e-7)::INT AS u, floor(60 * y / z + 24.5 + 1e-7)::INT AS v, round(z, 4) AS depth, 0.0 AS turned, 0.0 AS twisted FROM a""")
+def pose_round_trip(spark, sf):
+    """Rotations to angles and back, transforms there and back, a camera's projection of what lies before it, axes and
+    adjoints: each ends where it began (E3, E5, E6, E9, E11, E20)."""
+    m = moments(spark, sf)
+    angle = [(F.col("cents") % 600) / 100.0 - 3, (F.col("user_id") % 140) / 50.0 - 1.4, (F.col("event_id") % 620) / 100.0 - 3.1]
+    near = [(F.col("event_id") % 7) - 3.0, (F.col("user_id") % 5) - 2.0, 2.0 + F.col("event_id") % 9]
+    a = m.select("event_id", *(x.alias(n) for n, x in zip(("a0", "a1", "a2", *"xyz"), [*angle, *near], strict=True)))
+    r0 = G.euler_to_rotation(*(F.col(f"a{i}") for i in range(3)))
+    b = a.select("*", *(x.alias(f"r{i}") for i, x in enumerate(r0)))
+    r, t, p = [F.col(f"r{i}") for i in range(9)], [F.col("x") * 2 - 1, F.col("y") + 3, F.col("z") / 2], [F.col(c) for c in "xyz"]
+    # the point in the world, and back again
+    w = b.select("*", *(x.alias(f"w{i}") for i, x in enumerate(G.apply(r, t, p))), *(x.alias(f"t{i}") for i, x in enumerate(t)))
+    world, t = [F.col(f"w{i}") for i in range(3)], [F.col(f"t{i}") for i in range(3)]
+    back = G.apply(*G.invert(r, t), world)
+    u, v, depth = G.pixel(G.projection(*(F.lit(k) for k in (60.0, 60.0, 32.0 + 1e-7, 24.0 + 1e-7)), r, t), world)
+    theta, axis = G.angle_axis(r)
+    c = w.select("*", theta.alias("th"), *(x.alias(f"k{i}") for i, x in enumerate(axis)), *(x.alias(f"b{i}") for i, x in enumerate(back)), u.alias("u"), v.alias("v"), depth.alias("depth"))
+    again = G.rotation_of(F.col("th"), [F.col(f"k{i}") for i in range(3)])
+    # a point that a twist moves: the adjoint's upper right block is [t]R
+    ad = G.adjoint(r, t)
+    cross = [t[1] * r[6 + j] - t[2] * r[3 + j] for j in range(3)]
+    e = G.rotation_to_euler(r)
+    off = lambda xs, ys: F.round(F.greatest(*(F.abs(x - y) for x, y in zip(xs, ys, strict=True))), 4) + 0.0
+    return c.select(
+        "event_id", *((F.round(x, 4) + 0.0).alias(n) for n, x in zip(("roll", "pitch", "yaw"), e, strict=True)), *((F.round(f"b{i}", 4) + 0.0).alias(n) for i, n in enumerate("xyz")),
+        "u", "v", F.round("depth", 4).alias("depth"), off(again, r).alias("turned"), off(ad[3:6], cross).alias("twisted"),
+    )

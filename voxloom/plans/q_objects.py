@@ -261,6 +261,23 @@ def id_overseg_stats(spark, sf):
     return tally.segmentation(moments(spark, sf).withColumn("d", F.to_date("ts")).withColumnRenamed("event_type", "cls"), "d", "cls", "user_id")
 
 
+@query("""WITH RECURSIVE px AS (
+  SELECT (l_orderkey % 40)::BIGINT AS frame, (l_suppkey % 24)::INT AS u, l_linenumber::INT AS v, min(l_partkey) % 90 AS id FROM lineitem GROUP BY 1, 2, 3
+), k AS (SELECT DISTINCT frame, id, id % 5 AS c FROM px), t AS (
+  SELECT DISTINCT a.frame, a.id AS a, b.id AS b FROM px a JOIN px b ON a.frame = b.frame AND ((b.u = a.u + 1 AND b.v = a.v) OR (b.u = a.u AND b.v = a.v + 1))
+  WHERE a.id <> b.id AND a.id % 5 = b.id % 5
+), e AS (SELECT a, b FROM t UNION SELECT b, a FROM t), r AS (SELECT DISTINCT id AS s, id AS t FROM px UNION SELECT r.s, e.b FROM r JOIN e ON r.t = e.a),
+g AS (SELECT count(DISTINCT s) AS ids, count(DISTINCT m) AS groups FROM (SELECT s, min(t) AS m FROM r GROUP BY s)),
+m AS (SELECT sum(n)::DOUBLE / count(*) AS mean_ids FROM (SELECT frame, c, count(*) AS n FROM k GROUP BY ALL)),
+f AS (SELECT count(DISTINCT frame) AS frames FROM px), x AS (SELECT count(DISTINCT frame) AS touching FROM t)
+SELECT frames::BIGINT AS frames, mean_ids, touching::BIGINT AS touching, touching::DOUBLE / frames AS touching_share, ids::BIGINT AS ids, groups::BIGINT AS groups, ids::DOUBLE / groups AS ids_per_group FROM f, x, m, g""")
+def id_oversegmentation(spark, sf):
+    """Ids that touch others of their class: how many frames have them, and ids for one group of them."""
+    li = table(spark, sf, "lineitem")
+    px = li.groupBy(F.pmod("l_orderkey", F.lit(40)).alias("frame"), F.pmod("l_suppkey", F.lit(24)).cast("int").alias("u"), F.col("l_linenumber").cast("int").alias("v")).agg(F.pmod(F.min("l_partkey"), F.lit(90)).alias("id"))
+    return tally.oversegmentation(px.withColumn("cls", F.pmod("id", F.lit(5))), ["frame"], "u", "v", "cls")
+
+
 @query("""WITH px AS (SELECT DISTINCT (p_partkey % 64)::INT AS u, (p_size % 48)::INT AS v, min(p_partkey) % 9 AS id FROM part GROUP BY p_partkey % 64, p_size % 48)
 SELECT least(a.id, b.id) AS lo, greatest(a.id, b.id) AS hi, count(*)::BIGINT AS n FROM px a JOIN px b ON (b.u = a.u + 1 AND b.v = a.v) OR (b.u = a.u AND b.v = a.v + 1)
 WHERE a.id <> b.id GROUP BY ALL""")
