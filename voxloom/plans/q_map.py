@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxloom.functions import geometry as G
-from voxloom.operators import asof, fuse, tables, votes
+from voxloom.operators import asof, fuse, project, tables, votes
 from voxloom.plans.bindings import ARRIVAL_BITS, MOMENTS_SQL, POINTS_SQL, SEQ_SQL, arrival, moments, points, table
 
 CELL = ["cx", "cy", "cz"]
@@ -25,9 +25,9 @@ def query(sql: str | None = None):
 
 @query("WITH pts AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount, l_tax FROM lineitem) SELECT * FROM pts WHERE NOT (l_discount = 0 AND l_tax = 0)")
 def scan_filter_zero(spark, sf):
-    """Points without the empty beams."""
+    """Points without the empty beams and without missing or non-finite ones."""
     li = table(spark, sf, "lineitem")
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax").where(~((F.col("l_discount") == 0) & (F.col("l_tax") == 0)))
+    return project.non_empty(li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax"), ["l_discount", "l_tax"])
 
 
 @query(f"""WITH {POINTS_SQL}, {SEQ_SQL}
@@ -212,10 +212,10 @@ def slerp_pose(spark, sf):
 
 
 @query(f"""WITH {MOMENTS_SQL}, a AS (
-  SELECT event_id, (cents % 600) / 100.0 - 3 AS roll, (user_id % 140) / 50.0 - 1.4 AS pitch, (event_id % 620) / 100.0 - 3.1 AS yaw, (event_id % 7) - 3.0 AS x, (user_id % 5) - 2.0 AS y, 2.0 + event_id % 9 AS z FROM ev
+  SELECT event_id, (cents % 600) / 100.0 - 3 AS roll, (user_id % 140) / 50.0 - 1.4 AS pitch, (event_id % 620) / 100.0 - 3.1 AS yaw, ((event_id % 7) - 3.0)::DOUBLE AS x, ((user_id % 5) - 2.0)::DOUBLE AS y, (2.0 + event_id % 9)::DOUBLE AS z FROM ev
 )
 SELECT event_id, round(roll, 4) + 0.0 AS roll, round(pitch, 4) + 0.0 AS pitch, round(yaw, 4) + 0.0 AS yaw, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, round(z, 4) + 0.0 AS z,
-       floor(60 * x / z + 32.5 + 1e-7)::INT AS u, floor(60 * y / z + 24.5 + 1e-7)::INT AS v, round(z, 4) AS depth, 0.0 AS turned, 0.0 AS twisted FROM a""")
+       floor(60 * x / z + 32.5 + 1e-7)::INT AS u, floor(60 * y / z + 24.5 + 1e-7)::INT AS v, round(z, 4) AS depth, 0.0::DOUBLE AS turned, 0.0::DOUBLE AS twisted FROM a""")
 def pose_round_trip(spark, sf):
     """Rotations to angles and back, transforms there and back, a camera's projection of what lies before it, axes and
     adjoints: each ends where it began (E3, E5, E6, E9, E11, E20)."""

@@ -119,7 +119,7 @@ u AS (SELECT a, b FROM g UNION SELECT b, a FROM g),
 reach AS (SELECT prop AS s, prop AS t FROM n UNION SELECT r.s, u.b FROM reach r JOIN u ON r.t = u.a)
 SELECT s AS prop, min(t) AS comp FROM reach GROUP BY s""")
 def containment_merge(spark, sf):
-    """Sets united by containment."""
+    """Sets united by containment."""
     _, prop = set_tables(spark, sf)
     return merge.merge_sets(prop.select("prop", "e"), "prop", ["e"], 0.24)
 
@@ -151,7 +151,7 @@ def edge_affinity(spark, sf):
 
 @query()
 def consolidate_fold(spark, sf):
-    """Proposals folded into components over all frames (U1, U3, U4, A11, A13, ST6)."""
+    """Proposals folded into components over all frames."""
     p = points(spark, sf)
     props = p.select((F.col("day") - F.pmod("day", F.lit(60))).cast("long").alias("frame"), F.pmod("sk", F.lit(8)).alias("prop"), F.ascii("flag").alias("cls"), F.pmod("pk", F.lit(5)).alias("inst"), "cx", "cy")
     return merge.consolidate(props, ["cx", "cy"])
@@ -196,6 +196,27 @@ def room_objects(spark, sf):
     return o.select("vehicle_id", "ident", "label", "direction", F.round("centroid.x", 6).alias("cx"), F.round("centroid.y", 6).alias("cy"), I.node_key(F.col("vehicle_id"), F.col("ident")).alias("node"))
 
 
+@query(f"""WITH {VEC_SQL}, near AS (
+  SELECT a.label, a.vec_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2,
+         row_number() OVER (PARTITION BY a.vec_id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.vec_id) AS rank FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id
+), w AS (SELECT label, vec_id, sum(sqrt(d2)) / 8 AS mean FROM near WHERE rank <= 8 GROUP BY ALL), g AS (SELECT label, avg(mean) + stddev_pop(mean) AS bound FROM w GROUP BY label),
+n AS (SELECT label, count(*) AS n FROM e GROUP BY label),
+kept AS (SELECT e.* FROM e JOIN n USING (label) LEFT JOIN w USING (vec_id) LEFT JOIN g ON g.label = e.label WHERE n <= 9 OR mean <= bound),
+p AS (SELECT DISTINCT label, x, y FROM kept), m AS (SELECT label, avg(x) AS cx, avg(y) AS cy FROM kept GROUP BY label), d AS (SELECT label, count(*) AS n FROM p GROUP BY label),
+edges AS (
+  SELECT a.label, a.x, a.y FROM p a JOIN p b ON a.label = b.label AND (a.x <> b.x OR a.y <> b.y)
+  WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.label = a.label AND (
+    (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0
+    OR ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) > 0)))
+), corners AS (SELECT DISTINCT * FROM edges UNION SELECT p.* FROM p JOIN d USING (label) WHERE d.n < 3)
+SELECT 211 AS vehicle_id, label::BIGINT AS ident, 'class' || label AS label, x, y, round(cx, 6) AS cx, round(cy, 6) AS cy FROM corners JOIN m USING (label)""")
+def room_polygons(spark, sf):
+    """Published footprints: the hull and centroid of each object's points without outliers."""
+    v = vectors(spark, sf).withColumn("object_id", F.col("label").cast("long")).withColumn("label", F.concat(F.lit("class"), F.col("label").cast("string")))
+    o = objects.room_objects(v, 211).select("vehicle_id", "ident", "label", F.explode("polygon").alias("c"), "centroid")
+    return o.select("vehicle_id", "ident", "label", "c.x", "c.y", F.round("centroid.x", 6).alias("cx"), F.round("centroid.y", 6).alias("cy"))
+
+
 @query(f"""WITH {MOMENTS_SQL}, s AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, arg_max(event_type, (us, event_id)) AS label, count(*) // 4 AS size FROM ev GROUP BY ALL),
 l AS (SELECT *, lag(label) OVER w AS pl, lag(size) OVER w AS ps, row_number() OVER w AS rk FROM s WINDOW w AS (PARTITION BY user_id ORDER BY day))
 SELECT user_id, day, label, size::BIGINT AS size FROM l WHERE rk = 1 OR pl IS DISTINCT FROM label OR ps IS DISTINCT FROM size""")
