@@ -35,9 +35,11 @@ def all_pairs(rows, bar):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("seed", "bar"), [(0, 0.3), (1, 0.5), (2, 0.75), (3, 1.0), (4, 0.01)])
-def test_contained_equals_all_pairs(spark, monkeypatch, seed, bar):
+@pytest.mark.parametrize(("seed", "bar", "few"), [(0, 0.3, 0), (1, 0.5, 64), (2, 0.75, 0), (3, 1.0, 0), (4, 0.01, 0), (5, 0.4, 64)])
+def test_contained_equals_all_pairs(spark, monkeypatch, seed, bar, few):
+    """By rare elements (few = 0), and where no element is held by many sets."""
     monkeypatch.setattr(contain, "DEAL", 8)
+    monkeypatch.setattr(contain, "FEW", few)
     rows = skewed(seed)
     df = spark.createDataFrame(rows + rows[:50], "s long, e int").withColumn("z", F.col("e") % 7)
     got = sorted(map(tuple, contain.contained(df, "s", ["e", "z"], bar).collect()))

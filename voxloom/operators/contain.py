@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from voxloom.operators import tables
 
 DEAL = 1000  # sets that hold an element, from which on it is dealt, and sets in a share
+FEW = 64  # where a member's element is held by no more sets on average, all pairs that share one are counted
 
 
 def frequencies(rows: DataFrame, key: str, name: str) -> DataFrame:
@@ -39,16 +40,20 @@ def contained(sets: DataFrame, set_id: str, on: list[str], bar: float) -> DataFr
     """
     named = sets.select(F.col(set_id).alias("s"), F.struct(*on).alias("e")).distinct()
     rows = tables.settle(frequencies(tables.settle(frequencies(tables.settle(named), "e", "__f")), "s", "n"))
+    smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
     # Rounding may only make the part that is looked up longer.
     least = F.greatest(F.lit(1), F.ceil(F.lit(bar) * F.col("n") - 1e-6))
     rank = F.row_number().over(W.partitionBy("s").orderBy("__f", "e"))
-    rare = rows.withColumn("__i", rank).where(F.col("__i") <= F.col("n") - least + 1)
-    lookups = rare.select("e", "__f", F.col("s").alias("x"), F.col("n").alias("nx"))
-    holders = rows.select("e", "__f", F.col("s").alias("y"), F.col("n").alias("ny"))
-    smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
-    pairs = tables.settle(dealt(lookups, holders, "e", F.col("__f"), "y").where(smaller).select("x", "y", "nx").distinct())
-    both = pairs.join(rows.select(F.col("s").alias("x"), "e"), "x").join(rows.select(F.col("s").alias("y"), "e"), ["y", "e"])
-    found = both.groupBy("x", "y", "nx").agg(F.count(F.lit(1)).alias("shared"))
+    few = (rows.agg(F.avg("__f")).first()[0] or 0) <= FEW
+    ranked = rows.withColumn("rare", F.lit(True)) if few else tables.settle(rows.withColumn("rare", rank <= F.col("n") - least + 1))
+    lookups = ranked.where("rare").select("e", "__f", F.col("s").alias("x"), F.col("n").alias("nx"))
+    holders = ranked.select("e", "__f", F.col("s").alias("y"), F.col("n").alias("ny"))
+    pairs = dealt(lookups, holders, "e", F.col("__f"), "y").where(smaller).groupBy("x", "y", "nx").agg(F.count(F.lit(1)).alias("k"))
+    pairs = pairs if few else tables.settle(pairs)
+    # The rarest elements are counted; what is left of the smaller set is looked up for these pairs only.
+    rest = pairs.join(ranked.where("NOT rare").select(F.col("s").alias("x"), "e"), "x").join(ranked.select(F.col("s").alias("y"), "e"), ["y", "e"])
+    more = rest.select("x", "y", "nx", F.lit(1).alias("k")).groupBy("x", "y", "nx").agg(F.sum("k").alias("k"))
+    found = pairs.withColumnRenamed("k", "shared") if few else pairs.unionByName(more).groupBy("x", "y", "nx").agg(F.sum("k").alias("shared"))
     part = F.col("shared").cast("double") / F.col("nx").cast("double")
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", part.alias("containment")).where(F.col("containment") >= bar)
 
