@@ -261,7 +261,7 @@ def test_code_lengths_are_those_of_the_tree():
             for k in range(3, len(p)):
                 rows[i, int.from_bytes(p[k - 3 : k + 1], "big")] += 1
     keys = list(rows)
-    m = langid.fit(langs, np.array([k[0] for k in keys]), np.array([k[1] for k in keys]), np.array([rows[k] for k in keys]), min_count=1)
+    m = langid.fit(langs, np.array([k[0] for k in keys]), np.array([k[1] for k in keys]), np.array([rows[k] for k in keys]))
     known = sorted({b for k in keys for b in k[1].to_bytes(4, "big")})
     symbols = [None, *known]
 
@@ -292,6 +292,46 @@ def test_code_lengths_are_those_of_the_tree():
         assert abs(bits - got[1, i]) < 1e-3 and got[0, i] == 0
 
 
+def test_code_lengths_do_not_depend_on_slices(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 102, size=n).astype(np.uint8).tobytes() for n in (0, 1, 5, 0, 900, 3, 40, 0)]
+    gram, n = np.unique(rng.integers(97, 101, size=(3000, 4)).astype(np.int64) @ (256 ** np.arange(4)), return_counts=True)
+    m = langid.fit(["a", "b"], rng.integers(0, 2, len(gram)), gram, n)
+    whole = langid.code_lengths(m, texts)
+    for step in (1, 2, 7, 64):
+        monkeypatch.setattr(langid, "SLICE", step)
+        assert (langid.code_lengths(m, texts) == whole).all()
+    assert (whole[[0, 3, 7]] == 0).all() and (langid.code_lengths(m, [texts[4]])[0] == whole[4]).all()
+
+
+def synthetic_languages(k: int, words: int) -> dict[str, list[bytes]]:
+    """Languages with letters of their own choice from seven scripts, and words of their own."""
+    scripts, out = [97, 0x3B1, 0x430, 0x5D0, 0x627, 0x915, 0x3042], {}
+    for i in range(k):
+        rng = np.random.default_rng(i)
+        letters = np.array([chr(scripts[i % 7] + x) for x in rng.permutation(26)[:22]])
+        weight = rng.dirichlet(np.full(22, 0.6))
+        lexicon = ["".join(rng.choice(letters, size=rng.integers(2, 9), p=weight)) for _ in range(4000)]
+        drawn = [lexicon[min(x, 3999)] for x in rng.zipf(1.3, size=words) - 1]
+        out[f"l{i:03d}"] = [" ".join(drawn[lo : lo + 100]).encode() for lo in range(0, words, 100)]
+    return out
+
+
+def test_a_hundred_languages():
+    texts = synthetic_languages(98, 12_000)
+    langs, lang, gram, n = sorted(texts), [], [], []
+    for i, name in enumerate(langs):
+        b = np.frombuffer(b"".join(b"\n\n\n" + t for t in texts[name][:100]), dtype=np.uint8).astype(np.int64)
+        g, c = np.unique((b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:], return_counts=True)
+        lang.append(np.full(len(g), i)), gram.append(g), n.append(c)
+    m = langid.fit(langs, np.concatenate(lang), np.concatenate(gram), np.concatenate(n))
+    assert m.nbytes() < 100 << 20
+    held = [t for name in langs for t in texts[name][100:]]
+    bits = langid.code_lengths(m, held)
+    assert (bits.argmin(1) == np.repeat(np.arange(98), 20)).mean() > 0.97
+    print(f"{m.nbytes() / 2**20:.1f} MB for 98 languages, {sum(map(len, gram))} grams")
+
+
 def test_language_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "12 !?", "de"), (4, "the cat", None), (5, "the dog", "en"), (6, "der hund", "de"), (None, "das", "de")], "doc_id long, text string, lang string")
     m = langid.train(df, "text", "lang", "doc_id")

@@ -1,9 +1,12 @@
 """Language identification by prediction by partial matching.
 
 Each language has a byte context tree of order up to three, with PPM's escape method C and exclusion.
-The trees are frozen after training, so the exact code length of a byte after the longest context that
-any tree knows is a constant: they are laid out as one table (context, byte, language), and a text's
-code lengths under all languages are sums of looked-up rows.
+The trees are frozen after training, so the exact code length of a byte after a context is a constant.
+What a language has not seen after a context costs its escape there plus the code length one order
+below, and exclusion only scales all that is left by one factor; so a tree is kept as what it has seen:
+a code length for each (context, byte) and an escape length for each context, by language.  A text's
+code lengths under all languages are sums over its four-byte sequences.  Lengths are whole numbers of
+2^-20 bits, so sums are exact, whatever they are grouped by: equal texts and equal trees have equal ones.
 """
 
 from __future__ import annotations
@@ -17,85 +20,127 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from voxloom.llm.common import read_table
+from voxloom.llm.common import read_table, settle
 from voxloom.llm.textnum import batch_texts, chunks
 
 TRAIN_ROWS = 400  # bound of the training sample: rows of each language
-MIN_COUNT = 1  # contexts of order 3 seen less often would be left to order 2; all that training saw count
-MODEL_BYTES = 1 << 30  # bound of the table: contexts * symbols * languages * 4
-_PAD = b"\n\n\n"
+ORDER = 3
+UNIT = 1 << 20  # code lengths are kept as whole numbers of 1 / UNIT bits
+SLICE = 1 << 16  # byte positions scored at a time
+CELLS = 1 << 20  # (position, language) pairs held at a time
+_PAD = b"\n" * ORDER
+
+
+def units(p: np.ndarray) -> np.ndarray:
+    """Code lengths of probabilities, or of ratios of them."""
+    return np.rint(-np.log2(p) * UNIT).astype(np.int32)
+
+
+@dataclass
+class Lists:
+    """Values by language for sorted keys: those of keys[i] are lang and bits from start[i] to start[i + 1]."""
+
+    keys: np.ndarray
+    start: np.ndarray
+    lang: np.ndarray
+    bits: np.ndarray
+
+    @classmethod
+    def of(cls, key: np.ndarray, lang: np.ndarray, bits: np.ndarray, langs: int) -> Lists:
+        by = np.lexsort((lang, key))
+        keys, start = np.unique(key[by], return_index=True)
+        kind = np.uint16 if langs <= 1 << 16 else np.int32
+        return cls(keys.astype(np.uint32), np.append(start, len(key)).astype(np.int64), lang[by].astype(kind), bits[by])
+
+    def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in asked, language, bits) of all values of the keys asked for."""
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == asked)
+        lo, n = self.start[at[hit]], self.start[at[hit] + 1] - self.start[at[hit]]
+        every = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(hit, n), self.lang[every], self.bits[every]
+
+    def nbytes(self) -> int:
+        return self.keys.nbytes + self.start.nbytes + self.lang.nbytes + self.bits.nbytes
 
 
 @dataclass
 class Model:
     langs: list[str]
-    symbol: np.ndarray  # byte -> symbol
-    context: np.ndarray  # three symbols -> row of cost
-    cost: np.ndarray  # (rows, symbols, languages), bits
-
-
-def _blend(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """PPM-C with exclusion: rows of counts over symbols, backed by rows of the order below."""
-    n, d = counts.sum(-1, keepdims=True), (counts > 0).sum(-1, keepdims=True)
-    rest = np.where(counts > 0, 0, below)
-    left = rest.sum(-1, keepdims=True)
-    escape = np.where(left > 0, d / np.maximum(n + d, 1), 0)
-    seen = counts / np.maximum(n, 1) * (1 - escape)
-    return np.where(n > 0, seen + escape * rest / np.maximum(left, 1e-300), below)
-
-
-def fit(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, min_count: int = MIN_COUNT) -> Model:
-    """From counts n of four-byte grams (oldest byte highest) by language number."""
-    raw = np.stack([(gram >> s) & 255 for s in (24, 16, 8, 0)], axis=1)
-    known = np.unique(raw)
-    symbol = np.zeros(256, dtype=np.int64)  # symbol 0: any byte that training has not met
-    symbol[known] = np.arange(1, len(known) + 1)
-    a = len(known) + 1
-    g = symbol[raw]
-    c3 = (g[:, 0] * a + g[:, 1]) * a + g[:, 2]
-    c2, c1, s, k = g[:, 1] * a + g[:, 2], g[:, 2], g[:, 3], len(langs)
-    total = np.bincount(c3, n, minlength=a**3)
-    rows3 = np.flatnonzero(total >= min_count)
-    rows2 = np.unique(c2)
-    at3 = np.full(a**3, -1, dtype=np.int64)
-    at3[rows3] = np.arange(len(rows3))
-    at2 = np.full(a * a, -1, dtype=np.int64)
-    at2[rows2] = np.arange(len(rows2))
-    if (size := (len(rows3) + len(rows2) + a) * a * k * 4) > MODEL_BYTES:
-        raise ValueError(f"{k} languages with {len(rows3)} contexts need a table of {size >> 20} MB; raise min_count, or train on fewer rows")
-    cost = np.empty((len(rows3) + len(rows2) + a, a, k), dtype=np.float32)
-    for i in range(k):
-        m = lang == i
-        w = n[m].astype(float)
-        q0 = _blend(np.bincount(s[m], w, minlength=a)[None, :], np.full((1, a), 1 / a))
-        q1 = _blend(np.bincount(c1[m] * a + s[m], w, minlength=a * a).reshape(a, a), q0)
-        q2 = _blend(np.bincount(at2[c2[m]] * a + s[m], w, minlength=len(rows2) * a).reshape(-1, a), q1[rows2 % a])
-        keep = at3[c3[m]] >= 0
-        x3 = np.bincount(at3[c3[m]][keep] * a + s[m][keep], w[keep], minlength=len(rows3) * a).reshape(-1, a)
-        q3 = _blend(x3, q2[at2[rows3 % (a * a)]])
-        cost[:, :, i] = -np.log2(np.maximum(np.concatenate([q3, q2, q1]), 1e-12))
-    every = np.arange(a**3)
-    two = at2[every % (a * a)]
-    context = np.where(at3 >= 0, at3, np.where(two >= 0, len(rows3) + two, len(rows3) + len(rows2) + every % a))
-    return Model(langs, symbol.astype(np.int32), context.astype(np.int32), cost)
+    alone: np.ndarray  # (256, languages): units of a byte without any context
+    seen: list[Lists]  # orders 1 to ORDER: units of a byte after a context that has had it
+    escape: list[Lists]  # orders 1 to ORDER: units by which a byte that a context has not had is dearer than one order below
+
+    def nbytes(self) -> int:
+        """Size: some 12 bytes for each byte sequence of each order that a language has in its sample."""
+        return self.alone.nbytes + sum(x.nbytes() for x in (*self.seen, *self.escape))
+
+
+def fit(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
+    """From counts n of four-byte grams (oldest byte highest) by language number.
+
+    Bytes that no language has share one symbol, which no context has seen.
+    """
+    lang, gram, n, k = lang.astype(np.int64), gram.astype(np.int64), n.astype(np.int64), len(langs)
+    known = np.unique([(gram >> s) & 255 for s in (24, 16, 8, 0)])
+    last = np.bincount(lang * 256 + (gram & 255), n, minlength=k * 256).reshape(k, 256)
+    kinds, rest = (last > 0).sum(1, keepdims=True), len(known) + 1 - (last > 0).sum(1, keepdims=True)
+    whole = last.sum(1, keepdims=True) + kinds
+    # PPM-C below a uniform law: what a language has not seen shares its escape alike.
+    p = np.where(last > 0, last / np.maximum(whole, 1), np.where(kinds > 0, kinds / np.maximum(whole, 1), 1) / rest)
+    seen, escape = [], []
+    below, below_p = np.arange(k * 256), p.ravel()  # (language, sequence) one order below, and its probability
+    for order in range(1, ORDER + 1):
+        span = 8 * (order + 1)
+        key, at = np.unique((lang << span) | (gram & ((1 << span) - 1)), return_inverse=True)
+        count = np.bincount(at, n, minlength=len(key))
+        who, sequence = key >> span, key & ((1 << span) - 1)
+        context, of = np.unique(key >> 8, return_inverse=True)
+        kinds = np.bincount(of, minlength=len(context))
+        whole = np.bincount(of, count, minlength=len(context)) + kinds
+        own = count / whole[of]
+        # Exclusion: below, only what the context has not seen is left.
+        short = (who << (span - 8)) | (sequence & ((1 << (span - 8)) - 1))
+        left = 1 - np.bincount(of, below_p[np.searchsorted(below, short)], minlength=len(context))
+        seen.append(Lists.of(sequence, who, units(own), k))
+        escape.append(Lists.of(context & ((1 << (span - 8)) - 1), context >> (span - 8), units(kinds / whole / left), k))
+        below, below_p = key, own
+    return Model(langs, units(p.T), seen, escape)
+
+
+def gram_lengths(model: Model, grams: np.ndarray) -> np.ndarray:
+    """(grams, languages): units of each four-byte gram's last byte after the three before it."""
+    bits = model.alone[grams & 255].astype(np.float64)
+    for order, (seen, escape) in enumerate(zip(model.seen, model.escape, strict=True), 1):
+        sequence = grams & ((1 << 8 * (order + 1)) - 1)
+        at, lang, more = escape.find(sequence >> 8)
+        bits[at, lang] += more
+        at, lang, own = seen.find(sequence)
+        bits[at, lang] = own
+    return bits
 
 
 def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
-    """(texts, languages): bits of each whole text under each language."""
-    a = model.cost.shape[1]
+    """(texts, languages): bits of each whole text under each language.  A slice of positions is held at a
+    time, however long a text is or however many languages there are."""
+    out = np.zeros((len(texts), len(model.langs)))
     size = np.array([len(t) for t in texts], dtype=np.int64)
-    buf = model.symbol[np.frombuffer(_PAD + _PAD.join(texts), dtype=np.uint8)]
-    row = model.context[(buf[:-3] * a + buf[1:-2]) * a + buf[2:-1]]
-    bits = model.cost[row, buf[3:]]
-    starts = np.concatenate(([0], np.cumsum(size + 3)[:-1]))
-    out = np.zeros((len(texts), model.cost.shape[2]))
-    full = np.flatnonzero(size)
-    if len(full):
-        ends = starts[full] + size[full]
-        marks = np.stack([starts[full], ends], axis=1).ravel()
-        ok = marks < len(bits)
-        out[full] = np.add.reduceat(bits, marks[ok], axis=0, dtype=np.float64)[::2]
-    return out
+    if not size.sum():
+        return out
+    buf = np.frombuffer(_PAD + _PAD.join(texts), dtype=np.uint8).astype(np.uint32)
+    ends = np.cumsum(size + ORDER)  # of each text in buf, as the padding goes before it
+    step = max(1, min(SLICE, CELLS // len(model.langs)))
+    for lo in range(ORDER, len(buf), step):
+        b = buf[lo - ORDER : lo + step]
+        grams, which = np.unique((b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:], return_inverse=True)
+        bits = gram_lengths(model, grams.astype(np.int64))[which]
+        first, last = np.searchsorted(ends, [lo, lo + len(which) - 1], side="right")
+        t = np.arange(first, last + 1)
+        x, y = np.maximum(ends[t] - size[t], lo) - lo, np.minimum(ends[t], lo + len(which)) - lo
+        t, marks = t[x < y], np.stack([x, y], axis=1)[x < y].ravel()
+        if len(t):
+            out[t] += np.add.reduceat(bits, marks[marks < len(bits)], axis=0)[::2]
+    return out / UNIT
 
 
 def train(df: DataFrame, text_col: str, lang_col: str, id_col: str, rows: int = TRAIN_ROWS) -> Model | None:
@@ -105,14 +150,12 @@ def train(df: DataFrame, text_col: str, lang_col: str, id_col: str, rows: int =
     of the sample.  None if there is nothing to learn from.
     """
     known = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col, text_col).alias("h")).where("lang IS NOT NULL AND text <> ''")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not sizes:
+    sizes = settle(known.groupBy("lang").count())
+    langs = sorted(r["lang"] for r in sizes.collect())
+    if not langs:
         return None
-    langs = sorted(sizes)
-    share = F.lit(0)
-    for name in langs:
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, 2 * rows / sizes[name]))).otherwise(share)
-    near = known.where(F.pmod(F.col("h"), F.lit(1 << 20)) < share * (1 << 20))
+    share = F.least(F.lit(1.0), 2 * rows / F.col("count"))
+    near = known.join(sizes, "lang").where(F.pmod(F.col("h"), F.lit(1 << 20)) < share * (1 << 20))
     sample = near.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= rows).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +180,8 @@ def identify(df: DataFrame, model: Model | None, text_col: str, keep: list[str])
     score is the posterior at one byte of evidence: 2^-(bits per byte), over all languages.  A null text
     or one without a letter is `und` with score 0, and so is every text without a model; equal code
     lengths go to the language first in order.  Texts are scored whole, however long; repeated rows alike.
-    The model goes to each executor once; its size is bounded by MODEL_BYTES.
+    The model goes to each executor once; it grows with what training has seen (Model.nbytes), not with
+    languages times contexts.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
     letters = F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False))
