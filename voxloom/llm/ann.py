@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -131,6 +131,14 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return v.where(F.size("v") == (top["dim"] if top else 0))
 
 
+def scaled(v: Column) -> Column:
+    """A vector divided by the power of two of its largest component: the same cosines to the last bit, and
+    squares that neither overflow nor vanish, however large or small the components are."""
+    power = F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform(v, F.abs)))))
+    # zip_with takes the power as an array, so that it is found once a vector and not once a component.
+    return F.zip_with(v, F.array_repeat(power, F.size(v)), lambda x, y: x / y)
+
+
 def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, every: int = 50, share: float = PROBE_SHARE, train_rows: int = TRAIN_ROWS, centroids: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, its k nearest
     found by cosine among all rows but its own id; ties to the smaller id.
@@ -138,11 +146,11 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k:
     Rows that repeat id and vector count once; a repeated id with other vectors is a row of its own
     (as a query it gets a ranking for each).  With fewer than k candidates all are returned, and
     without usable rows nothing.  Vectors of another length than most are left out, as no cosine with
-    the others exists.  Other columns are ignored.
+    the others exists.  Components may have any finite value (see scaled).  Other columns are ignored.
     """
     spark = df.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    rows = settle(usable(df, id_col, vec_col).distinct())
+    rows = settle(usable(df, id_col, vec_col).distinct().select("vec_id", F.xxhash64("v").alias("h"), scaled(F.col("v")).alias("v")))
     total = rows.count()
     if total < 2:
         return spark.createDataFrame([], schema)
@@ -186,17 +194,17 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k:
     def route(batches):
         for pdf in batches:
             out = []
-            for q, v in zip(pdf["vec_id"], pdf["v"], strict=True):
+            for q, h, v in zip(pdf["vec_id"], pdf["h"], pdf["v"], strict=True):
                 x = v / np.linalg.norm(v)
                 d = [(b**2).sum(1) - 2 * b @ p for b, p in zip(books, (x[:half], x[half:]), strict=True)]
                 by: dict[int, list[int]] = {}
                 for c in walk(*d, counts, max(wanted, k + 1)):
                     for m in range(int(parts[c])):
                         by.setdefault(int(first[c]) + m, []).append(c)
-                out += [(b, q, v, cells) for b, cells in by.items()]
-            yield pd.DataFrame(out, columns=["block", "id", "v", "cells"])
+                out += [(b, q, h, v, cells) for b, cells in by.items()]
+            yield pd.DataFrame(out, columns=["block", "id", "h", "v", "cells"])
 
-    asked = rows.where(F.col("vec_id") % every == 0).mapInPandas(route, "block long, id long, v array<double>, cells array<int>")
+    asked = rows.where(F.col("vec_id") % every == 0).mapInPandas(route, "block long, id long, h long, v array<double>, cells array<int>")
 
     @F.arrow_udf("long")
     def block_of(cell: pa.Array, h: pa.Array) -> pa.Array:
@@ -205,7 +213,7 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k:
 
     none = F.lit(0).cast("long")
     entries = index.select(block_of("cell", F.xxhash64("v")).alias("block"), F.lit(0).alias("kind"), none.alias("id"), none.alias("h"), "v", "ids", F.array("cell").alias("cells"))
-    queries = asked.select("block", F.lit(1).alias("kind"), "id", F.xxhash64("v").alias("h"), "v", F.array().cast("array<long>").alias("ids"), "cells")
+    queries = asked.select("block", F.lit(1).alias("kind"), "id", "h", "v", F.array().cast("array<long>").alias("ids"), "cells")
     by_block = entries.unionByName(queries).repartition("block").sortWithinPartitions("block", "kind")
     found = by_block.mapInArrow(meet(k), "query_id long, qh long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id", "qh").orderBy(F.desc("score"), "vec_id"))
