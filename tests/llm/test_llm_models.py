@@ -240,6 +240,32 @@ def test_search_odd_rows(spark):
     assert ann.search(df.where("false")).count() == 0
 
 
+def test_search_huge_and_tiny_components(spark):
+    """Directions are the same whatever the scale, and so is the answer; columns named like the result's."""
+    rng = np.random.default_rng(8)
+    x, size = rng.normal(size=(60, 6)), 10.0 ** rng.choice([-320, -200, -3, 0, 4, 200, 307], 60)
+    size[:7] = 10.0 ** np.array([-320, -200, -3, 0, 4, 200, 307])
+    x[:7] = x[0]
+    df = spark.createDataFrame([(i, (v * s).tolist(), 1, 2.0) for i, (v, s) in enumerate(zip(x, size, strict=True))], "vec_id long, embedding array<double>, query_id int, score double")
+    got = ann.search(df, k=6, share=1.0).orderBy("query_id", "rank").collect()
+    first = [r for r in got if r["query_id"] == 0]
+    assert sorted(r["vec_id"] for r in first) == [1, 2, 3, 4, 5, 6] and all(abs(r["score"] - 1) < 1e-2 for r in first)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    plain = (unit[50] @ unit.T)[[r["vec_id"] for r in got if r["query_id"] == 50]]
+    assert len(plain) == 6 and np.abs(plain - [r["score"] for r in got if r["query_id"] == 50]).max() < 1e-2
+
+
+def test_search_long_vectors(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(52, 20_000))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = brute_nearest(np.arange(52), x, 5, 50)
+    got = collections.defaultdict(list)
+    for r in ann.search(df, share=1.0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert dict(got) == want
+
+
 # --- language --------------------------------------------------------------------------------------
 
 
@@ -552,6 +578,21 @@ def test_margins_that_cannot_be_met_are_reported(spark):
         call(targets={"a": {"A": -1, "B": 1, "C": 1}})
 
 
+def test_a_drawn_sample_reports_its_shares(spark, tmp_path, caplog):
+    """Sources that are languages by another name, with other targets: no weights meet both."""
+    df = spark.createDataFrame([(i, f"{'the' if i % 4 else 'das'} words of text {i}", "en" if i % 4 else "de", "a" if i % 4 else "b") for i in range(400)], "doc_id long, text string, lang string, source string")
+    targets = {"source": {"a": 1, "b": 1}, "lang": {"en": 9, "de": 1}}
+    kept = mixing.draw(df, keep_share=0.2, targets=targets, report=str(tmp_path / "r"))
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in mixing.mix(df, 0.2, targets=targets).where("drawn").collect()}
+    met = {(r["margin"], r["value"]): r for r in spark.read.parquet(str(tmp_path / "r")).collect()}
+    assert {("source", "a"), ("source", "b"), ("lang", "en"), ("lang", "de")} <= set(met)
+    taken = kept.where("source = 'a'").count() / kept.count()
+    assert met["source", "a"]["taken"] == pytest.approx(taken, abs=0.02) and met["source", "a"]["residual"] > 0.1
+    assert "from their targets" in caplog.text
+    with pytest.raises(ValueError, match="no weights meet"):
+        mixing.draw(df, targets=targets, tolerated=0.05)
+
+
 def test_mixing_bound():
     # Every target can be met at 0.6, yet the raked factor of one cell is above 1 / 0.6.
     cells = [("a", "x", 100), ("a", "y", 900), ("b", "x", 900), ("b", "y", 2100)]
@@ -568,7 +609,7 @@ def test_mixing_bound():
 ODD_MIX = [(1, None, None, "s", 2, 7, True, "x"), (1, None, None, "s", 2, 7, True, "x"), (2, "", "en", None, 1, None, None, None), (None, "a b c", "en", "s", 0, 1, False, ""), (3, "long words " * 40_000, "en", "s", 0, 1, False, ""), (4, "x" * 300_000, "en", "s", 0, 1, False, "")]
 
 
-def test_mixing_odd_rows(spark):
+def test_mixing_odd_rows(spark, tmp_path):
     """Nulls, repeats, very long texts and columns named like the result's or like what is inside."""
     df = spark.createDataFrame(ODD_MIX, "doc_id long, text string, lang string, source string, n_tokens int, topic int, drawn boolean, k0 string")
     out = mixing.mix(df)
@@ -577,6 +618,7 @@ def test_mixing_odd_rows(spark):
     kept = mixing.draw(df, keep_share=1.0)
     assert kept.columns == df.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, df.collect()))
     assert mixing.mix(df.where("false")).count() == mixing.draw(df.where("false")).count() == 0
+    assert mixing.draw(df.where("false"), report=str(tmp_path / "none")).count() == 0 and spark.read.parquet(str(tmp_path / "none")).count() == 0
     with pytest.raises(ValueError, match="in the way"):
         mixing.calibrate(df, {"lang": F.col("lang")}, F.lit(1), [F.col("doc_id")], ["drawn"])
 
