@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from voxloom import ship
@@ -11,7 +13,7 @@ from voxloom.llm.minhash import near_components
 from voxloom.llm.mixing import draw
 from voxloom.llm.packing import default_paths, pack, pieces
 from voxloom.llm.quality import judge, train
-from voxloom.operators.tables import cleared, remove
+from voxloom.operators.tables import cleared, remove, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +35,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return semi_rows(docs, found, "doc_id", "text")
 
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str, report: str | None = None) -> DataFrame:
     """Documents drawn so that sources, languages and topics have their target weights; values too scarce
-    for theirs are kept whole."""
+    for theirs are kept whole.  Shares and what they miss their targets by are written to `report`, by
+    default a new folder mixing-report-* of the shared folder, which stays."""
     ship(spark)
-    return draw(docs)
+    return draw(docs, report=report or f"{shared_dir(spark)}/mixing-report-{uuid.uuid4().hex}")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
