@@ -1,6 +1,5 @@
 """Operators against hand-made cases and brute force."""
 
-import itertools
 
 import numpy as np
 import pandas as pd
@@ -229,14 +228,6 @@ def test_components_against_union_find(spark, monkeypatch, least):
         assert got == {v: root(v) for v in p}
 
 
-def test_supervoxels_cover_connected_points(spark):
-    x = np.array(list(itertools.product(np.arange(0, 1, 0.05), np.arange(0, 1, 0.05), [0.0])))
-    lab = cluster.grow_patches(x, 0.05, 0.35, 0.9, 0.5, 3)
-    assert (lab > 0).all() and 4 <= len(set(lab)) <= 16
-    finer = cluster.grow_patches(x, 0.05, 0.2, 0.9, 0.5, 3)
-    assert len(set(finer)) > len(set(lab))
-
-
 def test_growth():
     def row(k, cls, item, x, kind):
         return {kind: k, f"{kind}_cls": cls, "item": item, "cls": cls, "x": x, "y": 0.0, "z": 0.0, "vx": int(x * 10), "vy": 0, "vz": 0}

@@ -319,73 +319,6 @@ def split_by_radius(x: np.ndarray, labels: np.ndarray, radius: float) -> np.ndar
     return out
 
 
-def supervoxels(points: DataFrame, group: list[str], item: str, xyz: list[str], voxel: float, seed: float, spatial: float = 0.9, normal: float = 0.5, rounds: int = 5) -> DataFrame:
-    """(group..., item, supervoxel): connected patches around seeds on a grid of edge `seed`.
-
-    Points are folded to voxels, normals come from the voxels around each; patches grow from the voxel
-    nearest to each occupied seed cell's centre over touching voxels, in order of spatial distance over
-    `seed` and normal disagreement, and seeds move to their patches' centres between rounds.  Voxels that
-    no seed reaches are 0, and a group of fewer than eight points has no patches.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(item, ignore_index=True)
-        x = pdf[xyz].to_numpy(dtype=float)
-        if len(x) < 8:
-            return pdf.iloc[:0][[*group, item]].assign(supervoxel=pd.Series(dtype="int32"))
-        return pdf[[*group, item]].assign(supervoxel=grow_patches(x, voxel, seed, spatial, normal, rounds).astype("int32"))
-
-    schema = ", ".join([*(f"{g} {kinds[g]}" for g in group), f"{item} {kinds[item]}", "supervoxel int"])
-    return points.select(*group, item, *xyz).groupBy(*group).applyInPandas(run, schema)
-
-
-def grow_patches(x: np.ndarray, voxel: float, seed: float, spatial: float, normal: float, rounds: int) -> np.ndarray:
-    import heapq
-
-    keys, back = np.unique(np.floor(x / voxel).astype(int), axis=0, return_inverse=True)
-    back = back.ravel()
-    n = len(keys)
-    centre = np.stack([np.bincount(back, x[:, j], minlength=n) for j in range(x.shape[1])], 1) / np.bincount(back, minlength=n)[:, None]
-    index = {tuple(k): i for i, k in enumerate(keys.tolist())}
-    steps = np.stack(np.meshgrid(*[[-1, 0, 1]] * x.shape[1], indexing="ij"), -1).reshape(-1, x.shape[1])
-    near = [[j for s in steps if s.any() and (j := index.get(tuple((keys[i] + s).tolist()))) is not None] for i in range(n)]
-    normals = np.zeros_like(centre)
-    for i in range(n):
-        around_ = centre[[i, *near[i]]]
-        if len(around_) >= 3:
-            normals[i] = np.linalg.svd(around_ - around_.mean(0), full_matrices=False)[2][-1]
-    cells, where = np.unique(np.floor(centre / seed).astype(int), axis=0, return_inverse=True)
-    where = where.ravel()
-    mids = (cells + 0.5) * seed
-    seeds = [int(r[np.argmin(((centre[r] - m) ** 2).sum(1))]) for k, m in enumerate(mids) for r in [np.flatnonzero(where == k)]]
-    label = np.zeros(n, dtype=int)
-    for _ in range(max(1, rounds)):
-        label[:] = 0
-        heap = [(0.0, k + 1, s) for k, s in enumerate(seeds)]
-        heapq.heapify(heap)
-        mean = {k + 1: (centre[s], normals[s]) for k, s in enumerate(seeds)}
-        while heap:
-            _, k, i = heapq.heappop(heap)
-            if label[i]:
-                continue
-            label[i] = k
-            c, m = mean[k]
-            for j in near[i]:
-                if not label[j]:
-                    far = np.sqrt(((centre[j] - c) ** 2).sum()) / seed
-                    if far <= 1.75:
-                        heapq.heappush(heap, (spatial * far + normal * (1 - abs(float(normals[j] @ m))), k, j))
-        moved = []
-        for k, s in enumerate(seeds):
-            own = np.flatnonzero(label == k + 1)
-            moved.append(int(own[np.argmin(((centre[own] - centre[own].mean(0)) ** 2).sum(1))]) if len(own) else s)
-        if moved == seeds:
-            break
-        seeds = moved
-    return label[back]
-
-
 # --- hulls ----------------------------------------------------------------------------------------
 
 

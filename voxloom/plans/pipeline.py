@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 
 from voxloom.functions import geometry as G
 from voxloom.functions.voxel import cell
-from voxloom.operators import asof, cluster, feedback, grow, merge, objects, overlap, project, tally, votes
+from voxloom.operators import asof, cluster, feedback, grow, merge, objects, overlap, patches, project, tally, votes
 from voxloom.operators.tables import dense_ids, settle
 from voxloom.sources.config import RunConfig, from_dict
 
@@ -193,7 +193,7 @@ class Pipeline:
         facts = flat.select("view", "item", "cls", *"xyz", *CELL).distinct()
         full = member.join(facts, ["view", "item"])
         if g["enabled"] and s["enabled"]:
-            patch = cluster.supervoxels(flat, ["view"], "item", list("xyz"), self.config.voxel, s["seed"], s["spatial"], s["normal"], 1 + max(0, s["refine"])).where("supervoxel > 0")
+            patch = patches.supervoxels(flat, ["view"], "item", list("xyz"), self.config.voxel, s["seed"], s["spatial"], s["normal"], s["refine"]).where("supervoxel > 0")
             major = tally.segments(patch.join(facts, ["view", "item"]), ["view", "supervoxel"], "cls", s["thing_frac"])
             seg = patch.join(major.select("view", "supervoxel", F.coalesce("class_id", F.lit(-1)).alias("seg_cls")), ["view", "supervoxel"]).select("view", F.col("supervoxel").cast("long").alias("seg"), "seg_cls", "item").join(facts, ["view", "item"])
             rule = grow.Growth(g["affinity"], g["sweeps"], g["overlap_sets"], g["require_class"], g["pool_k"] if g["neighbor_pool"] else 0, g["dis_decay"], self.config.voxel)
