@@ -65,15 +65,14 @@ def test_against_sequential_growth(spark):
     rng = np.random.default_rng(3)
     groups = {"a": rng.normal(0, 1, (250, 3)), "b": rng.uniform(-2, 2, (120, 3)) * [1, 1, 0], "c": np.repeat(rng.normal(0, 1, (9, 3)), 3, axis=0)}
     df = table(spark, [(g, i, p) for g, x in groups.items() for i, p in enumerate(x)])
-    for refine in (0, 1):
-        got = labels(patches.supervoxels(df, ["g"], "i", list("xyz"), 0.25, 0.8, 1.0, 0.0, refine))
-        assert got == {(g, i): k for g, x in groups.items() for i, k in enumerate(sequential(x.tolist(), 0.25, 0.8, refine))}
+    got = labels(patches.supervoxels(df, ["g"], "i", list("xyz"), 0.25, 0.8, 1.0, 0.0, 1))
+    assert got == {(g, i): k for g, x in groups.items() for i, k in enumerate(sequential(x.tolist(), 0.25, 0.8, 1))}
 
 
 def test_patches_of_a_plane(spark):
     plane = list(itertools.product(np.arange(0.025, 1, 0.05), np.arange(0.025, 1, 0.05), [0.01]))
     df = table(spark, [("p", i, p) for i, p in enumerate(plane)])
-    coarse = labels(patches.supervoxels(df, ["g"], "i", list("xyz"), 0.05, 0.35, refine=1))
+    coarse = labels(patches.supervoxels(df, ["g"], "i", list("xyz"), 0.05, 0.3))
     assert all(k > 0 for k in coarse.values()) and 4 <= len(set(coarse.values())) <= 16
     assert len(set(labels(patches.supervoxels(df, ["g"], "i", list("xyz"), 0.05, 0.2)).values())) > len(set(coarse.values()))
 
@@ -103,7 +102,7 @@ def test_normals_part_patches(spark):
     """Where two walls meet, a heavy normal keeps patches on their wall."""
     grid = list(itertools.product(np.arange(0.05, 2, 0.1), np.arange(0.05, 2, 0.1)))
     walls = [(2 + a, 2 + b, 2.05) for a, b in grid] + [(2.05, 2 + a, 2.2 + b) for a, b in grid]
-    got = labels(patches.supervoxels(table(spark, [("w", i, p) for i, p in enumerate(walls)]), ["g"], "i", list("xyz"), 0.1, 0.5, 0.2, 5.0, 1))
+    got = labels(patches.supervoxels(table(spark, [("w", i, p) for i, p in enumerate(walls)]), ["g"], "i", list("xyz"), 0.1, 0.5, 0.2, 5.0))
     inner = lambda i: walls[i][0] > 2.3 if i < 400 else walls[i][2] > 2.5
     floor, wall = ({got["w", i] for i in r if inner(i)} - {0} for r in (range(400), range(400, 800)))
     assert floor and wall and not floor & wall
