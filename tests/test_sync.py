@@ -78,3 +78,35 @@ def test_fold_matches_relational(spark):
     assert set(fold) == {k for k, r in rel.items() if r["status"] == "OK"}
     for k, f in fold.items():
         assert abs(f["pose"][0] - rel[k]["x"]) < 1e-9 and f["scan_id"] == near[k]
+
+
+def test_fold_of_many_keys_in_few_groups(spark, tmp_path, monkeypatch):
+    """Keys share buckets, a row of the state store each: as one fold a key, over two micro-batches of several files, with
+    a null key and ids beyond 2^53."""
+    from voxloom.streaming import folds, keyed
+
+    schema, at, big = "k long, t long, v long", str(tmp_path), 1 << 60
+    rows = [(None if k == 0 else big + k, t, (k * t * t // 7) % 3 + big) for k in range(600) for t in range(8)]
+    monkeypatch.setattr(keyed, "BUCKETS", 16)
+    got = None
+    for half in (0, 1):
+        spark.createDataFrame([r for r in rows if r[1] // 4 == half], schema).repartition(3).write.mode("append").parquet(f"{at}/rows")
+        s = spark.readStream.schema(schema).parquet(f"{at}/rows")
+        got = keyed.run_once(keyed.fold_stream(s, "k", ["t"], dict, folds.delta_step("k", ["v"], ["k", "t", "v"]), schema), at, "out")
+    last, want = {}, []
+    for k, t, v in sorted(rows, key=lambda r: r[1]):
+        if last.get(k) != v:
+            want.append((k, t, v))
+        last[k] = v
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert spark.read.format("statestore").load(f"{at}/out-checkpoint").count() == 17
+
+
+def test_slices_are_written_by_many_tasks(spark, tmp_path):
+    from voxloom.plans import q_stream
+
+    seen = []
+    rows = spark.range(4000).repartition(4).selectExpr("id AS t")
+    q_stream.fed(rows, "t", f"{tmp_path}/rows", lambda: seen.append(len(spark.read.parquet(f"{tmp_path}/rows").inputFiles())))
+    assert len(seen) == 4 and all(b - a > 1 for a, b in zip([0, *seen], seen, strict=False))
+    assert spark.read.parquet(f"{tmp_path}/rows").distinct().count() == 4000

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxloom.operators import votes
-from voxloom.operators.tables import scratch
+from voxloom.operators.tables import scratch, settle
 from voxloom.plans.bindings import MOMENTS_SQL, POINTS_SQL, moments, table
 from voxloom.streaming import folds, gate, keyed, mapstate, sync
 
@@ -32,23 +32,23 @@ def in_order(rows, t, parts):
 
 
 def fed(rows, t, folder, start, parts=4):
-    """start() after half of the slices of rows have come as files, and again after the others; what the last one returns."""
-    for k, part in enumerate(in_order(rows, t, parts)):
-        part.coalesce(1).write.mode("append").parquet(folder)
-        if k in (parts // 2 - 1, parts - 1):
-            out = start()
+    """start() after each slice of rows has come as files, one micro-batch; what the last one returns."""
+    for part in in_order(rows, t, parts):
+        part.write.mode("append").parquet(folder)
+        out = start()
     return out
 
 
 def folded(rows, t, order, start, step, schema):
-    """keyed.fold_stream by user over four files and two starts of the query."""
+    """keyed.fold_stream by user over four micro-batches, each with a start of the query."""
     spark, at = rows.sparkSession, scratch(rows.sparkSession)
 
     def begin():
-        s = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/rows")
+        s = spark.readStream.schema(rows.schema).parquet(f"{at}/rows")
         return keyed.run_once(keyed.fold_stream(s, "user_id", order, start, step, schema), at, "out")
 
-    return fed(rows, t, f"{at}/rows", begin)
+    with mapstate.state_store(spark):
+        return fed(rows, t, f"{at}/rows", begin)
 
 
 def stream(spark, sf, name):
@@ -97,15 +97,15 @@ def stream_fuse(spark, sf):
 SELECT user_id, epoch, alive, n, sum_cents, CASE WHEN v1 + v2 = 0 THEN NULL WHEN greatest(v1, v2 * 2) = v1 AND v1 >= 0.2 * (v1 + v2) THEN 1
        WHEN v2 * 2 > v1 AND v2 >= 0.2 * (v1 + v2) THEN 2 END::INT AS class_id, (v1 + v2)::BIGINT AS total FROM e""")
 def stream_map_state(spark, sf):
-    """The map kept by a stream of points, votes and kills (ST5, W4, P3, A3, A4), over four files and two starts of
-    the query."""
+    """The map kept by a stream of points, votes and kills (ST5, W4, P3, A3, A4), over four micro-batches, each
+    with a start of the query."""
     m = moments(spark, sf)
     kind = F.when(F.col("event_type") == "error", mapstate.KILL).when(F.col("event_type").isin("purchase", "signup"), mapstate.VOTE).otherwise(mapstate.FUSE)
     ops = m.select("user_id", "us", "event_id", kind.alias("op"), F.when(F.col("event_type") == "purchase", 1).otherwise(2).alias("class_id"), "cents")
     at = scratch(spark)
 
     def start():
-        rows = spark.readStream.schema(ops.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/ops")
+        rows = spark.readStream.schema(ops.schema).parquet(f"{at}/ops")
         mapstate.publish(mapstate.map_stream(rows, ["user_id"], ["us", "event_id"], "op", "class_id", ["cents"]), at, "cells").awaitTermination()
 
     with mapstate.state_store(spark):
@@ -156,16 +156,16 @@ def stream_delta(spark, sf):
 SELECT s.user_id, s.us AS t, CASE WHEN s.status IN ('READ', 'FAILED') THEN q.event_id ELSE s.event_id END AS item, s.id, s.status
 FROM s LEFT JOIN s q ON q.user_id = s.user_id AND q.id = s.id AND q.status = 'SENT' WHERE s.rn > 0""")
 def stream_match(spark, sf):
-    """Requests matched with results by id, over four files and two starts of the query (ST7, ST9, J12)."""
+    """Requests matched with results by id, over four micro-batches, each with a start of the query (ST7, ST9, J12)."""
     from pyspark.sql import Window as W
 
     m = moments(spark, sf).where("event_type IN ('error', 'view', 'signup')")
     before = F.sum((F.col("event_type") == "error").cast("long")).over(W.partitionBy("user_id").orderBy("us", "event_id"))
     rows = m.select("user_id", F.col("us").alias("t"), F.col("event_id").alias("item"), (F.col("event_type") == "error").alias("req"), (F.col("event_type") == "view").alias("ok"), (before - F.col("event_id") % 3).alias("id"))
-    rows, at = rows.select("user_id", "t", "item", "req", "ok", "id"), scratch(spark)
+    rows, at = settle(rows.select("user_id", "t", "item", "req", "ok", "id")), scratch(spark)
 
     def start():
-        s = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/rows")
+        s = spark.readStream.schema(rows.schema).parquet(f"{at}/rows")
         out = gate.match_stream(s.where("req"), s.where("NOT req").withColumn("text", F.lit("read")), "user_id", queue=2)
         return keyed.run_once(out, at, "matched")
 

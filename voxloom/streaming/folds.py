@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 
 from voxloom.operators.merge import Components, Merging, add_frame
+from voxloom.streaming.keyed import RowStep
 
 COMPONENTS = "cls int, frame long, comp_birth_frame long, comp_birth_prop long, support long, n_cells long, promoted boolean"
 
@@ -26,30 +27,29 @@ def components_step(cell: list[str], p: Merging):
 def gate_step(run_col: str, t: str, item: str, service: int):
     """One request at a time; the state is when the one under way is done, and how many were turned away."""
 
-    def run(state: dict, pdf: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
-        keep = []
-        for at in pdf[t].tolist():
-            go = state.get("free") is None or at >= state["free"]
-            keep.append(go)
-            if go:
+    def fold(state: dict, rows: list[tuple]) -> tuple[dict, list[tuple]]:
+        out = []
+        for key, at, what in rows:
+            if state.get("free") is None or at >= state["free"]:
                 state["free"] = at + service
+                out.append((key, at, what, at + service))
             else:
                 state["busy"] = state.get("busy", 0) + 1
-        out = pdf[keep][[run_col, t, item]].copy()
-        out["done_t"] = out[t] + service
         return state, out
 
-    return run
+    return RowStep([run_col, t, item], [run_col, t, item, "done_t"], fold)
 
 
 def delta_step(key: str, values: list[str], columns: list[str]):
     """Rows whose values differ from the last of their key."""
+    n = len(values)
 
-    def run(state: dict, pdf: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
-        keep = []
-        for row in pdf[values].itertuples(index=False, name=None):
-            keep.append(state.get("last") != row)
-            state["last"] = row
-        return state, pdf[keep][columns]
+    def fold(state: dict, rows: list[tuple]) -> tuple[dict, list[tuple]]:
+        out = []
+        for row in rows:
+            if state.get("last") != row[:n]:
+                out.append(row[n:])
+            state["last"] = row[:n]
+        return state, out
 
-    return run
+    return RowStep([*values, *columns], columns, fold)

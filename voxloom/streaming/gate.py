@@ -8,12 +8,10 @@ may be pending; the queue of the reader bounds them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from voxloom.streaming.keyed import RowStep, fold_stream
 
 #: What became of a row.
 SENT, BUSY, FULL, READ, FAILED, UNKNOWN = "SENT", "BUSY", "FULL", "READ", "FAILED", "UNKNOWN"
@@ -44,37 +42,21 @@ class Gate:
         return (READ if ok and text else FAILED), item
 
 
-class GateProcessor(StatefulProcessor):
-    def __init__(self, run: str, queue: int):
-        self.run, self.queue = run, queue
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("gate", "next_id long, shut boolean")
-        self.waiting = handle.getMapState("pending", "id long", "item long")
+def gate_step(run: str, queue: int) -> RowStep:
+    """Fold step for rows (run, t, is_request, item, id, ok, text)."""
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["t", "is_request", "item", "id"], kind="stable")
-        had = {int(k[0]): int(v[0]) for k, v in self.waiting.iterator()}
-        gate = Gate(*(self.state.get() if self.state.exists() else (1, False)), had)
+    def fold(state: Gate, rows: list[tuple]) -> tuple[Gate, list[tuple]]:
         out = []
-        for r in pdf.itertuples(index=False):
-            if r.is_request:
-                status, at = gate.request(int(r.item), self.queue)
-                out.append((key[0], int(r.t), int(r.item), at, status, None))
+        for key, t, is_request, item, at, ok, text in rows:
+            if is_request:
+                status, at = state.request(int(item), queue)
+                out.append((key, t, int(item), at, status, None))
             else:
-                status, item = gate.result(int(r.id), bool(r.ok), r.text)
-                out.append((key[0], int(r.t), item, int(r.id), status, r.text if status == READ else None))
-        self.state.update((gate.next_id, gate.shut))
-        for k in had.keys() - gate.pending.keys():
-            self.waiting.removeKey((k,))
-        for k, v in gate.pending.items():
-            if k not in had:
-                self.waiting.updateValue((k,), (v,))
-        frame = pd.DataFrame(out, columns=[self.run, "t", "item", "id", "status", "text"])
-        yield frame.astype({"item": "Int64", "id": "Int64"})
+                status, item = state.result(int(at), bool(ok), text)
+                out.append((key, t, item, int(at), status, text if status == READ else None))
+        return state, out
 
-    def close(self) -> None:
-        pass
+    return RowStep([run, "t", "is_request", "item", "id", "ok", "text"], [run, "t", "item", "id", "status", "text"], fold)
 
 
 def match_stream(requests: DataFrame, results: DataFrame, run: str, queue: int = 4) -> DataFrame:
@@ -85,8 +67,9 @@ def match_stream(requests: DataFrame, results: DataFrame, run: str, queue: int =
     that its request was for) or UNKNOWN.  Start the query inside mapstate.state_store().
     """
     kind = requests.schema[run].dataType.simpleString()
-    none = lambda t: F.lit(None).cast(t)
-    asked = requests.select(run, F.col("t").cast("long"), F.lit(1).alias("is_request"), F.col("item").cast("long"), none("long").alias("id"), none("boolean").alias("ok"), none("string").alias("text"))
-    given = results.select(run, F.col("t").cast("long"), F.lit(0).alias("is_request"), none("long").alias("item"), F.col("id").cast("long"), F.coalesce("ok", F.lit(False)).alias("ok"), "text")
+    # What the other kind of row lacks is 0, as nulls would make numbers of 64 bits inexact in pandas.
+    zero = F.lit(0).cast("long")
+    asked = requests.select(run, F.col("t").cast("long"), F.lit(1).alias("is_request"), F.col("item").cast("long"), zero.alias("id"), F.lit(False).alias("ok"), F.lit(None).cast("string").alias("text"))
+    given = results.select(run, F.col("t").cast("long"), F.lit(0).alias("is_request"), zero.alias("item"), F.col("id").cast("long"), F.coalesce("ok", F.lit(False)).alias("ok"), "text")
     schema = f"{run} {kind}, t long, item long, id long, status string, text string"
-    return asked.unionByName(given).groupBy(run).transformWithStateInPandas(GateProcessor(run, queue), schema, "Append", "None")
+    return fold_stream(asked.unionByName(given), run, ["t", "is_request", "item", "id"], Gate, gate_step(run, queue), schema)

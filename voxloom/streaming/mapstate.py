@@ -1,7 +1,6 @@
 """The map, kept up to date by a stream: cells that are fused, voted on, killed and revived.
 
-A cell's state lies in Spark's state store, a row for its sums and one for each class it has votes of, so
-what is written in a micro-batch grows with the cells that it touches and not with the map.
+The state lies in Spark's state store, where the cells of a bucket share a row (see keyed.fold_stream).
 """
 
 from __future__ import annotations
@@ -9,14 +8,14 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import partial
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from voxloom.operators.votes import SATURATION
+from voxloom.streaming.keyed import RowStep, fold_stream
 
 #: What a row does to its cell.
 FUSE, VOTE, KILL = 0, 1, 2
@@ -49,39 +48,18 @@ class CellState:
                 self.sums = [0] * len(values)
 
 
-class CellProcessor(StatefulProcessor):
-    """Rows (op, class, values...) of a cell and micro-batch, in their order -> the cell as it is then."""
-
-    def __init__(self, cell: list[str], order: list[str], op: str, cls: str, values: list[str], kind: str):
-        self.cell, self.order, self.op, self.cls, self.values, self.kind = cell, order, op, cls, values, kind
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        sums = "".join(f", s{i} {self.kind}" for i in range(len(self.values)))
-        self.state = handle.getValueState("cell", f"epoch long, alive boolean, n long{sums}")
-        self.ballots = handle.getMapState("votes", "class_id int", "votes int")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
-        had = {int(c[0]): int(v[0]) for c, v in self.ballots.iterator()}
-        if self.state.exists():
-            epoch, alive, n, *sums = self.state.get()
-            now = CellState(epoch, alive, n, tuple(sums), had)
-        else:
-            now = CellState(sums=(0,) * len(self.values))
-        now.apply(pdf[self.op].tolist(), [pdf[v].fillna(0).tolist() for v in self.values], pdf[self.cls].fillna(-1).astype(int).tolist())
-        as_kind = int if self.kind == "long" else float
-        self.state.update((now.epoch, now.alive, now.n, *(as_kind(s) for s in now.sums)))
-        for c in had.keys() - now.votes.keys():
-            self.ballots.removeKey((c,))
-        for c, v in now.votes.items():
-            if had.get(c) != v:
-                self.ballots.updateValue((c,), (v,))
-        out = {c: [k] for c, k in zip(self.cell, key, strict=True)} | {"epoch": [now.epoch], "alive": [now.alive], "n": [now.n]}
-        out |= {f"sum_{v}": [as_kind(s)] for v, s in zip(self.values, now.sums, strict=True)}
-        yield pd.DataFrame(out | {"votes": [[{"class_id": c, "votes": v} for c, v in sorted(now.votes.items())]]})
-
-    def close(self) -> None:
-        pass
+def cell_step(cell: list[str], op: str, cls: str, values: list[str], kind: str) -> RowStep:
+    """Rows (cell, op, class, values...) of a cell and micro-batch, in their order -> the cell as it is then."""
+    n, as_kind = len(cell), int if kind == "long" else float
+
+    def fold(state: CellState, rows: list[tuple]) -> tuple[CellState, list[tuple]]:
+        ops, classes, *cols = zip(*(r[n:] for r in rows), strict=True)
+        state.apply(ops, [[0 if v is None or v != v else v for v in c] for c in cols], [-1 if c is None or c != c else int(c) for c in classes])
+        state.sums = [as_kind(s) for s in state.sums]
+        votes = [{"class_id": c, "votes": v} for c, v in sorted(state.votes.items())]
+        return state, [(*rows[0][:n], state.epoch, state.alive, state.n, *state.sums, votes)]
+
+    return RowStep([*cell, op, cls, *values], [*cell, "epoch", "alive", "n", *(f"sum_{v}" for v in values), "votes"], fold)
 
 
 def map_stream(ops: DataFrame, cell: list[str], order: list[str], op: str, cls: str, values: list[str], kind: str = "long") -> DataFrame:
@@ -95,7 +73,8 @@ def map_stream(ops: DataFrame, cell: list[str], order: list[str], op: str, cls:
     types = {f.name: f.dataType.simpleString() for f in ops.schema.fields}
     schema = ", ".join([*(f"{c} {types[c]}" for c in cell), "epoch long, alive boolean, n long", *(f"sum_{v} {kind}" for v in values), "votes array<struct<class_id:int,votes:int>>"])
     slim = ops.select(*cell, *dict.fromkeys([*order, op, cls, *values]))
-    return slim.groupBy(*cell).transformWithStateInPandas(CellProcessor(cell, order, op, cls, values, kind), schema, "Update", "None")
+    start = partial(CellState, sums=(0,) * len(values))
+    return fold_stream(slim, cell, order, start, cell_step(cell, op, cls, values, kind), schema, "update")
 
 
 @contextmanager

@@ -12,7 +12,7 @@ from bisect import bisect_left
 from collections import deque
 from dataclasses import dataclass, field
 
-import pandas as pd
+from voxloom.streaming.keyed import RowStep
 
 #: The sizes of the rings.
 POSES, SCANS, PENDING = 256, 8, 64
@@ -94,12 +94,11 @@ FRAMES = "image_t long, image_id long, scan_t long, scan_id long, pose array<dou
 def step(key: str):
     """Fold step for rows (key, t, is_image, item, pose)."""
 
-    def run(state: Sync, pdf: pd.DataFrame) -> tuple[Sync, pd.DataFrame]:
+    def fold(state: Sync, rows: list[tuple]) -> tuple[Sync, list[tuple]]:
         out = []
-        for t, is_image, item, pose in zip(pdf["t"].tolist(), pdf["is_image"].tolist(), pdf["item"].tolist(), pdf["pose"].tolist(), strict=True):
-            out += state.push_image(t, item) if is_image else state.push_scan(t, tuple(pose), item)
-        frames = pd.DataFrame(out, columns=["image_t", "image_id", "scan_t", "scan_id", "pose"])
-        frames.insert(0, key, pdf[key].iloc[0] if len(pdf) else None)
-        return state, frames
+        for run, t, is_image, item, pose in rows:
+            found = state.push_image(t, item) if is_image else state.push_scan(t, tuple(pose), item)
+            out += [(run, f["image_t"], f["image_id"], f["scan_t"], f["scan_id"], f["pose"]) for f in found]
+        return state, out
 
-    return run
+    return RowStep([key, "t", "is_image", "item", "pose"], [key, "image_t", "image_id", "scan_t", "scan_id", "pose"], fold)
