@@ -650,3 +650,13 @@ def test_topics_are_those_of_the_words(spark):
     assert all(len(k) == 1 for k in seen.values()) and len({k for v in seen.values() for k in v}) == 6
     assert got[1000] == "cc/0" and got[1001] == "aa/0" and got[1002] == "/0"
     assert topics.train(df.where("false"), "doc_id", "lang", "text").centres == {}
+
+
+def test_topics_are_fitted_on_all_documents(spark):
+    """Every document counts in the weights of words, beyond the 4,000 of a former sample; layout of files does not matter."""
+    df = spark.range(9000).selectExpr("id AS doc_id", "concat('w', id % 3, ' v', id % 3, ' common') AS text", "'aa' AS lang")
+    one = topics.train(df.repartition(5), "doc_id", "lang", "text")
+    two = topics.train(df.orderBy(F.desc("doc_id")), "doc_id", "lang", "text")
+    ids = topics.bags([b"w0"])[0][0]
+    assert abs(float(one.weight[ids[0]]) - np.log(9001 / 3001)) < 1e-6
+    assert (one.weight == two.weight).all() and (one.centres["aa"] == two.centres["aa"]).all()

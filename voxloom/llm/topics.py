@@ -1,8 +1,10 @@
-"""Topics of documents: clusters of hashed words, fitted on a bounded sample.
+"""Topics of documents: clusters of hashed words, fitted on all documents.
 
 Words say little across languages, so each language has its own clusters: spherical k-means over
-hashed words weighted by rarity.  The sample is bounded; every document is then assigned by its whole
-text in one pass.  A table that has a topic column needs none of this.
+hashed words weighted by rarity.  Texts are read once to hashed words, which are written; from there on a
+round of k-means is one pass whose tasks add up the vectors of each cluster, so the driver and the tasks
+hold the centres only.  Every document is then assigned by its whole text in one pass.  A table that has a
+topic column needs none of this.
 """
 
 from __future__ import annotations
@@ -14,14 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from voxloom.llm.common import trim_memory
+from voxloom.llm.common import settle
 from voxloom.llm.textnum import U64, batch_texts, chunks, words
 
-TRAIN_ROWS = 4_000  # bound of the sample, all languages together
 DIMS = 1 << 11
 TOPICS = 6  # of each language
-LEAST_ROWS = 30  # sampled documents of a language for each of its topics
+LEAST_ROWS = 30  # documents of a language for each of its topics
 ROUNDS = 15
 
 
@@ -43,60 +45,114 @@ def bags(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _dense(bag: list, weight: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(bag), DIMS), dtype=np.float32)
-    for i, (ids, n) in enumerate(bag):
-        x[i, ids] = n * weight[ids]
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    return x
-
-
-def clusters(x: np.ndarray, k: int) -> np.ndarray:
-    """(dimensions, k) unit centres; rows start in turn from evenly spaced rows, and an empty cluster keeps
-    its centre."""
-    c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
-    for _ in range(ROUNDS):
-        near = (x @ c.T).argmax(1)
-        for j in range(k):
-            if (near == j).any():
-                m = x[near == j].sum(0)
-                c[j] = m / max(float(np.linalg.norm(m)), 1e-12)
-    return np.ascontiguousarray(c.T)
-
-
-def fit(langs: list, bag: list[tuple[np.ndarray, np.ndarray]]) -> Topics:
-    held = np.bincount(np.concatenate([ids for ids, _ in bag]), minlength=DIMS) if bag else np.zeros(DIMS)
-    weight = np.log((1 + len(bag)) / (1 + held)).astype(np.float32)
-    centres = {}
-    for lang in dict.fromkeys(langs):
-        own = [b for b, x in zip(bag, langs, strict=True) if x == lang]
-        k = min(TOPICS, len(own) // LEAST_ROWS)
-        if k > 1:
-            centres[lang] = clusters(_dense(own, weight), k)
-    return Topics(weight, centres)
+def nearest(ids: np.ndarray, value: np.ndarray, first: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The most similar centre of each text's weighed words, the first of equals; 0 without words."""
+    near = np.zeros(len(first) - 1, dtype=np.int64)
+    some = np.flatnonzero(np.diff(first))
+    if len(some):
+        near[some] = np.add.reduceat(value[:, None] * centres[ids], first[some]).argmax(1)
+    return near
+
+
+SCALE = 1 << 20  # units of vectors that are added up: whole numbers, so sums do not depend on the order of rows
+
+
+def sums(ids: np.ndarray, value: np.ndarray, first: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
+    """(k, DIMS): the sums of the texts' unit vectors by cluster, in SCALE."""
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    norm = np.sqrt(np.bincount(owner, value * value, minlength=len(first) - 1))
+    unit = np.rint(value / np.maximum(norm, 1e-12)[owner] * SCALE)
+    return np.bincount(near[owner] * DIMS + ids, unit, minlength=k * DIMS).reshape(k, DIMS)
+
 
+def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of packed arrays, and the first of each row with the total at the end."""
+    rows = column.to_pylist()
+    out = np.frombuffer(b"".join(rows), dtype=kind)
+    return out, np.cumsum([0, *(len(x) // out.itemsize for x in rows)])
 
-def train(docs: DataFrame, id_col: str, lang_col: str, text_col: str, rows: int = TRAIN_ROWS) -> Topics:
-    """Fitted on at most `rows` documents, those with the smallest hashes of their ids and texts.  Bags are
-    made where the texts are; the driver gets at most DIMS words of each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def train(docs: DataFrame, id_col: str, lang_col: str, text_col: str) -> Topics:
+    """Fitted on all documents.  The first centres of a language are the documents with the smallest hashes of
+    id and text; an empty cluster keeps its centre.  ROUNDS rounds, or fewer where no centre moves."""
+
+    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = bags(batch_texts(batch.column(2)))
+            packed = [pa.array([x[i].astype(t).tobytes() for x in held], pa.binary()) for i, t in ((0, np.int16), (1, np.float32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], names=["h", "lang", "ids", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = np.zeros(DIMS, dtype=np.int64)
         for batch in batches:
-            bag = bags(batch_texts(batch.column(2)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([i.astype(np.int16).tobytes() for i, _ in bag], pa.binary()), pa.array([n.astype(np.float32).tobytes() for _, n in bag], pa.binary())],
-                names=["h", "lang", "ids", "n"],
-            )
+            have += np.bincount(_flat(batch.column(0), np.int16)[0], minlength=DIMS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS)), pa.array(have)], names=["id", "n"])
+
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each language the TOPICS rows with words that have the smallest hashes."""
+        best: dict = {}
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = best.setdefault(row[1], {})
+                if row[2] and (len(own) < TOPICS or row[0] < max(own)):
+                    own[row[0]] = row
+                    if len(own) > TOPICS:
+                        del own[max(own)]
+        rows = [r for own in best.values() for r in own.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.binary(), pa.binary()))], names=["h", "lang", "ids", "n"])
 
-    share = min(1.0, 2 * rows / max(1, docs.count()))  # twice as many, so that enough are left whatever the hashes
     h = F.xxhash64(F.col(id_col), F.col(text_col))
-    near = docs.select(h.alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where(F.pmod("h", F.lit(1 << 20)) < F.lit(share * (1 << 20)))
-    got = near.mapInArrow(run, "h long, lang string, ids binary, n binary").orderBy(F.pmod("h", F.lit(1 << 20)), "h", "lang").limit(rows).select("lang", "ids", "n").toArrow()
-    bag = [(np.frombuffer(i, dtype=np.int16).astype(np.int64), np.frombuffer(n, dtype=np.float32)) for i, n in zip(got.column("ids").to_pylist(), got.column("n").to_pylist(), strict=True)]
-    model = fit(got.column("lang").to_pylist(), bag)
-    del got, bag
-    trim_memory()
-    return model
+    columns = "h long, lang string, ids binary, n binary"
+    held = settle(docs.select(h.alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(bag, columns))
+    total, have = 0, np.zeros(DIMS)
+    counts: dict = {}
+    for r in held.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect():
+        total += r["n"]
+        if r["n"] >= 2 * LEAST_ROWS:
+            counts[r["lang"]] = min(TOPICS, r["n"] // LEAST_ROWS)
+    for i, n in held.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect():
+        have[i] = n
+    weight = np.log((1 + total) / (1 + have)).astype(np.float32)
+    centres: dict = {}
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "ids"))
+    few = held.mapInArrow(lowest, columns).dropDuplicates(["lang", "h"]).withColumn("r", rank).where(F.col("r") <= TOPICS)
+    for r in few.collect() if counts else []:
+        own = centres.setdefault(r["lang"], np.zeros((DIMS, counts[r["lang"]]), dtype=np.float32)) if r["lang"] in counts else None
+        if own is not None and r["r"] <= own.shape[1]:
+            ids = np.frombuffer(r["ids"], dtype=np.int16)
+            own[ids, r["r"] - 1] = np.frombuffer(r["n"], dtype=np.float32) * weight[ids]
+    for c in centres.values():
+        c /= np.maximum(np.linalg.norm(c, axis=0), 1e-12)
+
+    def added(now: dict):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = {lang: np.zeros((c.shape[1], DIMS)) for lang, c in now.items()}
+            for batch in batches:
+                langs = np.array(batch.column(0).to_pylist(), dtype=object)
+                for lang in set(langs.tolist()) & now.keys():
+                    own = batch.filter(pa.array(np.fromiter((x == lang for x in langs), dtype=bool, count=len(langs))))
+                    ids, first = _flat(own.column(1), np.int16)
+                    value = _flat(own.column(2), np.float32)[0] * weight[ids]
+                    k = now[lang].shape[1]
+                    total[lang] += sums(ids, value, first, nearest(ids, value, first, now[lang]), k)
+            for lang, x in total.items():
+                j, i = np.nonzero(x)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(j), pa.string()), pa.array(j.astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(x[j, i].astype(np.int64))], names=["lang", "j", "i", "x"])
+
+        return run
+
+    for _ in range(ROUNDS if centres else 0):
+        got = held.select("lang", "ids", "n").mapInArrow(added(centres), "lang string, j int, i int, x long").groupBy("lang", "j", "i").agg(F.sum("x").alias("x")).toArrow().to_pandas()
+        new = {lang: c.copy() for lang, c in centres.items()}
+        for (lang, j), g in got.groupby(["lang", "j"], dropna=False):
+            c = np.zeros(DIMS)
+            c[g["i"]] = g["x"]
+            new[lang if isinstance(lang, str) else None][:, j] = c / max(float(np.linalg.norm(c)), 1e-12)
+        still = all((new[lang] == c).all() for lang, c in centres.items())
+        centres = new
+        if still:
+            break
+    return Topics(weight, centres)
 
 
 def assign(model: Topics, langs: list, texts: list[bytes]) -> list[str]:
