@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.llm import ann, langid, mixing, packing, quality, sharding, topics
+from voxloom.llm import ann, common, langid, mixing, packing, quality, sharding, topics
 
 SF = "/root/testdata/sf0.01"
 
@@ -652,6 +652,18 @@ def test_topics_are_those_of_the_words(spark):
     assert topics.train(df.where("false"), "doc_id", "lang", "text").centres == {}
 
 
+def test_topics_of_kept_words_are_those_of_texts(spark):
+    """The hashed words that were read once give each text the topic that its text gives, so it is not read again."""
+    rows = [(i, f"{'aa' if i % 2 else 'bb'}{i % 6} w{i % 7} x{i % 5}", "aa" if i % 2 else None) for i in range(400)]
+    rows += [(900, "", "aa"), (901, None, "aa"), (902, "few", "cc"), (903, "w1 w1 x2", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = topics.train(df, "doc_id", "lang", "text")
+    got = df.select(topics.topic_of(model, F.col("lang"), F.col("text")).alias("a"), topics.topic_of_bag(model, F.col("lang"), topics.bag_of(F.col("text"))).alias("b")).collect()
+    assert len(model.centres) == 2 and all(r["a"] == r["b"] for r in got) and len({r["b"] for r in got}) > 4
+    parts = spark.createDataFrame([(k % 2, np.array([k, 1 << 40]).tobytes()) for k in range(9)], "part int, x binary")
+    assert {k: x.tolist() for k, x in common.vector_sums(parts).items()} == {0: [20, 5 << 40], 1: [16, 4 << 40]}
+
+
 def test_topics_are_fitted_on_all_documents(spark):
     """Every document counts in the weights of words, beyond the 4,000 of a former sample; layout of files does not matter."""
     df = spark.range(9000).selectExpr("id AS doc_id", "concat('w', id % 3, ' v', id % 3, ' common') AS text", "'aa' AS lang")

@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +72,19 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") ->
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def vector_sums(parts: DataFrame) -> dict[int, np.ndarray]:
+    """By part the sum of the vectors x of parts(part int, x binary): packed 64-bit whole numbers, as long as each
+    other in a part.  Added up by tasks, in which a part's vectors pass by; the driver gets one for each part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(x, dtype=np.int64)
+                have[part] = have[part] + x if part in have else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.int32()), pa.array([x.tobytes() for x in have.values()], pa.binary())], names=["part", "x"])
+
+    got = parts.repartition("part").mapInArrow(run, "part int, x binary").toArrow()
+    return {part: np.frombuffer(x, dtype=np.int64) for part, x in zip(got.column("part").to_pylist(), got.column("x").to_pylist(), strict=True)}

@@ -15,13 +15,14 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from voxloom.llm.common import read_table, settle, text_hash
 from voxloom.llm.packing import default_paths, token_count
-from voxloom.llm.topics import topic_of, train
+from voxloom.llm.topics import bag_of, fit, row_hash, topic_of_bag
 
 DRIVER_CELLS = 2_000_000  # bound of the cells, which the driver rakes; more are an error, not another method
 BROADCAST_CELLS = 100_000
@@ -193,8 +194,8 @@ def calibrate(df: DataFrame, margins: dict[str, Column], tokens: Column, row_key
         if tolerated is not None and off > tolerated:
             raise ValueError(f"no weights meet the targets of {names}: a share stays {off:.4g} away")
         p, short = bounded(have, factor, found, keep_share)
-    fields = ", ".join(f"r{i} {cells.schema[m].dataType.simpleString()}" for i, m in enumerate(ms))
-    right = df.sparkSession.createDataFrame(list(zip(*values, factor.tolist(), p.tolist(), strict=True)), f"{fields}, weight double, p double")
+    fields = {f"r{i}": got.column(m) for i, m in enumerate(ms)}
+    right = df.sparkSession.createDataFrame(pa.table({**fields, "weight": factor, "p": p}))
     if count <= BROADCAST_CELLS:  # checked size, so texts stay where they are
         right = F.broadcast(right)
     joined = rows.join(right, reduce(lambda a, b: a & b, (F.col(m).eqNullSafe(F.col(f"r{i}")) for i, m in enumerate(ms))))
@@ -220,14 +221,24 @@ MARGINS = ("source", "lang", "topic")
 INSIDE = {"topic": "lang"}
 
 
+def marks() -> list[Column]:
+    """What is read from a text: its tokens, and its hashed words for topics."""
+    return [token_count(F.col("text"), default_paths()).alias("n"), row_hash("doc_id", "text").alias("h"), bag_of(F.col("text")).alias("bag")]
+
+
+def topic(read: DataFrame, lang: Column) -> Column:
+    """The topic of each row of a table with `lang` and marks(), fitted on all of them."""
+    return topic_of_bag(fit(read.select("h", lang.cast("string").alias("lang"), "bag")), lang, F.col("bag"))
+
+
 def mix(docs: DataFrame, keep_share: float = KEEP_SHARE, power: float = POWER, targets: Targets | None = None, tolerated: float | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, RESULT) for every row of docs(doc_id, text, lang, source): narrow rows,
     each text is read once.
 
     Margins are source, language and topic (topics.py; a topic's target divides its language's).
     """
-    topic = topic_of(train(docs, "doc_id", "lang", "text"), F.col("lang"), F.col("text"))
-    narrow = settle(docs.select("doc_id", text_hash().alias("th"), "source", "lang", topic.alias("topic"), token_count(F.col("text"), default_paths()).alias("n")))
+    read = settle(docs.select("doc_id", text_hash().alias("th"), "source", "lang", *marks()))
+    narrow = settle(read.select("doc_id", "th", "source", "lang", topic(read, F.col("lang")).alias("topic"), "n"))
     margins = {m: F.col(m) for m in MARGINS}
     return calibrate(narrow, margins, F.col("n"), [F.col("doc_id"), F.col("th")], ["doc_id"], keep_share, power, targets, INSIDE, tolerated)
 
@@ -235,15 +246,15 @@ def mix(docs: DataFrame, keep_share: float = KEEP_SHARE, power: float = POWER, t
 def draw(docs: DataFrame, keep_share: float = KEEP_SHARE, power: float = POWER, targets: Targets | None = None, tolerated: float | None = None, report: str | None = None) -> DataFrame:
     """The rows of docs that mix() draws, with all their columns, which may have any names.
 
-    Texts are read once for their topics and tokens and written with them, so they do not cross the
+    Texts are read once for their hashed words and tokens and written with them, so they do not cross the
     network, and are drawn from there.  With `report`, margins_met() is written to that path, and a warning
     logged where the expected shares stay further than REPORTED from their targets; with `tolerated`, raked
     weights further from theirs are a ValueError.
     """
-    topic = topic_of(train(docs, "doc_id", "lang", "text"), F.col("lang"), F.col("text"))
     keep = {f"c{i}": c for i, c in enumerate(docs.columns)}
-    marked = docs.select(*(F.col(c).alias(k) for k, c in keep.items()), "source", "lang", topic.alias("topic"), token_count(F.col("text"), default_paths()).alias("n"), F.col("doc_id").alias("i"), text_hash().alias("th"))
-    mixed = calibrate(settle(marked), {m: F.col(m) for m in MARGINS}, F.col("n"), [F.col("i"), F.col("th")], list(keep), keep_share, power, targets, INSIDE, tolerated)
+    read = settle(docs.select(*(F.col(c).alias(k) for k, c in keep.items()), "source", "lang", F.col("doc_id").alias("i"), text_hash().alias("th"), *marks()))
+    marked = read.withColumn("topic", topic(read, F.col("lang")))
+    mixed = calibrate(marked, {m: F.col(m) for m in MARGINS}, F.col("n"), [F.col("i"), F.col("th")], list(keep), keep_share, power, targets, INSIDE, tolerated)
     if report is not None:
         margins_met(mixed, list(MARGINS)).write.parquet(report)
         found = docs.sparkSession.read.parquet(report).select("raked_residual", "residual").first()

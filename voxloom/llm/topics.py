@@ -3,7 +3,7 @@
 Words say little across languages, so each language has its own clusters: spherical k-means over
 hashed words weighted by rarity.  Texts are read once to hashed words, which are written; from there on a
 round of k-means is one pass whose tasks add up the vectors of each cluster, so the driver and the tasks
-hold the centres only.  Every document is then assigned by its whole text in one pass.  A table that has a
+hold the centres only.  Every document is then assigned by the hashed words of its whole text.  A table that has a
 topic column needs none of this.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from voxloom.llm.common import settle
+from voxloom.llm.common import settle, vector_sums
 from voxloom.llm.textnum import U64, batch_texts, chunks, words
 
 DIMS = 1 << 11
@@ -33,36 +33,50 @@ class Topics:
     centres: dict[str | None, np.ndarray]  # by language: (DIMS, topics)
 
 
-def bags(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text its distinct hashed words and 1 + log of their counts."""
-    out = []
+def chunk_bags(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each chunk of texts the distinct hashed words of its texts, 1 + log of their counts, and the first of
+    each text with the total at the end."""
     for lo, hi in chunks(texts):
         h, first = words(texts[lo:hi])
-        h = (h & U64(DIMS - 1)).astype(np.int64)
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            ids, n = np.unique(h[a:b], return_counts=True)
-            out.append((ids, 1 + np.log(n)))
-    return out
+        owner = np.repeat(np.arange(hi - lo, dtype=np.int64), np.diff(first)) * DIMS
+        both, n = np.unique(owner + (h & U64(DIMS - 1)).astype(np.int64), return_counts=True)
+        yield both & (DIMS - 1), 1 + np.log(n), np.searchsorted(both, np.arange(hi - lo + 1) * DIMS)
+
+
+def bags(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its distinct hashed words and 1 + log of their counts."""
+    return [(ids[a:b], n[a:b]) for ids, n, first in chunk_bags(texts) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def bag_of(text: Column) -> Column:
+    """struct(ids, n): bags() of a text, packed as 16-bit numbers and single floats."""
+
+    @F.arrow_udf("struct<ids: binary, n: binary>")
+    def run(texts: pa.Array) -> pa.Array:
+        held = bags(batch_texts(texts))
+        return pa.StructArray.from_arrays([pa.array([x[i].astype(t).tobytes() for x in held], pa.binary()) for i, t in ((0, np.int16), (1, np.float32))], names=["ids", "n"])
 
+    return run(text.cast("string"))
 
-def nearest(ids: np.ndarray, value: np.ndarray, first: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """The most similar centre of each text's weighed words, the first of equals; 0 without words."""
+
+def nearest(key: np.ndarray, value: np.ndarray, first: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The most similar of the centres (topics, keys) of each text's weighed words, the first of equals; 0 without words."""
     near = np.zeros(len(first) - 1, dtype=np.int64)
     some = np.flatnonzero(np.diff(first))
     if len(some):
-        near[some] = np.add.reduceat(value[:, None] * centres[ids], first[some]).argmax(1)
+        near[some] = np.stack([np.add.reduceat(value * c[key], first[some]) for c in centres]).argmax(0)
     return near
 
 
 SCALE = 1 << 20  # units of vectors that are added up: whole numbers, so sums do not depend on the order of rows
 
 
-def sums(ids: np.ndarray, value: np.ndarray, first: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
-    """(k, DIMS): the sums of the texts' unit vectors by cluster, in SCALE."""
+def sums(key: np.ndarray, value: np.ndarray, first: np.ndarray, near: np.ndarray, keys: int) -> np.ndarray:
+    """(TOPICS * keys): the sums of the texts' unit vectors by cluster, in SCALE."""
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     norm = np.sqrt(np.bincount(owner, value * value, minlength=len(first) - 1))
-    unit = np.rint(value / np.maximum(norm, 1e-12)[owner] * SCALE)
-    return np.bincount(near[owner] * DIMS + ids, unit, minlength=k * DIMS).reshape(k, DIMS)
+    unit = np.rint(value * (SCALE / np.maximum(norm, 1e-12))[owner])
+    return np.bincount((near * keys)[owner] + key, unit, minlength=TOPICS * keys)
 
 
 def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -72,15 +86,47 @@ def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return out, np.cumsum([0, *(len(x) // out.itemsize for x in rows)])
 
 
+NONE = -1e30  # of a centre that a language has not; finite, as a word may weigh 0
+ROWS = 512  # rows of a batch that are worked on at once, so that what they need stays in the cache
+
+
+class Centres:
+    """The centres of all languages in one table (topics, languages * DIMS), so that texts of several meet theirs together."""
+
+    def __init__(self, centres: dict[str | None, np.ndarray]):
+        self.code = {lang: i for i, lang in enumerate(centres)}
+        self.table = np.full((TOPICS, len(centres) * DIMS), NONE, dtype=np.float32)
+        for i, c in enumerate(centres.values()):
+            self.table[: c.shape[1], i * DIMS : (i + 1) * DIMS] = c.T
+
+    def found(self, weight: np.ndarray, langs: pa.Array, ids: pa.Array, n: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+        """(rows, keys in the table, values, firsts, nearest) of rows whose language has centres."""
+        code = np.array([self.code.get(x, -1) for x in langs.to_pylist()], dtype=np.int64)
+        for lo in range(0, len(code), ROWS):
+            i, first = _flat(ids.slice(lo, ROWS), np.int16)
+            own, size = code[lo : lo + ROWS], np.diff(first)
+            value = _flat(n.slice(lo, ROWS), np.float32)[0] * weight[i]
+            rows = np.flatnonzero(own >= 0)
+            if len(rows) < len(own):
+                some = np.repeat(own >= 0, size)
+                i, value, size = i[some], value[some], size[rows]
+                first = np.concatenate(([0], np.cumsum(size)))
+            key = np.repeat(own[rows] * DIMS, size) + i
+            yield lo + rows, key, value, first, nearest(key, value, first, self.table)
+
+
 def train(docs: DataFrame, id_col: str, lang_col: str, text_col: str) -> Topics:
-    """Fitted on all documents.  The first centres of a language are the documents with the smallest hashes of
-    id and text; an empty cluster keeps its centre.  ROUNDS rounds, or fewer where no centre moves."""
+    """fit() on all documents."""
+    return fit(settle(docs.select(row_hash(id_col, text_col).alias("h"), F.col(lang_col).cast("string").alias("lang"), bag_of(F.col(text_col)).alias("bag"))))
+
+
+def row_hash(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col))
 
-    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = bags(batch_texts(batch.column(2)))
-            packed = [pa.array([x[i].astype(t).tobytes() for x in held], pa.binary()) for i, t in ((0, np.int16), (1, np.float32))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], names=["h", "lang", "ids", "n"])
+
+def fit(rows: DataFrame) -> Topics:
+    """Fitted on all rows of a table (h, lang, bag).  The first centres of a language are the documents with the
+    smallest hashes; an empty cluster keeps its centre.  ROUNDS rounds, or fewer where no centre moves."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.zeros(DIMS, dtype=np.int64)
@@ -101,9 +147,8 @@ def train(docs: DataFrame, id_col: str, lang_col: str, text_col: str) -> Topics:
         rows = [r for own in best.values() for r in own.values()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.binary(), pa.binary()))], names=["h", "lang", "ids", "n"])
 
-    h = F.xxhash64(F.col(id_col), F.col(text_col))
     columns = "h long, lang string, ids binary, n binary"
-    held = settle(docs.select(h.alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(bag, columns))
+    held = rows.select("h", "lang", "bag.ids", "bag.n")
     total, have = 0, np.zeros(DIMS)
     counts: dict = {}
     for r in held.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect():
@@ -125,29 +170,25 @@ def train(docs: DataFrame, id_col: str, lang_col: str, text_col: str) -> Topics:
         c /= np.maximum(np.linalg.norm(c, axis=0), 1e-12)
 
     def added(now: dict):
+        at = Centres(now)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = {lang: np.zeros((c.shape[1], DIMS)) for lang, c in now.items()}
+            total = np.zeros(at.table.size)
             for batch in batches:
-                langs = np.array(batch.column(0).to_pylist(), dtype=object)
-                for lang in set(langs.tolist()) & now.keys():
-                    own = batch.filter(pa.array(np.fromiter((x == lang for x in langs), dtype=bool, count=len(langs))))
-                    ids, first = _flat(own.column(1), np.int16)
-                    value = _flat(own.column(2), np.float32)[0] * weight[ids]
-                    k = now[lang].shape[1]
-                    total[lang] += sums(ids, value, first, nearest(ids, value, first, now[lang]), k)
-            for lang, x in total.items():
-                j, i = np.nonzero(x)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(j), pa.string()), pa.array(j.astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(x[j, i].astype(np.int64))], names=["lang", "j", "i", "x"])
+                for _, key, value, first, near in at.found(weight, *batch.columns):
+                    total += sums(key, value, first, near, at.table.shape[1])
+            parts = total.astype(np.int64).reshape(TOPICS, len(now), DIMS)
+            some = [(j, i) for j, i in np.ndindex(*parts.shape[:2]) if parts[j, i].any()]
+            yield pa.RecordBatch.from_arrays([pa.array([i * TOPICS + j for j, i in some], pa.int32()), pa.array([parts[s].tobytes() for s in some], pa.binary())], names=["part", "x"])
 
         return run
 
     for _ in range(ROUNDS if centres else 0):
-        got = held.select("lang", "ids", "n").mapInArrow(added(centres), "lang string, j int, i int, x long").groupBy("lang", "j", "i").agg(F.sum("x").alias("x")).toArrow().to_pandas()
+        got = vector_sums(held.select("lang", "ids", "n").mapInArrow(added(centres), "part int, x binary"))
         new = {lang: c.copy() for lang, c in centres.items()}
-        for (lang, j), g in got.groupby(["lang", "j"], dropna=False):
-            c = np.zeros(DIMS)
-            c[g["i"]] = g["x"]
-            new[lang if isinstance(lang, str) else None][:, j] = c / max(float(np.linalg.norm(c)), 1e-12)
+        langs = list(new)
+        for part, c in got.items():
+            new[langs[part // TOPICS]][:, part % TOPICS] = c / max(float(np.linalg.norm(c)), 1e-12)
         still = all((new[lang] == c).all() for lang, c in centres.items())
         centres = new
         if still:
@@ -172,3 +213,18 @@ def topic_of(model: Topics, lang: Column, text: Column) -> Column:
         return pa.array(assign(model, langs.to_pylist(), batch_texts(texts)), pa.string())
 
     return run(lang.cast("string"), text.cast("string"))
+
+
+def topic_of_bag(model: Topics, lang: Column, bag: Column) -> Column:
+    """topic_of() where bag_of() is at hand."""
+    at = Centres(model.centres)
+
+    @F.arrow_udf("string")
+    def run(langs: pa.Array, ids: pa.Array, n: pa.Array) -> pa.Array:
+        best = np.zeros(len(langs), dtype=np.int64)
+        if at.code:
+            for rows, _, _, _, near in at.found(model.weight, langs, ids, n):
+                best[rows] = near
+        return pa.array([f"{lang or ''}/{k}" for lang, k in zip(langs.to_pylist(), best.tolist(), strict=True)], pa.string())
+
+    return run(lang.cast("string"), bag["ids"], bag["n"])
