@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from voxloom.llm import ann, common, langid, mixing, packing, quality, sharding, topics
 
@@ -476,6 +477,23 @@ def test_quality_ties_repeats_and_layout(spark, tmp_path):
     assert twice is not None and quality.train(docs, labels.where("false")) is None
 
 
+def test_quality_is_fitted_on_all_labelled_rows(spark):
+    """A word that only the 1,500 rows with the largest hashes of their ids hold, beyond the 24,000 of a former sample, is learned."""
+    late = F.row_number().over(Window.orderBy(F.xxhash64("doc_id").desc())) <= 1500
+    df = spark.range(25_500).withColumnRenamed("id", "doc_id").withColumn("late", late).selectExpr("doc_id", "late", "concat('w', doc_id % 5, if(late, ' lateword', '')) AS text", "int(NOT late) AS quality", "0 AS toxic")
+    m = quality.train(df.select("doc_id", "text"), df.select("doc_id", "quality", "toxic"))
+    ids, _, _ = quality.features([b"lateword"])
+    assert (m.weight[ids[ids < quality.DIMS]] < 0).all()
+    few = spark.createDataFrame([(i, f"w{i % 2}", i % 2, 0) for i in range(50)], "doc_id long, text string, quality int, toxic int")
+    by_task, at_hand = quality.train(few, few), quality.fit(*_rows_of([f"w{i % 2}".encode() for i in range(50)]), np.array([0, 2] * 25))
+    assert (by_task.weight == at_hand.weight).all() and (by_task.cut == at_hand.cut).all()
+
+
+def _rows_of(texts):
+    ids, value, first = quality.features(texts)
+    return [ids[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], value[first[:-1]]
+
+
 def test_quality_odd_rows(spark):
     df = spark.createDataFrame([(1, None, True), (2, "", True), (None, "words", False), (3, "w " * 20000, None)], "doc_id long, text string, selected boolean")
     labels = spark.createDataFrame([(2, 1, None), (3, 0, 1), (None, 1, 0), (9, None, 0)], "doc_id long, quality int, toxic int")

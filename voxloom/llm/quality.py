@@ -3,12 +3,13 @@
 A document's grade is 0 (low quality), 1 (sound but toxic) or 2 (sound and clean).  Hashed features of
 the whole text share one weight vector; ordered thresholds t_1 < t_2 turn its score f into the tail
 probabilities P(grade >= k) = sigmoid(f - t_k), from which the expected grade and the selection follow.
-The model is fitted on a bounded sample of labelled rows; scoring is one pass without a shuffle.
+The model is fitted on all labelled rows: their hashed features are written once, and each step of L-BFGS is a
+pass over them whose tasks add up loss and slopes.  Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,10 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import read_table, settle, trim_memory
+from voxloom.llm.common import read_table, settle, vector_sums
 from voxloom.llm.textnum import U64, _BYTE, _LOWER, _P_INV, _pow, batch_texts, chunks, mix
 
-TRAIN_ROWS = 24_000  # bound of the training sample
+BROADCAST_LABELS = 1_000_000  # labelled rows up to which they are sent to the documents, so that texts stay where they are
+SCALE = 1 << 24  # units of sums of loss and slopes: whole numbers, so sums do not depend on the order of rows
+SLICE = 1 << 14  # features whose sums travel together
+STEPS = 45  # of L-BFGS
+PAIRS = 8  # last steps from which L-BFGS knows the curvature
+DECAY = 1e-4
+BALANCE = 0.2
 DIM_BITS = 20
 DIMS = 1 << DIM_BITS
 GRADES = 3
@@ -119,83 +126,159 @@ def cuts_of(base: float, steps: np.ndarray) -> np.ndarray:
     return base + np.concatenate(([0.0], np.cumsum(np.exp(steps[1:]))))
 
 
-def loss_and_slopes(f: np.ndarray, y: np.ndarray, base: float, steps: np.ndarray, heavy: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """(weighed negative log likelihood of grades y given scores f, its slopes in f, in (base, steps[1:]))."""
-    cuts = cuts_of(base, steps)
-    pad = np.concatenate(([-np.inf], cuts, [np.inf]))
+def row_slopes(f: np.ndarray, y: np.ndarray, base: float, steps: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the weighed negative log likelihood of grade y given score f, and the slopes of the logistic
+    functions at the thresholds above and below it."""
+    pad = np.concatenate(([-np.inf], cuts_of(base, steps), [np.inf]))
     up, down = _sigmoid(pad[y + 1] - f), _sigmoid(pad[y] - f)
     p = np.maximum(up - down, 1e-9)
     du, dd = (heavy[y] * s * (1 - s) / p for s in (up, down))
-    dc = np.array([-du[y == k].sum() + dd[y == k + 1].sum() for k in range(GRADES - 1)])
-    dt = np.array([dc.sum(), *(dc[k:].sum() * np.exp(steps[k]) for k in range(1, GRADES - 1))])
-    return float(-(heavy[y] * np.log(p)).sum()), du - dd, dt
+    return -heavy[y] * np.log(p), du, dd
 
 
-def grade_weights(grade: np.ndarray, balance: float) -> np.ndarray:
-    """Rare grades weigh more."""
-    share = np.bincount(grade, minlength=GRADES) / len(grade)
-    return (np.maximum(share, 1e-9) * GRADES) ** -balance
+def cut_slopes(du: np.ndarray, dd: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slopes in the thresholds."""
+    return np.array([-du[y == k].sum() + dd[y == k + 1].sum() for k in range(GRADES - 1)])
 
 
-def fit(rows: list[np.ndarray], scale: np.ndarray, grade: np.ndarray, epochs: int = 45, rate: float = 0.5, decay: float = 2e-6, batch: int | None = None, balance: float = 0.2, min_held: int | None = None, start: float = 0.03) -> Ordinal | None:
-    """AdaGrad on the negative log likelihood.  None without rows.  Grades absent from the sample leave
-    their thresholds where they started, in order.
+def step_slopes(dc: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Slopes in (base, steps[1:]), given those in the thresholds."""
+    return np.array([dc.sum(), *(dc[k:].sum() * np.exp(steps[k]) for k in range(1, GRADES - 1))])
 
-    Features held by fewer than min_held rows are left out, as they would only be learned by heart: one
-    row in a thousand where nothing is given, and three at least.  A step takes `batch` rows, by default a
-    ninetieth of them, from 16 to 256.
-    """
-    if not len(rows):
-        return None
-    batch = batch or min(256, max(16, len(rows) // 90))
-    if min_held is None:
-        min_held = max(3, len(rows) // 1000)
-    held = np.zeros(DIMS + _SHAPES, dtype=np.int32)
-    for ids in rows:
-        held[ids] += 1  # a row has each feature once
-    common = np.flatnonzero(held >= min_held)
+
+def loss_and_slopes(f: np.ndarray, y: np.ndarray, base: float, steps: np.ndarray, heavy: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(weighed negative log likelihood of grades y given scores f, its slopes in f, in (base, steps[1:]))."""
+    loss, du, dd = row_slopes(f, y, base, steps, heavy)
+    return float(loss.sum()), du - dd, step_slopes(cut_slopes(du, dd, y), steps)
+
+
+def grade_weights(count: np.ndarray, balance: float) -> np.ndarray:
+    """Rare grades weigh more; count: rows of each grade."""
+    return (np.maximum(count / count.sum(), 1e-9) * GRADES) ** -balance
+
+
+def common_features(held: np.ndarray, rows: int, min_held: int | None = None) -> np.ndarray:
+    """Features held by at least min_held rows; fewer would only be learned by heart.  One row in a thousand
+    where nothing is given, and three at least."""
+    return np.flatnonzero(held >= (max(3, rows // 1000) if min_held is None else min_held))
+
+
+def places(common: np.ndarray) -> np.ndarray:
+    """The number of each feature among the common ones, or -1."""
     place = np.full(DIMS + _SHAPES, -1, dtype=np.int32)
     place[common] = np.arange(len(common))
-    rows = [p[p >= 0] for p in (place[ids] for ids in rows)]
-    words = int((common < DIMS).sum())  # features from here on are of the layout
-    w, gw = np.zeros(len(common)), np.full(len(common), start)
-    base, steps, gt = -1.5, np.zeros(GRADES - 1), np.full(GRADES - 1, 1e-3)
-    rng = np.random.default_rng(11)
-    heavy = grade_weights(grade, balance)
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for lo in range(0, len(order), batch):
-            take = order[lo : lo + batch]
-            ids = np.concatenate([rows[i] for i in take])
-            owner = np.repeat(np.arange(len(take)), [len(rows[i]) for i in take])
-            val = np.where(ids < words, scale[take][owner], LAYOUT)
-            f = np.bincount(owner, w[ids] * val, minlength=len(take))
-            _, df, dt = loss_and_slopes(f, grade[take], base, steps, heavy)
-            g = np.bincount(ids, df[owner] * val, minlength=len(w)) / len(take)
-            g += decay * w
-            gw += g * g
-            w -= rate * g / np.sqrt(gw)
-            dt /= len(take)
-            gt += dt**2
-            move = rate * dt / np.sqrt(gt)
-            base -= move[0]
-            steps[1:] = np.clip(steps[1:] - move[1:], -5, 4)
+    return place
+
+
+def total(place: np.ndarray, x: np.ndarray, heavy: np.ndarray, ids: np.ndarray, first: np.ndarray, scale: np.ndarray, grade: np.ndarray) -> np.ndarray:
+    """Over some rows, in SCALE: slopes in the weights of common features, in the thresholds, and the loss; x: weights, base, steps[1:]."""
+    size = len(x) - GRADES + 1
+    at = place[ids]
+    some = at >= 0
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))[some]
+    at, val = at[some], np.where(ids[some] < DIMS, scale[owner], LAYOUT)
+    f = np.bincount(owner, x[at] * val, minlength=len(first) - 1)
+    loss, du, dd = row_slopes(f, grade, x[size], np.concatenate(([0.0], x[size + 1 :])), heavy)
+    inner = np.bincount(at, np.rint((du - dd)[owner] * val * SCALE), minlength=size)
+    return np.concatenate([inner, cut_slopes(np.rint(du * SCALE), np.rint(dd * SCALE), grade), [np.rint(loss * SCALE).sum()]])
+
+
+def descend(sums: Callable[[np.ndarray], np.ndarray], size: int, rows: int, steps: int, decay: float) -> np.ndarray:
+    """L-BFGS on the mean loss of `rows` rows with a ridge of `decay` on the weights; sums(x) is total() over all rows."""
+    x = np.concatenate([np.zeros(size), [-1.5], np.zeros(GRADES - 2)])
+
+    def value(x: np.ndarray) -> tuple[float, np.ndarray]:
+        got = sums(x) / (SCALE * rows)
+        slope = np.concatenate([got[:size] + decay * x[:size], step_slopes(got[size : size + GRADES - 1], np.concatenate(([0.0], x[size + 1 :])))])
+        return got[-1] + decay / 2 * float(x[:size] @ x[:size]), slope
+
+    now, g = value(x)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        q, back = -g, []
+        for s, y in reversed(pairs):
+            back.append((s @ q) / (s @ y))
+            q = q - back[-1] * y
+        q = q * ((pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / max(float(np.linalg.norm(g)), 1e-12))
+        for (s, y), a in zip(pairs, reversed(back), strict=True):
+            q = q + (a - (y @ q) / (s @ y)) * s
+        down, t = float(g @ q), 1.0
+        if down > -1e-12:
+            break
+        while True:
+            new = x + t * q
+            new[size + 1 :] = np.clip(new[size + 1 :], -5, 4)
+            then, slope = value(new)
+            if then <= now + 1e-4 * t * down or t < 1e-4:
+                break
+            t /= 3
+        if then >= now:
+            break
+        s, y, gain = new - x, slope - g, now - then
+        if s @ y > 1e-12 * (y @ y):
+            pairs = [*pairs, (s, y)][-PAIRS:]
+        x, now, g = new, then, slope
+        if gain < 1e-7 * now:
+            break
+    return x
+
+
+def model_of(x: np.ndarray, common: np.ndarray) -> Ordinal:
     weight = np.zeros(DIMS + _SHAPES, dtype=np.float32)
-    weight[common] = w
-    return Ordinal(weight, cuts_of(base, steps))
+    weight[common] = x[: len(common)]
+    return Ordinal(weight, cuts_of(x[len(common)], np.concatenate(([0.0], x[len(common) + 1 :]))))
+
 
+def fit(rows: list[np.ndarray], scale: np.ndarray, grade: np.ndarray, epochs: int = STEPS, decay: float = DECAY, balance: float = BALANCE, min_held: int | None = None) -> Ordinal | None:
+    """train() for rows of features at hand (a row has each once).  None without rows.  Thresholds of absent grades
+    stay in order."""
+    if not len(rows):
+        return None
+    ids, first = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+    common = common_features(np.bincount(ids, minlength=DIMS + _SHAPES), len(rows), min_held)
+    heavy, place = grade_weights(np.bincount(grade, minlength=GRADES), balance), places(common)
+    return model_of(descend(lambda x: total(place, x, heavy, ids, first, scale, grade), len(common), len(rows), epochs, decay), common)
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Ordinal | None:
-    """Fit on at most `rows` labelled documents, those with the smallest hashes of their ids.
+
+def _sliced(x: np.ndarray) -> pa.RecordBatch:
+    """Parts of a vector of whole numbers, for vector_sums()."""
+    cut = [x[lo : lo + SLICE].astype(np.int64).tobytes() for lo in range(0, len(x), SLICE)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array(cut, pa.binary())], names=["part", "x"])
+
+
+def _summed(rows: DataFrame, add: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """The sum of add(batch) over all batches of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                more = add(batch.slice(lo, 1000))
+                have = more if have is None else have + more
+        if have is not None:
+            yield _sliced(have)
+
+    got = vector_sums(rows.mapInArrow(run, "part int, x binary"))
+    return np.concatenate([got[k] for k in sorted(got)])
+
+
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), dtype=np.int32), np.cumsum([0, *(len(x) // 4 for x in rows)])
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> Ordinal | None:
+    """Fit on all labelled documents; with `rows` on at most so many, those with the smallest hashes of their ids.
 
     Labels with a null id or quality are left out; a null toxic counts as 0.  An id that is repeated, in
-    the labels or in docs, counts once for each pair, within the bound.  Training goes through the rows in
-    the order of their hashes, so the model does not depend on how the files are laid out.  The labels'
-    sample is bounded, so it is broadcast; the driver gets hashed features of at most that many documents
-    and sorts them itself.
+    the labels or in docs, counts once for each pair.  Sums are of whole numbers, so the model does not depend
+    on how the files are laid out.  Labels are broadcast up to BROADCAST_LABELS rows and joined in a shuffle
+    beyond; the driver and the tasks hold vectors of features only.
     """
     grade = F.when(F.col("quality") == 0, 0).when(F.coalesce(F.col("toxic"), F.lit(0)) != 0, 1).otherwise(2)
-    chosen = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).select(F.col(id_col).alias("l_id"), grade.cast("int").alias("grade")).orderBy(F.xxhash64("l_id"), "l_id", "grade").limit(rows)
+    chosen = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).select(F.col(id_col).alias("l_id"), grade.cast("int").alias("grade"))
+    if rows is not None:
+        chosen = chosen.orderBy(F.xxhash64("l_id"), "l_id", "grade").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,19 +291,31 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(scale, pa.float64())], names=["h", "grade", "ids", "scale"])
 
     known = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    joined = known.join(F.broadcast(chosen), F.col("d_id") == F.col("l_id")).select(F.xxhash64("l_id").alias("h"), "grade", "text")
+    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_LABELS else chosen
+    joined = known.join(few, F.col("d_id") == F.col("l_id")).select(F.xxhash64("l_id").alias("h"), "grade", "text")
     found = settle(joined.mapInArrow(run, "h long, grade int, ids binary, scale double"))
-    if found.count() > rows:  # only where ids are repeated
+    if rows is not None and found.count() > rows:  # only where ids are repeated
         found = settle(found.orderBy("h", "grade", "scale", "ids").limit(rows))
-    got = found.toArrow()
-    h, grades, scale = (got.column(c).to_numpy() for c in ("h", "grade", "scale"))
-    ids = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in got.column("ids")]
-    order = sorted(range(len(ids)), key=lambda i: (h[i], grades[i], scale[i], ids[i].tobytes()))
-    del got
-    model = fit([ids[i] for i in order], scale[order], grades[order].astype(np.int64))
-    del ids
-    trim_memory()
-    return model
+    count = np.zeros(GRADES)
+    for k, n in found.groupBy("grade").agg(F.count(F.lit(1))).collect():
+        count[k] = n
+    n = int(count.sum())
+    if not n:
+        return None
+    common = common_features(_summed(found.select("ids"), lambda batch: np.bincount(_ids(batch.column(0))[0], minlength=DIMS + _SHAPES)), n)
+    heavy = grade_weights(count, BALANCE)
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        kept: list[np.ndarray] = []
+
+        def add(batch: pa.RecordBatch) -> np.ndarray:
+            if not kept:  # once a task
+                kept.append(places(common))
+            return total(kept[0], x, heavy, *_ids(batch.column(0)), *(batch.column(i).to_numpy() for i in (1, 2)))
+
+        return _summed(found.select("ids", "scale", "grade"), add)
+
+    return model_of(descend(sums, len(common), n, STEPS, DECAY), common)
 
 
 def judge(df: DataFrame, model: Ordinal | None, keep: list[str], text_col: str = "text", least: float = 0.7, filtered: bool = False) -> DataFrame:
