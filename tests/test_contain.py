@@ -75,3 +75,14 @@ def test_shared_counts(spark, monkeypatch, deal):
         for s, e in rows:
             into[s].add(e)
     assert got == sorted((p, q, len(x & y)) for p, x in sets[0].items() for q, y in sets[1].items() if x & y)
+
+
+def test_shared_counts_few_meetings_in_a_task(spark, monkeypatch):
+    """The tasks that count grow with the meetings, so that none counts more pairs at once as tables grow."""
+    rows = [(s, e) for s in range(60) for e in range(s % 7, 40, 7)]
+    a, b = spark.createDataFrame(rows, "p long, e int"), spark.createDataFrame(rows + [(None, 3)], "q long, e int")
+    meetings = a.join(b, "e").count()
+    monkeypatch.setattr(contain, "PAIRS", 100, raising=False)
+    out = contain.shared(a, b, "p", "q", ["e"])
+    assert out.rdd.getNumPartitions() >= meetings / 100 > 10
+    assert sorted(map(str, out.collect())) == sorted(map(str, a.join(b, "e").groupBy("p", "q").agg(F.count(F.lit(1)).alias("shared")).collect()))

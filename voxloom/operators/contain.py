@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from voxloom.operators import tables
 
 DEAL = 1000  # sets that hold an element, from which on it is dealt, and sets in a share
+PAIRS = 2_000_000  # meetings of two sets at an element that a task of shared() counts
+MEMBERS = 250_000  # members of sets that a task of its join has
 FEW = 64  # where a member's element is held by no more sets on average, all pairs that share one are counted
 
 
@@ -58,17 +60,30 @@ def contained(sets: DataFrame, set_id: str, on: list[str], bar: float) -> DataFr
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", part.alias("containment")).where(F.col("containment") >= bar)
 
 
+def parts_of(rows: int | None, most: int) -> int:
+    return max(1, -(-(rows or 0) // most))
+
+
 def shared(a: DataFrame, b: DataFrame, a_id: str, b_id: str, on: list[str]) -> DataFrame:
     """(a_id, b_id, shared): the distinct elements that two sets have in common, for pairs with any.
 
-    An equi-join on the elements; sets that share nothing never meet.
+    An equi-join on the elements; sets that share nothing never meet.  The sets b of an element move as arrays of
+    some DEAL, to the task of their set a, which counts.  There are as many tasks as no more than PAIRS meetings
+    come to one on average, so what a task counts at once does not grow with the tables.
     """
     left, right = (tables.settle(x.select(i, *on).distinct()) for x, i in ((a, a_id), (b, b_id)))
-    often = right.groupBy(*on).agg(F.count(F.lit(1)).alias("__f"))
-    times = F.coalesce("__f", F.lit(0))
-    hot = tables.settle(often.where(F.col("__f") > DEAL))
+    often = tables.settle(right.groupBy(*on).agg(F.count(F.lit(1)).alias("__f")))
+    meetings = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).join(often, on).agg(F.sum(F.col("__n") * F.col("__f"))).first()[0]
+    by = parts_of(left.count() + right.count(), MEMBERS)
+    hot = often.where(F.col("__f") > DEAL)
     if hot.isEmpty():
-        return left.join(right, on).groupBy(a_id, b_id).agg(F.count(F.lit(1)).alias("shared"))
-    x, y = (d.join(hot, on, "left").withColumn("__f", times) for d in (left, right))
-    keyed = lambda d: d.withColumn("__e", F.struct(*on)).drop(*on)
-    return dealt(keyed(x), keyed(y), "__e", F.col("__f"), b_id).groupBy(a_id, b_id).agg(F.count(F.lit(1)).alias("shared"))
+        x, y, key = left.repartition(by, *on), right.repartition(by, *on), on
+    else:
+        hot = tables.settle(hot)
+        shares = F.floor(F.coalesce("__f", F.lit(0)) / F.lit(DEAL)).cast("int")
+        key = [*on, "__share"]
+        x = left.join(hot, on, "left").withColumn("__share", F.explode(F.sequence(F.lit(0), shares))).drop("__f").repartition(by, *key)
+        y = right.join(hot, on, "left").withColumn("__share", F.pmod(F.xxhash64(b_id), shares + 1).cast("int")).drop("__f").repartition(by, *key)
+    held = y.groupBy(*key).agg(F.collect_list(F.struct(b_id)).alias("__b"))
+    met = x.join(held, key).select(a_id, "__b").repartition(parts_of(meetings, PAIRS), a_id)
+    return met.select(a_id, F.explode("__b").alias("__b")).select(a_id, f"__b.{b_id}").groupBy(a_id, b_id).agg(F.count(F.lit(1)).alias("shared"))
