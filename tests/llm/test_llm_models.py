@@ -27,6 +27,33 @@ def test_ids_are_the_librarys():
         assert list(bpe.ids(t)) == bpe.exact.encode(t, add_special_tokens=False).ids
 
 
+def test_counts_are_those_of_the_ids(monkeypatch):
+    """Words are encoded once each, in whatever texts and after whatever white space, also where the table begins anew."""
+    import random
+
+    bpe, r = packing.ByteBpe(*packing.default_paths()), random.Random(7)
+    parts = ["'s", "'re", "'", " ", " ", " ", "\n", "\t", "\r\n", "\x0b", "the", "Ab", "½", "12", "ß", "—", "€", "?!", "<|", "漢", "\x85", "\0"]
+    texts = ["".join(r.choices(parts[: r.choice((18, 22))], k=r.randrange(40))) for _ in range(3000)]
+    texts += ["", None, " ", "  ", "\n", "a\n", "\n\na", " a  b ", "x" * 5000, *["many words of one text"] * 2000]
+    want = [len(bpe.exact.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert bpe.counts(texts).tolist() == bpe.counts(texts[::-1])[::-1].tolist() == want
+    monkeypatch.setattr(packing, "COUNTED_BYTES", 500)
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 100)
+    bpe = packing.ByteBpe(*packing.default_paths())
+    assert bpe.counts(texts).tolist() == want and len(bpe.known[0]) < 400
+
+    class Encoder:
+        chars = 0
+
+        def encode_ordinary(self, text, inner=bpe.fast):
+            Encoder.chars += len(text)
+            return inner.encode_ordinary(text)
+
+    fresh = packing.ByteBpe(*packing.default_paths())
+    fresh.fast = Encoder()
+    assert fresh.counts(["many words of one text"] * 2000).tolist() == [want[-1]] * 2000 and Encoder.chars < 100
+
+
 def test_cut():
     for n in (1, 2047, 2048, 2049, 4096, 5000):
         parts = list(packing.cut(np.arange(n), 2048))
@@ -690,3 +717,32 @@ def test_topics_are_fitted_on_all_documents(spark):
     ids = topics.bags([b"w0"])[0][0]
     assert abs(float(one.weight[ids[0]]) - np.log(9001 / 3001)) < 1e-6
     assert (one.weight == two.weight).all() and (one.centres["aa"] == two.centres["aa"]).all()
+
+
+def test_rounds_read_blocks(spark, monkeypatch):
+    """What the rounds of k-means read has a row for many documents; blocks of any number of distinct counts hold the bags."""
+    read, inner = [], topics.vector_sums
+
+    def sums(parts):
+        read.append(spark.read.parquet(*parts.inputFiles()).count())
+        return inner(parts)
+
+    monkeypatch.setattr(topics, "vector_sums", sums)
+    df = spark.range(3000).selectExpr("id AS doc_id", "concat('w', id % 3, ' v', id % 5, ' common') AS text", "if(id % 2 = 0, 'aa', 'bb') AS lang").repartition(3)
+    model = topics.train(df, "doc_id", "lang", "text")
+    assert len(model.centres) == 2 and read and max(read) <= 60
+
+    rng = np.random.default_rng(5)
+    bags = [(("aa", None, "bb")[i % 3], rng.permutation(topics.DIMS)[: i % 7 * 100].astype(np.int16), (1 + np.log(1 + rng.permutation(600)[: i % 7 * 100])).astype(np.float32)) for i in range(400)]
+    weight = rng.random(topics.DIMS).astype(np.float32) + 0.1
+    rows = spark.createDataFrame([(lang, i.tobytes(), n.tobytes()) for lang, i, n in bags], "lang string, ids binary, n binary")
+    got = collections.Counter()
+    for r in topics.blocks(rows, weight, {"aa": 0, None: 1}).collect():
+        size, ids, n, scale = (np.frombuffer(r[c], t) for c, t in (("size", np.int32), ("ids", np.int16), ("n", np.float32), ("scale", np.float64)))
+        assert len(size) <= topics.BLOCK
+        at = np.frombuffer(r["at"], f"u{len(r['at']) // len(ids)}")
+        for a, k, s in zip(np.cumsum([0, *size]), size, scale):
+            i, x = ids[a : a + k], n[at[a : a + k]]
+            got[("aa", None)[r["lang"]], i.tobytes(), x.tobytes()] += 1
+            assert not k or abs(float(np.linalg.norm(x * weight[i])) * s / topics.SCALE - 1) < 1e-5
+    assert got == collections.Counter((lang, i.tobytes(), n.tobytes()) for lang, i, n in bags if lang != "bb")

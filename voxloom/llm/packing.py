@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 
 import numpy as np
@@ -21,10 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import read_table, settle
+from voxloom.llm.common import read_table, settle, trim_memory
+from voxloom.llm.textnum import U64, hashes, runs
 
 GROUP_PIECES = 50_000
 CAPACITY = 2048
+COUNTED_BYTES = 1 << 20  # from which the words of the texts so far are looked up
+KNOWN_WORDS = 1 << 20  # whose numbers of tokens a process keeps, 16 bytes each; beyond them it begins anew
+SPACED = U64(0x9E3779B97F4A7C15)  # tells a word after a space from the same one without
 
 #: Texts of these characters only are split alike by both libraries; others go to `tokenizers` itself.
 _PLAIN = re.compile(r"[\t-\r\x20-\x7e¡-¬®-ſ‘-”–—€]*")
@@ -43,6 +47,7 @@ class ByteBpe:
 
         self.exact = Tokenizer.from_file(json_path)
         self.fast = None
+        self.known = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         if rank_path:
             import base64
 
@@ -51,12 +56,89 @@ class ByteBpe:
             with open(rank_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            self.sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+            self.sizes[list(ranks.values())] = [len(x) for x in ranks]
+
+    def plain(self, text: str) -> bool:
+        return self.fast is not None and "<|" not in text and _PLAIN.fullmatch(text) is not None
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is not None and "<|" not in text and _PLAIN.fullmatch(text):
+        if self.plain(text):
             return self.fast.encode_ordinary(text)
         return self.exact.encode(text, add_special_tokens=False).ids
 
+    def counts(self, texts: Iterable[str | None]) -> np.ndarray:
+        """How many ids() each text has, none without a text.
+
+        No id crosses the end of a word, a run of anything but white space with the one space before it, so
+        a word of plain texts has the same number wherever it is and is encoded once; words are told apart
+        by 64-bit hashes.  White space besides is encoded as the pattern cuts it: a run up to its last
+        character where a word follows, and that character, where it is not a space.
+        """
+        out: list[int] = []
+        held: list[tuple[int, bytes]] = []
+
+        def look_up() -> None:
+            for (i, _), n in zip(held, self._plain_counts([t for _, t in held]).tolist(), strict=True):
+                out[i] = n
+            held.clear()
+
+        size = 0
+        for text in texts:
+            plain = bool(text) and self.plain(text)
+            if plain:
+                held.append((len(out), text.encode()))
+                size += len(text)
+            out.append(0 if plain or not text else len(self.ids(text)))
+            if size >= COUNTED_BYTES:
+                look_up()
+                size = 0
+        if held:
+            look_up()
+        return np.array(out, dtype=np.int64)
+
+    def _plain_counts(self, texts: list[bytes]) -> np.ndarray:
+        buf = np.frombuffer(b"\0" + b"\0".join(texts) + b"\0", dtype=np.uint8)  # a plain text has no 0
+        first = np.cumsum([1, *(len(t) + 1 for t in texts)])
+        starts, ends = runs((buf > 32) | (buf < 9) & (buf > 0))
+        before = buf[starts - 1]
+        spaced = before == 32
+        key = hashes(buf, starts, ends) ^ np.where(spaced, SPACED, U64(0))
+        found, one, which = np.unique(key, return_index=True, return_inverse=True)
+        n = self._word_counts(buf, found, starts[one], ends[one], spaced[one])[which] + (~spaced & (before > 0))
+        total = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(starts, first)]
+        out = np.diff(total)
+        space = (buf >= 9) & (buf <= 32)
+        a, b = runs(np.concatenate((space[:-1] & (space[1:] | (buf[1:] == 0)), [False])))
+        seen: dict[bytes, int] = {}
+        for i, x, y in zip((np.searchsorted(first, a, "right") - 1).tolist(), a.tolist(), b.tolist(), strict=True):
+            run = buf[x:y].tobytes()
+            if run not in seen:
+                seen[run] = len(self.fast.encode_ordinary(run.decode()))
+            out[i] += seen[run]
+        return out
+
+    def _word_counts(self, buf: np.ndarray, key: np.ndarray, starts: np.ndarray, ends: np.ndarray, spaced: np.ndarray) -> np.ndarray:
+        """Numbers of distinct words; those that are new are encoded in one text, each after a space or a line's end."""
+        keys, counts = self.known
+        at = np.searchsorted(keys, key)
+        at[at == len(keys)] = 0
+        new = np.flatnonzero(keys[at] != key) if len(keys) else np.arange(len(key))
+        out = counts[at] if len(keys) else np.zeros(len(key), dtype=np.int64)
+        if len(new):
+            size = ends[new] - starts[new] + 1
+            end = np.cumsum(size)
+            text = buf[np.repeat(starts[new] - 1 - (end - size), size) + np.arange(end[-1])]
+            text[end - size] = np.where(spaced[new], 32, 10)
+            done = np.cumsum(self.sizes[self.fast.encode_ordinary(text.tobytes().decode())])
+            out[new] = np.diff(np.searchsorted(done, end, "right"), prepend=0) - ~spaced[new]
+            if len(keys) + len(new) > KNOWN_WORDS:
+                keys, counts = keys[:0], counts[:0]
+            keys, counts = np.concatenate((keys, key[new])), np.concatenate((counts, out[new]))
+            order = np.argsort(keys, kind="stable")
+            self.known = keys[order], counts[order]
+        return out
+
 
 _loaded: dict[tuple, ByteBpe] = {}
 
@@ -75,7 +157,9 @@ def token_count(text: Column, paths: tuple[str, str, str]) -> Column:
         if paths not in _loaded:
             _loaded[paths] = ByteBpe(*paths)
         bpe = _loaded[paths]
-        return pa.array((len(bpe.ids(t.as_py() or "")) for t in texts), type=pa.int64())
+        n = pa.array(bpe.counts(t.as_py() for t in texts), type=pa.int64())
+        trim_memory()
+        return n
 
     return count(text.cast("string"))
 

@@ -56,19 +56,28 @@ def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         yield lo, len(texts)
 
 
+def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs of a mask whose last value is False."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], mask)).view(np.int8)))
+    return edge[0::2], edge[1::2]
+
+
+def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of bytes."""
+    power, inverse = _pow(len(buf) + 1)
+    run = np.zeros(len(buf) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[buf] * power[: len(buf)], out=run[1:])
+    return mix((run[ends] - run[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in order, first word of each text with the total at the end).
 
     A-Z count as a-z; words are runs of anything but ASCII white space.
     """
     buf = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    space = _SPACE[buf]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
-    starts, ends = edge[0::2], edge[1::2]
-    power, inverse = _pow(len(buf) + 1)
-    run = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[_LOWER[buf]] * power[: len(buf)], out=run[1:])
-    h = mix((run[ends] - run[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    starts, ends = runs(~_SPACE[buf])
+    h = hashes(_LOWER[buf], starts, ends)
     at = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=at[1:])
     return h, np.searchsorted(starts, at)

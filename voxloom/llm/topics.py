@@ -1,9 +1,9 @@
 """Topics of documents: clusters of hashed words, fitted on all documents.
 
 Words say little across languages, so each language has its own clusters: spherical k-means over
-hashed words weighted by rarity.  Texts are read once to hashed words, which are written; from there on a
-round of k-means is one pass whose tasks add up the vectors of each cluster, so the driver and the tasks
-hold the centres only.  Every document is then assigned by the hashed words of its whole text.  A table that has a
+hashed words weighted by rarity.  Texts are read once to hashed words, which are written, and again as
+blocks of some documents of a language a row; from there on a round of k-means is one pass over the blocks
+whose tasks add up the vectors of each cluster, so the driver and the tasks hold the centres only.  Every document is then assigned by the hashed words of its whole text.  A table that has a
 topic column needs none of this.
 """
 
@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -64,19 +65,16 @@ def nearest(key: np.ndarray, value: np.ndarray, first: np.ndarray, centres: np.n
     near = np.zeros(len(first) - 1, dtype=np.int64)
     some = np.flatnonzero(np.diff(first))
     if len(some):
-        near[some] = np.stack([np.add.reduceat(value * c[key], first[some]) for c in centres]).argmax(0)
+        near[some] = np.stack([np.add.reduceat(value * c.take(key), first[some]) for c in centres]).argmax(0)
     return near
 
 
 SCALE = 1 << 20  # units of vectors that are added up: whole numbers, so sums do not depend on the order of rows
 
 
-def sums(key: np.ndarray, value: np.ndarray, first: np.ndarray, near: np.ndarray, keys: int) -> np.ndarray:
-    """(TOPICS * keys): the sums of the texts' unit vectors by cluster, in SCALE."""
-    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    norm = np.sqrt(np.bincount(owner, value * value, minlength=len(first) - 1))
-    unit = np.rint(value * (SCALE / np.maximum(norm, 1e-12))[owner])
-    return np.bincount((near * keys)[owner] + key, unit, minlength=TOPICS * keys)
+def sums(key: np.ndarray, value: np.ndarray, size: np.ndarray, scale: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """(TOPICS * DIMS): the sums of the texts' unit vectors by cluster, in SCALE; `scale` makes a text's values units."""
+    return np.bincount(np.repeat(near * DIMS, size) + key, np.rint(value * np.repeat(scale, size)), minlength=TOPICS * DIMS)
 
 
 def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +86,7 @@ def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
 
 NONE = -1e30  # of a centre that a language has not; finite, as a word may weigh 0
 ROWS = 512  # rows of a batch that are worked on at once, so that what they need stays in the cache
+BLOCK = 128  # documents of a block at most, so a block has DIMS * BLOCK words of 3 bytes at most, 0.8 MB
 
 
 class Centres:
@@ -115,6 +114,35 @@ class Centres:
             yield lo + rows, key, value, first, nearest(key, value, first, self.table)
 
 
+BLOCKS = "lang int, size binary, ids binary, at binary, n binary, scale binary"
+
+
+def blocks(rows: DataFrame, weight: np.ndarray, code: dict[str | None, int]) -> DataFrame:
+    """BLOCKS: the bags of rows(lang, ids, n) whose language has a code, of BLOCK documents of it a row or fewer: the
+    words of each document (32 bits), its ids, where its n are (8 bits, if those suffice) in the block's distinct n, and
+    what makes its weighed words a unit vector in SCALE (double)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            own = np.array([code.get(x, -1) for x in batch.column(0).to_pylist()], dtype=np.int64)
+            order = np.argsort(own, kind="stable")[np.count_nonzero(own < 0) :]
+            for lang in np.unique(own[order]).tolist():
+                these = order[np.searchsorted(own[order], lang) : np.searchsorted(own[order], lang, "right")]
+                for lo in range(0, len(these), BLOCK):
+                    few = pa.array(these[lo : lo + BLOCK])
+                    (ids, first), (n, _) = _flat(batch.column(1).take(few), np.int16), _flat(batch.column(2).take(few), np.float32)
+                    size = np.diff(first)
+                    value = n * weight[ids]
+                    norm = np.sqrt(np.bincount(np.repeat(np.arange(len(size)), size), value * value, minlength=len(size)))
+                    some, at = np.unique(n, return_inverse=True)
+                    out.append((lang, *(x.tobytes() for x in (size.astype(np.int32), ids, at.astype(np.min_scalar_type(len(some))), some, SCALE / np.maximum(norm, 1e-12)))))
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["lang", "size", "ids", "at", "n", "scale"])
+
+    return rows.mapInArrow(run, BLOCKS)
+
+
 def train(docs: DataFrame, id_col: str, lang_col: str, text_col: str) -> Topics:
     """fit() on all documents."""
     return fit(settle(docs.select(row_hash(id_col, text_col).alias("h"), F.col(lang_col).cast("string").alias("lang"), bag_of(F.col(text_col)).alias("bag"))))
@@ -128,39 +156,37 @@ def fit(rows: DataFrame) -> Topics:
     """Fitted on all rows of a table (h, lang, bag).  The first centres of a language are the documents with the
     smallest hashes; an empty cluster keeps its centre.  ROUNDS rounds, or fewer where no centre moves."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In how many documents each word is, as ids of a row without h; of each language the TOPICS rows with words that
+        have the smallest hashes."""
         have = np.zeros(DIMS, dtype=np.int64)
-        for batch in batches:
-            have += np.bincount(_flat(batch.column(0), np.int16)[0], minlength=DIMS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS)), pa.array(have)], names=["id", "n"])
-
-    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each language the TOPICS rows with words that have the smallest hashes."""
         best: dict = {}
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = best.setdefault(row[1], {})
-                if row[2] and (len(own) < TOPICS or row[0] < max(own)):
-                    own[row[0]] = row
+            have += np.bincount(_flat(batch.column(2), np.int16)[0], minlength=DIMS)
+            size = pc.binary_length(batch.column(2)).to_pylist()
+            for i, (h, lang) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                own = best.setdefault(lang, {})
+                if size[i] and (len(own) < TOPICS or h < max(own)):
+                    own[h] = (h, lang, batch.column(2)[i].as_py(), batch.column(3)[i].as_py())
                     if len(own) > TOPICS:
                         del own[max(own)]
-        rows = [r for own in best.values() for r in own.values()]
+        rows = [(None, None, have.tobytes(), None), *(r for own in best.values() for r in own.values())]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.binary(), pa.binary()))], names=["h", "lang", "ids", "n"])
 
     columns = "h long, lang string, ids binary, n binary"
     held = rows.select("h", "lang", "bag.ids", "bag.n")
-    total, have = 0, np.zeros(DIMS)
+    total = 0
     counts: dict = {}
     for r in held.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect():
         total += r["n"]
         if r["n"] >= 2 * LEAST_ROWS:
             counts[r["lang"]] = min(TOPICS, r["n"] // LEAST_ROWS)
-    for i, n in held.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect():
-        have[i] = n
+    seen = settle(held.mapInArrow(survey, columns))
+    have = vector_sums(seen.where("h is null").select(F.lit(0).alias("part"), F.col("ids").alias("x"))).get(0, np.zeros(DIMS))
     weight = np.log((1 + total) / (1 + have)).astype(np.float32)
     centres: dict = {}
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "ids"))
-    few = held.mapInArrow(lowest, columns).dropDuplicates(["lang", "h"]).withColumn("r", rank).where(F.col("r") <= TOPICS)
+    few = seen.where("h is not null").dropDuplicates(["lang", "h"]).withColumn("r", rank).where(F.col("r") <= TOPICS)
     for r in few.collect() if counts else []:
         own = centres.setdefault(r["lang"], np.zeros((DIMS, counts[r["lang"]]), dtype=np.float32)) if r["lang"] in counts else None
         if own is not None and r["r"] <= own.shape[1]:
@@ -170,21 +196,25 @@ def fit(rows: DataFrame) -> Topics:
         c /= np.maximum(np.linalg.norm(c, axis=0), 1e-12)
 
     def added(now: dict):
-        at = Centres(now)
+        table = [np.ascontiguousarray(c.T) for c in now.values()]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(at.table.size)
+            total = np.zeros((len(table), TOPICS * DIMS))
             for batch in batches:
-                for _, key, value, first, near in at.found(weight, *batch.columns):
-                    total += sums(key, value, first, near, at.table.shape[1])
-            parts = total.astype(np.int64).reshape(TOPICS, len(now), DIMS)
-            some = [(j, i) for j, i in np.ndindex(*parts.shape[:2]) if parts[j, i].any()]
-            yield pa.RecordBatch.from_arrays([pa.array([i * TOPICS + j for j, i in some], pa.int32()), pa.array([parts[s].tobytes() for s in some], pa.binary())], names=["part", "x"])
+                for i, lang in enumerate(batch.column(0).to_pylist()):
+                    size, ids, at, n, scale = (np.frombuffer(batch.column(k)[i].as_buffer(), dtype=t) for k, t in enumerate((np.int32, np.int16, np.uint8, np.float32, np.float64), 1))
+                    key = ids.astype(np.intp)
+                    value = n.take(at.view(f"u{len(at) // max(len(ids), 1) or 1}")) * weight.take(key)
+                    total[lang] += sums(key, value, size, scale, nearest(key, value, np.concatenate(([0], np.cumsum(size))), table[lang]))
+            parts = total.astype(np.int64).reshape(-1, DIMS)
+            some = np.flatnonzero(parts.any(1)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], names=["part", "x"])
 
         return run
 
+    packed = settle(blocks(held.select("lang", "ids", "n"), weight, {lang: i for i, lang in enumerate(centres)})) if centres else held
     for _ in range(ROUNDS if centres else 0):
-        got = vector_sums(held.select("lang", "ids", "n").mapInArrow(added(centres), "part int, x binary"))
+        got = vector_sums(packed.mapInArrow(added(centres), "part int, x binary"))
         new = {lang: c.copy() for lang, c in centres.items()}
         langs = list(new)
         for part, c in got.items():
